@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from locusframe.llm import mixing
+from locusframe.llm import langid, media, mixing, packing, secrets
 
-QUERIES = {"op1_mixing": mixing.op1_mixing}
-ORACLES = {"op1_mixing": mixing.ORACLE}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_media": media.op2_media,
+    "op5_packing": packing.op5_packing,
+    "op7_secrets": secrets.op7_secrets,
+    "op10_language_id": langid.op10_language_id,
+}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op7_secrets": secrets.ORACLE}
