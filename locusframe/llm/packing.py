@@ -115,28 +115,45 @@ def _knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[float,
     return float(best[room]), pattern
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 20_000) -> list[tuple[int, np.ndarray]]:
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with pivoting.  The matrices are small, and threaded libraries stall where other work fills the cores."""
+    m = len(a)
+    both = np.hstack([a, np.eye(m)])
+    for k in range(m):
+        p = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        both[rows] -= factor[rows, None] * both[k]
+    return both[:, m:]
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000, gap: float = 2e-4) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) pairs that cover ``demand`` pieces of each of the ascending ``sizes`` with sequences of ``room``.
 
-    Column generation on a basis of one pattern a size; the basis stays feasible, so ``rounds`` only bounds the time.
-    Patterns are rounded down and what is left (less than one use of each) is packed first-fit decreasing.
+    Column generation on a basis of one pattern a size, until the objective is within ``gap`` (or half a sequence) of the
+    bound that the knapsack's value gives; the basis stays feasible, so ``rounds`` only bounds the time.  Patterns are
+    rounded down and what is left (less than one use of each) is packed first-fit decreasing.
     """
     m = len(sizes)
+    lifted = demand * (1 + 1e-7 * np.random.default_rng(1).random(m))  # no two patterns run out at once
     columns = [np.eye(m)[i] * (room // sizes[i]) for i in range(m)]
     inverse, cost = np.diag([1.0 / (room // s) for s in sizes]), np.ones(m)
     for k in range(rounds):
         if k % 500 == 499:
-            inverse = np.linalg.inv(np.array(columns).T)
-        use, prices = inverse @ demand, cost @ inverse
+            inverse = _inverse(np.array(columns).T)
+        use, prices = np.einsum("ij,j->i", inverse, lifted), np.einsum("i,ij->j", cost, inverse)
         if prices.min() < -1e-9:  # more of a size than demanded
             i = int(np.argmin(prices))
             enter, price = -np.eye(m)[i], 0.0
         else:
             value, enter = _knapsack(sizes, prices, room)
-            price = 1.0
-            if value <= 1 + 1e-7:
+            price, total = 1.0, float((cost * use).sum())
+            if total - total / max(value, 1.0) <= max(0.5, gap * total):
                 break
-        step = inverse @ enter
+        step = np.einsum("ij,j->i", inverse, enter)
         ratio = np.where(step > 1e-9, np.maximum(use, 0) / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
@@ -145,7 +162,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
         row = inverse[out] / step[out]
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
-    use, rest, packed = np.linalg.inv(np.array(columns).T) @ demand, demand.astype(int).copy(), []
+    use, rest, packed = np.einsum("ij,j->i", _inverse(np.array(columns).T), demand), demand.astype(int).copy(), []
     for x, pattern in zip(use, columns):
         times = int(np.floor(x + 1e-6))
         # the linear program may cover a size more often than demanded
