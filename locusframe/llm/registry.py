@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from locusframe.llm import langid, media, mixing, packing, secrets
+from locusframe.llm import langid, media, mixing, packing, pii, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_media": media.op2_media,
+    "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_packing": packing.op5_packing,
     "op7_secrets": secrets.op7_secrets,
     "op10_language_id": langid.op10_language_id,
