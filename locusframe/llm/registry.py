@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from locusframe.llm import langid, media, mixing, packing, pii, secrets
+from locusframe.llm import hashing, langid, media, mixing, packing, pii, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_media": media.op2_media,
     "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_packing": packing.op5_packing,
+    "op6_multi_index": hashing.op6_multi_index,
     "op7_secrets": secrets.op7_secrets,
     "op10_language_id": langid.op10_language_id,
 }
