@@ -22,8 +22,9 @@ from locusframe.llm.common import table
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Windows learned from, for each language at most: the sample that the driver gets is bounded by this.
-SAMPLE = 2500
+#: Windows learned from: for each language and each of 256 blocks of documents (by MD5 of doc_id) at most this many, so
+#: 2560 a language; the sample that the driver gets is bounded by this.
+SAMPLE = 10
 EPOCHS = 8
 #: Least score with which the pipeline keeps a document.
 KEEP = 0.5
@@ -122,14 +123,13 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[list[str], ByteNetwork | None]:
     """docs: (doc_id, text, lang) of labelled rows.  One window, at a place drawn by doc_id, of at most ``sample``
-    documents a language, chosen by the MD5 of doc_id; a group limit keeps no more rows of a language than that in any
-    task."""
+    documents of each language and block; no task gets a whole language."""
     raw = F.encode("text", "utf-8")
     room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
     rows = docs.filter("text is not null and lang is not null").select(
         "lang", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("k"), F.substring(raw, F.pmod(F.xxhash64("doc_id"), room).cast("int") + 1, F.lit(WINDOW)).alias("w")
     )
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "w"))).filter(F.col("n") <= sample)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.substring("k", 1, 2)).orderBy("k", "w"))).filter(F.col("n") <= sample)
     got = rows.select("lang", "k", "w").toPandas().sort_values(["lang", "k", "w"])
     if got.empty:
         return [], None
