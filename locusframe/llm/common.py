@@ -35,3 +35,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def hash_sample(df: DataFrame, key: list[Column | str], rows: int) -> DataFrame:
+    """About ``rows`` rows, those whose hash of ``key`` is lowest in its range, and never more than twice as many.  Tasks
+    send only what they find under the bound, so the driver gets a bounded sample from any number of tasks."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df.filter(F.pmod(F.xxhash64(*key), F.lit(2**40)) < int(share * 2**40)).limit(2 * rows)

@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table
+from locusframe.llm.common import hash_sample, table
 
 K = 20
 BITS = 64
 SUB = 8
-#: Rows that the rotation and the radius are learned from, at most.
-SAMPLE = 8192
+#: Rows that the rotation and the radius are learned from, about; twice as many at most.
+SAMPLE = 6000
 #: Share of the sample's neighbours that the radius has to hold.
 HELD = 0.985
 #: Shards that the index has at least, rows of one, queries of one block.
@@ -130,7 +130,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, shards: int = SHA
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows, asked = usable(vectors), usable(queries)
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    sample = sorted(r["v"] for r in hash_sample(rows, ["vec_id", "v"], SAMPLE).collect())
     if not sample:
         return spark.createDataFrame([], schema)
     d = int(np.bincount([len(v) for v in sample]).argmax())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table, written
+from locusframe.llm.common import hash_sample, table, written
 
 BLOCK = 576
 RATE = 8000
@@ -102,13 +102,13 @@ def outline(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> bytes:
-    """Built from the first SAMPLE_BYTES of SAMPLE documents in the order of a hash; empty if the sample is too small.
-    It changes how chunks travel, never what they hold."""
+    """Built from the first SAMPLE_BYTES of about SAMPLE documents drawn by a hash; empty if the sample is too small.  It
+    changes how chunks travel, never what they hold."""
     import zstandard
 
-    rows = docs.filter("text is not null").select(F.substring(F.encode("text", "utf-8"), 1, SAMPLE_BYTES).alias("b"), F.md5("text").alias("k")).orderBy("k").limit(SAMPLE).collect()
+    rows = hash_sample(docs, ["doc_id"], SAMPLE).filter("text is not null").select(F.substring(F.encode("text", "utf-8"), 1, SAMPLE_BYTES).alias("b")).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY, [bytes(r["b"]) for r in rows]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, sorted(bytes(r["b"]) for r in rows)).as_bytes()
     except zstandard.ZstdError:
         return b""
 
