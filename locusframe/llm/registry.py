@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from locusframe.llm import hashing, kneser, langid, media, mixing, packing, pii, secrets
+from locusframe.llm import hashing, jaccard, kneser, langid, media, mixing, packing, pii, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_multi_index": hashing.op6_multi_index,
     "op7_secrets": secrets.op7_secrets,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_quality": kneser.op9_quality,
     "op10_language_id": langid.op10_language_id,
 }
