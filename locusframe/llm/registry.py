@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from locusframe.llm import hashing, jaccard, kneser, langid, media, mixing, packing, pii, secrets
+from locusframe.llm import hashing, jaccard, katz, kneser, langid, media, mixing, packing, pii, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_media": media.op2_media,
+    "op3_katz": katz.op3_katz,
     "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_packing": packing.op5_packing,
     "op6_multi_index": hashing.op6_multi_index,
