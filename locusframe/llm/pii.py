@@ -30,17 +30,22 @@ NAME = r"\p{Lu}[\p{Ll}'’-]{1,30}"
 ANY_TITLE = rf"(?:{MALE}|{FEMALE})"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 RULES = (
-    Rule("email", r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
+    Rule("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
     Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     Rule("phone", r"(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"),
     Rule("phone", r"(?<![A-Za-z0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
     Rule("card", r"(?<![A-Za-z0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![A-Za-z0-9])"),
     Rule("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     Rule("ip", rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
-    Rule("given_m", rf"(?<=\b{MALE}\.? ){NAME}(?= {NAME})"),
-    Rule("given_f", rf"(?<=\b{FEMALE}\.? ){NAME}(?= {NAME})"),
-    Rule("family", rf"(?<=\b{ANY_TITLE}\.? (?:\p{{Lu}}[\p{{Ll}}'’-]{{1,30}} )?){NAME}(?! {NAME})"),
+    Rule("given_m", rf"(?=\p{{Lu}})(?<=\b{MALE}\.? ){NAME}(?= {NAME})"),
+    Rule("given_f", rf"(?=\p{{Lu}})(?<=\b{FEMALE}\.? ){NAME}(?= {NAME})"),
+    Rule("family", rf"(?=\p{{Lu}})(?<=\b{ANY_TITLE}\.? (?:\p{{Lu}}[\p{{Ll}}'’-]{{1,30}} )?){NAME}"),
 )
+#: What a text must hold for a rule of the kind to match: a plain search before the dear one.
+GUARDS = {
+    "email": "@", "iban": "[A-Z]{2}[0-9]{2}", "phone": "[+][0-9]|[0-9][.-][0-9]{4}", "card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "ssn": "[0-9]-[0-9]{2}-[0-9]",
+    "ip": r"[0-9]\.[0-9]{1,3}\.[0-9]", "given_m": rf"\b{MALE}\.? \p{{Lu}}", "given_f": rf"\b{FEMALE}\.? \p{{Lu}}", "family": rf"\b{ANY_TITLE}\.? \p{{Lu}}",
+}
 # What surrogate names are put together from.
 STEMS = {
     "latin": "Al Ber Cor Dan El Fer Gal Hen Is Jor Kar Lor Mar Nor Ol Per Ros Sal Tor Val Wil Yor Zel Bel".split(),
@@ -55,7 +60,7 @@ ENDINGS = {
 def found_spans(text: Column) -> Column:
     """Array of (start, no, end, kind), none of them overlapping: the earlier start, then the earlier rule, wins."""
     empty = F.expr("cast(array() as array<struct<start:int, no:int, end:int, kind:string>>)")
-    every = F.array_sort(F.concat(*[F.coalesce(matches(text, r, i), empty) for i, r in enumerate(RULES)]))
+    every = F.array_sort(F.concat(*[F.coalesce(F.when(text.rlike(GUARDS[r.kind]), matches(text, r, i)), empty) for i, r in enumerate(RULES)]))
 
     def step(acc: Column, s: Column) -> Column:
         fits = s["start"] >= acc["at"]
@@ -143,7 +148,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     columns = [c for c in docs.columns if c not in ("pii_spans", "_key")]
     docs = docs.select(*columns)
-    any_rule = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(r.pattern) for r in RULES]), F.lit(False))
+    any_rule = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(GUARDS[r.kind]) & F.col("text").rlike(r.pattern) for r in RULES]), F.lit(False))
     empty = F.expr("cast(array() as array<struct<start:int, no:int, end:int, kind:string>>)")
     marked = docs.withColumn("_any", any_rule)
     hit = written(marked.filter("_any").drop("_any").withColumns({"pii_spans": found_spans(F.col("text")), "_key": F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "text"), 256)}), "with-entities")
