@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.operators import compare, filters, individual, ld, site, windows
+from locusframe.operators import compare, export, filters, individual, ld, records, sequence, sets, site, windows
 from locusframe.operators.filters import Filters
 from locusframe.plans import mapping
 from locusframe.plans.mapping import PRELUDE, SAMPLES
@@ -190,9 +190,9 @@ on_cohort("geno_chisq_p", lambda c: ld.genotype_chisq(c, 100))
 
 
 ACROSS = """, s AS (SELECT site_id, 0 AS rn FROM {src}), d AS ({rows}), j AS (SELECT a.chrom AS chrom_a, a.pos AS pos_a, b.chrom AS chrom_b, b.pos AS pos_b, a.site_id AS i, b.site_id AS k, a.x, b.x AS y FROM d a JOIN d b ON a.sample_id = b.sample_id AND a.chrom < b.chrom),
-  z AS (SELECT chrom_a, pos_a, chrom_b, pos_b, i, k, {sums} FROM j GROUP BY ALL) SELECT * FROM (SELECT chrom_a, pos_a, chrom_b, pos_b, {out} FROM z) WHERE r2 >= 0.2"""
-on_cohort("interchrom_geno_r2", lambda c: ld.genotype_r2_across(filters.apply(c, Filters(min_q=60.0)), 0.2), ACROSS.format(src="(SELECT * FROM bi WHERE qual >= 60)", rows=GENO, sums=SUMS, out=f"n AS n_indv, {R2} AS r2"))
-on_cohort("interchrom_hap_r2", lambda c: ld.haplotype_r2_across(filters.apply(c, Filters(min_q=60.0)), 0.2), ACROSS.format(src="(SELECT * FROM bi WHERE all_phased AND qual >= 60)", rows=HAPS, sums=SUMS, out=HAP))
+  z AS (SELECT chrom_a, pos_a, chrom_b, pos_b, i, k, {sums} FROM j GROUP BY ALL) SELECT * FROM (SELECT chrom_a, pos_a, chrom_b, pos_b, {out} FROM z) WHERE r2 >= 0.2037"""
+on_cohort("interchrom_geno_r2", lambda c: ld.genotype_r2_across(filters.apply(c, Filters(min_q=60.0)), 0.2037), ACROSS.format(src="(SELECT * FROM bi WHERE qual >= 60)", rows=GENO, sums=SUMS, out=f"n AS n_indv, {R2} AS r2"))
+on_cohort("interchrom_hap_r2", lambda c: ld.haplotype_r2_across(filters.apply(c, Filters(min_q=60.0)), 0.2037), ACROSS.format(src="(SELECT * FROM bi WHERE all_phased AND qual >= 60)", rows=HAPS, sums=SUMS, out=HAP))
 LISTED = """, s AS (SELECT site_id, 0 AS rn FROM {src}), d AS ({rows}), j AS (SELECT a.chrom, a.pos AS pos_a, b.pos AS pos_b, a.site_id AS i, b.site_id AS k, a.x, b.x AS y FROM d a JOIN d b ON a.sample_id = b.sample_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 400
     WHERE a.site_id % 50 = 0 AND b.site_id % 50 <> 0),
   z AS (SELECT chrom, pos_a, pos_b, i, k, {sums} FROM j GROUP BY ALL) SELECT chrom, pos_a, pos_b, {out} FROM z"""
@@ -281,3 +281,123 @@ on_cohort("kept_sites", lambda c: filters.apply(c, Filters(min_alleles=2, max_al
 on_cohort("removed_sites", lambda c: site.removed(c, filters.apply(c, Filters(min_alleles=2, max_alleles=2, maf=0.2))), f"SELECT chrom, pos FROM site WHERE NOT (len(alt) = 1 AND site_id IN ({FRQ} min(least(f, 1 - f)) >= 0.2))")
 on_cohort("keep_samples", lambda c: individual.depth(filters.remove_samples(filters.keep_samples(c, c.samples.filter("sample_idx < 12")), c.samples.filter("sample_idx % 5 = 0"))), "SELECT sample_id, count(dp) AS n_sites, round(sum(dp) / count(dp)::DOUBLE, 6) + 0.0 AS mean_depth FROM call WHERE sample_idx < 12 AND sample_idx % 5 <> 0 GROUP BY sample_id")
 on_cohort("max_samples", lambda c: filters.draw_samples(c, 5).samples)
+
+# several inputs
+THREE = """, i1 AS (SELECT * FROM site WHERE site_id % 7 <> 0), i2 AS (SELECT * FROM site WHERE site_id % 6 <> 0), i3 AS (SELECT * FROM site WHERE site_id % 4 <> 0),
+  u AS (SELECT *, 1 AS src, 10 AS w FROM i1 UNION ALL SELECT *, 2, 20 FROM i2 UNION ALL SELECT *, 3, 20 FROM i3)
+"""
+
+
+def _three(s: SparkSession, d: str) -> list:
+    c = mapping.cohort(s, d)
+    return [c.with_(sites=c.sites.filter(f"site_id % {m} <> 0")) for m in (7, 6, 4)]
+
+
+ISEC = """, p AS (SELECT chrom, pos, array_to_string(list_sort(list(DISTINCT src - 1)), ',') AS sf, count(DISTINCT src) AS n, min(src) AS first FROM u GROUP BY ALL)
+  SELECT u.chrom, u.pos, ref, array_to_string(alt, ',') AS alt, src, sf FROM u JOIN p ON u.chrom = p.chrom AND u.pos = p.pos WHERE src = first AND """
+query("isec_at_least", lambda s, d: sets.intersect(_three(s, d), least=2), THREE + ISEC + "n >= 2")
+query("isec_exactly", lambda s, d: sets.intersect(_three(s, d), exactly=2), THREE + ISEC + "n = 2")
+query("isec_at_most", lambda s, d: sets.intersect(_three(s, d), most=1, passed_only=True), THREE.replace("FROM i1", "FROM i1 WHERE len(filter) = 0 OR filter[1] = 'PASS'").replace("FROM i2", "FROM i2 WHERE len(filter) = 0 OR filter[1] = 'PASS'").replace("FROM i3", "FROM i3 WHERE len(filter) = 0 OR filter[1] = 'PASS'") + ISEC + "n <= 1")
+query("isec_window", lambda s, d: sets.intersect(_three(s, d), least=3, gap=5, first_only=True), THREE + """, l AS (SELECT *, CASE WHEN pos - lag(pos) OVER w > 5 OR lag(pos) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM u WINDOW w AS (PARTITION BY chrom ORDER BY pos, src)),
+  k AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY pos, src ROWS UNBOUNDED PRECEDING) AS cluster FROM l), p AS (SELECT chrom, cluster, array_to_string(list_sort(list(DISTINCT src - 1)), ',') AS sf, count(DISTINCT src) AS n FROM k GROUP BY ALL)
+  SELECT k.chrom, k.pos, ref, array_to_string(alt, ',') AS alt, src, sf FROM k JOIN p ON k.chrom = p.chrom AND k.cluster = p.cluster WHERE n >= 3 AND src = 1""")
+query("isec_complement", lambda s, d: sets.complement(_three(s, d)[0], _three(s, d)[1:]), THREE + "SELECT chrom, pos, ref, array_to_string(alt, ',') AS alt FROM i1 WHERE NOT EXISTS (SELECT 1 FROM i2 WHERE i2.chrom = i1.chrom AND i2.pos = i1.pos) AND NOT EXISTS (SELECT 1 FROM i3 WHERE i3.chrom = i1.chrom AND i3.pos = i1.pos)")
+query("compare_venn", lambda s, d: sets.venn(_three(s, d)), THREE + "SELECT files, count(*) AS n_sites FROM (SELECT chrom, pos, array_to_string(list_sort(list(DISTINCT src)), ',') AS files FROM u GROUP BY ALL) GROUP BY files")
+query("concat", lambda s, d: sets.concat(_three(s, d)).select("chrom", "pos", "ref", "src"), THREE + "SELECT chrom, pos, ref, src FROM u")
+query("merge", lambda s, d: sets.merge([mapping.first(s, d), mapping.second(s, d)]), """, u AS (SELECT *, 1 AS src FROM one UNION ALL SELECT *, 2 FROM two), lr AS (SELECT chrom, pos, arg_max(ref, length(ref) * 10 - src) AS mr FROM u GROUP BY ALL),
+  x AS (SELECT u.*, mr, list_transform(alt, lambda a: a || substr(mr, length(ref) + 1)) AS alts FROM u JOIN lr ON u.chrom = lr.chrom AND u.pos = lr.pos),
+  g AS (SELECT chrom, pos, mr, flatten(list(alts ORDER BY src)) AS al, flatten(list(filter ORDER BY src)) AS fl, avg(qual) AS qual, string_agg(CAST(src - 1 AS VARCHAR), ',' ORDER BY src) AS sf FROM x GROUP BY ALL)
+  SELECT chrom, pos, mr AS ref, array_to_string(list_filter(al, lambda v, i: list_position(al, v) = i), ',') AS alt, round(qual, 6) + 0.0 AS qual, array_to_string(list_sort(list_distinct(list_filter(fl, lambda f: f <> 'PASS'))), ';') AS filter, sf FROM g""")
+both("compare_genotypes", sets.genotype_agreement, """SELECT CASE WHEN i1 = 0 AND j1 = 0 THEN 'hom_RR' WHEN i1 = 0 OR j1 = 0 THEN 'het_RA' WHEN i1 = j1 THEN 'hom_AA' ELSE 'het_AA' END AS kind,
+  count_if(both_called AND equal) AS n_match, count_if(both_called AND NOT equal) AS n_mismatch, count_if(NOT both_called) AS n_lost FROM same WHERE x1 IS NOT NULL AND y1 IS NOT NULL GROUP BY 1""")
+
+# records
+query("annotate", lambda s, d: records.annotate(mapping.cohort(s, d), mapping.intervals(s, d), "GENE", "end").select("chrom", "pos", records.info_text(F.col("info")).alias("info")), """, v AS (SELECT site_id, array_to_string(list_sort(list(DISTINCT CAST(iv."end" AS VARCHAR))), ',') AS v FROM site JOIN iv ON iv.chrom = site.chrom AND iv.start < pos AND iv."end" >= pos GROUP BY site_id)
+  SELECT chrom, pos, CASE WHEN aa IS NULL AND NOT db AND v IS NULL THEN '.' ELSE concat_ws(';', 'AA=' || aa, CASE WHEN db THEN 'DB=1' END, 'GENE=' || v) END AS info FROM site LEFT JOIN v USING (site_id)""")
+on_cohort("fill_an_ac", records.fill_counts, "SELECT chrom, pos, any_value(n_called) AS an, coalesce(string_agg(CAST(count AS VARCHAR), ',' ORDER BY allele_idx) FILTER (allele_idx > 0), '') AS ac FROM allele GROUP BY site_id, chrom, pos")
+on_cohort("fill_hwe_icf", lambda c: records.fill_statistics(c).drop("hwe"), "SELECT chrom, pos, round(1 - h / nullif(2 * p * (1 - p) * n, 0), 6) + 0.0 AS icf FROM (SELECT *, r + h + a AS n, (2 * r + h) / (2.0::DOUBLE * (r + h + a)) AS p FROM bi WHERE r + h + a > 0)")
+TYPE = "CASE WHEN b = ref THEN 'r' WHEN length(b) = length(ref) THEN 's' WHEN starts_with(b, ref) OR starts_with(ref, b) OR ends_with(b, ref) OR ends_with(ref, b) THEN 'i' ELSE 'o' END"
+on_cohort("fill_type", records.fill_type, f"SELECT chrom, pos, ref, b AS alt, {TYPE} AS type FROM (SELECT *, unnest(alt) AS b FROM site)")
+on_cohort("named_filters", lambda c: records.named_filters(c.sites, {"LowQual": F.col("qual") < 40, "RefN": F.contains("ref", F.lit("N")), "Even": F.col("pos") % 2 == 0}).select("chrom", "pos", F.array_join("filter", ";").alias("filter")), """, x AS (SELECT chrom, pos, list_sort(list_distinct(list_concat(list_filter(filter, lambda f: f <> 'PASS'), CASE WHEN qual < 40 THEN ['LowQual'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN pos % 2 = 0 THEN ['Even'] ELSE CAST([] AS VARCHAR[]) END))) AS f FROM site)
+  SELECT chrom, pos, CASE WHEN len(f) = 0 THEN 'PASS' ELSE array_to_string(f, ';') END AS filter FROM x""")
+IND = "(length(ref) <> 1 OR len(list_filter(alt, lambda x: length(x) <> length(ref))) > 0) AND len(alt) > 0"
+SNP = "length(ref) = 1 AND len(alt) > 0 AND len(list_filter(alt, lambda x: length(x) <> 1)) = 0"
+on_cohort("snp_gap", lambda c: records.snp_gap(c, 10), f"SELECT chrom, pos FROM site s WHERE {SNP} AND EXISTS (SELECT 1 FROM (SELECT * FROM site WHERE {IND}) i WHERE i.chrom = s.chrom AND s.pos > i.pos - 11 AND s.pos <= i.pos + length(i.ref) - 1 + 10)")
+on_cohort("gap_window", lambda c: records.gap_window(c, 200), f""", af AS (SELECT site_id, max(count / greatest(n_called, 1)::DOUBLE) AS af FROM allele WHERE allele_idx > 0 GROUP BY site_id), i AS (SELECT * FROM site JOIN af USING (site_id) WHERE {IND}),
+  l AS (SELECT *, CASE WHEN pos - lag(pos) OVER w > 200 OR lag(pos) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM i WINDOW w AS (PARTITION BY chrom ORDER BY pos, site_id)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY pos, site_id) AS run FROM l)
+  SELECT chrom, pos FROM (SELECT *, row_number() OVER (PARTITION BY chrom, run ORDER BY af DESC, pos, site_id) AS k FROM r) WHERE k > 1""")
+on_cohort("snp_cluster", lambda c: records.snp_cluster(c, 3, 150), f""", s AS (SELECT *, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN CURRENT ROW AND 149 FOLLOWING) AS ahead FROM site WHERE {SNP}),
+  m AS (SELECT *, max(ahead) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 149 PRECEDING AND CURRENT ROW) AS most FROM s) SELECT chrom, pos FROM m WHERE most >= 3""")
+CARRY = ", car AS (SELECT site_id, a, count_if(sample_idx < 4) AS own, count_if(sample_idx >= 4) AS other FROM copies WHERE a > 0 GROUP BY ALL)\n"
+on_cohort("subset", lambda c: records.subset(c, c.samples.filter("sample_idx < 4"), exclude_reference=True, trim=True), CARRY + "SELECT s.chrom, s.pos, s.ref, array_to_string(list_transform(k, lambda i: s.alt[i]), ',') AS alt FROM site s JOIN (SELECT site_id, list_sort(list(a)) AS k FROM car WHERE own > 0 GROUP BY site_id) USING (site_id)")
+on_cohort("subset_private", lambda c: records.subset(c, c.samples.filter("sample_idx < 4"), private=True), CARRY + "SELECT chrom, pos, ref, array_to_string(alt, ',') AS alt FROM site WHERE site_id IN (SELECT site_id FROM car WHERE own > 0 AND other = 0)")
+on_cohort("subset_types", lambda c: records.subset(c, c.samples.filter("sample_idx < 4"), types=("i",)), f"SELECT chrom, pos, ref, array_to_string(alt, ',') AS alt FROM site WHERE site_id IN (SELECT site_id FROM (SELECT *, unnest(alt) AS b FROM site) WHERE {TYPE} = 'i')")
+on_cohort("contrast", lambda c: records.contrast(c, ["S00", "S01"], ["S02", "S03", "S04"], 10), """, x AS (SELECT c.site_id, c.a, c.sample_id, c.sample_idx FROM copies c JOIN call k USING (site_id, sample_id) WHERE k.dp >= 10 AND c.sample_idx < 5),
+  g AS (SELECT site_id, a, count_if(sample_idx > 1) AS n, array_to_string(list_sort(list(DISTINCT sample_id) FILTER (sample_idx <= 1)), ',') AS carriers FROM x GROUP BY ALL)
+  SELECT chrom, pos, coalesce(list_concat([ref], alt)[a + 1], '.') AS novel, carriers FROM g JOIN site USING (site_id) WHERE n = 0 AND carriers IS NOT NULL""")
+on_cohort("stats", records.summary, f""", x AS (SELECT *, CASE WHEN len(filter) = 0 THEN '.' ELSE array_to_string(filter, ';') END AS filter_text FROM site)
+  SELECT filter_text, count(*) AS n_sites, count_if({SNP}) AS n_snps, count_if({IND}) AS n_indels, count_if(len(alt) > 1) AS n_multi, count_if({SNP} AND ref || alt[1] IN ('AG', 'GA', 'CT', 'TC')) AS n_ts FROM x GROUP BY ROLLUP (filter_text)""")
+on_cohort("stats_samples", records.sample_summary, """, k AS (SELECT *, a1 > 0 OR coalesce(a2, 0) > 0 AS carries FROM call WHERE a1 IS NOT NULL), n AS (SELECT site_id, count(*) AS n FROM k WHERE carries GROUP BY site_id)
+  SELECT sample_id, count_if(carries) AS n_alt_sites, count_if(carries AND n = 1) AS n_private, count_if(carries AND a1 = a2) AS n_hom, count_if(a2 IS NOT NULL AND a1 <> a2) AS n_het, count_if(phased) AS n_phased FROM k LEFT JOIN n USING (site_id) GROUP BY sample_id""")
+on_cohort("tstv", records.ts_tv, """, x AS (SELECT *, len(alt) > 0 AND length(ref) = 1 AND length(alt[1]) = 1 AND ref <> alt[1] AS base, ref || alt[1] IN ('AG', 'GA', 'CT', 'TC') AS ts FROM site)
+  SELECT *, round(n_ts / nullif(n_tv, 0)::DOUBLE, 6) + 0.0 AS ts_tv FROM (SELECT count_if(base AND ts) AS n_ts, count_if(base AND NOT ts) AS n_tv, count(*) AS n_total, count_if(NOT coalesce(base, false)) AS n_skipped, count_if(len(alt) > 1) AS n_multi FROM x)""")
+query("indel_stats", lambda s, d: records.indel_frames(mapping.cohort(s, d), mapping.intervals(s, d)), """, x AS (SELECT *, length(alt[1]) - length(ref) AS l, EXISTS (SELECT 1 FROM iv WHERE iv.chrom = site.chrom AND iv.start < pos AND iv."end" >= pos) AS exonic FROM site WHERE len(alt) > 0)
+  SELECT exonic, count(*) AS n_indels, count_if(l % 3 = 0) AS n_inframe, count_if(l % 3 <> 0) AS n_frameshift FROM x WHERE l <> 0 GROUP BY exonic""")
+query("fix_ploidy", lambda s, d: records.fix_ploidy(c := mapping.cohort(s, d), mapping.intervals(s, d).withColumns({"sex": F.lit("M"), "ploidy": F.lit(1)}), c.samples.selectExpr("sample_id", "CASE WHEN sample_idx % 2 = 0 THEN 'M' ELSE 'F' END AS sex")).drop("site_id").groupBy("sample_id", "ploidy").agg(F.count("*").alias("n"), F.count("a2").alias("n_second")), """, h AS (SELECT site_id FROM site WHERE EXISTS (SELECT 1 FROM iv WHERE iv.chrom = site.chrom AND iv.start < pos AND iv."end" >= pos)),
+  x AS (SELECT c.*, h.site_id IS NOT NULL AND sample_idx % 2 = 0 AS cut FROM call c LEFT JOIN h USING (site_id)) SELECT sample_id, CASE WHEN cut THEN 1 ELSE ploidy END AS ploidy, count(*) AS n, count(CASE WHEN NOT cut THEN a2 END) AS n_second FROM x GROUP BY 1, 2""")
+on_cohort("validate", lambda c: records.validate(c, {"AA"}, {"q10"}).groupBy("rule").count().withColumnRenamed("count", "n"), """, o AS (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY site_id) AS was FROM site),
+  z AS (SELECT 'unsorted' AS rule FROM o WHERE pos < was UNION ALL SELECT 'duplicate' FROM o WHERE pos = was UNION ALL SELECT 'alt_is_ref' FROM (SELECT ref, unnest(alt) AS b FROM site) WHERE ref = b
+    UNION ALL SELECT 'undeclared_info' FROM site WHERE db UNION ALL SELECT 'undeclared_filter' FROM (SELECT unnest(filter) AS f FROM site) WHERE f NOT IN ('PASS', 'q10') UNION ALL SELECT 'no_such_allele' FROM call JOIN site USING (site_id) WHERE a1 > len(alt) OR a2 > len(alt))
+  SELECT rule, count(*) AS n FROM z GROUP BY rule""")
+
+
+def _halves(s: SparkSession, d: str) -> tuple:
+    out = []
+    for c, low, high in ((mapping.first(s, d), 0, 1200), (mapping.second(s, d), 800, 10**9)):
+        rows = c.calls.filter("phased and a1 is not null and a2 is not null").join(c.sites.select("site_id", "chrom", "pos"), "site_id")
+        out.append(rows.filter(f"site_id between {low} and {high}").select("sample_id", "chrom", "pos", "a1", "a2"))
+    return tuple(out)
+
+
+query("phased_join", lambda s, d: records.phased_join(*_halves(s, d)))
+on_cohort("sort", lambda c: c.sites.orderBy(*sets.natural_order("chrom"), "pos").select("chrom", "pos", "ref"), "SELECT chrom, pos, ref FROM site")
+
+# conversions
+CALLS = "string_agg({}, '{}' ORDER BY sample_idx)"
+GT = "CASE WHEN ploidy = 1 THEN coalesce(CAST(a1 AS VARCHAR), '.') ELSE coalesce(CAST(a1 AS VARCHAR), '.') || CASE WHEN phased THEN '|' ELSE '/' END || coalesce(CAST(a2 AS VARCHAR), '.') END"
+on_cohort("recode", lambda c: export.recode(c, ["AA"]).drop("qual"), f""", k AS (SELECT site_id, {CALLS.format(f"{GT} || ':' || coalesce(CAST(CAST(gq AS INT) AS VARCHAR), '.') || ':' || coalesce(CAST(dp AS VARCHAR), '.')", chr(9))} AS calls FROM call GROUP BY site_id)
+  SELECT chrom, pos, coalesce(id, '.') AS id, ref, alt_text AS alt, CASE WHEN len(filter) = 0 THEN '.' ELSE array_to_string(filter, ';') END AS filter, coalesce('AA=' || aa, '.') AS info, 'GT:GQ:DP' AS format, calls FROM site JOIN k USING (site_id)""")
+BASE = "coalesce(CASE WHEN {0} IS NOT NULL THEN coalesce(list_concat([ref], alt)[{0} + 1], '.') END, '0')"
+TWO = BASE.format("a1") + " || ' ' || " + BASE.format("CASE WHEN ploidy = 1 THEN a1 ELSE a2 END")
+on_cohort("plink_map", lambda c: export.plink_map(c).drop("site_id"), "SELECT substr(chrom, 4) AS chrom, coalesce(id, chrom || ':' || pos) AS id, 0 AS cm, pos FROM site WHERE len(alt) <= 1")
+on_cohort("plink_tped", export.plink_tped, f""", k AS (SELECT c.site_id, {CALLS.format(TWO, " ")} AS genotypes FROM call c JOIN site USING (site_id) GROUP BY c.site_id) SELECT substr(chrom, 4) AS chrom, coalesce(id, chrom || ':' || pos) AS id, 0 AS cm, pos, genotypes FROM site JOIN k USING (site_id) WHERE len(alt) <= 1""")
+on_cohort("plink_ped", export.plink_ped, f"SELECT sample_id, string_agg({TWO}, ' ' ORDER BY c.site_id) AS genotypes FROM call c JOIN site USING (site_id) WHERE len(alt) <= 1 GROUP BY sample_id")
+on_cohort("matrix_012", export.matrix_012, """SELECT sample_id, string_agg(CASE WHEN a1 IS NULL AND a2 IS NULL THEN '-1' WHEN a1 = 0 AND coalesce(a2, 0) = 0 AND (ploidy = 1 OR a2 IS NOT NULL) THEN '0' WHEN a1 = 1 AND (a2 = 1 OR ploidy = 1) THEN '2' ELSE '1' END, chr(9) ORDER BY c.site_id) AS genotypes
+  FROM call c JOIN site USING (site_id) WHERE len(alt) = 1 GROUP BY sample_id""")
+query("impute", lambda s, d: export.impute(filters.keep_samples(c := mapping.cohort(s, d), c.samples.filter("sample_idx < 4"))), """, k AS (SELECT site_id, string_agg(a1 || ' ' || a2, ' ' ORDER BY sample_idx) AS haplotypes FROM call WHERE sample_idx < 4 GROUP BY site_id HAVING bool_and(phased AND a1 IS NOT NULL AND a2 IS NOT NULL))
+  SELECT coalesce(id, chrom || ':' || pos) AS id, pos, ref AS allele0, alt[1] AS allele1, haplotypes FROM site JOIN k USING (site_id) WHERE len(alt) = 1""")
+PHASED2 = "(SELECT c.site_id, sample_id, 1 AS copy, a1 AS a FROM call c UNION ALL SELECT c.site_id, sample_id, 2, a2 FROM call c)"
+on_cohort("ldhat", lambda c: export.haplotype_strings(c, "chr2"), f"SELECT sample_id, copy, string_agg(coalesce(CAST(k.a AS VARCHAR), '?'), '' ORDER BY k.site_id) AS sequence FROM {PHASED2} k JOIN bi USING (site_id) WHERE chrom = 'chr2' AND all_phased GROUP BY ALL")
+on_cohort("ldhelmet", lambda c: export.haplotype_strings(c, "chr2", bases=True), f"SELECT sample_id, copy, string_agg(CASE WHEN k.a IS NULL THEN 'N' ELSE coalesce(list_concat([ref], alt)[k.a + 1], '.') END, '' ORDER BY k.site_id) AS sequence FROM {PHASED2} k JOIN bi USING (site_id) WHERE chrom = 'chr2' AND all_phased GROUP BY ALL")
+on_cohort("ldhat_geno", lambda c: export.genotype_strings(c, "chr3"), "SELECT sample_id, string_agg(CASE WHEN a1 IS NULL OR a2 IS NULL THEN '?' WHEN a1 <> a2 THEN '2' WHEN a1 = 0 THEN '0' ELSE '1' END, '' ORDER BY c.site_id) AS sequence FROM call c JOIN bi USING (site_id) WHERE bi.chrom = 'chr3' GROUP BY sample_id")
+on_cohort("ldhat_loci", lambda c: export.loci(c, "chr2"), "SELECT pos, format('{:.4f}', pos / 1000.0::DOUBLE) AS kb FROM bi WHERE chrom = 'chr2' AND all_phased")
+on_cohort("get_info", lambda c: export.get_info(c, ["AA", "DB"]), "SELECT chrom, pos, ref, array_to_string(alt, ',') AS alt, coalesce(aa, '?') AS \"AA\", CASE WHEN db THEN '1' ELSE '?' END AS \"DB\" FROM site")
+on_cohort("extract_format", lambda c: export.format_field(c, F.col("dp"), SAMPLES), "SELECT chrom, pos, " + ", ".join(f"max(CASE WHEN sample_id = '{s}' THEN dp END) AS {s}" for s in SAMPLES) + " FROM call GROUP BY chrom, pos HAVING count(dp) > 0")
+DECODED = "CASE WHEN {0} IS NULL THEN '.' ELSE coalesce(list_concat([ref], alt)[{0} + 1], '.') END"
+DECODE = f"CASE WHEN ploidy = 1 THEN {DECODED.format('a1')} ELSE {DECODED.format('a1')} || CASE WHEN phased THEN '|' ELSE '/' END || {DECODED.format('a2')} END"
+on_cohort("to_tab", export.to_tab, f"SELECT s.chrom, s.pos, s.ref, {CALLS.format(DECODE, chr(9))} AS calls FROM call c JOIN site s USING (site_id) GROUP BY s.site_id, s.chrom, s.pos, s.ref")
+on_cohort("query_template", lambda c: export.template(c, "%CHROM:%POS %REF/%ALT AA=%INFO/AA[ %SAMPLE=%GTR]"), f"SELECT s.chrom, s.pos, s.chrom || ':' || s.pos || ' ' || s.ref || '/' || alt_text || ' AA=' || coalesce(aa, '.') || string_agg(' ' || sample_id || '=' || {GT}, '' ORDER BY sample_idx) AS line FROM call c JOIN site s USING (site_id) GROUP BY s.site_id, s.chrom, s.pos, s.ref, alt_text, aa")
+
+
+def _reference(s: SparkSession) -> DataFrame:
+    """A made-up reference: every chunk of 60 bases follows from its number."""
+    rows = s.range(0, 5 * 700).selectExpr("concat('chr', id % 5 + 1) AS chrom", "cast(id div 5 AS int) AS k")
+    return rows.selectExpr("chrom", "k * 60 + 1 AS start", "array_join(transform(sequence(1, 60), i -> substr('ACGT', cast((k * 60 + i) * 7 % 11 % 4 + 1 AS int), 1)), '') AS seq")
+
+
+AT = "substr('ACGT', CAST(({}) * 7 % 11 % 4 + 1 AS INT), 1)"
+query("fill_aa", lambda s, d: sequence.ancestral(mapping.cohort(s, d), _reference(s)), f"SELECT chrom, pos, CASE WHEN pos <= 42000 THEN {AT.format('pos')} ELSE 'N' END AS aa FROM site")
+query("fill_fs", lambda s, d: sequence.flanks(filters.apply(mapping.cohort(s, d), Filters(chrom=("chr2",), from_bp=20, to_bp=30000)), _reference(s), 10), f"""SELECT chrom, pos, array_to_string(list_transform(range(pos - 10, pos), lambda i: {AT.format('i')}), '') || '[' || ref || '/' || array_to_string(alt, ',') || ']' || array_to_string(list_transform(range(pos + 1, pos + 11), lambda i: {AT.format('i')}), '') AS flank
+  FROM site WHERE chrom = 'chr2' AND pos BETWEEN 20 AND 30000""")
+query("fill_ref_md5", lambda s, d: sequence.digests(_reference(s)), f"SELECT 'chr' || c AS chrom, md5(array_to_string(list_transform(range(1, 42001), lambda i: {AT.format('i')}), '')) AS md5, 42000::BIGINT AS length FROM (SELECT unnest([1, 2, 3, 4, 5]) AS c)", prelude=False)
+query("consensus", lambda s, d: sequence.consensus(mapping.cohort(s, d), _reference(s), "S01"))
