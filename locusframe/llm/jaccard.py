@@ -47,7 +47,7 @@ def least_common(n: int | np.ndarray | Column):
 
 def asked(n):
     """T: elements of the prefix that a partner shares."""
-    return max(1, n // 16) if not isinstance(n, Column) else F.greatest(F.lit(1), F.floor(n / 16))
+    return max(1, n // 5) if not isinstance(n, Column) else F.greatest(F.lit(1), F.floor(n / 5))
 
 
 def prefix(n):
@@ -97,20 +97,18 @@ def elements(docs: DataFrame) -> DataFrame:
 
 
 def regions(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(element, set_id): who is in the region of which element."""
+    """(element, set_id, n_shingles): who is in the region of which element."""
     of = Window.partitionBy("element")
-    rows = elements(docs).withColumns({"low": F.min("set_id").over(of), "high": F.max("set_id").over(of), "uses": F.count("*").over(of)})
-    rows = rows.withColumn("shared", (F.col("low") != F.col("high")).cast("int")).drop("low", "high")
-    # several tasks may have sent a set, each all of its prefix, so shares of the prefix are compared
+    rows = elements(docs).withColumns({"low": F.min("set_id").over(of), "high": F.max("set_id").over(of), "uses": F.count("*").over(of), "before": F.lag("set_id").over(of.orderBy("set_id"))})
+    # several tasks may have sent a set; only what is shared goes on to the next shuffle
+    rows = rows.filter((F.col("low") != F.col("high")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("element", "set_id", "uses")
     own = Window.partitionBy("set_id")
-    rows = rows.withColumns({"held": F.sum("shared").over(own), "sent": F.count("*").over(own)}).filter("shared = 1")
+    rows = rows.withColumns({"held": F.count("*").over(own), "place": F.row_number().over(own.orderBy("uses", "element"))})
     rows = rows.join(sets.select("set_id", "n_shingles"), "set_id")
-    n = F.col("n_shingles")
-    rows = rows.filter(F.col("held") * prefix(n) >= asked(n) * F.col("sent"))
-    rows = rows.withColumn("place", F.dense_rank().over(own.orderBy("uses", "element")))
-    # of held / sent * prefix shared elements, all but T - 1
-    rows = rows.filter(F.col("place") <= F.col("held") * prefix(n) / F.col("sent") - asked(n) + 1)
-    return rows.select("element", "set_id").distinct()
+    # of the shared elements, all but the T - 1 most frequent
+    least = asked(F.col("n_shingles"))
+    rows = rows.filter((F.col("held") >= least) & (F.col("place") <= F.col("held") - least + 1))
+    return rows.select("element", "set_id", "n_shingles")
 
 
 def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -154,12 +152,14 @@ def components(edges: DataFrame, start: DataFrame | None = None, rounds: int = 1
 
 
 def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """members: (element, set_id), the regions.  (set_id, label) for every set with a link: equal labels are connected."""
+    """members: (element, set_id, n_shingles), the regions.  (set_id, label) for every set with a link: equal labels are
+    connected.  Pairs whose sizes rule a link out, and pairs compared in an earlier round, are left out."""
     spark = members.sparkSession
     members = written(members.withColumn("away", F.lit(None).cast("double")), "members")
     links, labels, n = None, spark.createDataFrame([], "node long, label long"), 0
+    compared = spark.createDataFrame([], "low long, high long")
     while True:
-        named = members.join(labels, F.col("set_id") == F.col("node"), "left").select("element", "set_id", "away", F.coalesce("label", "set_id").alias("label"))
+        named = members.join(labels, F.col("set_id") == F.col("node"), "left").select("element", "set_id", "n_shingles", "away", F.coalesce("label", "set_id").alias("label"))
         named = written(named, "named")
         open_ = written(named.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("element"), "open")
         if open_.isEmpty():
@@ -167,21 +167,27 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
         named = written(named.join(open_, "element", "left_semi"), "named") if n else named.join(open_, "element", "left_semi")
         # up to 2 ** n pivots of a region; the priority depends on the set alone, so regions of one group share pivots
         part, priority = F.pmod(F.xxhash64("set_id"), F.lit(2**n)), F.xxhash64("set_id", F.lit(n))
-        pivots = named.groupBy("element", part.alias("part")).agg(F.min(F.struct(priority.alias("p"), "set_id", "label", "away")).alias("pivot"))
-        pivots = written(pivots.select("element", "pivot.set_id", "pivot.label", "pivot.away"), "pivots")
-        ahead = pivots.select("element", F.col("set_id").alias("pivot"), F.col("label").alias("pivot_label"), F.col("away").alias("pivot_away"))
+        pivots = named.groupBy("element", part.alias("part")).agg(F.min(F.struct(priority.alias("p"), "set_id", "label", "n_shingles", "away")).alias("pivot"))
+        pivots = written(pivots.select("element", "pivot.set_id", "pivot.label", "pivot.n_shingles", "pivot.away"), "pivots")
+        ahead = pivots.select("element", F.col("set_id").alias("pivot"), F.col("label").alias("pivot_label"), F.col("n_shingles").alias("pivot_n"), F.col("away").alias("pivot_away"))
         window = F.coalesce(F.abs(F.col("away") - F.col("pivot_away")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-        pairs = named.join(ahead, "element").filter((F.col("label") != F.col("pivot_label")) & window).select("set_id", "pivot").distinct()
-        found = written(distances(written(pairs, "pairs"), texts), "distances")
+        sized = F.least("n_shingles", "pivot_n") * 100 >= F.greatest("n_shingles", "pivot_n") * PERCENT
+        asked_for = (F.col("label") != F.col("pivot_label")) & window
+        # in the first round distances to pivots serve the window too, whatever the sizes
+        pairs = named.join(ahead, "element").filter(asked_for & sized if n else asked_for).select(F.least("set_id", "pivot").alias("low"), F.greatest("set_id", "pivot").alias("high")).distinct()
+        pairs = written(pairs.join(compared, ["low", "high"], "left_anti") if n else pairs, "pairs")
+        compared = written(compared.union(pairs), "compared")
+        found = written(distances(pairs.select(F.col("high").alias("set_id"), F.col("low").alias("pivot")), texts), "distances")
         new = found.filter(F.col("common") * 100 >= F.col("whole") * PERCENT).select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
         links = written(new if links is None else links.union(new), "links")
         labels = components(links)
         rest = named.join(pivots.select("element", "set_id"), ["element", "set_id"], "left_anti")
         if n == 0:
-            d = found.select("set_id", "pivot", (1 - F.col("common") / F.col("whole")).alias("d"))
-            rest = rest.drop("away").join(ahead.select("element", "pivot"), "element").join(d, ["set_id", "pivot"], "left").select("element", "set_id", F.col("d").alias("away"))
+            d = found.select(F.col("pivot").alias("low"), F.col("set_id").alias("high"), (1 - F.col("common") / F.col("whole")).alias("d"))
+            rest = rest.drop("away").join(ahead.select("element", "pivot"), "element").withColumns({"low": F.least("set_id", "pivot"), "high": F.greatest("set_id", "pivot")})
+            rest = rest.join(d, ["low", "high"], "left").select("element", "set_id", "n_shingles", F.col("d").alias("away"))
         else:
-            rest = rest.select("element", "set_id", "away")
+            rest = rest.select("element", "set_id", "n_shingles", "away")
         members, n = written(rest, "members"), n + 1
     return labels.select(F.col("node").alias("set_id"), "label")
 
