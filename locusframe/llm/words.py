@@ -24,19 +24,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes hashed at once; a longer text is hashed alone.
+AT_ONCE = 2_000_000
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n - 1 of the base and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for i, x in enumerate((_BASE, _INVERSE)):
+            p = np.full(n, x)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of the texts in order, number of words of each text)."""
+    done, at = [], 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= AT_ONCE:
+            size += len(texts[end])
+            end += 1
+        done.append(_hashed(texts[at:end]))
+        at = end
+    if not done:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in done]), np.concatenate([n for _, n in done])
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    space = _SPACE[raw]
-    inside = np.concatenate([[False], ~space])
+    inside = np.concatenate([[False], ~_SPACE[raw]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    powers, back = np.full(len(raw), _BASE), np.full(len(raw), _INVERSE)
-    powers[0] = back[0] = 1
-    np.cumprod(powers, out=powers)
-    np.cumprod(back, out=back)
+    powers, back = _powers(len(raw))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * powers)])
     hashes = mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
     bounds = np.cumsum([len(t) + 1 for t in texts])
