@@ -5,8 +5,8 @@ them apart.  So regions are formed where documents share shingles at all: all do
 its pivot the member with the lowest priority, and every member's exact distance to the pivot is computed.  Members
 within the limit are linked to it.  Whoever is left is compared in the next round, around new pivots of the same region,
 with those documents alone whose distance to the first pivot differs by no more than the limit (the triangle inequality
-leaves no other partner), until each region is one component or all its members have been pivots.  Pivots double from
-round to round.  Pairs that are known to be connected need no comparison.
+leaves no other partner), until each region is one component or all its members have been pivots.  A round has eight times
+the pivots of the one before.  Pairs that are known to be connected need no comparison.
 
 Which shingles form regions follows from the limit: two sets with 100 * intersection >= 75 * union share at least T of
 the elements that each has among its first by hash (``prefix``).  A document of whose prefix fewer than T elements occur
@@ -164,9 +164,9 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
         open_ = written(named.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("element"), "open")
         if open_.isEmpty():
             break
-        named = written(named.join(open_, "element", "left_semi"), "named") if n else named.join(open_, "element", "left_semi")
-        # up to 2 ** n pivots of a region; the priority depends on the set alone, so regions of one group share pivots
-        part, priority = F.pmod(F.xxhash64("set_id"), F.lit(2**n)), F.xxhash64("set_id", F.lit(n))
+        named = named.join(open_, "element", "left_semi")
+        # up to 8 ** n pivots of a region; the priority depends on the set alone, so regions of one group share pivots
+        part, priority = F.pmod(F.xxhash64("set_id"), F.lit(8**n)), F.xxhash64("set_id", F.lit(n))
         pivots = named.groupBy("element", part.alias("part")).agg(F.min(F.struct(priority.alias("p"), "set_id", "label", "n_shingles", "away")).alias("pivot"))
         pivots = written(pivots.select("element", "pivot.set_id", "pivot.label", "pivot.n_shingles", "pivot.away"), "pivots")
         ahead = pivots.select("element", F.col("set_id").alias("pivot"), F.col("label").alias("pivot_label"), F.col("n_shingles").alias("pivot_n"), F.col("away").alias("pivot_away"))
@@ -179,8 +179,10 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
         compared = written(compared.union(pairs), "compared")
         found = written(distances(pairs.select(F.col("high").alias("set_id"), F.col("low").alias("pivot")), texts), "distances")
         new = found.filter(F.col("common") * 100 >= F.col("whole") * PERCENT).select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
-        links = written(new if links is None else links.union(new), "links")
-        labels = components(links)
+        new = written(new, "links")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            labels = components(links)
         rest = named.join(pivots.select("element", "set_id"), ["element", "set_id"], "left_anti")
         if n == 0:
             d = found.select(F.col("pivot").alias("low"), F.col("set_id").alias("high"), (1 - F.col("common") / F.col("whole")).alias("d"))
