@@ -5,7 +5,7 @@ them apart.  So regions are formed where documents share shingles at all: all do
 its pivot the member with the lowest priority, and every member's exact distance to the pivot is computed.  Members
 within the limit are linked to it.  Whoever is left is compared in the next round, around new pivots of the same region,
 with those documents alone whose distance to the first pivot differs by no more than the limit (the triangle inequality
-leaves no other partner), until each region is one component or all its members have been pivots.  A round has eight times
+leaves no other partner), until each region is one component or all its members have been pivots.  A round has four times
 the pivots of the one before.  Pairs that are known to be connected need no comparison.
 
 Which shingles form regions follows from the limit: two sets with 100 * intersection >= 75 * union share at least T of
@@ -47,7 +47,7 @@ def least_common(n: int | np.ndarray | Column):
 
 def asked(n):
     """T: elements of the prefix that a partner shares."""
-    return max(1, n // 5) if not isinstance(n, Column) else F.greatest(F.lit(1), F.floor(n / 5))
+    return max(1, n // 4) if not isinstance(n, Column) else F.greatest(F.lit(1), F.floor(n / 4))
 
 
 def prefix(n):
@@ -99,12 +99,15 @@ def elements(docs: DataFrame) -> DataFrame:
 def regions(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(element, set_id, n_shingles): who is in the region of which element."""
     of = Window.partitionBy("element")
-    rows = elements(docs).withColumns({"low": F.min("set_id").over(of), "high": F.max("set_id").over(of), "uses": F.count("*").over(of), "before": F.lag("set_id").over(of.orderBy("set_id"))})
+    rows = elements(docs).withColumns({"low": F.min("set_id").over(of), "high": F.max("set_id").over(of), "before": F.lag("set_id").over(of.orderBy("set_id"))})
     # several tasks may have sent a set; only what is shared goes on to the next shuffle
-    rows = rows.filter((F.col("low") != F.col("high")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("element", "set_id", "uses")
+    rows = rows.filter((F.col("low") != F.col("high")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("element", "set_id")
     own = Window.partitionBy("set_id")
+    rows = rows.withColumn("held", F.count("*").over(own)).join(sets.select("set_id", "n_shingles"), "set_id")
+    rows = written(rows.filter(F.col("held") >= asked(F.col("n_shingles"))).select("element", "set_id", "n_shingles"), "shared")
+    # what is shared only with sets that have no partner doesn't count
+    rows = rows.withColumns({"low": F.min("set_id").over(of), "high": F.max("set_id").over(of), "uses": F.count("*").over(of)}).filter("low <> high")
     rows = rows.withColumns({"held": F.count("*").over(own), "place": F.row_number().over(own.orderBy("uses", "element"))})
-    rows = rows.join(sets.select("set_id", "n_shingles"), "set_id")
     # of the shared elements, all but the T - 1 most frequent
     least = asked(F.col("n_shingles"))
     rows = rows.filter((F.col("held") >= least) & (F.col("place") <= F.col("held") - least + 1))
@@ -165,8 +168,8 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
         named = named.join(open_, "element", "left_semi")
-        # up to 8 ** n pivots of a region; the priority depends on the set alone, so regions of one group share pivots
-        part, priority = F.pmod(F.xxhash64("set_id"), F.lit(8**n)), F.xxhash64("set_id", F.lit(n))
+        # up to 4 ** n pivots of a region; the priority depends on the set alone, so regions of one group share pivots
+        part, priority = F.pmod(F.xxhash64("set_id"), F.lit(4**n)), F.xxhash64("set_id", F.lit(n))
         pivots = named.groupBy("element", part.alias("part")).agg(F.min(F.struct(priority.alias("p"), "set_id", "label", "n_shingles", "away")).alias("pivot"))
         pivots = written(pivots.select("element", "pivot.set_id", "pivot.label", "pivot.n_shingles", "pivot.away"), "pivots")
         ahead = pivots.select("element", F.col("set_id").alias("pivot"), F.col("label").alias("pivot_label"), F.col("n_shingles").alias("pivot_n"), F.col("away").alias("pivot_away"))
