@@ -69,9 +69,10 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shingle_hashes(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     """Each text's sorted distinct hashes of runs of ``width`` words; of all its words as one run, if they are fewer."""
     words, n = word_hashes(texts)
-    run = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    runs = max(0, len(words) - width + 1)
+    run = np.zeros(runs, np.uint64)
     for k in range(width):
-        run = mix(run * _BASE + words[k : len(words) - width + 1 + k])
+        run = mix(run * _BASE + words[k : k + runs])
     out, at = [], 0
     for count in n.tolist():
         if count >= width:
