@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -42,3 +43,17 @@ def hash_sample(df: DataFrame, key: list[Column | str], rows: int) -> DataFrame:
     send only what they find under the bound, so the driver gets a bounded sample from any number of tasks."""
     share = min(1.0, rows / max(1, df.count()))
     return df.filter(F.pmod(F.xxhash64(*key), F.lit(2**40)) < int(share * 2**40)).limit(2 * rows)
+
+
+def keeps_columns(stage):
+    """For a pipeline stage: further columns of its documents have neutral names while it runs, so that none of them can
+    clash with those it makes, and come back under their own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = ("doc_id", "text", "lang", "source", "n_chars")
+        names = {c: c if c in own else f"extra{i}__" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return run

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table, written
+from locusframe.llm.common import keeps_columns, table, written
 from locusframe.llm.words import shingle_hashes
 
 WIDTH = 5
@@ -219,6 +219,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+@keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component, the row with the smallest doc_id stays; among rows that share it, the one with
     the smallest text.  Documents without a word are in no component and stay."""

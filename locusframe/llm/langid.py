@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table
+from locusframe.llm.common import keeps_columns, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -176,6 +176,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a letter and those whose best language scores under ``KEEP`` go."""
     found = predict(docs, *learned(docs), names=("_lang_pred", "_lang_score"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import n_words, table, written
+from locusframe.llm.common import keeps_columns, n_words, table, written
 
 #: Times a source may be repeated at most.
 MAX_REPEATS = 3
@@ -112,6 +112,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("position", 9).alias("position"))
 
 
+@keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a row for each pass over a document, whole, so the document that reaches a target counts fully;
     documents that are not taken go; those without a word take nothing and stay once."""

@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table
+from locusframe.llm.common import keeps_columns, table
 
 
 @dataclass(frozen=True)
@@ -161,6 +161,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("secret_spans")).alias("spans"))
 
 
+@keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each secret is replaced by its kind in angle brackets; where spans overlap, their union is replaced
     under the kind of the first.  All documents stay."""
