@@ -198,7 +198,11 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text).  row (a hash of doc_id and text), doc_id, n_shingles and component_id, a row a document."""
+    """docs: (doc_id, text).  row (a hash of doc_id and text), doc_id, n_shingles, class_id and component_id, a row a document.
+
+    class_id names the class of linked documents (the smallest set_id in it; null without a word).  component_id, its
+    smallest doc_id, doesn't: unrelated documents can share a doc_id or have none.
+    """
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     listed = written(outline(docs), "outline")
     sets = written(listed.filter("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("smallest"), F.min("row").alias("row")), "sets")
@@ -209,10 +213,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a set's component: the smallest doc_id of all its sets
     named = sets.select("set_id", "smallest").join(linked, "set_id")
     least = written(named.groupBy("label").agg(F.min("smallest").alias("component_id")), "least")
-    named = written(written(named, "linked").join(least, "label").select("set_id", "component_id"), "components")
-    own = written(sets.join(named, "set_id", "left").select("set_id", F.coalesce("component_id", "smallest").alias("component_id")), "set-components")
+    named = written(written(named, "linked").join(least, "label").select("set_id", "label", "component_id"), "components")
+    own = written(sets.join(named, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("class_id"), F.coalesce("component_id", "smallest").alias("component_id")), "set-components")
     out = listed.join(own, "set_id", "left")
-    return out.select("row", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("row", "doc_id", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,10 +225,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the row with the smallest doc_id stays; among rows that share it, the one with
-    the smallest text.  Documents without a word are in no component and stay."""
+    """Pipeline stage: of each class of linked documents, the row with the smallest doc_id stays; among rows that share it, the one with
+    the smallest text.  Documents without a word are in no class and stay."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
+    kept = found.filter("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
     kept = kept.select(F.col("k.row").alias("_row"))
     wordless = found.filter("n_shingles = 0").select(F.col("row").alias("_row"))
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))

@@ -251,6 +251,15 @@ def test_join_equals_brute_force(spark):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_stage_keeps_unrelated_documents_without_or_with_one_id(spark):
+    from tests.llm.conftest import DOCS, prose
+
+    one, two, three, four = (f"{w} " + prose(seed, 60) for seed, w in ((1, "a"), (2, "b"), (5, "c"), (9, "d")))
+    rows = [(None, one, "en", "a", 1), (None, two, "en", "a", 1), (None, two + " more", "en", "a", 1), (7, three, "en", "a", 1), (7, four, "en", "a", 1), (8, four, "en", "a", 1)]
+    got = jaccard.stage(spark, spark.createDataFrame(rows, DOCS), None).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "a"), (0, "b"), (7, "c"), (7, "d")]
+
+
 def test_words_are_split_and_folded():
     h, n = word_hashes([b"A b\tc", b"", b" a\x0bB  "])
     assert n.tolist() == [3, 0, 2] and h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
