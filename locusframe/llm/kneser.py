@@ -1,10 +1,11 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of n-grams of code points, trained on trusted text.
 
-Characters map to 40 symbols (letters by name, case, accents, digits, spaces, punctuation by kind), so a model of order 4
-has at most 40^4 n-grams whatever the corpus.  Tasks count them over every trusted document, the counts meet by n-gram in
-a sharded aggregate, and continuation counts, discounts and backoff weights of all orders follow from that table.  The
-finished table (10 MB by construction) goes to the tasks that give each document's perplexity.  A document is kept if its
-perplexity is within the quantile of the trusted documents of its language.
+Characters are taken as they are, in any script, so the number of n-grams grows with the corpus.  Tasks count them by
+blocks of trusted texts, the counts meet by n-gram in an aggregate, and continuation counts, discounts, probabilities and
+backoff weights of all orders are tables keyed by n-gram; the driver gets eight counts an order.  The documents to be
+scored are packed into blocks; the distinct n-grams of a block are joined with the model by n-gram and what is found
+goes back to the block, where each document gets its perplexity.  A document is kept if its perplexity is within the
+quantile of the trusted documents of its language.
 
 Nulls and odd cases: a null or empty text has no perplexity and is not kept; a null lang is a language of its own; a
 language without trusted documents takes the threshold over all trusted ones, and without any all texts are kept; a null
@@ -18,12 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import table, written
 
 ORDER = 4
+#: Characters of a block, unless a single text is longer.
+BLOCK = 4_000_000
+#: Symbols of the dense form below, which no query uses: a model whose n-grams are few whatever the text.
 SYMBOLS = 40
 #: Share of a language's trusted documents that its threshold lets pass.
 QUANTILE = 0.995
@@ -82,21 +88,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return number[keep], n
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, count) over all texts.  A task adds up in an array of SYMBOLS ** ORDER numbers."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                number, _ = grams([t or "" for t in whole.slice(at, 1000).column(0).to_pylist()])
-                total += np.bincount(number, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["gram", "count"])
-
-    return docs.select("text").mapInArrow(count, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
-
-
 def probabilities(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
     """log10 P(last symbol | those before) of every n-gram: interpolated modified Kneser-Ney.
 
@@ -123,22 +114,147 @@ def probabilities(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.log10(lower).astype(np.float32)
 
 
-def perplexities(docs: DataFrame, logs: np.ndarray) -> DataFrame:
-    """docs: (doc_id, text, lang).  doc_id, lang and perplexity (null for an empty text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(logs)  # SYMBOLS ** ORDER numbers of 4 bytes
+class Coded:
+    """The n-grams of some texts, of every order up to ORDER, behind ORDER - 1 line ends each."""
+
+    def __init__(self, texts: list[str]):
+        start = "\n" * (ORDER - 1)
+        codes = np.frombuffer(start.join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.n = np.array([len(t) for t in texts], np.int64)
+        #: where each text's n-grams of the highest order begin
+        self.begin = np.cumsum(self.n + ORDER - 1) - self.n - ORDER + 1
+        symbols = pa.array(codes).dictionary_encode()
+        alphabet, symbol = symbols.dictionary.to_numpy(), symbols.indices.to_numpy().astype(np.int64)
+        #: by order: the distinct n-grams' code points, and which of the order below are their first and last part
+        self.points, self.first, self.last = [np.zeros((1, 0), np.uint32), alphabet.reshape(-1, 1)], [None, np.zeros(len(alphabet), np.int64)], [None, np.zeros(len(alphabet), np.int64)]
+        at = symbol
+        for n in range(2, ORDER + 1):
+            found = pa.array(at[:-1] * len(alphabet) + symbol[n - 1 :]).dictionary_encode()
+            whole, below = found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+            last = np.zeros(len(below), np.int64)
+            last[whole] = at[1:]
+            self.first.append(below // len(alphabet))
+            self.last.append(last)
+            self.points.append(np.hstack([self.points[-1][self.first[-1]], alphabet[below % len(alphabet)].reshape(-1, 1)]))
+            at = whole
+        #: the n-gram of the highest order at each place
+        self.at = at
+
+    def keys(self, n: int) -> pa.Array:
+        """The distinct n-grams of an order, four bytes a code point."""
+        rows = np.ascontiguousarray(self.points[n])
+        offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(4 * n))
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows)])
+
+    def counts(self) -> np.ndarray:
+        """How often the texts hold each n-gram of the highest order; those that end in the next text's start don't count."""
+        keep = np.ones(len(self.at), bool)
+        for k in range(ORDER - 1):
+            keep[(self.begin + self.n)[:-1] + k] = False
+        return np.bincount(self.at[keep], minlength=len(self.points[ORDER]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
+    """Rows in tables of about BLOCK characters."""
+    held, size = [], 0
+    for batch in batches:
+        sizes, start = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist(), 0
+        for i, n in enumerate(sizes):
+            if size and size + n > BLOCK:
+                yield pa.Table.from_batches([*held, batch.slice(start, i - start)])
+                held, size, start = [], 0, i
+            size += n
+        held.append(batch.slice(start))
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _texts(table: pa.Table, text: int) -> list[str]:
+    return [t or "" for t in table.column(text).to_pylist()]
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(gram, count) of the highest order over all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, 0):
+            coded = Coded(_texts(block, 0))
+            total = coded.counts()
+            yield pa.RecordBatch.from_arrays([coded.keys(ORDER).filter(pa.array(total > 0)), pa.array(total[total > 0], pa.int64())], ["gram", "count"])
+
+    return docs.select("text").mapInArrow(count, "gram binary, count long").groupBy("gram").agg(F.sum("count").alias("count"))
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What counts of 1, 2 and more lose, from the counts of counts; where those leave them undefined 0.5, 1 and 1.5."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0
+    cut = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 else [0.5, 1.0, 1.5]
+    return [min(max(d, 0.05), k) for k, d in enumerate(cut, 1)]
+
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                number, n = grams([t or "" for t in batch.column(1).to_pylist()])
-                total = np.concatenate([[0.0], np.cumsum(shared.value[number].astype(np.float64))])
-                ends = np.cumsum(n)
-                mean = (total[ends] - total[ends - n]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(10.0**-mean, mask=n == 0)], ["doc_id", "lang", "perplexity"])
+def model(counts: DataFrame) -> DataFrame:
+    """counts: written (gram, count) of the highest order.  gram of any order, log_p = log10 P(last code point | those
+    before), null if it is a context only, and log_back = log10 of its backoff weight, null if it is no context.
+
+    The empty n-gram stands for a code point of which nothing is known: one over the number of known ones and one more.
+    """
+
+    def part(gram: str, start: int, n: int) -> Column:
+        return F.substring(gram, 4 * start + 1, 4 * n)
+
+    by_order = {ORDER: counts}
+    for n in range(ORDER - 1, 0, -1):
+        by_order[n] = written(by_order[n + 1].groupBy(part("gram", 1, n).alias("gram")).agg(F.count("*").alias("count")), f"counts-{n}")
+    spark = counts.sparkSession
+    below = spark.createDataFrame([(b"", 1.0 / (by_order[1].count() + 1))], "gram binary, p double")
+    tables = [below.select("gram", F.log10("p").alias("log_p"), F.lit(None).cast("double").alias("log_back"))]
+    for n in range(1, ORDER + 1):
+        c = by_order[n]
+        cut = discounts(*[x or 0 for x in c.agg(*[F.sum(F.when(F.col("count") == k, 1)) for k in (1, 2, 3, 4)]).first()])
+        off = F.when(F.col("count") == 1, cut[0]).when(F.col("count") == 2, cut[1]).otherwise(cut[2])
+        c = c.select("gram", "count", off.alias("off"), part("gram", 0, n - 1).alias("context"), part("gram", 1, n - 1).alias("rest"))
+        contexts = written(c.groupBy("context").agg(F.sum("count").alias("total"), F.sum("off").alias("spare")), f"contexts-{n}")
+        rows = c.join(contexts, "context").join(below.select(F.col("gram").alias("rest"), F.col("p").alias("p_below")), "rest")
+        below = written(rows.select("gram", ((F.col("count") - F.col("off") + F.col("spare") * F.col("p_below")) / F.col("total")).alias("p")), f"probabilities-{n}")
+        tables.append(below.select("gram", F.log10("p").alias("log_p"), F.lit(None).cast("double").alias("log_back")))
+        tables.append(contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("log_p"), F.log10(F.col("spare") / F.col("total")).alias("log_back")))
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    return written(every.groupBy("gram").agg(F.max("log_p").cast("float").alias("log_p"), F.max("log_back").cast("float").alias("log_back")), "model")
+
+
+def perplexities(docs: DataFrame, grams_: DataFrame) -> DataFrame:
+    """docs: (doc_id, text, lang); grams_: the model.  doc_id, lang and perplexity (null for an empty text)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, block in enumerate(_blocks(batches, 1)):
+            coded = Coded(_texts(block, 1))
+            found = pa.concat_arrays([coded.keys(n) for n in range(ORDER + 1)])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(block)
+            name = (TaskContext.get().partitionId() << 32) + i
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)], ["block", "packed", "grams"])
+
+    def score(packed: pa.Table, known: pa.Table) -> pa.Table:
+        block = pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all()
+        coded, keys = Coded(_texts(block, 1)), known.column("gram").combine_chunks()
+        values = [np.append(pc.fill_null(known.column(c).combine_chunks(), none).to_numpy(zero_copy_only=False).astype(float), none) for c, none in (("log_p", np.nan), ("log_back", 0.0))]
+        for n in range(ORDER + 1):
+            at = pc.fill_null(pc.index_in(coded.keys(n), value_set=keys), len(keys)).to_numpy(zero_copy_only=False)
+            p = values[0][at]
+            if n:
+                p = np.where(np.isnan(p), back[coded.first[n]] + below[coded.last[n]], p)
+            below, back = p, values[1][at]
+        total = np.concatenate([[0.0], np.cumsum(below[coded.at])])
+        mean = (total[coded.begin + coded.n] - total[coded.begin]) / np.maximum(coded.n, 1)
+        return pa.table([block.column(0), block.column(2), pa.array(10.0**-mean, mask=coded.n == 0)], ["doc_id", "lang", "perplexity"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select("doc_id", "text", "lang").mapInArrow(apply, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, perplexity double")
+    blocks = written(docs.select("doc_id", "text", "lang").mapInArrow(pack, "block long, packed binary, grams array<binary>"), "blocks")
+    known = blocks.select(F.col("block").alias("of"), F.explode("grams").alias("gram")).join(grams_, "gram")
+    return blocks.select("block", "packed").groupBy("block").cogroup(known.select("of", "gram", "log_p", "log_back").groupBy("of")).applyInArrow(score, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, perplexity double")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -153,8 +269,8 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return steps.filter(F.col("below") >= quantile * F.col("total")).groupBy("every", "lang").agg(F.pow(F.lit(10.0), (F.min("step") + 1) * STEP).alias("threshold"))
 
 
-def trusted_grams(docs: DataFrame, trusted: DataFrame) -> list:
-    """The n-gram counts of the documents whose doc_id is in ``trusted``, at most SYMBOLS ** ORDER rows.
+def trusted_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The n-gram counts of the documents whose doc_id is in ``trusted``, as a written table.
 
     Spark puts a Bloom filter of the trusted ids (its size is bounded by a setting) before the shuffle of the texts, so
     about the trusted ones alone are moved; the join decides.  The filter is asked for at any size of the input.
@@ -163,7 +279,7 @@ def trusted_grams(docs: DataFrame, trusted: DataFrame) -> list:
     before = conf.get(name)
     conf.set(name, "0")
     try:
-        return count_grams(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")).collect()
+        return written(count_grams(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")), "counts")
     finally:
         conf.set(name, before)
 
@@ -171,9 +287,8 @@ def trusted_grams(docs: DataFrame, trusted: DataFrame) -> list:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs: (doc_id, text, lang); labels: (doc_id, quality).  doc_id, lang, perplexity, threshold, keep."""
     trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id")
-    rows = trusted_grams(docs, trusted)
-    gram, count = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    scored = written(perplexities(docs.withColumn("lang", F.col("lang").cast("string")), probabilities(gram, count)), "perplexities")
+    known = model(trusted_grams(docs, trusted))
+    scored = written(perplexities(docs.withColumn("lang", F.col("lang").cast("string")), known), "perplexities")
     limit = written(thresholds(scored.join(trusted.hint("merge"), "doc_id", "left_semi"), quantile), "thresholds")
     every = limit.filter("every").select("threshold").first()
     own = limit.filter("not every").select(F.col("lang").alias("_lang"), "threshold")

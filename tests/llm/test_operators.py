@@ -277,6 +277,37 @@ def test_classifier_separates_noise(spark):
     assert got[200].perplexity is None and not got[200].keep and not got[201].keep and got[None].perplexity > 0
 
 
+def test_classifier_tells_scripts_apart(spark):
+    rng, stems = np.random.default_rng(9), "новый город река старый мост зимний вечер тихий берег ясный".split()
+    prose = [" ".join(rng.choice(stems, 60)) for _ in range(60)]
+    docs = [(i, t, "ru") for i, t in enumerate(prose)] + [(100 + i, "".join(rng.permutation(list(t))), "ru") for i, t in enumerate(prose[:20])]
+    got = {r.doc_id: r for r in kneser.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()}
+    assert sum(got[i].keep for i in range(60)) >= 50 and not any(got[100 + i].keep for i in range(20))
+
+
+def test_perplexity_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(kneser, "BLOCK", 30)
+    trusted, other = ["да, дом и дом", "дом 漢字 and 漢字", "a\x00a\x00b", ""], ["дом дом ж", "xyz", "", None, "a\x00b漢", "n" * 70]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(trusted + other)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.perplexity for r in kneser.perplexities(df, kneser.model(kneser.written(kneser.count_grams(df.filter("doc_id < 4")), "counts"))).collect()}
+    counts = {4: Counter(("\n\n\n" + t)[i : i + 4] for t in trusted for i in range(len(t)))}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts = {n: kneser.discounts(*[sum(v == k for v in counts[n].values()) for k in (1, 2, 3, 4)]) for n in counts}
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        c, cut = counts[len(gram)], cuts[len(gram)]
+        same = [v for g, v in c.items() if g[:-1] == gram[:-1]]
+        off = lambda v: cut[min(v, 3) - 1]
+        return (max(0, c[gram] - off(c[gram])) * (c[gram] > 0) + sum(map(off, same)) * p(gram[1:])) / sum(same) if same else p(gram[1:])
+
+    for i, t in enumerate(trusted + other):
+        want = [np.log10(p(("\n\n\n" + t)[k : k + 4])) for k in range(len(t or ""))]
+        assert found[i] == pytest.approx(10 ** -np.mean(want), rel=1e-4) if want else found[i] is None
+
+
 def test_probabilities_add_up():
     gram, n = kneser.grams(["some text, and More text 12!", "", "other\ntext"])
     total = np.bincount(gram, minlength=kneser.SYMBOLS**kneser.ORDER)
