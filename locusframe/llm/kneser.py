@@ -28,7 +28,9 @@ from locusframe.llm.common import table, written
 
 ORDER = 4
 #: Characters of a block, unless a single text is longer.
-BLOCK = 4_000_000
+BLOCK = 8_000_000
+#: Level at which blocks are compressed.
+PACKED = 9
 #: Symbols of the dense form below, which no query uses: a model whose n-grams are few whatever the text.
 SYMBOLS = 40
 #: Share of a language's trusted documents that its threshold lets pass.
@@ -124,13 +126,16 @@ class Coded:
         #: where each text's n-grams of the highest order begin
         self.begin = np.cumsum(self.n + ORDER - 1) - self.n - ORDER + 1
         symbols = pa.array(codes).dictionary_encode()
-        alphabet, symbol = symbols.dictionary.to_numpy(), symbols.indices.to_numpy().astype(np.int64)
+        alphabet, symbol = symbols.dictionary.to_numpy(), symbols.indices.to_numpy()
         #: by order: the distinct n-grams' code points, and which of the order below are their first and last part
         self.points, self.first, self.last = [np.zeros((1, 0), np.uint32), alphabet.reshape(-1, 1)], [None, np.zeros(len(alphabet), np.int64)], [None, np.zeros(len(alphabet), np.int64)]
         at = symbol
         for n in range(2, ORDER + 1):
-            found = pa.array(at[:-1] * len(alphabet) + symbol[n - 1 :]).dictionary_encode()
-            whole, below = found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+            number = at[:-1].astype(np.int64)
+            number *= len(alphabet)
+            number += symbol[n - 1 :]
+            found = pa.array(number).dictionary_encode()
+            whole, below = found.indices.to_numpy(), found.dictionary.to_numpy()
             last = np.zeros(len(below), np.int64)
             last[whole] = at[1:]
             self.first.append(below // len(alphabet))
@@ -232,29 +237,30 @@ def perplexities(docs: DataFrame, grams_: DataFrame) -> DataFrame:
             coded = Coded(_texts(block, 1))
             found = pa.concat_arrays([coded.keys(n) for n in range(ORDER + 1)])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PACKED))) as out:
                 out.write_table(block)
             name = (TaskContext.get().partitionId() << 32) + i
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)], ["block", "packed", "grams"])
 
     def score(packed: pa.Table, known: pa.Table) -> pa.Table:
         block = pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all()
-        coded, keys = Coded(_texts(block, 1)), known.column("gram").combine_chunks()
-        values = [np.append(pc.fill_null(known.column(c).combine_chunks(), none).to_numpy(zero_copy_only=False).astype(float), none) for c, none in (("log_p", np.nan), ("log_back", 0.0))]
-        for n in range(ORDER + 1):
-            at = pc.fill_null(pc.index_in(coded.keys(n), value_set=keys), len(keys)).to_numpy(zero_copy_only=False)
-            p = values[0][at]
+        coded, at, start = Coded(_texts(block, 1)), known.column("at").to_numpy(), 0
+        log_p, log_back = (np.full(sum(map(len, coded.points)), none) for none in (np.nan, 0.0))
+        log_p[at] = pc.fill_null(known.column("log_p"), np.nan).to_numpy()
+        log_back[at] = pc.fill_null(known.column("log_back"), 0.0).to_numpy()
+        for n, points in enumerate(coded.points):
+            p, start = log_p[start : start + len(points)], start + len(points)
             if n:
                 p = np.where(np.isnan(p), back[coded.first[n]] + below[coded.last[n]], p)
-            below, back = p, values[1][at]
+            below, back = p, log_back[start - len(points) : start]
         total = np.concatenate([[0.0], np.cumsum(below[coded.at])])
         mean = (total[coded.begin + coded.n] - total[coded.begin]) / np.maximum(coded.n, 1)
         return pa.table([block.column(0), block.column(2), pa.array(10.0**-mean, mask=coded.n == 0)], ["doc_id", "lang", "perplexity"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     blocks = written(docs.select("doc_id", "text", "lang").mapInArrow(pack, "block long, packed binary, grams array<binary>"), "blocks")
-    known = blocks.select(F.col("block").alias("of"), F.explode("grams").alias("gram")).join(grams_, "gram")
-    return blocks.select("block", "packed").groupBy("block").cogroup(known.select("of", "gram", "log_p", "log_back").groupBy("of")).applyInArrow(score, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, perplexity double")
+    known = blocks.select(F.col("block").alias("of"), F.posexplode("grams").alias("at", "gram")).join(grams_, "gram")
+    return blocks.select("block", "packed").groupBy("block").cogroup(known.select("of", "at", "log_p", "log_back").groupBy("of")).applyInArrow(score, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, perplexity double")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
