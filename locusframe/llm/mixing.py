@@ -72,8 +72,8 @@ def _position(demanded: Column, segments: Column) -> Column:
 
 def mix(docs: DataFrame, size: Column, max_repeats: int = MAX_REPEATS, schedules: dict[int, tuple[float, ...]] = SCHEDULES) -> DataFrame:
     """Mix ``docs`` (doc_id, source, and what ``size`` needs): a row a document with doc_id, source, size, source_size,
-    target, taken (words the mix takes, repeats counted), passes (times it is begun) and position (0..1, of the first
-    pass; null if never taken), range-sorted by position.
+    target, taken (words the mix takes, repeats counted), passes (times it is begun), position (0..1, of the first
+    pass; null if never taken) and positions (of each pass in turn), range-sorted by position.
 
     taken is size for each whole pass over the source; in the last, broken pass the document in which the target is
     reached gives only the words still demanded, so each source's taken words are its target, rounded.
@@ -101,9 +101,11 @@ def mix(docs: DataFrame, size: Column, max_repeats: int = MAX_REPEATS, schedules
         "passes": F.when(F.col("size") > 0, F.col("_full") + F.when(F.col("_last") > 0, 1).otherwise(0)).otherwise(0).cast("long"),
     })
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, _position(F.col("_at") / F.col("_goal"), F.col("_segments"))))
+    every = F.transform(F.sequence(F.lit(1).cast("long"), F.col("passes")), lambda p: _position(((p - 1) * F.col("source_size") + F.col("_at")) / F.col("_goal"), F.col("_segments")))
+    rows = rows.withColumn("positions", F.when(F.col("taken") > 0, every).otherwise(F.array().cast("array<double>")))
     # those never taken come last, spread by their key
     last = F.coalesce("position", 1 + F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / 2**32)
-    return rows.orderBy(last).select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position")
+    return rows.orderBy(last).select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position", "positions")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,16 +117,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a row for each pass over a document, whole, so the document that reaches a target counts fully;
-    documents that are not taken go; those without a word take nothing and stay once."""
+    documents that are not taken go; those without a word take nothing and stay once.  Rows are range-sorted by the
+    position of their pass, those without a word come last."""
     columns = docs.columns
     whole = docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64("text", "source", "lang")})
     mixed = mix(docs.select("doc_id", "source", "text"), n_words(F.col("text")))
-    copies = mixed.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("passes"))).filter("copies > 0")
-    copies = copies.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("passes"))).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_n", "copies")
+    copies = mixed.withColumn("times", F.when(F.col("size") == 0, F.array(F.lit(None).cast("double"))).otherwise(F.col("positions"))).filter("size(times) > 0")
+    copies = copies.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("passes"))).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_n", "times")
     whole = whole.withColumn("_size", n_words(F.col("text"))).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_text")))
     on = whole["_id"].eqNullSafe(copies["_id"]) & whole["source"].eqNullSafe(copies["_source"]) & (whole["_size"] == copies["_size"]) & (whole["_n"] == copies["_n"])
-    joined = whole.join(copies, on).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return joined.select(*[whole[c] for c in columns])
+    joined = whole.join(copies, on).select(*[whole[c] for c in columns], F.explode("times").alias("_time"))
+    return joined.orderBy(F.col("_time").asc_nulls_last(), F.xxhash64("doc_id", "text")).select(*columns)
 
 
 ORACLE = r"""

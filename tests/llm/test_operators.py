@@ -47,6 +47,23 @@ def test_mix_takes_each_target(odd, odd_rows):
 
 
 # 2
+def test_each_pass_has_its_position_and_the_stage_its_order(spark):
+    rows = [(i, "w " * 50, "en", "a", 100) for i in range(20)] + [(100 + i, f"s{i} t", "en", "b", 4) for i in range(5)] + [(200, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    small = sorted(range(100, 105), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    got = {r.doc_id: r for r in mixing.mix(docs.select("doc_id", "source", "text"), n_words(F.col("text"))).collect()}
+    for k, i in enumerate(small):  # weight 2, taken evenly, held at 3 times 10 words
+        assert got[i].passes == 3 and got[i].positions == pytest.approx([(p * 10 + 2 * k) / 30 for p in range(3)])
+    assert all(len(r.positions) == r.passes and (not r.passes or r.positions[0] == r.position) for r in got.values())
+    out = [r.doc_id for r in mixing.stage(spark, docs, "").collect()]
+    assert [i for i in out if 100 <= i < 200] == small * 3 and out[-1] == 200
+    times = sorted((t, r.doc_id) for r in got.values() for t in r.positions)
+    place = {}
+    for at, i in enumerate(out[:-1]):
+        place.setdefault(i, []).append(at)
+    assert len(out) == len(times) + 1 and all(a < b or ta == tb for (ta, a), (tb, b) in zip(*[[(t, place[i][got[i].positions.index(t)]) for t, i in x] for x in (times[:-1], times[1:])]))
+
+
 def test_media_come_back_whole(odd, odd_rows):
     got = media.store_and_read(odd.select("doc_id", "text")).collect()
     want = Counter()
