@@ -297,7 +297,7 @@ def test_classifier_separates_noise(spark):
 def test_classifier_tells_scripts_apart(spark):
     rng, stems = np.random.default_rng(9), "новый город река старый мост зимний вечер тихий берег ясный".split()
     prose = [" ".join(rng.choice(stems, 60)) for _ in range(60)]
-    docs = [(i, t, "ru") for i, t in enumerate(prose)] + [(100 + i, "".join(rng.permutation(list(t))), "ru") for i, t in enumerate(prose[:20])]
+    docs = [(i, t, "ru") for i, t in enumerate(prose)] + [(100 + i, " ".join("".join(rng.permutation(list(w))) for w in t.split()), "ru") for i, t in enumerate(prose[:20])]
     got = {r.doc_id: r for r in kneser.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()}
     assert sum(got[i].keep for i in range(60)) >= 50 and not any(got[100 + i].keep for i in range(20))
 
