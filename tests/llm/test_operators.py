@@ -201,6 +201,16 @@ def test_search_finds_the_nearest(spark):
     assert hits >= 0.9 * 60 * 20 and not set(got) & {5000, 5020, 5040, 5060}
 
 
+def test_search_keeps_large_ids_and_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    big = 2**53
+    rows = [(big * 20 // 20 * 20 + i, [1.0, float(i)]) for i in range(4)] + [(None, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("v", "shard", "block", "none", "rank", "score")})
+    got = hashing.search(df, df.filter("vec_id % 20 = 0")).orderBy("rank").collect()
+    assert [(r.query_id - rows[0][0], r.vec_id and r.vec_id - rows[0][0], r.score) for r in got] == [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0), (0, None, 1.0)]
+
+
 # 7
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
