@@ -1,14 +1,20 @@
 """Surrogates for personal data, in built-in functions only.
 
-Detected entities are replaced by keyed surrogates of the same type and format: digits by digits and letters by letters
-of the same case, the country code of a phone number and of an IBAN kept, a valid card number by a valid one, an address
-by one under a reserved example domain, a name by one of the same gender and script.  An entity gets one surrogate
-wherever it stands (coreference); rounds over the table of distinct entities give those whose surrogate is already in
-use, or is itself an entity of the text, another one, until all are distinct.
+Entities are found by rules: addresses, numbers, and the names behind a title.  A name's parts are then looked for in the
+whole document, with or without title, so that every mention is replaced.  An entity is keyed in its plain form (phone, card and
+bank numbers without separators, e-mail addresses and names in lower case, a Russian family name in its masculine form), gets
+one surrogate of the same type wherever it stands (coreference), and the surrogate takes the format of each mention:
+separators, capitals, the feminine ending.  Digits become digits and letters letters; the country code of a phone number
+and of a bank account is kept, the latter gets right check digits; a valid card number becomes a valid one; an e-mail
+address gets a reserved example domain; a given name becomes one of the same gender and script.  Rounds over the table of
+distinct entities give those whose surrogate is already in use, or is itself an entity of the text, another one, until
+all are distinct.
+
+A name without any title in its document is not found.  The key is the caller's secret: without one ``replace`` raises.
 
 Nulls and odd cases: a null or empty text has no entities and stays as it is; a null doc_id is kept; repeated rows get
 equal results; texts are searched whole; an empty table gives an empty result; further input columns are kept by
-``replace`` except those named like its own.
+``replace`` whatever their names, but for one named pii_spans, which is replaced.
 """
 
 from __future__ import annotations
@@ -19,54 +25,106 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import table, written
-from locusframe.llm.secrets import Rule, matches, told
+from locusframe.llm.secrets import Rule, matches, pattern_spans, told
 
-KEY = "change-me"
+#: Key of the registered query alone; who publishes its result must take a secret of their own.
+QUERY_KEY = "opened-by-design"
 ROUNDS = 25
-# Titles that tell the gender of the name behind them.
-MALE = r"(?:Mr|Herr|Monsieur|Señor|Signor|господин)"
-FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Señora|Signora|госпожа)"
-NAME = r"\p{Lu}[\p{Ll}'’-]{1,30}"
-ANY_TITLE = rf"(?:{MALE}|{FEMALE})"
+# Titles, and the gender that they tell of the name behind them.
+TITLES = {
+    "m": "Mr MR Mister Herr Monsieur Señor Signor господин Господин".split(),
+    "f": "Mrs MRS Ms MS Miss Frau Madame Señora Signora госпожа Госпожа".split(),
+    "x": "Dr DR Prof PROF Doctor Professor".split(),
+}
+ANY_TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
+NAME = r"\p{Lu}[\p{L}\p{M}'’-]*[\p{L}\p{M}]"
+GAP = "[ \u00a0]"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 RULES = (
     Rule("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
     Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     Rule("phone", r"(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"),
     Rule("phone", r"(?<![A-Za-z0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
-    Rule("card", r"(?<![A-Za-z0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![A-Za-z0-9])"),
+    Rule("card", r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![A-Za-z0-9])"),
     Rule("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     Rule("ip", rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
-    Rule("given_m", rf"(?=\p{{Lu}})(?<=\b{MALE}\.? ){NAME}(?= {NAME})"),
-    Rule("given_f", rf"(?=\p{{Lu}})(?<=\b{FEMALE}\.? ){NAME}(?= {NAME})"),
-    Rule("family", rf"(?=\p{{Lu}})(?<=\b{ANY_TITLE}\.? (?:\p{{Lu}}[\p{{Ll}}'’-]{{1,30}} )?){NAME}"),
+    *[Rule(f"person_{g}", rf"(?=\p{{Lu}})(?<=\b(?:{'|'.join(ts)})\.?{GAP})(?!{ANY_TITLE}\b){NAME}(?:{GAP}(?!{ANY_TITLE}\b){NAME}){{0,3}}") for g, ts in TITLES.items()],
 )
 #: What a text must hold for a rule of the kind to match: a plain search before the dear one.
 GUARDS = {
-    "email": "@", "iban": "[A-Z]{2}[0-9]{2}", "phone": "[+][0-9]|[0-9][.-][0-9]{4}", "card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "ssn": "[0-9]-[0-9]{2}-[0-9]",
-    "ip": r"[0-9]\.[0-9]{1,3}\.[0-9]", "given_m": rf"\b{MALE}\.? \p{{Lu}}", "given_f": rf"\b{FEMALE}\.? \p{{Lu}}", "family": rf"\b{ANY_TITLE}\.? \p{{Lu}}",
+    "email": "@", "iban": "[A-Z]{2}[0-9]{2}", "phone": "[+][0-9]|[0-9][.-][0-9]{4}", "card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}", "ssn": "[0-9]-[0-9]{2}-[0-9]",
+    "ip": r"[0-9]\.[0-9]{1,3}\.[0-9]", **{f"person_{g}": rf"\b(?:{'|'.join(ts)})\.?{GAP}\p{{Lu}}" for g, ts in TITLES.items()},
 }
+# Calling codes of one and two digits; all others have three.
+CALLING = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # What surrogate names are put together from.
 STEMS = {
     "latin": "Al Ber Cor Dan El Fer Gal Hen Is Jor Kar Lor Mar Nor Ol Per Ros Sal Tor Val Wil Yor Zel Bel".split(),
     "cyrillic": "Ал Бор Вал Ган Дар Ел Жан Зар Ил Кар Лар Мир Нор Ол Пав Рос Сал Тар Ур Фел".split(),
 }
 ENDINGS = {
-    ("given_m", "latin"): "in o us ert an on ard as".split(), ("given_f", "latin"): "ia ena ine ela a isa ette ora".split(), ("family", "latin"): "son man ley berg well ford ton rick".split(),
-    ("given_m", "cyrillic"): "ан ий он ей".split(), ("given_f", "cyrillic"): "ия ена ина а".split(), ("family", "cyrillic"): "ов ин ский ко".split(),
+    ("given_m", "latin"): "in o us ert an on ard as".split(), ("given_f", "latin"): "ia ena ine ela a isa ette ora".split(), ("given_x", "latin"): "el is en ary".split(), ("family", "latin"): "son man ley berg well ford ton rick".split(),
+    ("given_m", "cyrillic"): "ан ий он ей".split(), ("given_f", "cyrillic"): "ия ена ина а".split(), ("given_x", "cyrillic"): "и эль".split(), ("family", "cyrillic"): "ов ев ин".split(),
 }
+SPANS = "cast(array() as array<struct<start:int, no:int, end:int, kind:string>>)"
+
+
+def _cut(text: Column, span: Column) -> Column:
+    return F.substr(text, span["start"] + 1, span["end"] - span["start"])
+
+
+def name_parts(text: Column, spans: Column) -> Column:
+    """Array of (plain, kind, part): the parts of the names behind a title.  The last one is the family name."""
+    people = F.filter(spans, lambda s: s["kind"].startswith("person_"))
 
+    def parts(s: Column) -> Column:
+        split = F.split(_cut(text, s), GAP)
+        return F.transform(split, lambda x, i: F.struct(F.lower(x).alias("plain"), F.when(i == F.size(split) - 1, F.lit("family")).otherwise(F.concat(F.lit("given_"), F.right(s["kind"], F.lit(1)))).alias("kind"), x.alias("part")))
 
-def found_spans(text: Column) -> Column:
-    """Array of (start, no, end, kind), none of them overlapping: the earlier start, then the earlier rule, wins."""
-    empty = F.expr("cast(array() as array<struct<start:int, no:int, end:int, kind:string>>)")
-    every = F.array_sort(F.concat(*[F.coalesce(F.when(text.rlike(GUARDS[r.kind]), matches(text, r, i)), empty) for i, r in enumerate(RULES)]))
+    return F.array_distinct(F.flatten(F.transform(people, parts)))
+
+
+def _in_order(spans: Column) -> Column:
+    """None of them overlapping: the earlier start, then the earlier rule, wins."""
 
     def step(acc: Column, s: Column) -> Column:
         fits = s["start"] >= acc["at"]
         return F.struct(F.when(fits, s["end"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.array_append(acc["kept"], s)).otherwise(acc["kept"]).alias("kept"))
 
-    return F.aggregate(every, F.struct(F.lit(0).alias("at"), empty.alias("kept")), step, lambda acc: acc["kept"])
+    return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.expr(SPANS).alias("kept")), step, lambda acc: acc["kept"])
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """docs: text and more.  Adds names, the parts of names, and pii_spans, an array of (start, no, end, kind)."""
+    text = F.col("text")
+    rules = F.concat(*[F.coalesce(F.when(text.rlike(GUARDS[r.kind]), matches(text, r, i)), F.expr(SPANS)) for i, r in enumerate(RULES)])
+    docs = docs.withColumn("pii_spans", rules).withColumn("names", name_parts(text, F.col("pii_spans")))
+    words = F.array_distinct(F.concat(F.transform("names", lambda p: p["part"]), F.transform("names", lambda p: F.upper(p["part"]))))
+    mention = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    mentions = F.coalesce(F.when(F.size("names") > 0, pattern_spans(text, mention, len(RULES), "name")), F.expr(SPANS))
+    return docs.withColumn("pii_spans", _in_order(F.concat(F.filter("pii_spans", lambda s: ~s["kind"].startswith("person_")), mentions)))
+
+
+def plain(kind: Column, entity: Column) -> Column:
+    """What equal entities have in common."""
+    numbers = F.when(kind == "phone", F.regexp_replace(entity, "[^0-9+]", "")).when(kind.isin("iban", "card", "ssn"), F.regexp_replace(entity, "[^A-Z0-9]", ""))
+    family = F.regexp_replace(F.regexp_replace(F.lower(entity), "(?<=ов|ев|ёв|ин|ын)а$", ""), "(?<=ск|цк)ая$", "ий")
+    return F.coalesce(numbers, F.when(kind == "email", F.lower(entity)).when(kind == "family", family).when(kind.startswith("given"), F.lower(entity)), entity)
+
+
+def shaped(kind: Column, entity: Column, made: Column) -> Column:
+    """The surrogate in the format of one mention."""
+    signs = F.regexp_replace(made, "[^A-Z0-9]", "")
+
+    def one(i: Column) -> Column:
+        c = F.substr(entity, i, F.lit(1))
+        return F.when(c.rlike("[A-Z0-9]"), F.substr(signs, F.length(F.regexp_replace(F.substr(entity, F.lit(1), i), "[^A-Z0-9]", "")), F.lit(1))).otherwise(c)
+
+    number = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(entity), F.lit(1))), one), "")
+    feminine = (kind == "family") & F.lower(entity).rlike(r"\p{IsCyrillic}(?:а|ая)$") & F.lower(entity).rlike("(?:[оеё]в|[иы]н)а$|[сц]кая$")
+    word = F.concat(made, F.when(feminine, F.lit("а")).otherwise(F.lit("")))
+    word = F.when((entity == F.upper(entity)) & entity.rlike(r"\p{Lu}"), F.upper(word)).otherwise(word)
+    return F.when(kind.isin("phone", "iban", "card", "ssn"), number).when(kind == "ip", made).otherwise(word)
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -89,27 +147,34 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _mod97(signs: Column) -> Column:
+    """The number that digits and letters (10 to 35) spell, modulo 97."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(signs, ""), F.lit(0), lambda acc, c: (acc * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
 def _pick(words: list[str], b: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), b % len(words) + 1)
 
 
 def surrogate(kind: Column, entity: Column, tries: Column, key: str) -> Column:
-    """The surrogate of ``entity`` at its ``tries``-th try."""
+    """The surrogate of a plain ``entity`` at its ``tries``-th try."""
     stream = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, tries.cast("string")), 512)
     swapped = _letters(entity, stream)
     domain = F.regexp_extract(entity, "@(.*)$", 1)
-    own = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.lower(domain)), 512)
+    own = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 512)
     label = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.char(_byte(own, i) % 26 + 97)), "")
-    tail = F.when(domain.rlike("(?i)\\.(com|org|net)$"), F.lower(F.regexp_extract(domain, "([A-Za-z]+)$", 1))).otherwise("com")
+    tail = F.when(domain.rlike("\\.(com|org|net)$"), F.regexp_extract(domain, "([a-z]+)$", 1)).otherwise("com")
     email = F.concat(_letters(F.regexp_extract(entity, "^([^@]*)@", 1), stream), F.lit("@"), label, F.lit(".example."), tail)
-    code = F.when(kind == "iban", F.substring(entity, 1, 2)).otherwise(F.regexp_extract(entity, r"^(\+[0-9]{1,3}(?![0-9]))", 1))
-    coded = F.concat(code, F.substr(swapped, F.length(code) + 1))
-    plain = F.regexp_replace(entity, "[ -]", "")
+    code = F.regexp_extract(entity, CALLING, 0)
+    phone = F.concat(code, F.substr(swapped, F.length(code) + 1))
+    country, account = F.substring(entity, 1, 2), F.substr(swapped, F.lit(5))
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     body, digits = F.substr(swapped, F.lit(1), F.length(swapped) - 1), F.sequence(F.lit(0), F.lit(9))
-    valid = F.filter(digits, lambda d: _luhn(F.concat(F.regexp_replace(body, "[ -]", ""), d.cast("string"))))
-    card = F.when(_luhn(plain), F.concat(body, valid[0].cast("string"))).otherwise(swapped)
+    valid = F.filter(digits, lambda d: _luhn(F.concat(body, d.cast("string"))))
+    card = F.when(_luhn(entity), F.concat(body, valid[0].cast("string"))).otherwise(swapped)
     ip = F.concat_ws(".", *[(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
-    out = F.when(kind == "email", email).when(kind.isin("iban", "phone"), coded).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", swapped)
+    out = F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", swapped)
     for (which, script), endings in ENDINGS.items():
         extra = _middle(stream, tries, STEMS[script])
         name = F.concat(_pick(STEMS[script], _byte(stream, F.lit(1))), F.lower(_pick(STEMS[script], _byte(stream, F.lit(2)))) if which == "family" else F.lit(""), extra, _pick(endings, _byte(stream, F.lit(3))))
@@ -124,14 +189,14 @@ def _middle(stream: Column, tries: Column, stems: list[str]) -> Column:
     return F.when(tries > 0, F.array_join(more, "")).otherwise("")
 
 
-def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """entities: distinct (kind, entity).  (kind, entity, surrogate) with distinct surrogates of a kind, none of them an
+def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """entities: distinct (kind, entity), plain.  (kind, entity, surrogate) with distinct surrogates of a kind, none of them an
     entity of that kind."""
     made = written(entities.withColumn("tries", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("tries"), key)), "surrogates")
     for _ in range(rounds):
         shared = made.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("first")).filter("n > 1")
         again = made.join(shared, ["kind", "surrogate"]).filter("entity <> first").select("kind", "entity")
-        again = again.union(made.alias("a").join(entities.alias("b"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.surrogate") == F.col("b.entity")), "left_semi").select("kind", "entity"))
+        again = again.union(made.alias("a").join(entities.alias("b"), (F.col("a.kind") == F.col("b.kind")) & (F.lower("a.surrogate") == F.lower("b.entity")), "left_semi").select("kind", "entity"))
         again = written(again.distinct().withColumn("again", F.lit(1)), "again")
         if again.isEmpty():
             return made.drop("tries")
@@ -140,33 +205,42 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> Dat
     raise ValueError(f"surrogates still collide after {rounds} rounds")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: str) -> DataFrame:
     """docs: at least doc_id and text.  Adds pii_spans (start, no, end, kind; of the old text) and replaces the text.
 
     Only documents with an entity are shuffled.  Their key is a hash of the row: rows that share one hold the same text
     or are told apart by it again, so equal rows share one list of surrogates.
     """
-    columns = [c for c in docs.columns if c not in ("pii_spans", "_key")]
-    docs = docs.select(*columns)
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    columns = [c for c in docs.columns if c != "pii_spans"]
+    names = {c: c if c in ("doc_id", "text") else f"extra{i}__" for i, c in enumerate(columns)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     any_rule = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(GUARDS[r.kind]) & F.col("text").rlike(r.pattern) for r in RULES]), F.lit(False))
-    empty = F.expr("cast(array() as array<struct<start:int, no:int, end:int, kind:string>>)")
     marked = docs.withColumn("_any", any_rule)
-    hit = written(marked.filter("_any").drop("_any").withColumns({"pii_spans": found_spans(F.col("text")), "_key": F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "text"), 256)}), "with-entities")
-    entity = hit.select("_key", F.posexplode("pii_spans").alias("at", "span"), "text")
-    entity = entity.select("_key", "at", F.col("span.kind").alias("kind"), F.substr("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("entity"))
-    table_ = surrogates(written(entity.select("kind", "entity").distinct(), "entities"), key)
-    chosen = entity.join(table_, ["kind", "entity"]).groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("at", "surrogate")))["surrogate"].alias("_new"))
+    hit = with_spans(marked.filter("_any").drop("_any")).withColumn("_key", F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "text"), 256))
+    hit = written(hit, "with-entities")
+    entity = hit.select("_key", F.posexplode("pii_spans").alias("at", "span"), "text", "names")
+    entity = entity.select("_key", "at", F.col("span.kind").alias("kind"), _cut(F.col("text"), F.col("span")).alias("entity"), "names")
+    # a part that is a family name somewhere in the document is one everywhere in it
+    role = F.array_min(F.transform(F.filter("names", lambda p: p["plain"] == F.lower("entity")), lambda p: p["kind"]))
+    entity = entity.withColumn("kind", F.when(F.col("kind") == "name", role).otherwise(F.col("kind"))).drop("names").withColumn("plain", plain(F.col("kind"), F.col("entity")))
+    table_ = surrogates(written(entity.select("kind", F.col("plain").alias("entity")).distinct(), "entities"), key)
+    chosen = entity.join(table_.withColumnRenamed("entity", "plain"), ["kind", "plain"])
+    chosen = chosen.select("_key", "at", shaped(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("surrogate"))
+    chosen = chosen.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("at", "surrogate")))["surrogate"].alias("_new"))
 
     def step(acc: Column, x: Column) -> Column:
         return F.struct(F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, x["s"]["start"] - acc["at"]), x["new"]).alias("out"), x["s"]["end"].alias("at"))
 
     pairs = F.arrays_zip(F.col("pii_spans").alias("s"), F.col("_new").alias("new"))
     text = F.aggregate(pairs, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    replaced = hit.join(chosen, "_key").select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], "pii_spans")
-    return marked.filter(~F.col("_any")).select(*columns, empty.alias("pii_spans")).unionByName(replaced)
+    replaced = hit.join(chosen, "_key", "left").withColumn("text", F.coalesce(text, "text")).select(*names.values(), "pii_spans")
+    rest = marked.filter(~F.col("_any")).select(*names.values(), F.expr(SPANS).alias("pii_spans"))
+    return rest.unionByName(replaced).select(*[F.col(n).alias(c) for c, n in names.items()], "pii_spans")
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with surrogates, how many entities it held, and where (kind:start:end of the old text)."""
-    done = replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = replace(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_entities"), told(F.col("pii_spans")).alias("entities"))

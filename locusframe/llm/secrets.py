@@ -118,22 +118,27 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def matches(text: Column, rule: Rule, no: int) -> Column:
-    """Array of (start, no, end, kind).  The pieces between the matches and the matches themselves, in turn, make up the
-    text, so their lengths give the places."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("between"), whole.alias("found"), counted.alias("counted"))
+    """Array of (start, no, end, kind)."""
+    return pattern_spans(text, F.lit(rule.pattern), no, rule.kind, rule.group, rule.least)
+
+
+def pattern_spans(text: Column, pattern: Column, no: int, kind: str, group: int = 0, least: int = 0) -> Column:
+    """Array of (start, no, end, kind) of a pattern, which may differ by row.  The pieces between the matches and the
+    matches themselves, in turn, make up the text, so their lengths give the places."""
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    counted = F.regexp_extract_all(text, pattern, F.lit(group))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("between"), whole.alias("found"), counted.alias("counted"))
     empty = F.expr("cast(array() as array<struct<start:int, no:int, end:int, kind:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["between"])
         end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        counts = x["found"].isNotNull() & (F.length(x["counted"]) >= rule.least)
+        span = F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"))
+        counts = x["found"].isNotNull() & (F.length(x["counted"]) >= least)
         return F.struct(F.coalesce(end, start).alias("at"), F.when(counts, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(empty)
+    return F.when(F.rlike(text, pattern), found).otherwise(empty)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -119,7 +119,7 @@ def test_katz_equals_brute_force_and_is_normalised(spark, odd_rows):
 def test_surrogates_are_consistent_and_distinct(spark):
     text = "Write to ann.lee@corp.example or +1 (499) 555-6503, card 4111 1111 1111 1111, host 10.20.30.40. Mrs. Ann Lee met Herr Smith and Mr. John Smith. Version 4.0. IBAN DE89 3704 0044 0532 0130 00."
     rows = [(1, text), (2, "again ann.lee@corp.example and bob@corp.example"), (3, "clean text, 1999-2004, v1.2.3"), (4, None), (5, "")]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     new = got[1].text
     for secret in ("ann.lee", "corp.example", "555-6503", "4111 1111 1111 1111", "10.20.30.40", "Ann Lee", "Smith", "3704"):
         assert secret not in new
@@ -133,9 +133,32 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert got[3].text == rows[2][1] and got[4].text is None and got[5].text == ""
 
 
+def test_every_mention_and_spelling_of_an_entity(spark):
+    texts = [
+        "Mr. John Smith called. Later John Smith left and Smith paid; Smithson and smith stayed, SMITH's too.",
+        "J.Doe@Corp.com or j.doe@corp.com, +1 499 555 6503 or +1-499-555-6503, DE89370400440532013000 or DE89 3704 0044 0532 0130 00",
+        "госпожа Анна Иванова и господин Пётр Иванов. Иванова ушла.",
+        "Mr. McDonald met Mrs. O'Brien, Mr. Jean-Luc Picard and Dr. John Fitzgerald Kennedy of card 3782 822463 10005 today.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("own") for c in ("_any", "_new", "_key", "names", "text_", "at", "pii_spans")})
+    rows = pii.replace(df, "k").collect()
+    assert all(r[c] == "own" for r in rows for c in ("_any", "_new", "_key", "names"))
+    got = {r.doc_id: r.text for r in rows}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\. Later (\w+) (\w+) left and (\w+) paid; Smithson and smith stayed, (\w+)'s too\.", got[0])
+    assert m and m[1] == m[3] != "John" and m[2] == m[4] == m[5] == m[6].capitalize() != "Smith" and m[6].isupper()
+    a, b, p, q, i, j = re.fullmatch(r"(\S+) or (\S+), (\+1 \d{3} \d{3} \d{4}) or (\+1-\d{3}-\d{3}-\d{4}), (DE\d{20}) or (DE\d\d(?: \d{4}){4} \d\d)", got[1]).groups()
+    assert a == b and p.replace(" ", "") == q.replace("-", "") != "+14995556503" and i == j.replace(" ", "") and int(i[4:] + "1314" + i[2:4]) % 97 == 1
+    f = re.fullmatch(r"госпожа (\w+) (\w+) и господин (\w+) (\w+)\. (\w+) ушла\.", got[2])
+    assert f[2] == f[5] == f[4] + "а" and not {"Анна", "Пётр"} & {f[1], f[3]} and f[4] != "Иванов"
+    assert not re.search("Donald|Brien|Jean|Luc|Picard|John|Fitzgerald|Kennedy|3782|10005", got[3])
+    assert re.fullmatch(r"Mr\. \w+ met Mrs\. \w+, Mr\. \w+ \w+ and Dr\. \w+ \w+ \w+ of card \d{4} \d{6} \d{5} today\.", got[3])
+    with pytest.raises(ValueError):
+        pii.replace(df, "")
+
+
 def test_surrogates_never_collide(spark):
-    rows = spark.createDataFrame([("given_m", f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)], "kind string, entity string")
-    got = pii.surrogates(rows).collect()
+    rows = spark.createDataFrame([("given_m", f"name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)], "kind string, entity string")
+    got = pii.surrogates(rows, "k").collect()
     assert len(got) == 600 and len({r.surrogate for r in got}) == 600
 
 
@@ -359,7 +382,7 @@ def test_language_of_held_out_texts(spark):
 # odd and empty input
 def test_odd_input(odd, odd_rows):
     n = len(odd_rows)
-    assert pii.replace(odd).count() == n and secrets.scan(odd).count() == n and jaccard.near_duplicates(odd).count() == n
+    assert pii.replace(odd, "k").count() == n and secrets.scan(odd).count() == n and jaccard.near_duplicates(odd).count() == n
     assert langid.predict(odd.select("doc_id", "text"), *langid.learned(odd)).count() == n
     for stage in (langid.stage, jaccard.stage, secrets.stage, mixing.stage):
         out = stage(odd.sparkSession, odd, "")
@@ -371,7 +394,7 @@ def test_odd_input(odd, odd_rows):
 def test_empty_input(empty, spark):
     for stage in (langid.stage, jaccard.stage, secrets.stage, mixing.stage, packing.stage):
         assert stage(spark, empty, "").count() == 0
-    assert pii.replace(empty).count() == 0 and media.store_and_read(empty.select("doc_id", "text")).count() == 0
+    assert pii.replace(empty, "k").count() == 0 and media.store_and_read(empty.select("doc_id", "text")).count() == 0
     assert katz.score(empty.select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
     assert kneser.classify(empty.select("doc_id", "text", "lang"), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
