@@ -165,10 +165,15 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """edges: (a, b).  (node, label, old): the smallest reachable, for every node of an edge.
 
-    Each round takes the least label of a node's neighbours and then the label's own label; both joins are of written
-    tables, so that a node with very many edges can be split.
+    First each node keeps the edge to its least neighbour, to which its other lesser neighbours are tied instead, so that
+    many edges into one group become about as many as it has nodes.  Then each round takes the least label of a node's
+    neighbours and the label's own label; joins are of written tables, so that a node with very many edges can be split.
     """
-    both = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
+    pairs = written(edges.select(*_pair("a", "b")).filter("low <> high").distinct(), "pairs")
+    tied = pairs.join(pairs.groupBy("high").agg(F.min("low").alias("least")), "high")
+    few = tied.select(F.col("high").alias("x"), F.col("least").alias("y")).union(tied.filter("low <> least").select("low", "least")).distinct()
+    both = written(few.union(few.select("y", "x")).distinct(), "edges")
+    forget(pairs)
     labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("label"), F.lit(None).cast("binary").alias("old")), "labels")
     for _ in range(rounds):
         jumped = labels.select("node", "label").join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
@@ -250,7 +255,7 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
     """
     spark = members.sparkSession
     cells = members.select(F.unhex(F.lpad(F.hex("element"), 16, "0")).alias("cell"), "set_id", "n_shingles", "place", F.lit(True).alias("home"), F.lit(None).cast("double").alias("away"))
-    links, labels, level = None, spark.createDataFrame([], "node binary, label binary"), 0
+    labels, level = spark.createDataFrame([], "node binary, label binary"), 0
     known = spark.createDataFrame([], "low binary, high binary, linked boolean, d double")
     while True:
         named = cells.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
@@ -275,9 +280,10 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
         known = known.union(found) if level else found
         new = found.filter("linked").select(F.col("low").alias("a"), F.col("high").alias("b"))
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            forget(labels)
-            labels = components(links)
+            # what was connected before is so by its labels
+            old = labels
+            labels = components(new.union(labels.select("node", "label")))
+            forget(old)
         if level % 2:
             cells = written(large.select(*before.columns), "cells")
         else:
