@@ -78,33 +78,34 @@ def normalize_alleles(ref: Column, alt: Column) -> Column:
     return F.struct(F.substr(r, head + 1).alias("ref"), F.substr(a, head + 1).alias("alt"), head.alias("shift"))
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n! as a sum; n is small."""
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2)).cast("int")), F.lit(0.0), lambda a, x: a + F.log(x))).otherwise(F.lit(0.0))
-
-
 def hwe_exact(hom1: Column, het: Column, hom2: Column) -> Column:
     """(p_hwe, p_lo, p_hi) of the exact test of Hardy-Weinberg proportions: the probabilities of all heterozygote counts
-    given the alleles, relative to the observed one by the recurrence between neighbours."""
-    rare = (2 * F.least(hom1, hom2) + het).cast("int")
-    n = (hom1 + het + hom2).cast("int")
-    lo = rare % 2
-    # weight of each heterozygote count, from the smallest up: w(k+2) = w(k) * 4 hom_rare hom_common / ((k+2)(k+1)), in logs
-    step = lambda acc, k: F.struct(
-        (acc["at"] + F.log(4.0 * ((rare - k) / 2) * (n - k - (rare - k) / 2) / ((k + 2.0) * (k + 1.0)))).alias("at"),
-        F.array_append(acc["all"], acc["at"] + F.log(4.0 * ((rare - k) / 2) * (n - k - (rare - k) / 2) / ((k + 2.0) * (k + 1.0)))).alias("all"),
-    )
-    ks = F.when(rare - 2 >= lo, F.sequence(lo, F.greatest(rare - 2, lo), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    logs = F.aggregate(ks, F.struct(F.lit(0.0).alias("at"), F.array(F.lit(0.0)).alias("all")), step, lambda a: a["all"])
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    i = ((het - lo) / 2).cast("int")
-    seen = F.get(weights, i)
-    sums = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    p = sums(F.filter(weights, lambda w: w <= seen * (1 + 1e-9))) / total
-    low = sums(F.slice(weights, F.lit(1), i + 1)) / total
-    high = sums(F.slice(weights, i + 1, F.size(weights))) / total
-    value = F.struct(F.least(F.lit(1.0), p).alias("p_hwe"), F.least(F.lit(1.0), low).alias("p_lo"), F.least(F.lit(1.0), high).alias("p_hi"))
-    one = F.struct(F.lit(1.0).alias("p_hwe"), F.lit(1.0).alias("p_lo"), F.lit(1.0).alias("p_hi"))
-    return F.when(n > 0, value).otherwise(one)
+    given the alleles, relative to the observed one, by the recurrence between neighbours: up from it, then down."""
+    rare, n, seen = (2 * F.least(hom1, hom2) + het).cast("int"), (hom1 + het + hom2).cast("int"), het.cast("int")
+    counts = lambda ok, first, last, by: F.when(ok, F.sequence(first, last, F.lit(by))).otherwise(F.array().cast("array<int>"))
+    homs = lambda k: (rare - k) / 2
+    more = lambda k: 4.0 * homs(k) * (n - k - homs(k)) / ((k + 2.0) * (k + 1.0))
+    fewer = lambda k: k * (k - 1.0) / (4.0 * (homs(k) + 1) * (n - k - homs(k) + 1))
+
+    def step(side: str, ratio_: Column, acc: Column) -> Column:
+        # w: the weight at hand; one: the observed one's; sums of both sides and of weights no greater than the observed one.
+        # All are scaled down together where a weight becomes very large.
+        scaled = F.transform(F.array(acc["w"] * ratio_), lambda w: F.struct(w.alias("w"), F.when(w > 1e200, 1e-200).otherwise(1.0).alias("s")))
+
+        def add(x: Column) -> Column:
+            w, one = x["w"] * x["s"], acc["one"] * x["s"]
+            sums = {k: acc[k] * x["s"] + (w if k == side else 0.0) for k in ("up", "down")}
+            return F.struct(w.alias("w"), one.alias("one"), sums["up"].alias("up"), sums["down"].alias("down"), (acc["le"] * x["s"] + F.when(w <= one * (1 + 1e-9), w).otherwise(0.0)).alias("le"))
+
+        return F.get(F.transform(scaled, add), F.lit(0))
+
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("one"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0.0).alias("le"))
+    up = F.aggregate(counts(rare - 2 >= seen, seen, F.greatest(rare - 2, seen), 2), start, lambda acc, k: step("up", more(k), acc), lambda x: F.struct(x["one"].alias("w"), *[x[c].alias(c) for c in ("one", "up", "down", "le")]))
+
+    def ended(x: Column) -> Column:
+        total = x["one"] + x["up"] + x["down"]
+        value = lambda v, name: F.least(F.lit(1.0), v / total).alias(name)
+        return F.struct(value(x["one"] + x["le"], "p_hwe"), value(x["one"] + x["down"], "p_lo"), value(x["one"] + x["up"], "p_hi"))
+
+    out = F.aggregate(counts(seen >= 2, F.greatest(seen, F.lit(2)), F.lit(2) + seen % 2, -2), up, lambda acc, k: step("down", fewer(k), acc), ended)
+    return F.when(n > 0, out).otherwise(F.struct(F.lit(1.0).alias("p_hwe"), F.lit(1.0).alias("p_lo"), F.lit(1.0).alias("p_hi")))

@@ -20,18 +20,29 @@ def _named(cohort: Cohort) -> DataFrame:
     return cohort.calls.join(F.broadcast(cohort.samples), "sample_id")
 
 
-def recode(cohort: Cohort, info: list[str] | None = None, all_info: bool = False) -> DataFrame:
-    """A row a site: its columns as text, sample columns as one text joined by tabs.  INFO is dropped unless named."""
-    number = lambda c: F.coalesce(c.cast("string"), F.lit("."))
-    one = F.concat_ws(":", gt_text(), number(F.col("gq").cast("int")), number(F.col("dp")))
-    per = _named(cohort).groupBy("site_id").agg(in_order(one, "sample_idx", by="\t").alias("calls"))
+def _call_text() -> Column:
+    """A call under its site's FORMAT: GT as it stands now, the other fields as read, or GQ and DP where there are none."""
+    number = lambda c: c.cast("string")
+    known = lambda k: F.when(F.col("fmt").isNotNull(), F.element_at("fmt", k)).when(k == "GQ", number(F.col("gq").cast("int"))).when(k == "DP", number(F.col("dp")))
+    return F.array_join(F.transform("format", lambda k: F.when(k == "GT", gt_text()).otherwise(F.coalesce(known(k), F.lit(".")))), ":")
+
+
+def recoded(cohort: Cohort, info: list[str] | None = None, all_info: bool = False) -> DataFrame:
+    """A row a site: site_id, its columns as text, FORMAT and the sample columns as one text joined by tabs (null for a
+    site without calls).  INFO is dropped unless named."""
+    per = _named(cohort).join(cohort.sites.select("site_id", "format"), "site_id").groupBy("site_id").agg(in_order(_call_text(), "sample_idx", by="\t").alias("calls"))
     kept = F.col("info") if all_info else F.map_filter("info", lambda k, v: k.isin(*(info or [""])))
-    return cohort.sites.join(per, "site_id").select(
-        "chrom", "pos", F.coalesce("id", F.lit(".")).alias("id"), "ref", F.when(F.size("alt") == 0, ".").otherwise(F.array_join("alt", ",")).alias("alt"), number(F.col("qual")).alias("qual"),
-        F.when(F.size("filter") == 0, ".").otherwise(F.array_join("filter", ";")).alias("filter"), info_text(kept).alias("info"), F.lit("GT:GQ:DP").alias("format"), "calls",
+    return cohort.sites.join(per, "site_id", "left").select(
+        "site_id", "chrom", "pos", F.coalesce("id", F.lit(".")).alias("id"), "ref", F.when(F.size("alt") == 0, ".").otherwise(F.array_join("alt", ",")).alias("alt"), F.coalesce(F.col("qual").cast("string"), F.lit(".")).alias("qual"),
+        F.when(F.size("filter") == 0, ".").otherwise(F.array_join("filter", ";")).alias("filter"), info_text(kept).alias("info"), F.when(F.col("calls").isNotNull(), F.array_join("format", ":")).alias("format"), "calls",
     )
 
 
+def recode(cohort: Cohort, info: list[str] | None = None, all_info: bool = False) -> DataFrame:
+    """A row a site as text, see ``recoded``."""
+    return recoded(cohort, info, all_info).drop("site_id")
+
+
 def _bases(missing: str = "0") -> Column:
     base = lambda i: F.when(F.col("included") & i.isNotNull(), allele(i)).otherwise(missing)
     second = F.when(F.col("ploidy") == 1, F.col("a1")).otherwise(F.col("a2"))

@@ -99,14 +99,8 @@ on_cohort("relatedness2", individual.kinship, DOSE + """, y AS (SELECT a.sample_
 on_cohort("lroh", individual.homozygous_runs)
 
 
-def _eight(spark: SparkSession, sf_dir: str):
-    """Eight samples and the sites at which all of them are called."""
-    c = mapping.cohort(spark, sf_dir)
-    return filters.keep_samples(c, c.samples.filter("sample_idx < 4"))
-
-
-query("pca", lambda s, d: individual.principal_components(_eight(s, d)))
-query("pca_loadings", lambda s, d: individual.loadings(_eight(s, d), 2))
+on_cohort("pca", individual.principal_components)
+on_cohort("pca_loadings", lambda c: individual.loadings(c, 2))
 
 # windows
 on_cohort("snp_density", lambda c: windows.snp_density(c, 1000), """, s AS (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY site_id) AS before FROM site WHERE len(alt) > 0),
@@ -191,8 +185,8 @@ on_cohort("geno_chisq_p", lambda c: ld.genotype_chisq(c, 100))
 
 ACROSS = """, s AS (SELECT site_id, 0 AS rn FROM {src}), d AS ({rows}), j AS (SELECT a.chrom AS chrom_a, a.pos AS pos_a, b.chrom AS chrom_b, b.pos AS pos_b, a.site_id AS i, b.site_id AS k, a.x, b.x AS y FROM d a JOIN d b ON a.sample_id = b.sample_id AND a.chrom < b.chrom),
   z AS (SELECT chrom_a, pos_a, chrom_b, pos_b, i, k, {sums} FROM j GROUP BY ALL) SELECT * FROM (SELECT chrom_a, pos_a, chrom_b, pos_b, {out} FROM z) WHERE r2 >= 0.2037"""
-on_cohort("interchrom_geno_r2", lambda c: ld.genotype_r2_across(filters.apply(c, Filters(min_q=60.0)), 0.2037), ACROSS.format(src="(SELECT * FROM bi WHERE qual >= 60)", rows=GENO, sums=SUMS, out=f"n AS n_indv, {R2} AS r2"))
-on_cohort("interchrom_hap_r2", lambda c: ld.haplotype_r2_across(filters.apply(c, Filters(min_q=60.0)), 0.2037), ACROSS.format(src="(SELECT * FROM bi WHERE all_phased AND qual >= 60)", rows=HAPS, sums=SUMS, out=HAP))
+on_cohort("interchrom_geno_r2", lambda c: ld.genotype_r2_across(c, 0.2037), ACROSS.format(src="bi", rows=GENO, sums=SUMS, out=f"n AS n_indv, {R2} AS r2"))
+on_cohort("interchrom_hap_r2", lambda c: ld.haplotype_r2_across(c, 0.2037), ACROSS.format(src=PHASED, rows=HAPS, sums=SUMS, out=HAP))
 LISTED = """, s AS (SELECT site_id, 0 AS rn FROM {src}), d AS ({rows}), j AS (SELECT a.chrom, a.pos AS pos_a, b.pos AS pos_b, a.site_id AS i, b.site_id AS k, a.x, b.x AS y FROM d a JOIN d b ON a.sample_id = b.sample_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 400
     WHERE a.site_id % 50 = 0 AND b.site_id % 50 <> 0),
   z AS (SELECT chrom, pos_a, pos_b, i, k, {sums} FROM j GROUP BY ALL) SELECT chrom, pos_a, pos_b, {out} FROM z"""
@@ -306,8 +300,19 @@ query("compare_venn", lambda s, d: sets.venn(_three(s, d)), THREE + "SELECT file
 query("concat", lambda s, d: sets.concat(_three(s, d)).select("chrom", "pos", "ref", "src"), THREE + "SELECT chrom, pos, ref, src FROM u")
 query("merge", lambda s, d: sets.merge([mapping.first(s, d), mapping.second(s, d)]), """, u AS (SELECT *, 1 AS src FROM one UNION ALL SELECT *, 2 FROM two), lr AS (SELECT chrom, pos, arg_max(ref, length(ref) * 10 - src) AS mr FROM u GROUP BY ALL),
   x AS (SELECT u.*, mr, list_transform(alt, lambda a: a || substr(mr, length(ref) + 1)) AS alts FROM u JOIN lr ON u.chrom = lr.chrom AND u.pos = lr.pos),
-  g AS (SELECT chrom, pos, mr, flatten(list(alts ORDER BY src)) AS al, flatten(list(filter ORDER BY src)) AS fl, avg(qual) AS qual, string_agg(CAST(src - 1 AS VARCHAR), ',' ORDER BY src) AS sf FROM x GROUP BY ALL)
-  SELECT chrom, pos, mr AS ref, array_to_string(list_filter(al, lambda v, i: list_position(al, v) = i), ',') AS alt, round(qual, 6) + 0.0 AS qual, array_to_string(list_sort(list_distinct(list_filter(fl, lambda f: f <> 'PASS'))), ';') AS filter, sf FROM g""")
+  g AS (SELECT chrom, pos, mr, flatten(list(alts ORDER BY src)) AS al, flatten(list(filter ORDER BY src)) AS fl, avg(qual) AS qual, string_agg(CAST(src - 1 AS VARCHAR), ',' ORDER BY src) AS sf, coalesce(nullif(concat_ws(';', 'AA=' || any_value(aa), CASE WHEN bool_or(db) THEN 'DB=1' END), ''), '.') AS info FROM x GROUP BY ALL)
+  SELECT chrom, pos, info, mr AS ref, array_to_string(list_filter(al, lambda v, i: list_position(al, v) = i), ',') AS alt, round(qual, 6) + 0.0 AS qual, array_to_string(list_sort(list_distinct(list_filter(fl, lambda f: f <> 'PASS'))), ';') AS filter, sf FROM g""")
+query("merge_genotypes", lambda s, d: sets.merge_records([mapping.first(s, d), mapping.second(s, d)]), """, u AS (SELECT *, 1 AS src FROM one UNION ALL SELECT *, 2 FROM two), lr AS (SELECT chrom, pos, arg_max(ref, length(ref) * 10 - src) AS mr FROM u GROUP BY ALL),
+  x AS (SELECT u.*, mr, list_transform(alt, lambda a: a || substr(mr, length(ref) + 1)) AS alts FROM u JOIN lr ON u.chrom = lr.chrom AND u.pos = lr.pos),
+  g AS (SELECT chrom, pos, mr, flatten(list(alts ORDER BY src)) AS al, coalesce(nullif(concat_ws(';', 'AA=' || any_value(aa), CASE WHEN bool_or(db) THEN 'DB=1' END), ''), '.') AS info FROM x GROUP BY ALL),
+  m AS (SELECT chrom, pos, mr, info, list_filter(al, lambda v, i: list_position(al, v) = i) AS al FROM g),
+  cc AS (SELECT 1 AS src, site_id, sample_id, a1, a2, ploidy, phased FROM call1 UNION ALL SELECT 2, site_id, sample_id, a1, a2, ploidy, phased FROM call2),
+  n AS (SELECT x.chrom, x.pos, cc.src || '_' || sample_id AS name, ploidy, cc.phased, CASE WHEN a1 = 0 THEN 0 WHEN a1 <= len(alts) THEN list_position(m.al, alts[a1]) END AS b1, CASE WHEN a2 = 0 THEN 0 WHEN a2 <= len(alts) THEN list_position(m.al, alts[a2]) END AS b2
+    FROM cc JOIN x ON cc.src = x.src AND cc.site_id = x.site_id JOIN m ON m.chrom = x.chrom AND m.pos = x.pos),
+  t AS (SELECT *, name || '=' || CASE WHEN ploidy = 1 THEN coalesce(CAST(b1 AS VARCHAR), '.') ELSE coalesce(CAST(b1 AS VARCHAR), '.') || CASE WHEN phased THEN '|' ELSE '/' END || coalesce(CAST(b2 AS VARCHAR), '.') END AS gt FROM n),
+  c AS (SELECT chrom, pos, CAST(count(b1) + count(b2) AS INT) AS an, coalesce(string_agg(gt, ' ' ORDER BY name) FILTER (b1 IS NOT NULL OR b2 IS NOT NULL), '') AS genotypes, flatten(list([b1, b2])) AS every FROM t GROUP BY ALL)
+  SELECT m.chrom, m.pos, mr AS ref, array_to_string(al, ',') AS alt, info, coalesce(an, 0) AS an, coalesce(array_to_string(list_transform(range(1, len(al) + 1), lambda i: len(list_filter(every, lambda b: b = i))), ','), '') AS ac, coalesce(genotypes, '') AS genotypes
+  FROM m LEFT JOIN c ON c.chrom = m.chrom AND c.pos = m.pos""")
 both("compare_genotypes", sets.genotype_agreement, """SELECT CASE WHEN i1 = 0 AND j1 = 0 THEN 'hom_RR' WHEN i1 = 0 OR j1 = 0 THEN 'het_RA' WHEN i1 = j1 THEN 'hom_AA' ELSE 'het_AA' END AS kind,
   count_if(both_called AND equal) AS n_match, count_if(both_called AND NOT equal) AS n_mismatch, count_if(NOT both_called) AS n_lost FROM same WHERE x1 IS NOT NULL AND y1 IS NOT NULL GROUP BY 1""")
 
@@ -315,7 +320,7 @@ both("compare_genotypes", sets.genotype_agreement, """SELECT CASE WHEN i1 = 0 AN
 query("annotate", lambda s, d: records.annotate(mapping.cohort(s, d), mapping.intervals(s, d), "GENE", "end").select("chrom", "pos", records.info_text(F.col("info")).alias("info")), """, v AS (SELECT site_id, array_to_string(list_sort(list(DISTINCT CAST(iv."end" AS VARCHAR))), ',') AS v FROM site JOIN iv ON iv.chrom = site.chrom AND iv.start < pos AND iv."end" >= pos GROUP BY site_id)
   SELECT chrom, pos, CASE WHEN aa IS NULL AND NOT db AND v IS NULL THEN '.' ELSE concat_ws(';', 'AA=' || aa, CASE WHEN db THEN 'DB=1' END, 'GENE=' || v) END AS info FROM site LEFT JOIN v USING (site_id)""")
 on_cohort("fill_an_ac", records.fill_counts, "SELECT chrom, pos, any_value(n_called) AS an, coalesce(string_agg(CAST(count AS VARCHAR), ',' ORDER BY allele_idx) FILTER (allele_idx > 0), '') AS ac FROM allele GROUP BY site_id, chrom, pos")
-on_cohort("fill_hwe_icf", lambda c: records.fill_statistics(c).drop("hwe"), "SELECT chrom, pos, round(1 - h / nullif(2 * p * (1 - p) * n, 0), 6) + 0.0 AS icf FROM (SELECT *, r + h + a AS n, (2 * r + h) / (2.0::DOUBLE * (r + h + a)) AS p FROM bi WHERE r + h + a > 0)")
+on_cohort("fill_hwe_icf", lambda c: records.fill_statistics(c).select("chrom", "pos", "icf"), "SELECT chrom, pos, round(1 - h / nullif(2 * p * (1 - p) * n, 0), 6) + 0.0 AS icf FROM (SELECT *, r + h + a AS n, (2 * r + h) / (2.0::DOUBLE * (r + h + a)) AS p FROM bi WHERE r + h + a > 0)")
 TYPE = "CASE WHEN b = ref THEN 'r' WHEN length(b) = length(ref) THEN 's' WHEN starts_with(b, ref) OR starts_with(ref, b) OR ends_with(b, ref) OR ends_with(ref, b) THEN 'i' ELSE 'o' END"
 on_cohort("fill_type", records.fill_type, f"SELECT chrom, pos, ref, b AS alt, {TYPE} AS type FROM (SELECT *, unnest(alt) AS b FROM site)")
 on_cohort("named_filters", lambda c: records.named_filters(c.sites, {"LowQual": F.col("qual") < 40, "RefN": F.contains("ref", F.lit("N")), "Even": F.col("pos") % 2 == 0}).select("chrom", "pos", F.array_join("filter", ";").alias("filter")), """, x AS (SELECT chrom, pos, list_sort(list_distinct(list_concat(list_filter(filter, lambda f: f <> 'PASS'), CASE WHEN qual < 40 THEN ['LowQual'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN pos % 2 = 0 THEN ['Even'] ELSE CAST([] AS VARCHAR[]) END))) AS f FROM site)
@@ -352,10 +357,11 @@ on_cohort("validate", lambda c: records.validate(c, {"AA"}, {"q10"}).groupBy("ru
 
 
 def _halves(s: SparkSession, d: str) -> tuple:
-    out = []
-    for c, low, high in ((mapping.first(s, d), 0, 1200), (mapping.second(s, d), 800, 10**9)):
+    """The complete phased calls of the first three and the last three fifths of all sites, by position."""
+    out, last = [], mapping.cohort(s, d).sites.agg(F.max("pos")).first()[0]
+    for c, part in ((mapping.first(s, d), F.col("pos") <= 0.6 * last), (mapping.second(s, d), F.col("pos") >= 0.4 * last)):
         rows = c.calls.filter("phased and a1 is not null and a2 is not null").join(c.sites.select("site_id", "chrom", "pos"), "site_id")
-        out.append(rows.filter(f"site_id between {low} and {high}").select("sample_id", "chrom", "pos", "a1", "a2"))
+        out.append(rows.filter(part).select("sample_id", "chrom", "pos", "a1", "a2"))
     return tuple(out)
 
 
@@ -389,15 +395,17 @@ on_cohort("to_tab", export.to_tab, f"SELECT s.chrom, s.pos, s.ref, {CALLS.format
 on_cohort("query_template", lambda c: export.template(c, "%CHROM:%POS %REF/%ALT AA=%INFO/AA[ %SAMPLE=%GTR]"), f"SELECT s.chrom, s.pos, s.chrom || ':' || s.pos || ' ' || s.ref || '/' || alt_text || ' AA=' || coalesce(aa, '.') || string_agg(' ' || sample_id || '=' || {GT}, '' ORDER BY sample_idx) AS line FROM call c JOIN site s USING (site_id) GROUP BY s.site_id, s.chrom, s.pos, s.ref, alt_text, aa")
 
 
-def _reference(s: SparkSession) -> DataFrame:
-    """A made-up reference: every chunk of 60 bases follows from its number."""
-    rows = s.range(0, 5 * 700).selectExpr("concat('chr', id % 5 + 1) AS chrom", "cast(id div 5 AS int) AS k")
+def _reference(s: SparkSession, d: str) -> DataFrame:
+    """A made-up reference beyond the last site: every chunk of 60 bases follows from its number."""
+    last = mapping.cohort(s, d).sites.agg(F.max("pos")).first()[0] or 0
+    rows = s.range(0, 5 * ((last + 10) // 60 + 2)).selectExpr("concat('chr', id % 5 + 1) AS chrom", "cast(id div 5 AS int) AS k")
     return rows.selectExpr("chrom", "k * 60 + 1 AS start", "array_join(transform(sequence(1, 60), i -> substr('ACGT', cast((k * 60 + i) * 7 % 11 % 4 + 1 AS int), 1)), '') AS seq")
 
 
 AT = "substr('ACGT', CAST(({}) * 7 % 11 % 4 + 1 AS INT), 1)"
-query("fill_aa", lambda s, d: sequence.ancestral(mapping.cohort(s, d), _reference(s)), f"SELECT chrom, pos, CASE WHEN pos <= 42000 THEN {AT.format('pos')} ELSE 'N' END AS aa FROM site")
-query("fill_fs", lambda s, d: sequence.flanks(filters.apply(mapping.cohort(s, d), Filters(chrom=("chr2",), from_bp=20, to_bp=30000)), _reference(s), 10), f"""SELECT chrom, pos, array_to_string(list_transform(range(pos - 10, pos), lambda i: {AT.format('i')}), '') || '[' || ref || '/' || array_to_string(alt, ',') || ']' || array_to_string(list_transform(range(pos + 1, pos + 11), lambda i: {AT.format('i')}), '') AS flank
-  FROM site WHERE chrom = 'chr2' AND pos BETWEEN 20 AND 30000""")
-query("fill_ref_md5", lambda s, d: sequence.digests(_reference(s)), f"SELECT 'chr' || c AS chrom, md5(array_to_string(list_transform(range(1, 42001), lambda i: {AT.format('i')}), '')) AS md5, 42000::BIGINT AS length FROM (SELECT unnest([1, 2, 3, 4, 5]) AS c)", prelude=False)
-query("consensus", lambda s, d: sequence.consensus(mapping.cohort(s, d), _reference(s), "S01"))
+query("fill_aa", lambda s, d: sequence.ancestral(mapping.cohort(s, d), _reference(s, d)), f"SELECT chrom, pos, {AT.format('pos')} AS aa FROM site")
+FLANK = f"CASE WHEN i < 1 THEN 'N' ELSE {AT.format('i')} END"
+query("fill_fs", lambda s, d: sequence.flanks(mapping.cohort(s, d), _reference(s, d), 10), f"""SELECT chrom, pos, array_to_string(list_transform(range(pos - 10, pos), lambda i: {FLANK}), '') || '[' || ref || '/' || array_to_string(alt, ',') || ']' || array_to_string(list_transform(range(pos + 1, pos + 11), lambda i: {FLANK}), '') AS flank FROM site""")
+query("fill_ref_md5", lambda s, d: sequence.digests(_reference(s, d)), f""", n AS (SELECT ((max(pos) + 10) // 60 + 2) * 60 AS n FROM site)
+  SELECT 'chr' || c AS chrom, md5(array_to_string(list_transform(range(1, n + 1), lambda i: {AT.format('i')}), '')) AS md5, CAST(n AS BIGINT) AS length FROM n CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS c)""")
+query("consensus", lambda s, d: sequence.consensus(mapping.cohort(s, d), _reference(s, d), "S01"))

@@ -23,10 +23,12 @@ def parse_header(lines: list[str]) -> tuple[list[Field], list[str]]:
 
 
 def read(spark: SparkSession, path: str) -> Cohort:
-    """A file or folder of text (plain or .gz).  The header comes from the lines that start with #, which are read first;
-    files of one folder must share it."""
+    """A file or folder of text (plain or .gz).  The header comes from the lines that start with # of the first file that
+    has any; files of one folder must share it."""
     text = spark.read.text(path)
-    header = [r["value"] for r in text.filter(F.col("value").startswith("#")).limit(100_000).collect()]
+    heads = text.filter(F.col("value").startswith("#")).select("value", F.input_file_name().alias("file"))
+    first = heads.agg(F.min("file")).first()[0]
+    header = [r["value"] for r in heads.filter(F.col("file") == first).collect()]  # one file's declarations
     fields, samples = parse_header(header)
     lines = text.filter(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0))
     return parse(spark, lines, header, fields, samples)
@@ -52,10 +54,10 @@ def parse(spark: SparkSession, lines: DataFrame, header: list[str], fields: list
     each = each.select("site_id", F.get(names, F.col("i")).alias("sample_id"), F.map_from_entries(F.transform("format", lambda k, i: F.struct(k, F.get(values, i)))).alias("fmt"))
     gt = F.coalesce(F.col("fmt")["GT"], F.lit("./."))
     parts = F.split(gt, r"[/|]")
-    haploid = F.size(parts) == 1
+    haploid, gq = F.size(parts) == 1, F.col("fmt")["GQ"].try_cast("double")
     calls = each.select(
         "site_id", "sample_id", F.get(parts, F.lit(0)).try_cast("int").alias("a1"), F.get(parts, F.lit(1)).try_cast("int").alias("a2"), F.when(haploid, 1).otherwise(2).cast("tinyint").alias("ploidy"),
-        (haploid | F.contains(gt, F.lit("|"))).alias("phased"), F.least(F.col("fmt")["GQ"].try_cast("double"), F.lit(99.0)).alias("gq"), F.col("fmt")["DP"].try_cast("int").alias("dp"),
+        (haploid | F.contains(gt, F.lit("|"))).alias("phased"), F.when(gq > 99, 99.0).otherwise(gq).alias("gq"), F.col("fmt")["DP"].try_cast("int").alias("dp"),
         F.when(F.coalesce(F.col("fmt")["FT"], F.lit(".")).isin(".", ""), empty).otherwise(F.split(F.col("fmt")["FT"], ";")).alias("ft"), "fmt", F.lit(True).alias("included"),
     )
     return Cohort(sites, calls, spark.createDataFrame([(s, i) for i, s in enumerate(samples)], "sample_id string, sample_idx int"), header, fields)
@@ -63,9 +65,9 @@ def parse(spark: SparkSession, lines: DataFrame, header: list[str], fields: list
 
 def lines(cohort: Cohort, all_info: bool = True) -> DataFrame:
     """(value): the records as text lines, in the order of chromosome and line."""
-    from locusframe.operators.export import recode
+    from locusframe.operators.export import recoded
 
-    rows = recode(cohort, all_info=all_info).join(cohort.sites.select("chrom", "pos", "line_no"), ["chrom", "pos"])
+    rows = recoded(cohort, all_info=all_info).join(cohort.sites.select("site_id", "line_no"), "site_id")
     return rows.orderBy("line_no").select(F.concat_ws("\t", "chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "calls").alias("value"))
 
 
@@ -74,6 +76,6 @@ def write(cohort: Cohort, path: str, all_info: bool = True) -> None:
     spark = cohort.sites.sparkSession
     head = [h for h in cohort.header if h.startswith("##")] or ["##fileformat=VCFv4.2"]
     names = [r["sample_id"] for r in cohort.samples.orderBy("sample_idx").collect()]
-    head.append("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names]))
+    head.append("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *names] if names else [])]))
     spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.mode("append").text(f"{path}/header")
     lines(cohort, all_info).write.mode("append").text(f"{path}/records")

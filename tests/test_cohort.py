@@ -194,3 +194,84 @@ def test_streaming_counts(spark, tmp_path):
 
 def test_windowed_statistics_skip_nothing(cohort):
     assert sum(r.n_variants for r in windows.snp_density(cohort, 10).collect()) == 4
+
+
+VCF = """##fileformat=VCFv4.2
+##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2
+1\t10\t.\tA\tC\t30.5\tPASS\tDP=3\tGT:AD:GQ\t0/1:3,4:.\t1|1:0,9:120
+1\t10\t.\tA\tG\t.\t.\t.\tGT\t./.\t0/1
+1\t20\trs1\tAC\tA,G\t7.0\tq10;s50\tDB\tGT:PL\t1|2:1,2,3\t0/0:.
+"""
+
+
+def test_files_come_back_as_they_were(spark, tmp_path):
+    import gzip
+
+    from locusframe.operators import filters
+    from locusframe.operators.filters import Filters
+    from locusframe.sources import vcf
+
+    with gzip.open(tmp_path / "a.vcf.gz", "wt") as f:
+        f.write(VCF)
+    c = vcf.read(spark, f"file://{tmp_path}/a.vcf.gz")
+    gq = {(r.site_id, r.sample_id): r.gq for r in c.calls.collect()}
+    assert sorted(v for v in gq.values() if v is not None) == [99.0] and len(gq) == 6
+    kept = filters.apply(c, Filters(min_gq=20.0)).calls.filter("included").collect()
+    assert [(r.sample_id, r.gq) for r in kept] == [("s2", 99.0)]
+    body = [x for x in VCF.splitlines() if not x.startswith("#")]
+    assert [r.value for r in vcf.lines(c).collect()] == [x.replace("DB", "DB=1") for x in body]
+    vcf.write(c, f"file://{tmp_path}/out")
+    again = vcf.read(spark, f"file://{tmp_path}/out/*")
+    assert sorted(r.value for r in vcf.lines(again).collect()) == sorted(x.replace("DB", "DB=1") for x in body)
+
+
+def test_a_file_without_samples_keeps_its_records(spark, tmp_path):
+    from locusframe.sources import vcf
+
+    rows = ["\t".join(x.split("\t")[:8]) for x in VCF.splitlines() if not x.startswith("##")]
+    (tmp_path / "s.vcf").write_text("\n".join(["##fileformat=VCFv4.2", *rows]) + "\n")
+    c = vcf.read(spark, f"file://{tmp_path}/s.vcf")
+    assert c.samples.count() == 0 and [r.value for r in vcf.lines(c).collect()] == [x.replace("DB", "DB=1") for x in rows[1:]]
+
+
+def test_consensus_equals_brute_force(spark):
+    import random
+
+    from locusframe.operators import sequence
+    from locusframe.schema import SAMPLES, CALLS, SITES, Cohort
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGT") for _ in range(200))
+    variants = []
+    for i, pos in enumerate(sorted(rng.sample(range(1, 198), 45))):
+        ref = text[pos - 1 : pos - 1 + rng.choice([1, 1, 2, 3, 25])]
+        variants.append((i, pos, ref, rng.choice(["T", "GG", ref[0], "ACGTA"])))
+    sites = spark.createDataFrame([(i, "c", p, None, r, [a], None, [], {}, ".", ["GT"], i) for i, p, r, a in variants], SITES)
+    cohort = Cohort(sites, spark.createDataFrame([], CALLS), spark.createDataFrame([], SAMPLES))
+    chunks = spark.createDataFrame([("c", k + 1, text[k : k + 10]) for k in range(0, 200, 10)], "chrom string, start int, seq string")
+    want, at = "", 0
+    for _, p, r, a in variants:
+        if p - 1 >= at:
+            want, at = want + text[at : p - 1] + a, p - 1 + len(r)
+    want += text[at:]
+    got = "".join(r.seq for r in sequence.consensus(cohort, chunks).orderBy("start").collect())
+    assert got == want
+
+
+def test_merge_numbers_alleles_anew_and_keeps_the_first_info(spark):
+    from locusframe.operators import sets
+    from locusframe.schema import SAMPLES, CALLS, SITES, Cohort
+
+    def one(ref, alt, info, gts, names, qual):
+        site = spark.createDataFrame([(0, "1", 5, None, ref, alt, qual, ["PASS"], info, ".", ["GT"], 0)], SITES)
+        calls = spark.createDataFrame([(0, n, a, b, 2, False, None, None, [], None, True) for n, (a, b) in zip(names, gts)], CALLS)
+        return Cohort(site, calls, spark.createDataFrame([(n, i) for i, n in enumerate(names)], SAMPLES))
+
+    a = one("A", ["G"], {"X": "1"}, [(0, 1), (None, None)], ["s", "t"], 10.0)
+    b = one("AC", ["T", "GC"], {"X": "2", "Y": "3"}, [(1, 2)], ["s"], 40.0)
+    r = sets.merge_records([a, b]).first()
+    assert (r.ref, r.alt, r["info"], r.an, r.ac, r.genotypes) == ("AC", "GC,T", "X=1;Y=3", 4, "2,1", "1_s=0/1 2_s=2/1")
+    assert sets.merge([a, b]).first().qual == 20.0
+    none = one("A", ["G"], {}, [], [], 7.0)
+    assert sets.merge([none, none]).first().qual == 7.0
