@@ -3,9 +3,9 @@
 Characters are taken as they are, in any script, so the number of n-grams grows with the corpus.  Tasks count them by
 blocks of trusted texts, the counts meet by n-gram in an aggregate, and continuation counts, discounts, probabilities and
 backoff weights of all orders are tables keyed by n-gram; the driver gets eight counts an order.  The documents to be
-scored are packed into blocks; the distinct n-grams of a block are joined with the model by n-gram and what is found
-goes back to the block, where each document gets its perplexity.  A document is kept if its perplexity is within the
-quantile of the trusted documents of its language.
+scored are packed into blocks; the distinct n-grams of a block are joined with the model by n-gram, those that it hasn't
+with the tables of lower orders in turn, and their probabilities go back to the block, where each document gets its
+perplexity.  A document is kept if its perplexity is within the quantile of the trusted documents of its language.
 
 Nulls and odd cases: a null or empty text has no perplexity and is not kept; a null lang is a language of its own; a
 language without trusted documents takes the threshold over all trusted ones, and without any all texts are kept; a null
@@ -16,6 +16,8 @@ are scored whole; an empty table gives an empty result; further input columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,139 +26,55 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table, written
+from locusframe.llm.common import bloom_filters, table, written
 
 ORDER = 4
 #: Characters of a block, unless a single text is longer.
-BLOCK = 8_000_000
+BLOCK = 13_000_000
 #: Level at which blocks are compressed.
 PACKED = 9
-#: Symbols of the dense form below, which no query uses: a model whose n-grams are few whatever the text.
-SYMBOLS = 40
 #: Share of a language's trusted documents that its threshold lets pass.
 QUANTILE = 0.995
 #: Steps of log10 perplexity in which quantiles are taken.
 STEP = 0.001
 #: Languages whose thresholds are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
-UPPER, DIGIT, SPACE, LINE, STOP, COMMA, CALL, BAR, SIGN, OTHER = range(30, 40)
-
-
-def _table() -> np.ndarray:
-    """Symbol of each character below U+0250."""
-    out = np.full(0x250, SIGN, np.uint8)
-    for c in range(0x250):
-        s = chr(c)
-        if "a" <= s <= "z":
-            out[c] = c - 97
-        elif s.isupper():
-            out[c] = UPPER
-        elif s.isalpha():
-            out[c] = 26 + c % 4
-        elif s.isdigit():
-            out[c] = DIGIT
-        elif s in "\n\r\x0b\x0c":
-            out[c] = LINE
-        elif s.isspace():
-            out[c] = SPACE
-        elif s in ".;:":
-            out[c] = STOP
-        elif s in ",-'’":
-            out[c] = COMMA
-        elif s in "!?":
-            out[c] = CALL
-        elif s == "|":
-            out[c] = BAR
-    return out
-
-
-TABLE = _table()
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram number of every character of the texts, behind ORDER - 1 line ends each, and the characters of each."""
-    start = "\n" * (ORDER - 1)
-    codes = np.frombuffer(start.join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.where(codes < 0x250, TABLE[np.minimum(codes, 0x24F)], OTHER).astype(np.int32)
-    number = np.zeros(max(0, len(symbols) - ORDER + 1), np.int32)
-    for k in range(ORDER):
-        number = number * SYMBOLS + symbols[k : len(symbols) - ORDER + 1 + k]
-    n = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(n + ORDER - 1)  # of each text within symbols
-    keep = np.ones(len(number), bool)
-    for k in range(ORDER - 1):  # n-grams that would end in the next text's start
-        at = ends[:-1] - ORDER + 1 + 1 + k
-        keep[at[at < len(keep)]] = False
-    return number[keep], n
-
-
-def probabilities(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """log10 P(last symbol | those before) of every n-gram: interpolated modified Kneser-Ney.
-
-    The highest order uses counts, lower ones the number of distinct symbols before.  Discounts for counts of 1, 2 and
-    more follow from the counts of counts; where those leave them undefined they are 0.5, 1 and 1.5.
-    """
-    counts = [np.zeros(SYMBOLS**ORDER)]
-    counts[0][gram] = count
-    for n in range(ORDER - 1, 0, -1):
-        counts.insert(0, (counts[0].reshape(SYMBOLS, SYMBOLS**n) > 0).sum(axis=0).astype(float))
-    lower = np.full(1, 1.0 / SYMBOLS)
-    for n, c in enumerate(counts, 1):
-        n1, n2, n3, n4 = (float((c == k).sum()) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0
-        cut = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 else [0.5, 1.0, 1.5]
-        cut = [min(max(d, 0.05), k) for k, d in enumerate(cut, 1)]
-        by = c.reshape(-1, SYMBOLS)
-        total = by.sum(axis=1, keepdims=True)
-        kept = by - np.select([by == 0, by == 1, by == 2], [0.0, cut[0], cut[1]], cut[2])
-        spare = total - kept.sum(axis=1, keepdims=True)
-        # the context without its first symbol: the lower order's contexts, again for each first symbol
-        below = np.full((1, SYMBOLS), lower[0]) if n == 1 else np.tile(lower.reshape(-1, SYMBOLS), (SYMBOLS, 1))
-        lower = np.where(total > 0, (kept + spare * below) / np.where(total > 0, total, 1), below).reshape(-1)
-    return np.log10(lower).astype(np.float32)
 
 
 class Coded:
-    """The n-grams of some texts, of every order up to ORDER, behind ORDER - 1 line ends each."""
+    """The n-grams of some texts, behind ORDER - 1 line ends each."""
 
     def __init__(self, texts: list[str]):
         start = "\n" * (ORDER - 1)
         codes = np.frombuffer(start.join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.n = np.array([len(t) for t in texts], np.int64)
-        #: where each text's n-grams of the highest order begin
+        #: where each text's n-grams begin
         self.begin = np.cumsum(self.n + ORDER - 1) - self.n - ORDER + 1
         symbols = pa.array(codes).dictionary_encode()
         alphabet, symbol = symbols.dictionary.to_numpy(), symbols.indices.to_numpy()
-        #: by order: the distinct n-grams' code points, and which of the order below are their first and last part
-        self.points, self.first, self.last = [np.zeros((1, 0), np.uint32), alphabet.reshape(-1, 1)], [None, np.zeros(len(alphabet), np.int64)], [None, np.zeros(len(alphabet), np.int64)]
-        at = symbol
+        #: the distinct n-grams' code points, and the n-gram at each place
+        self.points, self.at = alphabet.reshape(-1, 1), symbol
         for n in range(2, ORDER + 1):
-            number = at[:-1].astype(np.int64)
+            number = self.at[:-1].astype(np.int64)
             number *= len(alphabet)
             number += symbol[n - 1 :]
             found = pa.array(number).dictionary_encode()
-            whole, below = found.indices.to_numpy(), found.dictionary.to_numpy()
-            last = np.zeros(len(below), np.int64)
-            last[whole] = at[1:]
-            self.first.append(below // len(alphabet))
-            self.last.append(last)
-            self.points.append(np.hstack([self.points[-1][self.first[-1]], alphabet[below % len(alphabet)].reshape(-1, 1)]))
-            at = whole
-        #: the n-gram of the highest order at each place
-        self.at = at
-
-    def keys(self, n: int) -> pa.Array:
-        """The distinct n-grams of an order, four bytes a code point."""
-        rows = np.ascontiguousarray(self.points[n])
-        offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(4 * n))
+            number = None
+            self.at, below = found.indices.to_numpy(), found.dictionary.to_numpy()
+            self.points = np.hstack([self.points[below // len(alphabet)], alphabet[below % len(alphabet)].reshape(-1, 1)])
+
+    def keys(self) -> pa.Array:
+        """The distinct n-grams, four bytes a code point."""
+        rows = np.ascontiguousarray(self.points)
+        offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(4 * ORDER))
         return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows)])
 
     def counts(self) -> np.ndarray:
-        """How often the texts hold each n-gram of the highest order; those that end in the next text's start don't count."""
+        """How often the texts hold each n-gram; those that end in the next text's start don't count."""
         keep = np.ones(len(self.at), bool)
         for k in range(ORDER - 1):
             keep[(self.begin + self.n)[:-1] + k] = False
-        return np.bincount(self.at[keep], minlength=len(self.points[ORDER]))
+        return np.bincount(self.at[keep], minlength=len(self.points))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
@@ -185,7 +103,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for block in _blocks(batches, 0):
             coded = Coded(_texts(block, 0))
             total = coded.counts()
-            yield pa.RecordBatch.from_arrays([coded.keys(ORDER).filter(pa.array(total > 0)), pa.array(total[total > 0], pa.int64())], ["gram", "count"])
+            yield pa.RecordBatch.from_arrays([coded.keys().filter(pa.array(total > 0)), pa.array(total[total > 0], pa.int64())], ["gram", "count"])
 
     return docs.select("text").mapInArrow(count, "gram binary, count long").groupBy("gram").agg(F.sum("count").alias("count"))
 
@@ -197,70 +115,83 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(d, 0.05), k) for k, d in enumerate(cut, 1)]
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """counts: written (gram, count) of the highest order.  gram of any order, log_p = log10 P(last code point | those
-    before), null if it is a context only, and log_back = log10 of its backoff weight, null if it is no context.
+@dataclass(frozen=True)
+class Model:
+    """Of each order n, ``seen[n]``: (gram, log_p = log10 P(last code point | those before)), and ``back[n]``: (context, the
+    n - 1 code points before; log_back = log10 of its backoff weight).  ``unknown``: log10 P of a code point of which nothing is known."""
 
-    The empty n-gram stands for a code point of which nothing is known: one over the number of known ones and one more.
-    """
+    seen: dict[int, DataFrame]
+    back: dict[int, DataFrame]
+    unknown: float
+
+
+def _part(gram: str, start: int, n: int) -> Column:
+    return F.substring(gram, 4 * start + 1, 4 * n)
 
-    def part(gram: str, start: int, n: int) -> Column:
-        return F.substring(gram, 4 * start + 1, 4 * n)
 
+def model(counts: DataFrame) -> Model:
+    """counts: written (gram, count) of the highest order.  An unknown code point is one of the known ones and one more."""
     by_order = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
-        by_order[n] = written(by_order[n + 1].groupBy(part("gram", 1, n).alias("gram")).agg(F.count("*").alias("count")), f"counts-{n}")
-    spark = counts.sparkSession
-    below = spark.createDataFrame([(b"", 1.0 / (by_order[1].count() + 1))], "gram binary, p double")
-    tables = [below.select("gram", F.log10("p").alias("log_p"), F.lit(None).cast("double").alias("log_back"))]
+        by_order[n] = written(by_order[n + 1].groupBy(_part("gram", 1, n).alias("gram")).agg(F.count("*").alias("count")), f"counts-{n}")
+    lowest = 1.0 / (by_order[1].count() + 1)
+    below, seen, back = None, {}, {}
     for n in range(1, ORDER + 1):
         c = by_order[n]
         cut = discounts(*[x or 0 for x in c.agg(*[F.sum(F.when(F.col("count") == k, 1)) for k in (1, 2, 3, 4)]).first()])
         off = F.when(F.col("count") == 1, cut[0]).when(F.col("count") == 2, cut[1]).otherwise(cut[2])
-        c = c.select("gram", "count", off.alias("off"), part("gram", 0, n - 1).alias("context"), part("gram", 1, n - 1).alias("rest"))
+        c = c.select("gram", "count", off.alias("off"), _part("gram", 0, n - 1).alias("context"), _part("gram", 1, n - 1).alias("rest"))
         contexts = written(c.groupBy("context").agg(F.sum("count").alias("total"), F.sum("off").alias("spare")), f"contexts-{n}")
-        rows = c.join(contexts, "context").join(below.select(F.col("gram").alias("rest"), F.col("p").alias("p_below")), "rest")
+        rows = c.join(contexts, "context")
+        rows = rows.withColumn("p_below", F.lit(lowest)) if n == 1 else rows.join(below.select(F.col("gram").alias("rest"), F.col("p").alias("p_below")), "rest")
         below = written(rows.select("gram", ((F.col("count") - F.col("off") + F.col("spare") * F.col("p_below")) / F.col("total")).alias("p")), f"probabilities-{n}")
-        tables.append(below.select("gram", F.log10("p").alias("log_p"), F.lit(None).cast("double").alias("log_back")))
-        tables.append(contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("log_p"), F.log10(F.col("spare") / F.col("total")).alias("log_back")))
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    return written(every.groupBy("gram").agg(F.max("log_p").cast("float").alias("log_p"), F.max("log_back").cast("float").alias("log_back")), "model")
-
-
-def perplexities(docs: DataFrame, grams_: DataFrame) -> DataFrame:
-    """docs: (doc_id, text, lang); grams_: the model.  doc_id, lang and perplexity (null for an empty text)."""
+        seen[n] = below.select("gram", F.log10("p").cast("float").alias("log_p"))
+        back[n] = contexts.select("context", F.log10(F.col("spare") / F.col("total")).cast("float").alias("log_back"))
+    return Model(seen, back, float(np.log10(lowest)))
+
+
+def probabilities_of(asked: DataFrame, known: Model) -> DataFrame:
+    """asked: (of, at, gram).  (of, at, log_p): from the order that has the n-gram, with the backoff weights on the way
+    down to it.  Only what an order hasn't goes on to the next joins."""
+    rows, out = asked.withColumn("weight", F.lit(0.0).cast("float")), []
+    for n in range(ORDER, 0, -1):
+        found = rows.join(known.seen[n], "gram", "left")
+        out.append(found.filter("log_p is not null").select("of", "at", (F.col("weight") + F.col("log_p")).alias("log_p")))
+        if n == ORDER:
+            # the one join of all n-grams feeds the result and the way down, which goes on with the n-grams not found
+            found = written(found.select("of", "at", "weight", "log_p", F.when(F.col("log_p").isNull(), F.col("gram")).alias("gram")), "found")
+            out = [found.filter("log_p is not null").select("of", "at", "log_p")]
+        rest = found.filter("log_p is null").select("of", "at", "weight", _part("gram", 0, n - 1).alias("context"), _part("gram", 1, n - 1).alias("gram"))
+        rows = rest.join(known.back[n], "context", "left").select("of", "at", "gram", (F.col("weight") + F.coalesce("log_back", F.lit(0.0).cast("float"))).alias("weight"))
+    out.append(rows.select("of", "at", (F.col("weight") + F.lit(known.unknown)).cast("float").alias("log_p")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def perplexities(docs: DataFrame, known: Model) -> DataFrame:
+    """docs: (doc_id, text, lang).  doc_id, lang and perplexity (null for an empty text)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, block in enumerate(_blocks(batches, 1)):
-            coded = Coded(_texts(block, 1))
-            found = pa.concat_arrays([coded.keys(n) for n in range(ORDER + 1)])
+            found = Coded(_texts(block, 1)).keys()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PACKED))) as out:
                 out.write_table(block)
             name = (TaskContext.get().partitionId() << 32) + i
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)], ["block", "packed", "grams"])
 
-    def score(packed: pa.Table, known: pa.Table) -> pa.Table:
+    def score(packed: pa.Table, found: pa.Table) -> pa.Table:
         block = pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all()
-        coded, at, start = Coded(_texts(block, 1)), known.column("at").to_numpy(), 0
-        log_p, log_back = (np.full(sum(map(len, coded.points)), none) for none in (np.nan, 0.0))
-        log_p[at] = pc.fill_null(known.column("log_p"), np.nan).to_numpy()
-        log_back[at] = pc.fill_null(known.column("log_back"), 0.0).to_numpy()
-        for n, points in enumerate(coded.points):
-            p, start = log_p[start : start + len(points)], start + len(points)
-            if n:
-                p = np.where(np.isnan(p), back[coded.first[n]] + below[coded.last[n]], p)
-            below, back = p, log_back[start - len(points) : start]
-        total = np.concatenate([[0.0], np.cumsum(below[coded.at])])
+        coded = Coded(_texts(block, 1))
+        log_p = np.zeros(len(coded.points))
+        log_p[found.column("at").to_numpy()] = found.column("log_p").to_numpy()
+        total = np.concatenate([[0.0], np.cumsum(log_p[coded.at])])
         mean = (total[coded.begin + coded.n] - total[coded.begin]) / np.maximum(coded.n, 1)
         return pa.table([block.column(0), block.column(2), pa.array(10.0**-mean, mask=coded.n == 0)], ["doc_id", "lang", "perplexity"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     blocks = written(docs.select("doc_id", "text", "lang").mapInArrow(pack, "block long, packed binary, grams array<binary>"), "blocks")
-    known = blocks.select(F.col("block").alias("of"), F.posexplode("grams").alias("at", "gram")).join(grams_, "gram")
-    return blocks.select("block", "packed").groupBy("block").cogroup(known.select("of", "at", "log_p", "log_back").groupBy("of")).applyInArrow(score, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, perplexity double")
+    found = probabilities_of(blocks.select(F.col("block").alias("of"), F.posexplode("grams").alias("at", "gram")), known)
+    return blocks.select("block", "packed").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(score, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, perplexity double")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -276,18 +207,9 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 
 def trusted_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The n-gram counts of the documents whose doc_id is in ``trusted``, as a written table.
-
-    Spark puts a Bloom filter of the trusted ids (its size is bounded by a setting) before the shuffle of the texts, so
-    about the trusted ones alone are moved; the join decides.  The filter is asked for at any size of the input.
-    """
-    conf, name = docs.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = conf.get(name)
-    conf.set(name, "0")
-    try:
+    """The n-gram counts of the documents whose doc_id is in ``trusted``, as a written table.  About the trusted texts alone are moved."""
+    with bloom_filters(docs.sparkSession):
         return written(count_grams(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")), "counts")
-    finally:
-        conf.set(name, before)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -327,6 +327,14 @@ def test_classifier_separates_noise(spark):
     assert got[200].perplexity is None and not got[200].keep and not got[201].keep and got[None].perplexity > 0
 
 
+def test_classifier_on_odd_rows(odd, odd_rows, spark):
+    df = odd.withColumns({c: F.lit(1) for c in ("perplexity", "threshold", "keep", "gram", "block")})
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (10, 1), (None, 1)], "doc_id long, quality int")
+    got = kneser.classify(df, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in odd_rows)
+    assert all((r.perplexity is None) == (not r.keep and r.doc_id in (4, 5)) for r in got if r.doc_id in (1, 2, 4, 5))
+
+
 def test_classifier_tells_scripts_apart(spark):
     rng, stems = np.random.default_rng(9), "новый город река старый мост зимний вечер тихий берег ясный".split()
     prose = [" ".join(rng.choice(stems, 60)) for _ in range(60)]
@@ -358,15 +366,6 @@ def test_perplexity_equals_brute_force(spark, monkeypatch):
         assert found[i] == pytest.approx(10 ** -np.mean(want), rel=1e-4) if want else found[i] is None
 
 
-def test_probabilities_add_up():
-    gram, n = kneser.grams(["some text, and More text 12!", "", "other\ntext"])
-    total = np.bincount(gram, minlength=kneser.SYMBOLS**kneser.ORDER)
-    seen = np.flatnonzero(total)
-    logs = kneser.probabilities(seen, total[seen])
-    assert n.tolist() == [28, 0, 10] and len(gram) == 38
-    assert np.allclose((10.0 ** logs.astype(float)).reshape(-1, kneser.SYMBOLS).sum(axis=1), 1, atol=1e-5)
-
-
 # 10
 def test_language_of_held_out_texts(spark):
     stems = {"en": "the and ing tion with", "de": "der und ung keit schön", "fr": "les été eau tion ç"}
