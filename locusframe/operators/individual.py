@@ -122,6 +122,10 @@ def homozygous_runs(cohort: Cohort, prior: float = 0.05, error: float = 0.01, ge
     return rows.groupBy("sample_id", "chrom").applyInPandas(runs, "chrom string, auto_start int, auto_end int, n_variants int, n_hom int, sample_id string")
 
 
+#: Samples whose covariance the driver solves; their square is what it gets.
+MAX_SAMPLES = 5000
+
+
 def _normalised(cohort: Cohort, normalise: bool) -> DataFrame:
     """(site_id, sample_id, m) of polymorphic sites at which every sample is called."""
     n = cohort.samples.count()
@@ -133,8 +137,11 @@ def _normalised(cohort: Cohort, normalise: bool) -> DataFrame:
 
 def principal_components(cohort: Cohort, normalise: bool = True) -> DataFrame:
     """Eigenvectors of the samples' covariance (Patterson et al. 2006): a row a sample and component, with its eigenvalue.
-    The sum over sites is a grouped aggregate; the driver gets one number a pair of samples."""
+    The sum over sites is a grouped aggregate; the driver gets one number a pair of samples, so more than MAX_SAMPLES of
+    them are refused."""
     spark = cohort.sites.sparkSession
+    if cohort.samples.count() > MAX_SAMPLES:
+        raise ValueError(f"the driver solves for at most {MAX_SAMPLES} samples")
     rows = _normalised(cohort, normalise)
     n_sites = rows.select("site_id").distinct().count()
     other = rows.select("site_id", F.col("sample_id").alias("sample_b"), F.col("m").alias("w"))

@@ -96,11 +96,19 @@ on_cohort("relatedness", individual.relatedness, DOSE + """, y AS (SELECT a.samp
   SELECT sample_a, sample_b, round(CASE WHEN sample_a = sample_b THEN 1 ELSE 0 END + avg(v), 6) + 0.0 AS a_jk FROM y GROUP BY sample_a, sample_b""")
 on_cohort("relatedness2", individual.kinship, DOSE + """, y AS (SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, count_if(a.x = 1 AND b.x = 1) AS n_aa_aa, count_if(abs(a.x - b.x) = 2) AS n_opposite, count_if(a.x = 1) AS n_het_a, count_if(b.x = 1) AS n_het_b
   FROM dose a JOIN dose b ON a.site_id = b.site_id GROUP BY ALL) SELECT *, round((n_aa_aa - 2 * n_opposite) / nullif(n_het_a + n_het_b, 0)::DOUBLE, 6) + 0.0 AS phi FROM y""")
-on_cohort("lroh", individual.homozygous_runs)
 
 
-on_cohort("pca", individual.principal_components)
-on_cohort("pca_loadings", lambda c: individual.loadings(c, 2))
+
+
+def _complete(spark: SparkSession, sf_dir: str):
+    """All sites and samples of the mapped cohort; a call without a line item counts as two copies of REF."""
+    c = mapping.cohort(spark, sf_dir)
+    return c.with_(calls=c.calls.withColumns({"a1": F.coalesce("a1", F.lit(0)), "a2": F.when(F.col("ploidy") == 2, F.coalesce("a2", F.lit(0)))}))
+
+
+query("lroh", lambda s, d: individual.homozygous_runs(_complete(s, d)))
+query("pca", lambda s, d: individual.principal_components(_complete(s, d)))
+query("pca_loadings", lambda s, d: individual.loadings(_complete(s, d), 2))
 
 # windows
 on_cohort("snp_density", lambda c: windows.snp_density(c, 1000), """, s AS (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY site_id) AS before FROM site WHERE len(alt) > 0),

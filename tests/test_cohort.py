@@ -275,3 +275,29 @@ def test_merge_numbers_alleles_anew_and_keeps_the_first_info(spark):
     assert sets.merge([a, b]).first().qual == 20.0
     none = one("A", ["G"], {}, [], [], 7.0)
     assert sets.merge([none, none]).first().qual == 7.0
+
+
+def test_principal_components_equal_numpy(spark):
+    import numpy as np
+
+    from locusframe.operators import individual
+    from locusframe.schema import SAMPLES, CALLS, SITES, Cohort
+
+    rng = np.random.default_rng(2)
+    g = rng.integers(0, 2, (40, 5, 2))
+    g[:, 3] = g[:, 4]
+    sites = spark.createDataFrame([(i, "1", i + 1, None, "A", ["C"], None, [], {}, ".", ["GT"], i) for i in range(40)], SITES)
+    calls = spark.createDataFrame([(i, f"s{k}", int(g[i, k, 0]), int(g[i, k, 1]), 2, False, None, None, [], None, True) for i in range(40) for k in range(5)], CALLS)
+    c = Cohort(sites, calls, spark.createDataFrame([(f"s{k}", k) for k in range(5)], SAMPLES))
+    x = g.sum(axis=2).astype(float)
+    x = x[(x.sum(axis=1) > 0) & (x.sum(axis=1) < 10)]
+    p = x.sum(axis=1, keepdims=True) / 10
+    m = (x - 2 * p) / np.sqrt(p * (1 - p))
+    values, vectors = np.linalg.eigh(m.T @ m / len(m))
+    got = {(r.sample_id, r.component): (r.eigenvalue, r.value) for r in individual.principal_components(c).collect()}
+    for k in range(5):
+        mine = np.array([got[f"s{i}", k + 1][1] for i in range(5)])
+        assert abs(got["s0", k + 1][0] - values[::-1][k]) < 1e-9 and (values[::-1][k] < 1e-9 or abs(abs(mine @ vectors[:, ::-1][:, k]) - 1) < 1e-6)
+    first = np.array([got[f"s{i}", 1][1] for i in range(5)])
+    loads = sorted(r.loading for r in individual.loadings(c, 1).collect())
+    assert np.allclose(loads, sorted(m @ first / (first @ first)))
