@@ -1,8 +1,15 @@
 """Linkage disequilibrium: joins of sites with sites.  A bound in bases or in sites is required within a chromosome; the
-join has the chromosome, the sample and a position bin as equal keys."""
+join has the chromosome, a word and a position bin as equal keys.
+
+A word holds one bit for each of 64 samples (or chromosome copies): which are called, and which have one or two copies of
+REF.  The sums over samples that all measures need are counts of bits that two sites' words share, so a site has one row
+for 64 samples, and what is joined does not grow with each of them.
+"""
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,36 +17,56 @@ from locusframe.functions.alleles import n_alleles, ratio
 from locusframe.operators.counts import biallelic
 from locusframe.schema import Cohort
 
+BITS = ["called", "one", "two"]
+#: Sites of a block where all are paired with all.
+BLOCK = 512
+
+
+def _words(calls: DataFrame, index: Column, copies: Column, sites: DataFrame) -> DataFrame:
+    """calls: (site_id, ...), a row a sample or copy with its number and its REF copies.  (site_id, chrom, pos, rn, word, called, one, two)."""
+    rows = calls.withColumns({"_i": index, "_x": copies}).withColumns({"word": F.floor(F.col("_i") / 64), "_bit": F.expr("shiftleft(1L, cast(_i % 64 as int))")})
+    own = lambda c: F.bit_or(F.when(c, F.col("_bit")).otherwise(F.lit(0).cast("long")))
+    return rows.groupBy("site_id", "word").agg(F.bit_or("_bit").alias("called"), own(F.col("_x") == 1).alias("one"), own(F.col("_x") == 2).alias("two")).join(sites, "site_id")
+
+
+def _numbered(cohort: Cohort, sites: DataFrame) -> DataFrame:
+    """(site_id, chrom, pos, rn): rn counts the sites of a chromosome in order."""
+    return sites.select("site_id", "chrom", "pos", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site_id")).alias("rn"))
+
 
 def _genotypes(cohort: Cohort) -> DataFrame:
-    """(site_id, chrom, pos, rn, sample_id, x): REF copies; rn counts the sites of a chromosome in order."""
-    s = biallelic(cohort).select("site_id", "chrom", "pos", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site_id")).alias("rn"))
-    calls = cohort.calls.filter("included and a1 is not null and a2 is not null")
-    return calls.join(s, "site_id").select("site_id", "chrom", "pos", "rn", "sample_id", ((F.col("a1") == 0).cast("int") + (F.col("a2") == 0).cast("int")).alias("x"))
+    calls = cohort.calls.filter("included and a1 is not null and a2 is not null").join(cohort.samples, "sample_id")
+    return _words(calls, F.col("sample_idx"), (F.col("a1") == 0).cast("int") + (F.col("a2") == 0).cast("int"), _numbered(cohort, biallelic(cohort)))
 
 
 def _haplotypes(cohort: Cohort) -> DataFrame:
-    """As ``_genotypes`` for phased sites, a row a chromosome copy; x is 1 for REF."""
-    s = biallelic(cohort).filter("all_phased").select("site_id", "chrom", "pos", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site_id")).alias("rn"))
-    copies = F.explode(F.array(F.struct(F.lit(1).alias("copy"), F.col("a1").alias("a")), F.struct(F.lit(2).alias("copy"), F.col("a2").alias("a")))).alias("c")
-    calls = cohort.calls.filter("included").select("site_id", "sample_id", copies).filter("c.a is not null")
-    return calls.join(s, "site_id").select("site_id", "chrom", "pos", "rn", F.concat_ws(":", "sample_id", "c.copy").alias("sample_id"), (F.col("c.a") == 0).cast("int").alias("x"))
-
-
-def _near(rows: DataFrame, bp: int, bp_min: int, sites: int | None, sites_min: int, extra: list[str] = ()) -> DataFrame:
-    """Pairs of rows of one chromosome and sample, the first before the second, within the bounds."""
-    names = ["site_id", "pos", "rn", "x", *extra]
-    a = rows.select("chrom", "sample_id", *[F.col(c).alias(f"{c}_a") for c in names], F.explode(F.array(*[F.floor(F.col("pos") / bp) + k for k in (0, 1)])).alias("bin"))
-    b = rows.select("chrom", "sample_id", *[F.col(c).alias(f"{c}_b") for c in names], F.floor(F.col("pos") / bp).alias("bin"))
+    """As ``_genotypes`` for phased sites, a bit a chromosome copy."""
+    copies = F.explode(F.array(F.struct(F.lit(0).alias("copy"), F.col("a1").alias("a")), F.struct(F.lit(1).alias("copy"), F.col("a2").alias("a")))).alias("c")
+    calls = cohort.calls.filter("included").join(cohort.samples, "sample_id").select("site_id", "sample_idx", copies).filter("c.a is not null")
+    return _words(calls, F.col("sample_idx") * 2 + F.col("c.copy"), (F.col("c.a") == 0).cast("int"), _numbered(cohort, biallelic(cohort).filter("all_phased")))
+
+
+def _near(rows: DataFrame, bp: int, bp_min: int, sites: int | None, sites_min: int, key: str = "word", values: list[str] = BITS) -> DataFrame:
+    """Pairs of rows of one chromosome and ``key``, the first before the second, within the bounds."""
+    names = ["site_id", "pos", "rn", *values]
+    a = rows.select("chrom", key, *[F.col(c).alias(f"{c}_a") for c in names], F.explode(F.array(*[F.floor(F.col("pos") / bp) + k for k in (0, 1)])).alias("bin"))
+    b = rows.select("chrom", key, *[F.col(c).alias(f"{c}_b") for c in names], F.floor(F.col("pos") / bp).alias("bin"))
     apart, order = F.col("pos_b") - F.col("pos_a"), F.col("rn_b") - F.col("rn_a")
     kept = (order >= max(1, sites_min)) & (apart <= bp) & (apart >= bp_min)
-    return a.join(b, ["chrom", "sample_id", "bin"]).filter(kept & (order <= sites) if sites else kept)
+    return a.join(b, ["chrom", key, "bin"]).filter(kept & (order <= sites) if sites else kept)
+
+
+def _both(a: str, b: str) -> Column:
+    return F.sum(F.bit_count(F.col(f"{a}_a").bitwiseAND(F.col(f"{b}_b"))).cast("long"))
 
 
 def _correlation(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Squared correlation of x_a and x_b, from sums of integers."""
-    x, y = F.col("x_a"), F.col("x_b")
-    per = pairs.groupBy(*keys).agg(F.count("*").alias("n_indv"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
+    """Squared correlation of the REF copies, from sums of integers over the samples called at both sites."""
+    own, other = [(_both(c, "called"), _both("called", c)) for c in ("one", "two")]
+    product = _both("one", "one") + 2 * (_both("one", "two") + _both("two", "one")) + 4 * _both("two", "two")
+    per = pairs.groupBy(*keys).agg(
+        _both("called", "called").alias("n_indv"), (own[0] + 2 * other[0]).alias("sx"), (own[1] + 2 * other[1]).alias("sy"), product.alias("sxy"), (own[0] + 4 * other[0]).alias("sxx"), (own[1] + 4 * other[1]).alias("syy")
+    ).filter("n_indv > 0")
     n = F.col("n_indv")
     cov, vx, vy = n * F.col("sxy") - F.col("sx") * F.col("sy"), n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
     return per.withColumn("r2", ratio(cov.cast("double") * cov, vx.cast("double") * vy)).select(*keys, "n_indv", "r2")
@@ -47,8 +74,7 @@ def _correlation(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def _phase(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """r2, D and D' of two phased sites."""
-    x, y = F.col("x_a"), F.col("x_b")
-    per = pairs.groupBy(*keys).agg(F.count("*").alias("n_chr"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"))
+    per = pairs.groupBy(*keys).agg(_both("called", "called").alias("n_chr"), _both("one", "called").alias("sx"), _both("called", "one").alias("sy"), _both("one", "one").alias("sxy")).filter("n_chr > 0")
     n = F.col("n_chr").cast("double")
     p, q = F.col("sx") / n, F.col("sy") / n
     d = F.col("sxy") / n - p * q
@@ -76,11 +102,11 @@ def haplotype_r2(cohort: Cohort, bp: int, bp_min: int = 0, sites: int | None = N
 def genotype_chisq(cohort: Cohort, bp: int) -> DataFrame:
     """Chi-square of the contingency table of unordered genotypes, any number of alleles, with its degrees of freedom and
     upper tail."""
-    s = cohort.sites.filter(n_alleles() > 1).select("site_id", "chrom", "pos", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site_id")).alias("rn"))
+    s = _numbered(cohort, cohort.sites.filter(n_alleles() > 1))
     calls = cohort.calls.filter("included and a1 is not null and a2 is not null")
     rows = calls.join(s, "site_id").select("site_id", "chrom", "pos", "rn", "sample_id", (F.least("a1", "a2") * 1000 + F.greatest("a1", "a2")).alias("x"))
     keys = ["chrom", "pos_a", "pos_b", "site_id_a", "site_id_b"]
-    cells = _near(rows, bp, 0, None, 0).groupBy(*keys, "x_a", "x_b").agg(F.count("*").alias("o"))
+    cells = _near(rows, bp, 0, None, 0, "sample_id", ["x"]).groupBy(*keys, "x_a", "x_b").agg(F.count("*").alias("o"))
     of = Window.partitionBy(*keys)
     cells = cells.withColumns({"n": F.sum("o").over(of), "ra": F.sum("o").over(Window.partitionBy(*keys, "x_a")), "rb": F.sum("o").over(Window.partitionBy(*keys, "x_b"))})
     # sum of (o - e)^2 / e over all cells, empty ones too, is n (sum of o^2 / (row * column) - 1)
@@ -114,9 +140,12 @@ def erfc(z: Column) -> Column:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    a = rows.select("sample_id", F.col("chrom").alias("chrom_a"), F.col("pos").alias("pos_a"), F.col("site_id").alias("site_id_a"), F.col("x").alias("x_a"))
-    b = rows.select("sample_id", F.col("chrom").alias("chrom_b"), F.col("pos").alias("pos_b"), F.col("site_id").alias("site_id_b"), F.col("x").alias("x_b"))
-    return a.join(b, "sample_id").filter(F.col("chrom_a") < F.col("chrom_b"))
+    """Every pair of sites on different chromosomes.  Blocks of sites are paired with blocks, so that the keys of the join
+    grow with the sites."""
+    n = max(1, ceil(rows.select("site_id").distinct().count() / BLOCK))
+    block, every = F.pmod(F.xxhash64("site_id"), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    side = lambda k, mine, others: rows.select("word", *[F.col(c).alias(f"{c}_{k}") for c in ("chrom", "pos", "site_id", *BITS)], block.alias(mine), every.alias(others))
+    return side("a", "block_a", "block_b").join(side("b", "block_b", "block_a"), ["word", "block_a", "block_b"]).filter(F.col("chrom_a") < F.col("chrom_b"))
 
 
 def genotype_r2_across(cohort: Cohort, min_r2: float = 0.0) -> DataFrame:
@@ -131,9 +160,10 @@ def haplotype_r2_across(cohort: Cohort, min_r2: float = 0.0) -> DataFrame:
 def _listed(rows: DataFrame, positions: DataFrame, bp: int) -> DataFrame:
     """Listed sites with all others of their chromosome at most ``bp`` bases away, on either side."""
     mine, rest = rows.join(positions, ["chrom", "pos"], "left_semi"), rows.join(positions, ["chrom", "pos"], "left_anti")
-    a = mine.select("chrom", "sample_id", F.col("site_id").alias("site_id_a"), F.col("pos").alias("pos_a"), F.col("x").alias("x_a"), F.explode(F.array(*[F.floor(F.col("pos") / bp) + k for k in (-1, 0, 1)])).alias("bin"))
-    b = rest.select("chrom", "sample_id", F.col("site_id").alias("site_id_b"), F.col("pos").alias("pos_b"), F.col("x").alias("x_b"), F.floor(F.col("pos") / bp).alias("bin"))
-    return a.join(b, ["chrom", "sample_id", "bin"]).filter(F.abs(F.col("pos_a") - F.col("pos_b")) <= bp)
+    side = lambda of, k, bin_: of.select("chrom", "word", *[F.col(c).alias(f"{c}_{k}") for c in ("site_id", "pos", *BITS)], bin_.alias("bin"))
+    a = side(mine, "a", F.explode(F.array(*[F.floor(F.col("pos") / bp) + k for k in (-1, 0, 1)])))
+    b = side(rest, "b", F.floor(F.col("pos") / bp))
+    return a.join(b, ["chrom", "word", "bin"]).filter(F.abs(F.col("pos_a") - F.col("pos_b")) <= bp)
 
 
 def genotype_r2_listed(cohort: Cohort, positions: DataFrame, bp: int) -> DataFrame:
