@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.alleles import event_type, hwe_exact, is_indel, is_snp, is_transition, ratio
+from locusframe.functions.alleles import event_type, hwe_exact, is_indel, is_snp, is_transition, normalize_alleles, ratio
 from locusframe.operators.counts import allele_counts, biallelic, called, site_totals
 from locusframe.operators.intervals import containing
 from locusframe.schema import Cohort
@@ -21,6 +21,73 @@ def annotate(cohort: Cohort, intervals: DataFrame, tag: str, value: str | None =
     return out.withColumn("info", F.when(F.col("_v").isNotNull(), F.map_concat(rest, F.create_map(F.lit(tag), F.col("_v")))).otherwise(F.col("info"))).drop("_v")
 
 
+def annotate_columns(cohort: Cohort, table: DataFrame, width: int = 1000) -> DataFrame:
+    """table: chrom, from, to (both inclusive), perhaps ref and alt, and values named id, qual, filter or after INFO keys.
+
+    A site takes the values of the rows that hold its position and, where the table has alleles, whose normalised alleles
+    are those of one of its ALTs.  Several values of a key are joined by commas in order (of qual the largest is taken); '.'
+    removes what the site has; null leaves it."""
+    values = [c for c in table.columns if c not in ("chrom", "from", "to", "ref", "alt")]
+    own = cohort.sites.select("site_id", "chrom", "pos", *([F.col("ref").alias("_ref"), F.col("alt").alias("_alt")] if "ref" in table.columns else []))
+    hit = containing(own, table.withColumnRenamed("to", "end").withColumn("start", F.col("from") - 1).drop("from"), width)
+    if "ref" in table.columns:
+        wanted = normalize_alleles(F.upper("ref"), F.upper("alt"))
+        hit = hit.filter(F.exists("_alt", lambda a: normalize_alleles(F.col("_ref"), a) == wanted))
+    per = hit.groupBy("site_id").agg(*[(F.max("qual") if v == "qual" else F.nullif(F.array_join(F.array_sort(F.collect_set(F.col(v).cast("string"))), ","), F.lit(""))).alias(f"_{v}") for v in values])
+    out = cohort.sites.join(per, "site_id", "left")
+    gone = lambda v: F.col(f"_{v}") == "."
+    if "id" in values:
+        out = out.withColumn("id", F.when(gone("id"), F.lit(None)).otherwise(F.coalesce("_id", "id")))
+    if "qual" in values:
+        out = out.withColumn("qual", F.coalesce("_qual", "qual"))
+    if "filter" in values:
+        out = out.withColumn("filter", F.when(gone("filter"), F.array().cast("array<string>")).when(F.col("_filter").isNotNull(), F.split("_filter", "[,;]")).otherwise(F.col("filter")))
+    for v in values:
+        if v not in ("id", "qual", "filter"):
+            rest = F.map_filter("info", lambda k, _: k != v)  # noqa: B023
+            out = out.withColumn("info", F.when(gone(v), rest).when(F.col(f"_{v}").isNotNull(), F.map_concat(rest, F.create_map(F.lit(v), F.col(f"_{v}")))).otherwise(F.col("info")))
+    return out.drop(*[f"_{v}" for v in values])
+
+
+def remove_columns(sites: DataFrame, info: list[str] = (), ids: bool = False, filters: bool = False) -> DataFrame:
+    """Sites without the named INFO keys, ids or filters."""
+    sites = sites.withColumn("info", F.map_filter("info", lambda k, v: ~k.isin(*info))) if info else sites
+    sites = sites.withColumn("id", F.lit(None).cast("string")) if ids else sites
+    return sites.withColumn("filter", F.array().cast("array<string>")) if filters else sites
+
+
+def hard_filter(sites: DataFrame) -> DataFrame:
+    """Sites that passed, or have no filter."""
+    return sites.filter((F.size("filter") == 0) | (F.col("filter") == F.array(F.lit("PASS"))))
+
+
+def normalise(sites: DataFrame) -> DataFrame:
+    """Sites with one ALT in their shortest form, the position moved with a start that is cut off; others as they are."""
+    short = normalize_alleles(F.col("ref"), F.get("alt", F.lit(0)))
+    one = F.size("alt") == 1
+    return sites.withColumn("_n", F.when(one, short)).withColumns({"pos": F.when(one, F.col("pos") + F.col("_n.shift")).otherwise(F.col("pos")), "ref": F.when(one, F.col("_n.ref")).otherwise(F.col("ref")), "alt": F.when(one, F.array("_n.alt")).otherwise(F.col("alt"))}).drop("_n")
+
+
+def local_rules(**limits: float) -> dict[str, Column]:
+    """Rules for ``named_filters`` by their usual names, with limits: MinDP, MaxDP, MinMQ, MinAB, Qual, VDB, HWE, and
+    StrandBias, BaseQualBias, MapQualBias and EndDistBias (least p values).  RefN takes any.  A site without the INFO key
+    passes."""
+    info = lambda k: F.element_at("info", k).try_cast("double")
+    item = lambda k, i: F.get(F.split(F.element_at("info", k), ","), F.lit(i)).try_cast("double")
+    rules = {
+        "MinDP": lambda x: info("DP") < x, "MaxDP": lambda x: info("DP") > x, "MinMQ": lambda x: info("MQ") < x, "MinAB": lambda x: item("DP4", 2) + item("DP4", 3) < x, "Qual": lambda x: F.col("qual") < x,
+        "VDB": lambda x: info("VDB") < x, "HWE": lambda x: info("HWE") < x, "RefN": lambda x: F.upper("ref").contains("N"),
+        **{name: (lambda x, i=i: item("PV4", i) < x) for i, name in enumerate(("StrandBias", "BaseQualBias", "MapQualBias", "EndDistBias"))},
+    }
+    return {name: rules[name](x) for name, x in limits.items()}
+
+
+def shuffle_columns(cohort: Cohort, names: list[str]) -> Cohort:
+    """The cohort with its samples in the order of ``names``, which has each of them once."""
+    order = cohort.samples.sparkSession.createDataFrame(list(enumerate(names)), "sample_idx int, sample_id string")
+    return cohort.with_(samples=cohort.samples.select("sample_id").join(order, "sample_id"))
+
+
 def info_text(info: Column) -> Column:
     """key=value in the order of the keys; '.' if empty."""
     parts = F.transform(F.array_sort(F.map_keys(info)), lambda k: F.concat_ws("=", k, F.element_at(info, k)))
@@ -29,9 +96,13 @@ def info_text(info: Column) -> Column:
 
 def fill_counts(cohort: Cohort) -> DataFrame:
     """AN and the list AC of the called alleles."""
+    return fill_counts_by_site(cohort).drop("site_id")
+
+
+def fill_counts_by_site(cohort: Cohort) -> DataFrame:
     rows = allele_counts(cohort)
     per = rows.groupBy("site_id", "chrom", "pos").agg(F.first("n_called").alias("an"), F.array_sort(F.collect_list(F.struct("allele_idx", "count"))).alias("x"))
-    return per.select("chrom", "pos", "an", F.array_join(F.transform(F.filter("x", lambda v: v["allele_idx"] > 0), lambda v: v["count"].cast("string")), ",").alias("ac"))
+    return per.select("site_id", "chrom", "pos", "an", F.array_join(F.transform(F.filter("x", lambda v: v["allele_idx"] > 0), lambda v: v["count"].cast("string")), ",").alias("ac"))
 
 
 def fill_statistics(cohort: Cohort) -> DataFrame:
@@ -126,6 +197,19 @@ def sample_summary(cohort: Cohort) -> DataFrame:
     )
 
 
+def shared_counts(cohort: Cohort) -> DataFrame:
+    """How many sites as many samples share: n_samples that carry an ALT, n_sites, and of them SNPs and indels."""
+    carries = (F.col("a1") > 0) | (F.coalesce("a2", F.lit(0)) > 0)
+    per = cohort.calls.filter("included").filter(carries).groupBy("site_id").agg(F.count("*").alias("n_samples"))
+    return cohort.sites.join(per, "site_id").groupBy("n_samples").agg(F.count("*").alias("n_sites"), F.count_if(is_snp()).alias("n_snps"), F.count_if(is_indel()).alias("n_indels"))
+
+
+def substitutions(cohort: Cohort) -> DataFrame:
+    """Counts of single-base changes from REF, by every ALT."""
+    rows = cohort.sites.select("ref", F.explode("alt").alias("alt")).filter("length(ref) = 1 and length(alt) = 1 and ref <> alt")
+    return rows.groupBy("ref", "alt").agg(F.count("*").alias("n"))
+
+
 def ts_tv(cohort: Cohort) -> DataFrame:
     """One row: transitions, transversions and their ratio of the first ALTs of one base, and what was left out."""
     first = F.get("alt", F.lit(0))
@@ -153,8 +237,12 @@ def fix_ploidy(cohort: Cohort, regions: DataFrame, sexes: DataFrame) -> DataFram
 
 
 def validate(cohort: Cohort, info: set[str] = frozenset(), flags: set[str] = frozenset()) -> DataFrame:
-    """(line_no, rule, detail): rows out of order, repeated positions, bad bases, genotypes without an allele, and INFO keys
-    or FILTER names that the header doesn't declare."""
+    """(line_no, rule, detail): rows out of order, repeated positions, bad bases, genotypes without an allele, AN and AC
+    that the calls contradict, values that are not of their declared type or number, and INFO keys or FILTER names that the header
+    doesn't declare."""
+    types = {f.id: f for f in cohort.fields if f.kind == "INFO"}
+    info = info or set(types)
+    flags = flags or {f.id for f in cohort.fields if f.kind == "FILTER"}
     s = cohort.sites
     order = Window.partitionBy("chrom").orderBy("line_no")
     before = s.withColumn("was", F.lag("pos").over(order))
@@ -166,6 +254,17 @@ def validate(cohort: Cohort, info: set[str] = frozenset(), flags: set[str] = fro
         s.select("line_no", "ref", F.explode("alt").alias("a")).filter("ref = a").select("line_no", F.lit("alt_is_ref"), "a"),
         s.select("line_no", F.explode(F.map_keys("info")).alias("k")).filter(~F.col("k").isin(*info) if info else F.lit(False)).select("line_no", F.lit("undeclared_info"), "k"),
         s.select("line_no", F.explode("filter").alias("k")).filter((F.col("k") != "PASS") & (~F.col("k").isin(*flags) if flags else F.lit(False))).select("line_no", F.lit("undeclared_filter"), "k"),
+        *[
+            s.filter(F.map_contains_key("info", k)).select("line_no", F.element_at("info", k).alias("v")).filter(F.exists(F.split("v", ","), lambda x, t=f.type: (x != ".") & x.try_cast("int" if t == "Integer" else "double").isNull()))
+            .select("line_no", F.lit("bad_type"), F.concat(F.lit(f"{k}="), "v"))
+            for k, f in types.items() if f.type in ("Integer", "Float")
+        ],
+        *[
+            s.filter(F.map_contains_key("info", k)).select("line_no", F.element_at("info", k).alias("v"), (F.size("alt") if f.number == "A" else F.size("alt") + 1 if f.number == "R" else F.lit(int(f.number) if f.number.isdigit() else 0)).alias("n"))
+            .filter(F.size(F.split("v", ",")) != F.col("n")).select("line_no", F.lit("bad_number"), F.concat(F.lit(f"{k}="), "v"))
+            for k, f in types.items() if f.type != "Flag" and (f.number in ("A", "R") or f.number.isdigit() and f.number != "0")
+        ],
+        fill_counts_by_site(cohort).join(s.select("site_id", "line_no", F.element_at("info", "AN").alias("_an"), F.element_at("info", "AC").alias("_ac")), "site_id").filter("_an <> cast(an as string) or _ac <> ac").select("line_no", F.lit("bad_an_ac"), F.concat_ws(";", "_an", "_ac")),
         cohort.calls.join(s.select("site_id", "line_no", F.size("alt").alias("n")), "site_id").filter("a1 > n or a2 > n").select("line_no", F.lit("no_such_allele"), "sample_id"),
     ]
     out = found[0]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.alleles import is_indel, is_snp
 from locusframe.schema import Cohort
 
 
@@ -61,57 +62,75 @@ def natural_order(chrom: str) -> list:
     return [F.regexp_extract(chrom, r"^\D*(\d+)", 1).try_cast("int").asc_nulls_last(), F.col(chrom)]
 
 
-def _merged(cohorts: list[Cohort]) -> DataFrame:
-    """A row a position: merged_ref, x (the inputs' rows in order: src, site_id, alts, filter, info, qual, weight) and the
+#: INFO keys that a merge sums, and those that it sums item by item.
+SUMMED, ITEMS = ("DP", "MQ0"), ("DP4", "I16")
+
+
+def _merged(cohorts: list[Cohort], collapse: str = "any") -> DataFrame:
+    """A row a position and group of records that ``collapse`` takes as one: merged_ref, x (the inputs' rows in order: src, site_id, alts, filter, info, qual, weight) and the
     united ALTs."""
     rows = reduce(DataFrame.unionByName, [c.sites.withColumns({"src": F.lit(i), "weight": F.lit(max(1, c.samples.count()))}) for i, c in enumerate(cohorts, 1)])
-    longest = rows.groupBy("chrom", "pos").agg(F.max_by("ref", F.struct(F.length("ref"), -F.col("src"))).alias("merged_ref"))
-    rows = rows.join(longest, ["chrom", "pos"])
+    same, alike = F.concat_ws(":", "ref", F.array_join("alt", ",")), {"snps": is_snp(), "indels": is_indel(), "both": is_snp() | is_indel(), "any": F.lit(True), "none": F.lit(False)}[collapse]
+    rows = rows.withColumn("kind", F.when(alike, F.lit("") if collapse == "any" else F.when(is_snp(), "snp").otherwise("indel")).otherwise(same))
+    longest = rows.groupBy("chrom", "pos", "kind").agg(F.max_by("ref", F.struct(F.length("ref"), -F.col("src"))).alias("merged_ref"))
+    rows = rows.join(longest, ["chrom", "pos", "kind"])
     rows = rows.withColumn("alts", F.transform("alt", lambda a: F.concat(a, F.substr("merged_ref", F.length("ref") + 1))))
     one = F.struct("src", "site_id", "alts", "filter", F.map_entries("info").alias("info"), "qual", "weight")
-    per = rows.groupBy("chrom", "pos", "merged_ref").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    per = rows.groupBy("chrom", "pos", "kind", "merged_ref").agg(F.array_sort(F.collect_list(one)).alias("x"))
     return per.withColumn("alts", F.array_distinct(F.flatten(F.transform("x", lambda v: v["alts"]))))
 
 
-def merge(cohorts: list[Cohort]) -> DataFrame:
-    """Full outer merge by position: REF extended to the longest, ALTs united after the same extension, QUAL weighted by
+def merge(cohorts: list[Cohort], collapse: str = "any") -> DataFrame:
+    """Full outer merge by position.  ``collapse`` says which records at one position become one: any, only snps, indels
+    or both (each with their like), or none but equal ones.  REF extended to the longest, ALTs united after the same extension, QUAL weighted by
     the inputs' samples (an input without samples counts as one), FILTER united without PASS, each INFO key from the first
-    input that has it, sf the inputs."""
-    per = _merged(cohorts)
+    input that has it but for those that are summed, sf the inputs."""
+    return _records(cohorts, collapse).drop("kind")
+
+
+def _records(cohorts: list[Cohort], collapse: str) -> DataFrame:
+    per = _merged(cohorts, collapse)
     flags = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("x", lambda v: v["filter"])), lambda f: f != "PASS")))
     total = lambda what: F.aggregate(F.filter("x", lambda v: v["qual"].isNotNull()), F.lit(0.0), lambda acc, v: acc + what(v))
     weight = total(lambda v: v["weight"])
     entries = F.flatten(F.transform("x", lambda v: v["info"]))
     names = F.transform(entries, lambda e: e["key"])
     first = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
-    info = F.array_join(F.array_sort(F.transform(first, lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    others = lambda k: F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: F.split(e["value"], ","))
+    number = lambda x: F.coalesce(x.try_cast("long"), F.lit(0))
+
+    def value(e: Column) -> Column:
+        sums = F.aggregate(F.slice(others(e["key"]), F.lit(2), F.size(entries)), F.transform(F.split(e["value"], ","), number), lambda acc, v: F.zip_with(acc, v, lambda a, b: F.coalesce(a, F.lit(0)) + number(b)))
+        return F.when(e["key"].isin(*SUMMED, *ITEMS), F.array_join(F.transform(sums, lambda n: n.cast("string")), ",")).otherwise(e["value"])
+
+    info = F.array_join(F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["key"].alias("k"), F.concat_ws("=", e["key"], value(e)).alias("t")))), lambda x: x["t"]), ";")
     return per.select(
-        "chrom", "pos", F.col("merged_ref").alias("ref"), F.array_join("alts", ",").alias("alt"), F.when(weight > 0, total(lambda v: v["qual"] * v["weight"]) / weight).alias("qual"), F.array_join(flags, ";").alias("filter"),
+        "kind", "chrom", "pos", F.col("merged_ref").alias("ref"), F.array_join("alts", ",").alias("alt"), F.when(weight > 0, total(lambda v: v["qual"] * v["weight"]) / weight).alias("qual"), F.array_join(flags, ";").alias("filter"),
         F.when(info == "", ".").otherwise(info).alias("info"), F.array_join(F.transform("x", lambda v: (v["src"] - 1).cast("string")), ",").alias("sf"),
     )
 
 
-def merge_calls(cohorts: list[Cohort]) -> DataFrame:
-    """(chrom, pos, sample_id, a1, a2, ploidy, phased): the calls of all inputs, numbered by the merged ALTs; masked calls
+def merge_calls(cohorts: list[Cohort], collapse: str = "any") -> DataFrame:
+    """(chrom, pos, kind, sample_id, a1, a2, ploidy, phased): the calls of all inputs, numbered by the merged ALTs; masked calls
     are missing.  Where inputs share a sample's name, theirs get the input's number as a prefix."""
     names = reduce(DataFrame.unionByName, [c.samples.select("sample_id").withColumn("src", F.lit(i)) for i, c in enumerate(cohorts, 1)])
     shared = F.count("*").over(Window.partitionBy("sample_id")) > 1
     names = names.withColumn("name", F.when(shared, F.concat_ws("_", "src", "sample_id")).otherwise(F.col("sample_id")))
-    sites = _merged(cohorts).select("chrom", "pos", "alts", F.explode("x").alias("v")).select("chrom", "pos", "v.src", "v.site_id", F.transform("v.alts", lambda a: F.array_position("alts", a).cast("int")).alias("number"))
+    sites = _merged(cohorts, collapse).select("chrom", "pos", "kind", "alts", F.explode("x").alias("v")).select("chrom", "pos", "kind", "v.src", "v.site_id", F.transform("v.alts", lambda a: F.array_position("alts", a).cast("int")).alias("number"))
     calls = reduce(DataFrame.unionByName, [c.calls.select("site_id", "sample_id", "a1", "a2", "ploidy", "phased", "included").withColumn("src", F.lit(i)) for i, c in enumerate(cohorts, 1)])
     new = lambda a: F.when(F.col("included"), F.when(F.col(a) == 0, 0).otherwise(F.get("number", F.col(a) - 1))).alias(a)
     rows = calls.join(sites, ["src", "site_id"]).join(names, ["src", "sample_id"])
-    return rows.select("chrom", "pos", F.col("name").alias("sample_id"), new("a1"), new("a2"), "ploidy", "phased")
+    return rows.select("chrom", "pos", "kind", F.col("name").alias("sample_id"), new("a1"), new("a2"), "ploidy", "phased")
 
 
-def merge_records(cohorts: list[Cohort]) -> DataFrame:
+def merge_records(cohorts: list[Cohort], collapse: str = "any") -> DataFrame:
     """``merge`` with AN and AC over all inputs, and the genotypes that are known as name=numbers in order of the names."""
-    calls = merge_calls(cohorts)
+    calls = merge_calls(cohorts, collapse)
     text = lambda a: F.coalesce(F.col(a).cast("string"), F.lit("."))
     gt = F.when(F.col("ploidy") == 1, text("a1")).otherwise(F.concat(text("a1"), F.when(F.col("phased"), "|").otherwise("/"), text("a2")))
     known = F.col("a1").isNotNull() | F.col("a2").isNotNull()
-    per = calls.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.when(known, F.concat_ws("=", "sample_id", gt)))).alias("g"), F.flatten(F.collect_list(F.array_compact(F.array("a1", "a2")))).alias("all"))
-    rows = merge(cohorts).join(per, ["chrom", "pos"], "left")
+    per = calls.groupBy("chrom", "pos", "kind").agg(F.array_sort(F.collect_list(F.when(known, F.concat_ws("=", "sample_id", gt)))).alias("g"), F.flatten(F.collect_list(F.array_compact(F.array("a1", "a2")))).alias("all"))
+    rows = _records(cohorts, collapse).join(per, ["chrom", "pos", "kind"], "left")
     n_alts = F.when(F.col("alt") == "", 0).otherwise(F.size(F.split("alt", ",")))
     counts = F.when(n_alts > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n_alts, F.lit(1))), lambda i: F.size(F.filter("all", lambda a: a == i)).cast("string")), ",")).otherwise("")
     return rows.select("chrom", "pos", "ref", "alt", "info", F.coalesce(F.size("all"), F.lit(0)).alias("an"), F.coalesce(counts, F.lit("")).alias("ac"), F.coalesce(F.array_join("g", " "), F.lit("")).alias("genotypes"))

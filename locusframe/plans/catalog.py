@@ -11,6 +11,7 @@ from locusframe.operators import compare, export, filters, individual, ld, recor
 from locusframe.operators.filters import Filters
 from locusframe.plans import mapping
 from locusframe.plans.mapping import PRELUDE, SAMPLES
+from locusframe.sources import vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,6 +214,8 @@ both("diff_site", compare.sites, """SELECT coalesce(a.chrom, b.chrom) AS chrom,
   a.ref AS ref_1, b.ref AS ref_2, array_to_string(a.alt, ',') AS alt_1, array_to_string(b.alt, ',') AS alt_2 FROM one a FULL JOIN two b ON a.chrom = b.chrom AND a.pos = b.pos""")
 both("diff_indv", lambda a, b: compare.samples(filters.remove_samples(a, a.samples.filter("sample_idx = 0")), filters.remove_samples(b, b.samples.filter("sample_idx = 1"))), """
   SELECT sample_id, CASE sample_idx WHEN 0 THEN '2' WHEN 1 THEN '1' ELSE 'B' END AS files FROM sample""")
+both("diff_indv_map", lambda a, b: compare.samples(a, b.with_(samples=b.samples.withColumn("sample_id", F.concat(F.lit("X"), "sample_id"))), a.samples.filter("sample_idx % 2 = 0").select(F.col("sample_id").alias("id_1"), F.concat(F.lit("X"), "sample_id").alias("id_2"))), """
+  SELECT sample_id, CASE WHEN sample_idx % 2 = 0 THEN 'B' ELSE '1' END AS files FROM sample UNION ALL SELECT 'X' || sample_id, '2' FROM sample WHERE sample_idx % 2 = 1""")
 both("diff_indv_discordance", compare.discordance_by_sample, "SELECT *, round(n_discord / nullif(n_common_called, 0)::DOUBLE, 6) + 0.0 AS discordance FROM (SELECT sample_id, count_if(both_called) AS n_common_called, count_if(both_called AND NOT equal) AS n_discord FROM same GROUP BY ALL)")
 both("diff_site_discordance", compare.discordance_by_site, """, p AS (SELECT chrom, pos, count_if(both_called) AS n, count_if(both_called AND NOT equal) AS k, any_value(alts_1 = alts_2) AS m FROM same GROUP BY ALL),
   f AS (SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, CASE WHEN b.ref IS NULL THEN '1' WHEN a.ref IS NULL THEN '2' WHEN a.ref = b.ref THEN 'B' ELSE 'O' END AS files FROM one a FULL JOIN two b ON a.chrom = b.chrom AND a.pos = b.pos)
@@ -279,11 +282,24 @@ kept("hwe", Filters(hwe=0.05), """, g AS (SELECT *, r + h + a AS n, 2 * least(r,
 on_cohort("mask_calls", lambda c: site.frequencies(filters.apply(c, Filters(min_gq=20.0, min_dp=5, max_dp=45, remove_filtered_geno_all=True))), f""", m AS (SELECT site_id, sample_id, a FROM copies JOIN (SELECT site_id, sample_id FROM call WHERE gq >= 20 AND dp BETWEEN 5 AND 45) USING (site_id, sample_id)),
   k AS (SELECT site_id, count(*) AS n_called FROM m GROUP BY site_id), c AS (SELECT site_id, a, count(*) AS n FROM m GROUP BY ALL)
   SELECT chrom, pos, allele_idx, allele, n_chr, coalesce(k.n_called, 0) AS n_called, coalesce(c.n, 0) AS count, round(coalesce(c.n, 0) / nullif(k.n_called, 0)::DOUBLE, 6) + 0.0 AS freq FROM allele LEFT JOIN k USING (site_id) LEFT JOIN c ON c.site_id = allele.site_id AND c.a = allele_idx""")
+on_cohort("mask_flagged_calls", lambda c: site.frequencies(filters.apply(c, Filters(remove_filtered_geno=("q20",)))), f""", m AS (SELECT site_id, a FROM copies JOIN (SELECT site_id, sample_id FROM call WHERE gq >= 20) USING (site_id, sample_id)),
+  k AS (SELECT site_id, count(*) AS n_called FROM m GROUP BY site_id), c AS (SELECT site_id, a, count(*) AS n FROM m GROUP BY ALL)
+  SELECT chrom, pos, allele_idx, allele, n_chr, coalesce(k.n_called, 0) AS n_called, coalesce(c.n, 0) AS count, round(coalesce(c.n, 0) / nullif(k.n_called, 0)::DOUBLE, 6) + 0.0 AS freq FROM allele LEFT JOIN k USING (site_id) LEFT JOIN c ON c.site_id = allele.site_id AND c.a = allele_idx""")
+DIGIT = "CAST(pos * 7 % 11 % 4 AS INT)"
+kept("mask", lambda c, s, d: Filters(mask=_digits(s, d), mask_min=1), ON + DIGIT + " <= 1")
+kept("invert_mask", lambda c, s, d: Filters(mask=_digits(s, d), mask_min=1, invert_mask=True), ON + DIGIT + " > 1")
 on_cohort("kept_sites", lambda c: filters.apply(c, Filters(min_alleles=2, max_alleles=2, maf=0.2)).sites.select("chrom", "pos"), f"SELECT chrom, pos FROM site WHERE len(alt) = 1 AND site_id IN ({FRQ} min(least(f, 1 - f)) >= 0.2)")
 on_cohort("removed_sites", lambda c: site.removed(c, filters.apply(c, Filters(min_alleles=2, max_alleles=2, maf=0.2))), f"SELECT chrom, pos FROM site WHERE NOT (len(alt) = 1 AND site_id IN ({FRQ} min(least(f, 1 - f)) >= 0.2))")
 on_cohort("keep_samples", lambda c: individual.depth(filters.remove_samples(filters.keep_samples(c, c.samples.filter("sample_idx < 12")), c.samples.filter("sample_idx % 5 = 0"))), "SELECT sample_id, count(dp) AS n_sites, round(sum(dp) / count(dp)::DOUBLE, 6) + 0.0 AS mean_depth FROM call WHERE sample_idx < 12 AND sample_idx % 5 <> 0 GROUP BY sample_id")
 on_cohort("max_samples", lambda c: filters.draw_samples(c, 5).samples)
 
+
+
+def _digits(s: SparkSession, d: str) -> DataFrame:
+    """A made-up mask: the made-up reference with digits for its bases."""
+    return _reference(s, d).select("chrom", "start", F.translate("seq", "ACGT", "0123").alias("digits"))
+
+
 # several inputs
 THREE = """, i1 AS (SELECT * FROM site WHERE site_id % 7 <> 0), i2 AS (SELECT * FROM site WHERE site_id % 6 <> 0), i3 AS (SELECT * FROM site WHERE site_id % 4 <> 0),
   u AS (SELECT *, 1 AS src, 10 AS w FROM i1 UNION ALL SELECT *, 2, 20 FROM i2 UNION ALL SELECT *, 3, 20 FROM i3)
@@ -364,6 +380,25 @@ on_cohort("validate", lambda c: records.validate(c, {"AA"}, {"q10"}).groupBy("ru
   SELECT rule, count(*) AS n FROM z GROUP BY rule""")
 
 
+def _values(c) -> DataFrame:
+    """Values for every fifth site that has an ALT."""
+    rows = c.sites.filter("site_id % 5 = 0 and size(alt) > 0")
+    return rows.selectExpr("chrom", "pos AS `from`", "pos AS to", "ref", "alt[0] AS alt", "concat('ann', site_id) AS id", "cast(site_id % 50 AS double) AS qual", "CASE WHEN site_id % 10 = 0 THEN '.' ELSE 'Q1' END AS filter", "concat('g', site_id % 3) AS GENE")
+
+
+on_cohort("annotate_columns", lambda c: records.annotate_columns(c, _values(c)).select("chrom", "pos", "id", "qual", F.array_join("filter", ";").alias("filter"), records.info_text(F.col("info")).alias("info")), """, h AS (SELECT *, site_id % 5 = 0 AND len(alt) > 0 AS h FROM site)
+  SELECT chrom, pos, CASE WHEN h THEN 'ann' || site_id ELSE id END AS id, round(CASE WHEN h THEN (site_id % 50)::DOUBLE ELSE qual END, 6) + 0.0 AS qual, CASE WHEN h AND site_id % 10 = 0 THEN '' WHEN h THEN 'Q1' ELSE array_to_string(filter, ';') END AS filter,
+    coalesce(nullif(concat_ws(';', 'AA=' || aa, CASE WHEN db THEN 'DB=1' END, CASE WHEN h THEN 'GENE=g' || (site_id % 3) END), ''), '.') AS info FROM h""")
+on_cohort("annotate_remove", lambda c: records.remove_columns(c.sites, ["DB"], ids=True, filters=True).select("chrom", "pos", F.coalesce("id", F.lit(".")).alias("id"), F.array_join("filter", ";").alias("filter"), records.info_text(F.col("info")).alias("info")),
+  "SELECT chrom, pos, '.' AS id, '' AS filter, coalesce('AA=' || aa, '.') AS info FROM site")
+on_cohort("hard_filter", lambda c: records.hard_filter(c.sites).select("chrom", "pos"), "SELECT chrom, pos FROM site WHERE len(filter) = 0 OR filter = ['PASS']")
+on_cohort("shared_counts", records.shared_counts, f"""SELECT n_samples, count(*) AS n_sites, count_if({SNP}) AS n_snps, count_if(length(ref) <> 1 OR len(list_filter(alt, lambda x: length(x) <> length(ref))) > 0) AS n_indels
+  FROM site JOIN (SELECT site_id, count(*) AS n_samples FROM call WHERE a1 > 0 OR coalesce(a2, 0) > 0 GROUP BY site_id) USING (site_id) GROUP BY n_samples""")
+on_cohort("substitutions", records.substitutions, "SELECT ref, b AS alt, count(*) AS n FROM (SELECT ref, unnest(alt) AS b FROM site) WHERE length(ref) = 1 AND length(b) = 1 AND ref <> b GROUP BY ALL")
+query("merge_equal", lambda s, d: sets.merge([mapping.first(s, d), mapping.second(s, d)], collapse="none").drop("qual", "info"), """, u AS (SELECT *, 1 AS src FROM one UNION ALL SELECT *, 2 FROM two)
+  SELECT chrom, pos, ref, array_to_string(alt, ',') AS alt, array_to_string(list_sort(list_distinct(list_filter(flatten(list(filter)), lambda f: f <> 'PASS'))), ';') AS filter, string_agg(CAST(src - 1 AS VARCHAR), ',' ORDER BY src) AS sf FROM u GROUP BY chrom, pos, ref, alt""")
+
+
 def _halves(s: SparkSession, d: str) -> tuple:
     """The complete phased calls of the first three and the last three fifths of all sites, by position."""
     out, last = [], mapping.cohort(s, d).sites.agg(F.max("pos")).first()[0]
@@ -400,6 +435,20 @@ on_cohort("extract_format", lambda c: export.format_field(c, F.col("dp"), SAMPLE
 DECODED = "CASE WHEN {0} IS NULL THEN '.' ELSE coalesce(list_concat([ref], alt)[{0} + 1], '.') END"
 DECODE = f"CASE WHEN ploidy = 1 THEN {DECODED.format('a1')} ELSE {DECODED.format('a1')} || CASE WHEN phased THEN '|' ELSE '/' END || {DECODED.format('a2')} END"
 on_cohort("to_tab", export.to_tab, f"SELECT s.chrom, s.pos, s.ref, {CALLS.format(DECODE, chr(9))} AS calls FROM call c JOIN site s USING (site_id) GROUP BY s.site_id, s.chrom, s.pos, s.ref")
+on_cohort("from_tab", lambda c: vcf.from_tab(export.to_tab(c), [r["sample_id"] for r in c.samples.collect()]), f""", k AS (SELECT c.site_id, s.chrom, s.pos, s.ref, sample_idx, ploidy, phased, CASE WHEN a1 IS NOT NULL THEN coalesce(list_concat([ref], alt)[a1 + 1], '.') END AS x, CASE WHEN a2 IS NOT NULL THEN coalesce(list_concat([ref], alt)[a2 + 1], '.') END AS y FROM call c JOIN site s USING (site_id)),
+  l AS (SELECT site_id, flatten(list([x, y] ORDER BY sample_idx)) AS every FROM k GROUP BY site_id), m AS (SELECT l.site_id, list_filter(every, lambda v, i: v IS NOT NULL AND v <> '.' AND v <> ref AND list_position(every, v) = i) AS al FROM l JOIN site USING (site_id)),
+  n AS (SELECT k.*, al, CASE WHEN x IS NULL OR x = '.' THEN '.' WHEN x = ref THEN '0' ELSE CAST(list_position(al, x) AS VARCHAR) END AS i, CASE WHEN y IS NULL OR y = '.' THEN '.' WHEN y = ref THEN '0' ELSE CAST(list_position(al, y) AS VARCHAR) END AS j FROM k JOIN m USING (site_id))
+  SELECT chrom, pos, ref, CASE WHEN len(any_value(al)) = 0 THEN '.' ELSE array_to_string(any_value(al), ',') END AS alt, 'GT' AS format, string_agg(CASE WHEN ploidy = 1 THEN i ELSE i || CASE WHEN phased THEN '|' ELSE '/' END || j END, chr(9) ORDER BY sample_idx) AS calls FROM n GROUP BY site_id, chrom, pos, ref""")
+on_cohort("shuffle_columns", lambda c: export.recode(records.shuffle_columns(c, SAMPLES[::-1])).select("chrom", "pos", "calls"), f"""SELECT chrom, pos, string_agg({GT} || ':' || coalesce(CAST(CAST(gq AS INT) AS VARCHAR), '.') || ':' || coalesce(CAST(dp AS VARCHAR), '.'), chr(9) ORDER BY sample_idx DESC) AS calls FROM call GROUP BY site_id, chrom, pos""")
+
+
+def _likelihoods(c) -> DataFrame:
+    """Phred likelihoods made from quality and depth."""
+    text = F.concat_ws(",", F.coalesce("gq", F.lit(0.0)).cast("int").cast("string"), F.coalesce("dp", F.lit(0)).cast("string"), F.lit("0"))
+    return export.likelihoods(c.with_(calls=c.calls.withColumn("fmt", F.create_map(F.lit("PL"), text))), "PL")
+
+
+on_cohort("beagle_pl", _likelihoods, f"SELECT c.chrom, c.pos, sample_id, {R('pow(10.0::DOUBLE, CAST(coalesce(gq, 0) AS INT) / -10.0::DOUBLE)')} AS l0, {R('pow(10.0::DOUBLE, coalesce(dp, 0) / -10.0::DOUBLE)')} AS l1, 1.0::DOUBLE AS l2 FROM call c JOIN site s USING (site_id) WHERE len(alt) = 1")
 on_cohort("query_template", lambda c: export.template(c, "%CHROM:%POS %REF/%ALT AA=%INFO/AA[ %SAMPLE=%GTR]"), f"SELECT s.chrom, s.pos, s.chrom || ':' || s.pos || ' ' || s.ref || '/' || alt_text || ' AA=' || coalesce(aa, '.') || string_agg(' ' || sample_id || '=' || {GT}, '' ORDER BY sample_idx) AS line FROM call c JOIN site s USING (site_id) GROUP BY s.site_id, s.chrom, s.pos, s.ref, alt_text, aa")
 
 

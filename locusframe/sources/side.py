@@ -49,3 +49,11 @@ def sequences(spark: SparkSession, path: str, value: str = "seq") -> DataFrame:
 def mask(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, start, digits) from a FASTA-like file of digits."""
     return sequences(spark, path, "digits")
+
+
+def contigs(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a file that declares contigs and nothing else."""
+    rows = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    if wrong := rows.filter(~F.col("value").startswith("##contig=")).first():
+        raise ValueError(f"a contigs file holds ##contig= lines only, not {wrong['value'][:80]!r}")
+    return [r["value"] for r in rows.collect()]  # a line a contig

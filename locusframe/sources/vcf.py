@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.schema import Cohort, Field
+from locusframe.schema import CALLS, SAMPLES, Cohort, Field
 
 
 def parse_header(lines: list[str]) -> tuple[list[Field], list[str]]:
@@ -63,6 +63,27 @@ def parse(spark: SparkSession, lines: DataFrame, header: list[str], fields: list
     return Cohort(sites, calls, spark.createDataFrame([(s, i) for i, s in enumerate(samples)], "sample_id string, sample_idx int"), header, fields)
 
 
+def from_positions(positions: DataFrame) -> Cohort:
+    """positions: (chrom, pos), as of a tab-separated list.  Sites without alleles, for the operators on several inputs."""
+    sites = positions.select(F.monotonically_increasing_id().alias("site_id"), "chrom", "pos", F.lit(None).cast("string").alias("id"), F.lit("N").alias("ref"), F.array().cast("array<string>").alias("alt"), F.lit(None).cast("double").alias("qual"))
+    sites = sites.withColumns({"filter": F.array().cast("array<string>"), "info": F.create_map().cast("map<string,string>"), "info_raw": F.lit("."), "format": F.array().cast("array<string>"), "line_no": F.col("site_id")})
+    spark = positions.sparkSession
+    return Cohort(sites, spark.createDataFrame([], CALLS), spark.createDataFrame([], SAMPLES))
+
+
+def from_tab(rows: DataFrame, samples: list[str]) -> DataFrame:
+    """rows: chrom, pos, ref, calls (genotypes as bases, joined by tabs in the order of ``samples``).  A row a site as text:
+    chrom, pos, ref, alt (in the order in which the calls name them), format and calls."""
+    each = F.split("calls", "\t")
+    bases = lambda c: F.split(c, r"[/|]")
+    alts = F.array_distinct(F.filter(F.flatten(F.transform(each, bases)), lambda b: (b != ".") & (b != F.col("ref"))))
+    rows = rows.withColumn("alts", alts)
+    number = lambda b: F.when(b == ".", ".").when(b == F.col("ref"), "0").otherwise(F.array_position("alts", b).cast("string"))
+    numbers = lambda c: F.transform(bases(c), number)
+    gt = F.transform(each, lambda c: F.when(c.contains("|"), F.array_join(numbers(c), "|")).otherwise(F.array_join(numbers(c), "/")))
+    return rows.filter(F.size(each) == len(samples)).select("chrom", "pos", "ref", F.when(F.size("alts") == 0, ".").otherwise(F.array_join("alts", ",")).alias("alt"), F.lit("GT").alias("format"), F.array_join(gt, "\t").alias("calls"))
+
+
 def lines(cohort: Cohort, all_info: bool = True) -> DataFrame:
     """(value): the records as text lines, in the order of chromosome and line."""
     from locusframe.operators.export import recoded

@@ -301,3 +301,38 @@ def test_principal_components_equal_numpy(spark):
     first = np.array([got[f"s{i}", 1][1] for i in range(5)])
     loads = sorted(r.loading for r in individual.loadings(c, 1).collect())
     assert np.allclose(loads, sorted(m @ first / (first @ first)))
+
+
+def test_merge_collapses_kinds_and_sums_counts(spark):
+    from locusframe.operators import sets
+    from locusframe.schema import SAMPLES, CALLS, SITES, Cohort
+
+    def one(*rows):
+        sites = spark.createDataFrame([(i, "1", 5, None, r, [a], None, [], info, ".", [], i) for i, (r, a, info) in enumerate(rows)], SITES)
+        return Cohort(sites, spark.createDataFrame([], CALLS), spark.createDataFrame([], SAMPLES))
+
+    a, b = one(("A", "G", {"DP": "3", "DP4": "1,2"})), one(("A", "T", {"DP": "4", "DP4": "3,4"}), ("AC", "A", {}))
+    got = lambda how: sorted((r.ref, r.alt, r["info"]) for r in sets.merge([a, b], how).collect())
+    assert got("snps") == got("both") == [("A", "G,T", "DP=7;DP4=4,6"), ("AC", "A", ".")]
+    assert got("none") == got("indels") == [("A", "G", "DP=3;DP4=1,2"), ("A", "T", "DP=4;DP4=3,4"), ("AC", "A", ".")]
+    assert got("any") == [("AC", "GC,TC,A", "DP=7;DP4=4,6")]
+
+
+def test_records_are_normalised_ruled_and_validated(spark, cohort, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(10, "CAGT", ["CGT"], {"DP": "4", "DP4": "1,1,0,1", "PV4": "0.5,0.001,1,1"}, 9.0)], "pos int, ref string, alt array<string>, info map<string,string>, qual double").withColumn("filter", F.array(F.lit("PASS")))
+    r = records.normalise(rows).first()
+    assert (r.pos, r.ref, r.alt) == (10, "CA", ["C"])
+    named = records.named_filters(rows, records.local_rules(MinDP=5, MinAB=2, Qual=5, BaseQualBias=0.01, StrandBias=0.01, RefN=0, MinMQ=10)).first()
+    assert named["filter"] == ["BaseQualBias", "MinAB", "MinDP"]
+    f = tmp_path / "v.vcf"
+    head = ["##fileformat=VCFv4.2", '##INFO=<ID=DP,Number=1,Type=Integer,Description="d">', '##INFO=<ID=AF,Number=A,Type=Float,Description="f">', '##INFO=<ID=AN,Number=1,Type=Integer,Description="n">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta"]
+    f.write_text("\n".join([*head, "1\t1\t.\tA\tC\t.\t.\tDP=x;AF=0.1,0.2;AN=3\tGT\t0/1", "1\t2\t.\tA\tC\t.\t.\tDP=4;AF=0.1;AN=2\tGT\t0/1"]) + "\n")
+    assert sorted((r.rule, r.detail) for r in records.validate(vcf.read(spark, f"file://{f}")).collect()) == [("bad_an_ac", "3"), ("bad_number", "AF=0.1,0.2"), ("bad_type", "DP=x")]
+    listed = vcf.from_positions(spark.createDataFrame([("1", 10), ("1", 99)], "chrom string, pos int"))
+    from locusframe.operators import sets
+
+    assert [r.pos for r in sets.intersect([cohort, listed], least=2).select("pos").collect()] == [10]
+    (tmp_path / "c.txt").write_text("##contig=<ID=1>\n##contig=<ID=X>\n")
+    assert len(side.contigs(spark, f"file://{tmp_path}/c.txt")) == 2
