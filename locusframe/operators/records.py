@@ -241,6 +241,7 @@ def validate(cohort: Cohort, info: set[str] = frozenset(), flags: set[str] = fro
     that the calls contradict, values that are not of their declared type or number, and INFO keys or FILTER names that the header
     doesn't declare."""
     types = {f.id: f for f in cohort.fields if f.kind == "INFO"}
+    mistyped = lambda t: lambda x: (x != ".") & x.try_cast(t).isNull()
     info = info or set(types)
     flags = flags or {f.id for f in cohort.fields if f.kind == "FILTER"}
     s = cohort.sites
@@ -255,7 +256,7 @@ def validate(cohort: Cohort, info: set[str] = frozenset(), flags: set[str] = fro
         s.select("line_no", F.explode(F.map_keys("info")).alias("k")).filter(~F.col("k").isin(*info) if info else F.lit(False)).select("line_no", F.lit("undeclared_info"), "k"),
         s.select("line_no", F.explode("filter").alias("k")).filter((F.col("k") != "PASS") & (~F.col("k").isin(*flags) if flags else F.lit(False))).select("line_no", F.lit("undeclared_filter"), "k"),
         *[
-            s.filter(F.map_contains_key("info", k)).select("line_no", F.element_at("info", k).alias("v")).filter(F.exists(F.split("v", ","), lambda x, t=f.type: (x != ".") & x.try_cast("int" if t == "Integer" else "double").isNull()))
+            s.filter(F.map_contains_key("info", k)).select("line_no", F.element_at("info", k).alias("v")).filter(F.exists(F.split("v", ","), mistyped("int" if f.type == "Integer" else "double")))
             .select("line_no", F.lit("bad_type"), F.concat(F.lit(f"{k}="), "v"))
             for k, f in types.items() if f.type in ("Integer", "Float")
         ],
