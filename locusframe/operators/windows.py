@@ -58,12 +58,16 @@ def ts_tv_by_count(cohort: Cohort) -> DataFrame:
 
 
 def ts_tv_by_quality(cohort: Cohort) -> DataFrame:
-    """For each QUAL: the counts strictly below and strictly above it.  The running sums go over one row a distinct QUAL."""
-    per = _substitutions(cohort).filter("qual is not null").groupBy("qual").agg(F.sum("ts").alias("ts"), F.sum(1 - F.col("ts")).alias("tv"))
-    order = Window.orderBy("qual")
-    below, above = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    """For each QUAL: the counts strictly below and strictly above it.  Running sums go over the whole numbers of QUAL, then over
+    the values within each."""
+    per = _substitutions(cohort).filter("qual is not null").groupBy("qual").agg(F.sum("ts").alias("ts"), F.sum(1 - F.col("ts")).alias("tv")).withColumn("whole", F.floor("qual"))
+    wholes = per.groupBy("whole").agg(F.sum("ts").alias("all_ts"), F.sum("tv").alias("all_tv"))
     zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    out = per.select("qual", zero("ts", below).alias("n_ts_lt"), zero("tv", below).alias("n_tv_lt"), zero("ts", above).alias("n_ts_gt"), zero("tv", above).alias("n_tv_gt"))
+    before, every = Window.orderBy("whole").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    wholes = wholes.select("whole", *[f(f"all_{c}", w).alias(f"{n}_{c}") for c in ("ts", "tv") for f, w, n in ((zero, before, "below"), (zero, every, "total"))])
+    within = Window.partitionBy("whole").orderBy("qual").rowsBetween(Window.unboundedPreceding, -1)
+    out = per.withColumns({"own_ts": zero("ts", within), "own_tv": zero("tv", within)}).join(wholes, "whole")
+    out = out.select("qual", *[(F.col(f"below_{c}") + F.col(f"own_{c}")).alias(f"n_{c}_lt") for c in ("ts", "tv")], *[(F.col(f"total_{c}") - F.col(f"below_{c}") - F.col(f"own_{c}") - F.col(c)).alias(f"n_{c}_gt") for c in ("ts", "tv")])
     return out.withColumns({"ratio_lt": ratio(F.col("n_ts_lt"), F.col("n_tv_lt")), "ratio_gt": ratio(F.col("n_ts_gt"), F.col("n_tv_gt"))})
 
 
