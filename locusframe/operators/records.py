@@ -289,3 +289,17 @@ def phased_join(left: DataFrame, right: DataFrame) -> DataFrame:
     agree, differ = F.log(F.col("p") * F.col("p") + (1 - F.col("p")) * (1 - F.col("p"))), F.log(2 * F.col("p") * (1 - F.col("p")))
     per = marked.groupBy("sample_id", "chrom").agg(F.count_if("same").alias("n_match"), F.count_if("crossed").alias("n_swapped"), F.sum(F.when(F.col("same"), agree).otherwise(differ)).alias("keep_likelihood"), F.sum(F.when(F.col("same"), differ).otherwise(agree)).alias("swap_likelihood"))
     return per.withColumns({"swap": F.col("swap_likelihood") > F.col("keep_likelihood"), "quality": F.abs(F.col("swap_likelihood") - F.col("keep_likelihood")) / 2.302585092994046})
+
+
+def joined_calls(left: DataFrame, right: DataFrame, least_quality: float = 0.0) -> DataFrame:
+    """left, right: as for ``phased_join``.  The calls of both pieces, the right one's swapped where that is more likely, with
+    their phase set ps: the first position of the left piece, or of the right one where nothing, or less than
+    ``least_quality``, tells how they join.  Calls of both pieces are the left one's."""
+    by = ["sample_id", "chrom"]
+    per = phased_join(left, right).filter(F.col("quality") >= least_quality).select(*by, "swap")
+    starts = left.groupBy(*by).agg(F.min("pos").alias("_left")).join(right.groupBy(*by).agg(F.min("pos").alias("_right")), by, "full").join(per, by, "left")
+    rest = right.join(left, [*by, "pos"], "left_anti").withColumn("_mine", F.lit(False))
+    rows = left.withColumn("_mine", F.lit(True)).unionByName(rest).join(starts, by)
+    turned = ~F.col("_mine") & F.coalesce("swap", F.lit(False))
+    new = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a)
+    return rows.select(*by, "pos", new("a1", "a2"), new("a2", "a1"), F.when(F.col("_mine") | F.col("swap").isNotNull(), F.col("_left")).otherwise(F.col("_right")).alias("ps"))

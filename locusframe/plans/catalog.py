@@ -107,7 +107,17 @@ def _complete(spark: SparkSession, sf_dir: str):
     return c.with_(calls=c.calls.withColumns({"a1": F.coalesce("a1", F.lit(0)), "a2": F.when(F.col("ploidy") == 2, F.coalesce("a2", F.lit(0)))}))
 
 
-query("lroh", lambda s, d: individual.homozygous_runs(_complete(s, d)))
+
+
+def _with_runs(spark: SparkSession, sf_dir: str):
+    """The complete cohort, in which every fourth sample is homozygous over every other stretch of 6000 bases."""
+    c = _complete(spark, sf_dir)
+    calls = c.calls.join(c.sites.select("site_id", "pos"), "site_id").join(c.samples, "sample_id")
+    run = (F.col("sample_idx") % 4 == 0) & (F.floor(F.col("pos") / 6000) % 2 == 0) & F.col("a2").isNotNull()
+    return c.with_(calls=calls.withColumn("a1", F.when(run, F.col("a2")).otherwise(F.col("a1"))).drop("pos", "sample_idx"))
+
+
+query("lroh", lambda s, d: individual.homozygous_runs(_with_runs(s, d)))
 query("pca", lambda s, d: individual.principal_components(_complete(s, d)))
 query("pca_loadings", lambda s, d: individual.loadings(_complete(s, d), 2))
 
@@ -408,7 +418,14 @@ def _halves(s: SparkSession, d: str) -> tuple:
     return tuple(out)
 
 
-query("phased_join", lambda s, d: records.phased_join(*_halves(s, d)))
+query("phased_join", lambda s, d: records.phased_join(*_halves(s, d)), """, mx AS (SELECT max(pos) AS m FROM site),
+  l AS (SELECT sample_id, chrom, pos, a1, a2 FROM call1 CROSS JOIN mx WHERE phased AND a1 IS NOT NULL AND a2 IS NOT NULL AND pos <= 0.6 * m), r AS (SELECT sample_id, chrom, pos, a1, a2 FROM call2 CROSS JOIN mx WHERE phased AND a1 IS NOT NULL AND a2 IS NOT NULL AND pos >= 0.4 * m),
+  b AS (SELECT l.sample_id, l.chrom, l.pos, l.a1 = r.a1 AND l.a2 = r.a2 AS same, l.a1 = r.a2 AND l.a2 = r.a1 AS crossed FROM l JOIN r ON l.sample_id = r.sample_id AND l.chrom = r.chrom AND l.pos = r.pos WHERE l.a1 <> l.a2 AND r.a1 <> r.a2),
+  k AS (SELECT *, (count(*) OVER (PARTITION BY chrom, pos))::DOUBLE AS n, (sum(CASE WHEN crossed THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, pos))::DOUBLE AS c FROM b WHERE same OR crossed),
+  p AS (SELECT *, CASE WHEN n = 1 THEN 0.25::DOUBLE ELSE least(greatest(c / n, 1 / n), 1 - 1 / n) END AS p FROM k), g AS (SELECT *, ln(p * p + (1 - p) * (1 - p)) AS agree, ln(2 * p * (1 - p)) AS differ FROM p),
+  t AS (SELECT sample_id, chrom, count_if(same) AS n_match, count_if(crossed) AS n_swapped, sum(CASE WHEN same THEN agree ELSE differ END) AS keep, sum(CASE WHEN same THEN differ ELSE agree END) AS swapped FROM g GROUP BY ALL)
+  SELECT sample_id, chrom, n_match, n_swapped, round(keep, 6) + 0.0 AS keep_likelihood, round(swapped, 6) + 0.0 AS swap_likelihood, swapped > keep AS swap, round(abs(swapped - keep) / 2.302585092994046, 6) + 0.0 AS quality FROM t""")
+query("phased_join_calls", lambda s, d: records.joined_calls(*_halves(s, d)))
 on_cohort("sort", lambda c: c.sites.orderBy(*sets.natural_order("chrom"), "pos").select("chrom", "pos", "ref"), "SELECT chrom, pos, ref FROM site")
 
 # conversions

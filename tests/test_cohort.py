@@ -336,3 +336,53 @@ def test_records_are_normalised_ruled_and_validated(spark, cohort, tmp_path):
     assert [r.pos for r in sets.intersect([cohort, listed], least=2).select("pos").collect()] == [10]
     (tmp_path / "c.txt").write_text("##contig=<ID=1>\n##contig=<ID=X>\n")
     assert len(side.contigs(spark, f"file://{tmp_path}/c.txt")) == 2
+
+
+def test_runs_of_homozygosity_equal_a_plain_forward_backward(spark):
+    from math import exp
+
+    from locusframe.schema import SAMPLES, CALLS, SITES, Cohort
+
+    rng = __import__("random").Random(5)
+    n, own = 120, {}
+    for i in range(n):
+        for k in range(6):
+            run = k == 2 and 30 <= i < 90
+            own[i, k] = (0, 0) if run else (rng.randint(0, 1), rng.randint(0, 1))
+    pos = [1000 * (i + 1) for i in range(n)]
+    sites = spark.createDataFrame([(i, "1", pos[i], None, "A", ["C"], None, [], {}, ".", ["GT"], i) for i in range(n)], SITES)
+    calls = spark.createDataFrame([(i, f"s{k}", *own[i, k], 2, False, None, None, [], None, True) for i in range(n) for k in range(6)], CALLS)
+    got = individual.homozygous_runs(Cohort(sites, calls, spark.createDataFrame([(f"s{k}", k) for k in range(6)], SAMPLES))).collect()
+    want = []
+    for k in range(6):
+        used = [i for i in range(n) if any(1 in own[i, j] for j in range(6))]
+        rate = [sum(own[i, j][0] != own[i, j][1] for j in range(6)) / 6 for i in used]
+        emit = [[(0.01, h) if own[i, k][0] != own[i, k][1] else (0.99, 1 - h)] for i, h in zip(used, rate)]
+        f = [[emit[0][0][0] * 0.05, emit[0][0][1] * 0.95]]
+        move = [1 - exp(-8 * (pos[b] - pos[a]) / 1e8) for a, b in zip(used, used[1:])]
+        step = lambda e: ((1 - 0.95 * e, 0.95 * e), (0.05 * e, 1 - 0.05 * e))
+        for t, e in enumerate(move, 1):
+            m = step(e)
+            f.append([emit[t][0][y] * sum(f[-1][x] * m[x][y] for x in (0, 1)) for y in (0, 1)])
+            f[-1] = [v / sum(f[-1]) for v in f[-1]]
+        b = [[1.0, 1.0]]
+        for t in range(len(used) - 2, -1, -1):
+            m = step(move[t])
+            b.insert(0, [sum(m[x][y] * emit[t + 1][0][y] * b[0][y] for y in (0, 1)) for x in (0, 1)])
+            b[0] = [v / sum(b[0]) for v in b[0]]
+        inside = [x[0] * y[0] / (x[0] * y[0] + x[1] * y[1]) > 0.99 for x, y in zip(f, b)]
+        start = None
+        for t, ok in enumerate([*inside, False]):
+            if ok and start is None:
+                start = t
+            elif not ok and start is not None:
+                want.append((f"s{k}", pos[used[start]], pos[used[t - 1]], t - start))
+                start = None
+    assert sorted((r.sample_id, r.auto_start, r.auto_end, r.n_variants) for r in got) == sorted(want) and any(w[0] == "s2" for w in want)
+
+
+def test_pieces_are_joined_by_the_likelier_phase(spark):
+    left = spark.createDataFrame([("s", "1", p, 0, 1) for p in range(1, 11)] + [("t", "1", 3, 0, 1)], "sample_id string, chrom string, pos int, a1 int, a2 int")
+    right = spark.createDataFrame([("s", "1", p, 1, 0) for p in range(6, 16)] + [("t", "1", 12, 1, 0), ("u", "1", 12, 1, 0)], "sample_id string, chrom string, pos int, a1 int, a2 int")
+    got = {(r.sample_id, r.pos): (r.a1, r.a2, r.ps) for r in records.joined_calls(left, right).collect()}
+    assert all(got["s", p] == (0, 1, 1) for p in range(1, 16)) and got["t", 12] == (1, 0, 12) and got["t", 3] == (0, 1, 3) and got["u", 12] == (1, 0, 12) and len(got) == 18
