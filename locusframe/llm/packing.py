@@ -64,7 +64,7 @@ class WordTokenizer:
             self.cache.clear()
         cache = self.cache
         words = [None if self.ODD.search(t) else t.split() for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in cache})
+        new = list(set().union(*[ws for ws in words if ws]) - cache.keys())
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             cache.update(zip(part, self._whole(part)))
@@ -213,7 +213,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     plan = spark.createDataFrame(slots(histogram, capacity // grain), "_class int, _lo long, _hi long, _each long, _first long, _slot int")
     before = Window.partitionBy("_class").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_class", "_block").orderBy("_key", "doc_id", "start")) - 1)
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_class", "_block").orderBy("_key", "doc_id", "start", *[c for c in ("ids_crc32", "doc_tokens") if c in pieces.columns])) - 1)
     ranked = ranked.join(counts, ["_class", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     placed = ranked.alias("r").join(F.broadcast(plan.alias("p")), (F.col("r._class") == F.col("p._class")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     placed = placed.withColumn("sequence_id", F.expr("_first + (_rank - _lo) div _each").cast("long"))
