@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.alleles import n_alleles, ratio
 from locusframe.operators.counts import biallelic
+from locusframe.operators.sets import numbered
 from locusframe.schema import Cohort
 
 BITS = ["called", "one", "two"]
@@ -29,21 +30,22 @@ def _words(calls: DataFrame, index: Column, copies: Column, sites: DataFrame) ->
     return rows.groupBy("site_id", "word").agg(F.bit_or("_bit").alias("called"), own(F.col("_x") == 1).alias("one"), own(F.col("_x") == 2).alias("two")).join(sites, "site_id")
 
 
-def _numbered(cohort: Cohort, sites: DataFrame) -> DataFrame:
-    """(site_id, chrom, pos, rn): rn counts the sites of a chromosome in order."""
-    return sites.select("site_id", "chrom", "pos", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site_id")).alias("rn"))
+def _placed(sites: DataFrame, counted: bool) -> DataFrame:
+    """(site_id, chrom, pos, rn): rn counts the sites in order, where that is asked for."""
+    own = sites.select("site_id", "chrom", "pos")
+    return numbered(own).withColumnRenamed("line", "rn") if counted else own.withColumn("rn", F.lit(None).cast("long"))
 
 
-def _genotypes(cohort: Cohort) -> DataFrame:
+def _genotypes(cohort: Cohort, counted: bool = False) -> DataFrame:
     calls = cohort.calls.filter("included and a1 is not null and a2 is not null").join(cohort.samples, "sample_id")
-    return _words(calls, F.col("sample_idx"), (F.col("a1") == 0).cast("int") + (F.col("a2") == 0).cast("int"), _numbered(cohort, biallelic(cohort)))
+    return _words(calls, F.col("sample_idx"), (F.col("a1") == 0).cast("int") + (F.col("a2") == 0).cast("int"), _placed(biallelic(cohort), counted))
 
 
-def _haplotypes(cohort: Cohort) -> DataFrame:
+def _haplotypes(cohort: Cohort, counted: bool = False) -> DataFrame:
     """As ``_genotypes`` for phased sites, a bit a chromosome copy."""
     copies = F.explode(F.array(F.struct(F.lit(0).alias("copy"), F.col("a1").alias("a")), F.struct(F.lit(1).alias("copy"), F.col("a2").alias("a")))).alias("c")
     calls = cohort.calls.filter("included").join(cohort.samples, "sample_id").select("site_id", "sample_idx", copies).filter("c.a is not null")
-    return _words(calls, F.col("sample_idx") * 2 + F.col("c.copy"), (F.col("c.a") == 0).cast("int"), _numbered(cohort, biallelic(cohort).filter("all_phased")))
+    return _words(calls, F.col("sample_idx") * 2 + F.col("c.copy"), (F.col("c.a") == 0).cast("int"), _placed(biallelic(cohort).filter("all_phased"), counted))
 
 
 def _near(rows: DataFrame, bp: int, bp_min: int, sites: int | None, sites_min: int, key: str = "word", values: list[str] = BITS) -> DataFrame:
@@ -52,8 +54,10 @@ def _near(rows: DataFrame, bp: int, bp_min: int, sites: int | None, sites_min: i
     a = rows.select("chrom", key, *[F.col(c).alias(f"{c}_a") for c in names], F.explode(F.array(*[F.floor(F.col("pos") / bp) + k for k in (0, 1)])).alias("bin"))
     b = rows.select("chrom", key, *[F.col(c).alias(f"{c}_b") for c in names], F.floor(F.col("pos") / bp).alias("bin"))
     apart, order = F.col("pos_b") - F.col("pos_a"), F.col("rn_b") - F.col("rn_a")
-    kept = (order >= max(1, sites_min)) & (apart <= bp) & (apart >= bp_min)
-    return a.join(b, ["chrom", key, "bin"]).filter(kept & (order <= sites) if sites else kept)
+    kept = ((apart > 0) | (apart == 0) & (F.col("site_id_b") > F.col("site_id_a"))) & (apart <= bp) & (apart >= bp_min)
+    if sites or sites_min > 1:
+        kept = kept & (order >= sites_min) & (order <= sites if sites else F.lit(True))
+    return a.join(b, ["chrom", key, "bin"]).filter(kept)
 
 
 def _both(a: str, b: str) -> Column:
@@ -90,19 +94,19 @@ def _limit(rows: DataFrame, min_r2: float) -> DataFrame:
 
 
 def genotype_r2(cohort: Cohort, bp: int, bp_min: int = 0, sites: int | None = None, sites_min: int = 0, min_r2: float = 0.0) -> DataFrame:
-    pairs = _near(_genotypes(cohort), bp, bp_min, sites, sites_min)
+    pairs = _near(_genotypes(cohort, bool(sites) or sites_min > 1), bp, bp_min, sites, sites_min)
     return _limit(_correlation(pairs, ["chrom", "pos_a", "pos_b", "site_id_a", "site_id_b"]), min_r2).drop("site_id_a", "site_id_b")
 
 
 def haplotype_r2(cohort: Cohort, bp: int, bp_min: int = 0, sites: int | None = None, sites_min: int = 0, min_r2: float = 0.0) -> DataFrame:
-    pairs = _near(_haplotypes(cohort), bp, bp_min, sites, sites_min)
+    pairs = _near(_haplotypes(cohort, bool(sites) or sites_min > 1), bp, bp_min, sites, sites_min)
     return _limit(_phase(pairs, ["chrom", "pos_a", "pos_b", "site_id_a", "site_id_b"]), min_r2).drop("site_id_a", "site_id_b")
 
 
 def genotype_chisq(cohort: Cohort, bp: int) -> DataFrame:
     """Chi-square of the contingency table of unordered genotypes, any number of alleles, with its degrees of freedom and
     upper tail."""
-    s = _numbered(cohort, cohort.sites.filter(n_alleles() > 1))
+    s = _placed(cohort.sites.filter(n_alleles() > 1), False)
     calls = cohort.calls.filter("included and a1 is not null and a2 is not null")
     rows = calls.join(s, "site_id").select("site_id", "chrom", "pos", "rn", "sample_id", (F.least("a1", "a2") * 1000 + F.greatest("a1", "a2")).alias("x"))
     keys = ["chrom", "pos_a", "pos_b", "site_id_a", "site_id_b"]

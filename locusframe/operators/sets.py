@@ -62,6 +62,16 @@ def natural_order(chrom: str) -> list:
     return [F.regexp_extract(chrom, r"^\D*(\d+)", 1).try_cast("int").asc_nulls_last(), F.col(chrom)]
 
 
+def numbered(sites: DataFrame, width: int = 100_000) -> DataFrame:
+    """Adds line, the number from 1 in the order of chromosome, position and site_id.  A number is the rank within a stretch of
+    ``width`` bases and the counts of the stretches before; the window without a key has a row a stretch."""
+    rows = sites.withColumn("_stretch", F.floor(F.col("pos") / width))
+    before = Window.orderBy(*natural_order("chrom"), "_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("chrom", "_stretch").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    rank = F.row_number().over(Window.partitionBy("chrom", "_stretch").orderBy("pos", "site_id"))
+    return rows.withColumn("_rank", rank).join(counts, ["chrom", "_stretch"]).withColumn("line", F.col("_before") + F.col("_rank")).drop("_stretch", "_rank", "_before")
+
+
 #: INFO keys that a merge sums, and those that it sums item by item.
 SUMMED, ITEMS = ("DP", "MQ0"), ("DP4", "I16")
 

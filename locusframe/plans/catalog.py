@@ -426,7 +426,7 @@ query("phased_join", lambda s, d: records.phased_join(*_halves(s, d)), """, mx A
   t AS (SELECT sample_id, chrom, count_if(same) AS n_match, count_if(crossed) AS n_swapped, sum(CASE WHEN same THEN agree ELSE differ END) AS keep, sum(CASE WHEN same THEN differ ELSE agree END) AS swapped FROM g GROUP BY ALL)
   SELECT sample_id, chrom, n_match, n_swapped, round(keep, 6) + 0.0 AS keep_likelihood, round(swapped, 6) + 0.0 AS swap_likelihood, swapped > keep AS swap, round(abs(swapped - keep) / 2.302585092994046, 6) + 0.0 AS quality FROM t""")
 query("phased_join_calls", lambda s, d: records.joined_calls(*_halves(s, d)))
-on_cohort("sort", lambda c: c.sites.orderBy(*sets.natural_order("chrom"), "pos").select("chrom", "pos", "ref"), "SELECT chrom, pos, ref FROM site")
+on_cohort("sort", lambda c: sets.numbered(c.sites).orderBy("line").select("line", "chrom", "pos", "ref"), "SELECT row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), pos, site_id) AS line, chrom, pos, ref FROM site")
 
 # conversions
 CALLS = "string_agg({}, '{}' ORDER BY sample_idx)"
