@@ -17,7 +17,7 @@ def in_order(value: Column, *order: str, by: str = " ") -> Column:
 
 
 def _named(cohort: Cohort) -> DataFrame:
-    return cohort.calls.join(F.broadcast(cohort.samples), "sample_id")
+    return cohort.calls.join(cohort.samples, "sample_id")
 
 
 def _call_text() -> Column:

@@ -17,12 +17,12 @@ from locusframe.schema import Cohort
 
 def keep_samples(cohort: Cohort, samples: DataFrame) -> Cohort:
     """samples: (sample_id)."""
-    s = F.broadcast(samples.select("sample_id").distinct())
+    s = samples.select("sample_id").distinct()
     return cohort.with_(samples=cohort.samples.join(s, "sample_id", "left_semi"), calls=cohort.calls.join(s, "sample_id", "left_semi"))
 
 
 def remove_samples(cohort: Cohort, samples: DataFrame) -> Cohort:
-    s = F.broadcast(samples.select("sample_id").distinct())
+    s = samples.select("sample_id").distinct()
     return cohort.with_(samples=cohort.samples.join(s, "sample_id", "left_anti"), calls=cohort.calls.join(s, "sample_id", "left_anti"))
 
 

@@ -162,6 +162,6 @@ def principal_components(cohort: Cohort, normalise: bool = True) -> DataFrame:
 def loadings(cohort: Cohort, k: int, normalise: bool = True) -> DataFrame:
     """Weights of the sites in the first ``k`` components: sum of m e / sum of e squared."""
     e = principal_components(cohort, normalise).filter(F.col("component") <= k)
-    rows = _normalised(cohort, normalise).join(F.broadcast(e), "sample_id")  # k rows a sample
+    rows = _normalised(cohort, normalise).join(e, "sample_id")  # k rows a sample
     per = rows.groupBy("site_id", "component").agg((F.sum(F.col("m") * F.col("value")) / F.sum(F.col("value") * F.col("value"))).alias("loading"))
     return per.join(cohort.sites.select("site_id", "chrom", "pos"), "site_id").select("chrom", "pos", "component", "loading")

@@ -151,7 +151,7 @@ def snp_cluster(cohort: Cohort, n: int, width: int) -> DataFrame:
 
 def subset(cohort: Cohort, samples: DataFrame, private: bool = False, exclude_reference: bool = False, types: tuple[str, ...] | None = None, trim: bool = False) -> DataFrame:
     """Sites with the ALT alleles that ``samples`` carry.  ``private``: only alleles that no other sample carries."""
-    mine = F.broadcast(samples.select("sample_id").withColumn("mine", F.lit(True)))
+    mine = samples.select("sample_id").withColumn("mine", F.lit(True))
     rows = called(cohort.calls).join(mine, "sample_id", "left").filter("allele > 0")
     per = rows.groupBy("site_id", "allele").agg(F.count_if("mine").alias("own"), F.count_if(F.col("mine").isNull()).alias("other")).filter("own > 0")
     if private:
@@ -231,7 +231,7 @@ def fix_ploidy(cohort: Cohort, regions: DataFrame, sexes: DataFrame) -> DataFram
     """regions: (chrom, start, end, sex, ploidy); sexes: (sample_id, sex).  Calls cut to one allele or doubled where the
     ploidy of their region and sex asks for it."""
     hit = containing(cohort.sites.select("site_id", "chrom", "pos"), regions).select("site_id", "sex", F.col("ploidy").alias("wanted")).distinct()
-    calls = cohort.calls.join(F.broadcast(sexes), "sample_id", "left").join(hit, ["site_id", "sex"], "left")
+    calls = cohort.calls.join(sexes, "sample_id", "left").join(hit, ["site_id", "sex"], "left")
     a2 = F.when(F.col("wanted") == 1, F.lit(None)).when((F.col("wanted") == 2) & (F.col("ploidy") == 1), F.col("a1")).otherwise(F.col("a2"))
     return calls.select("site_id", "sample_id", "a1", a2.alias("a2"), F.coalesce("wanted", F.col("ploidy").cast("int")).alias("ploidy"))
 

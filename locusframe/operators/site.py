@@ -72,7 +72,7 @@ def quality(cohort: Cohort) -> DataFrame:
 
 def singletons(cohort: Cohort) -> DataFrame:
     """Alleles that occur once (S), or twice in one homozygous call (D), and who carries them."""
-    calls = cohort.calls.filter("included").join(F.broadcast(cohort.samples), "sample_id")
+    calls = cohort.calls.filter("included").join(cohort.samples, "sample_id")
     rows = calls.select("site_id", "sample_id", "sample_idx", F.explode(F.array_compact(F.array("a1", "a2"))).alias("allele_idx"))
     per = rows.groupBy("site_id", "allele_idx").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("carriers"), F.min_by("sample_id", "sample_idx").alias("sample_id"))
     per = per.filter("n = 1 or (n = 2 and carriers = 1)").withColumn("kind", F.when(F.col("n") == 1, "S").otherwise("D"))
@@ -106,7 +106,7 @@ def mendel(cohort: Cohort, trios: DataFrame) -> DataFrame:
     """trios: (family, child, father, mother).  Calls of a child that its parents' cannot give."""
     full = cohort.calls.filter("included and a1 is not null and a2 is not null").select("site_id", "sample_id", "a1", "a2")
     who = lambda k: full.select("site_id", F.col("sample_id").alias(k), F.col("a1").alias(f"{k}1"), F.col("a2").alias(f"{k}2"))
-    rows = who("child").join(F.broadcast(trios), "child").join(who("father"), ["site_id", "father"]).join(who("mother"), ["site_id", "mother"])
+    rows = who("child").join(trios, "child").join(who("father"), ["site_id", "father"]).join(who("mother"), ["site_id", "mother"])
     of = lambda x, k: F.col(x).isin(F.col(f"{k}1"), F.col(f"{k}2"))
     fits = (of("child1", "father") & of("child2", "mother")) | (of("child2", "father") & of("child1", "mother"))
     text = lambda k: F.concat_ws("/", F.col(f"{k}1"), F.col(f"{k}2")).alias(f"{k}_gt")

@@ -99,7 +99,7 @@ def window_pi(cohort: Cohort, size: int, step: int) -> DataFrame:
 
 def _fst_parts(cohort: Cohort, populations: DataFrame) -> DataFrame:
     """Weir and Cockerham's a and a + b + c of each diploid site, summed over its alleles.  populations: (sample_id, pop)."""
-    calls = cohort.calls.filter("included and a1 is not null and a2 is not null").join(F.broadcast(populations), "sample_id")
+    calls = cohort.calls.filter("included and a1 is not null and a2 is not null").join(populations, "sample_id")
     diploid = cohort.calls.groupBy("site_id").agg(F.bool_and((F.col("ploidy") == 2) | ~F.col("included")).alias("d")).filter("d").select("site_id")
     calls = calls.join(diploid, "site_id")
     r = populations.select("pop").distinct().count()
