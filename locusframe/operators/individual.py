@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.functions.alleles import ratio
+from locusframe.functions.alleles import alleles, ratio
 from locusframe.operators.counts import biallelic, called
 from locusframe.schema import Cohort
 
@@ -35,13 +35,18 @@ def missing(cohort: Cohort) -> DataFrame:
     return per.withColumn("f_miss", ratio(F.col("n_miss"), F.col("n_data") - F.col("n_filtered")))
 
 
-def burden(cohort: Cohort) -> DataFrame:
-    """Homozygous reference, heterozygous, homozygous ALT and missing calls (half missing ones are missing)."""
+def burden(cohort: Cohort, derived: bool = False) -> DataFrame:
+    """Homozygous reference, heterozygous, homozygous ALT and missing calls (half missing ones are missing).  ``derived``: the
+    ancestral allele (INFO AA) stands for the reference, and sites where it is unknown or no allele of theirs are left out."""
     a1, a2 = F.col("a1"), F.coalesce("a2", F.when(F.col("ploidy") == 1, F.col("a1")))
     known = F.col("included") & a1.isNotNull() & a2.isNotNull()
-    return cohort.calls.groupBy("sample_id").agg(
-        F.count_if(known & (a1 == 0) & (a2 == 0)).alias("n_hom_ref"), F.count_if(known & (a1 != a2)).alias("n_het"),
-        F.count_if(known & (a1 > 0) & (a1 == a2)).alias("n_hom_alt"), F.count_if(~known).alias("n_miss"),
+    calls, base = cohort.calls, F.lit(0)
+    if derived:
+        place = F.array_position(alleles(), F.upper(F.element_at("info", "AA"))).cast("int") - 1
+        calls, base = calls.join(cohort.sites.select("site_id", place.alias("_base")).filter("_base >= 0"), "site_id"), F.col("_base")
+    return calls.groupBy("sample_id").agg(
+        F.count_if(known & (a1 == base) & (a2 == base)).alias("n_hom_ref"), F.count_if(known & (a1 != a2)).alias("n_het"),
+        F.count_if(known & (a1 != base) & (a1 == a2)).alias("n_hom_alt"), F.count_if(~known).alias("n_miss"),
     )
 
 

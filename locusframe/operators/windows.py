@@ -134,8 +134,9 @@ def windowed_fst(cohort: Cohort, populations: DataFrame, size: int, step: int) -
 
 
 def haplotype_counts(cohort: Cohort, bins: DataFrame, width: int = 1000) -> DataFrame:
-    """Distinct haplotypes of phased biallelic sites in disjoint bins (chrom, start, end], and the most frequent one's
-    count; empty bins of chromosomes with sites have zeros."""
+    """Distinct haplotypes of phased biallelic sites in disjoint bins (chrom, start, end], the most frequent one's count, and
+    groups: how many haplotypes occur how often, as count:haplotypes from the most frequent; empty bins of chromosomes with
+    sites have zeros."""
     from locusframe.operators.intervals import containing
 
     s = biallelic(cohort).filter("all_phased").select("site_id", "chrom", "pos")
@@ -144,10 +145,12 @@ def haplotype_counts(cohort: Cohort, bins: DataFrame, width: int = 1000) -> Data
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "site_id", F.coalesce(F.col("c.x").cast("string"), F.lit(".")).alias("x")))), lambda v: v["x"]), "")
     haps = calls.join(hit, "site_id").groupBy("chrom", "start", "end", "sample_id", "c.copy").agg(text.alias("haplotype"))
     sizes = haps.groupBy("chrom", "start", "end", "haplotype").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("chrom", "start", "end").agg(F.count("*").alias("n_unique"), F.max("n").alias("largest"))
+    alike = sizes.groupBy("chrom", "start", "end", "n").agg(F.count("*").alias("k"))
+    groups = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "k")))), lambda g: F.concat_ws(":", g["n"].cast("string"), g["k"].cast("string"))), ",")
+    per = alike.groupBy("chrom", "start", "end").agg(F.sum("k").alias("n_unique"), F.max("n").alias("largest"), groups.alias("groups"))
     sites = hit.groupBy("chrom", "start", "end").agg(F.count("*").alias("n_snps"))
     visited = bins.join(s.select("chrom").distinct(), "chrom", "left_semi")
-    return visited.join(sites, ["chrom", "start", "end"], "left").join(per, ["chrom", "start", "end"], "left").na.fill(0, ["n_snps", "n_unique", "largest"]).select("chrom", "start", "end", "n_snps", "n_unique", "largest")
+    return visited.join(sites, ["chrom", "start", "end"], "left").join(per, ["chrom", "start", "end"], "left").na.fill(0, ["n_snps", "n_unique", "largest"]).na.fill("", ["groups"]).select("chrom", "start", "end", "n_snps", "n_unique", "largest", "groups")
 
 
 def indel_lengths(cohort: Cohort) -> DataFrame:

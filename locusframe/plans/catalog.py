@@ -87,6 +87,8 @@ on_cohort("indv_depth", individual.depth, "SELECT sample_id, count(dp) AS n_site
 on_cohort("indv_missing", individual.missing, "SELECT sample_id, count(*) AS n_data, 0::BIGINT AS n_filtered, count_if(a1 IS NULL) AS n_miss, round(count_if(a1 IS NULL) / count(*)::DOUBLE, 6) + 0.0 AS f_miss FROM call GROUP BY sample_id")
 on_cohort("indv_burden", individual.burden, """, x AS (SELECT sample_id, a1, coalesce(a2, CASE WHEN ploidy = 1 THEN a1 END) AS a2 FROM call)
   SELECT sample_id, count_if(a1 = 0 AND a2 = 0) AS n_hom_ref, count_if(a1 <> a2) AS n_het, count_if(a1 > 0 AND a1 = a2) AS n_hom_alt, count_if(a1 IS NULL OR a2 IS NULL) AS n_miss FROM x GROUP BY sample_id""")
+on_cohort("indv_burden_derived", lambda c: individual.burden(c, derived=True), """, b AS (SELECT site_id, list_position(list_concat([ref], alt), aa) - 1 AS base FROM site WHERE list_contains(list_concat([ref], alt), aa)), x AS (SELECT sample_id, base, a1, coalesce(a2, CASE WHEN ploidy = 1 THEN a1 END) AS a2 FROM call JOIN b USING (site_id))
+  SELECT sample_id, count_if(a1 = base AND a2 = base) AS n_hom_ref, count_if(a1 <> a2) AS n_het, count_if(a1 <> base AND a1 = a2) AS n_hom_alt, count_if(a1 IS NULL OR a2 IS NULL) AS n_miss FROM x GROUP BY sample_id""")
 FREQ_BURDEN = """, k AS (SELECT site_id, a, count(*) AS cohort_count FROM copies WHERE a > 0 GROUP BY ALL), o AS (SELECT site_id, a, sample_id, {} AS n FROM copies WHERE a > 0 GROUP BY site_id, a, sample_id)
   SELECT sample_id, cohort_count, sum(n)::BIGINT AS n_alleles FROM o JOIN k USING (site_id, a) GROUP BY ALL"""
 on_cohort("indv_freq_burden", individual.frequency_burden, FREQ_BURDEN.format("count(*)"))
@@ -165,8 +167,8 @@ query("hapcount", lambda s, d: windows.haplotype_counts(mapping.cohort(s, d), _b
   s AS (SELECT * FROM bi WHERE all_phased), hit AS (SELECT s.site_id, s.pos, b.* FROM s JOIN b ON s.chrom = b.chrom AND b.start < s.pos AND s.pos <= b."end"),
   cp AS (SELECT c.site_id, sample_id, 1 AS k, a1 AS a FROM call c UNION ALL SELECT c.site_id, sample_id, 2, a2 FROM call c),
   h AS (SELECT hit.chrom, start, "end", sample_id, k, string_agg(coalesce(CAST(a AS VARCHAR), '.'), '' ORDER BY pos, hit.site_id) AS h FROM hit JOIN cp USING (site_id) GROUP BY ALL),
-  z AS (SELECT chrom, start, "end", h, count(*) AS n FROM h GROUP BY ALL), per AS (SELECT chrom, start, "end", count(*) AS n_unique, max(n) AS largest FROM z GROUP BY ALL), st AS (SELECT chrom, start, "end", count(*) AS n_snps FROM hit GROUP BY ALL)
-  SELECT b.chrom, b.start, b."end", coalesce(n_snps, 0) AS n_snps, coalesce(n_unique, 0) AS n_unique, coalesce(largest, 0) AS largest FROM b LEFT JOIN st USING (chrom, start, "end") LEFT JOIN per USING (chrom, start, "end") WHERE b.chrom IN (SELECT chrom FROM s)""")
+  z AS (SELECT chrom, start, "end", h, count(*) AS n FROM h GROUP BY ALL), gr AS (SELECT chrom, start, "end", n, count(*) AS k FROM z GROUP BY ALL), per AS (SELECT chrom, start, "end", CAST(sum(k) AS BIGINT) AS n_unique, max(n) AS largest, string_agg(n || ':' || k, ',' ORDER BY n DESC) AS groups FROM gr GROUP BY ALL), st AS (SELECT chrom, start, "end", count(*) AS n_snps FROM hit GROUP BY ALL)
+  SELECT b.chrom, b.start, b."end", coalesce(n_snps, 0) AS n_snps, coalesce(n_unique, 0) AS n_unique, coalesce(largest, 0) AS largest, coalesce(groups, '') AS groups FROM b LEFT JOIN st USING (chrom, start, "end") LEFT JOIN per USING (chrom, start, "end") WHERE b.chrom IN (SELECT chrom FROM s)""")
 on_cohort("indel_hist", windows.indel_lengths, """, x AS (SELECT ref, unnest(alt) AS b FROM site), y AS (SELECT length(b) - length(ref) AS length FROM x WHERE regexp_full_match(b, '[ACGTN]+') AND (length(b) <> length(ref) OR length(ref) = 1))
   SELECT CAST(length AS INT) AS length, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) + 0.0 AS percent FROM y GROUP BY length""")
 
