@@ -53,10 +53,10 @@ def digests(reference: DataFrame) -> DataFrame:
     return reference.groupBy("chrom").agg(F.md5(text.cast("binary")).alias("md5"), F.sum(F.length("seq")).alias("length"))
 
 
-def _applied(variants: DataFrame) -> DataFrame:
-    """variants: (chrom, pos, ref, new).  Those that don't start within an applied one before.  Overlapping ones are runs,
+def _applied(variants: DataFrame, by: list[str]) -> DataFrame:
+    """variants: (*by, pos, ref, new).  Those that don't start within an applied one before.  Overlapping ones are runs,
     found in order of position; each run is walked by itself."""
-    order = Window.partitionBy("chrom").orderBy("pos", "ref", "new")
+    order = Window.partitionBy(*by).orderBy("pos", "ref", "new")
     variants = variants.withColumn("end", F.col("pos") + F.length("ref"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     variants = variants.withColumn("run", F.sum((F.coalesce(reach, F.lit(0)) <= F.col("pos")).cast("long")).over(order))
@@ -66,32 +66,47 @@ def _applied(variants: DataFrame) -> DataFrame:
         fits = v["pos"] >= acc["at"]
         return F.struct(F.when(fits, v["end"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.array_append(acc["kept"], v)).otherwise(acc["kept"]).alias("kept"))
 
-    runs = variants.groupBy("chrom", "run").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    runs = variants.groupBy(*by, "run").agg(F.array_sort(F.collect_list(one)).alias("all"))
     kept = F.aggregate("all", F.struct(F.lit(0).alias("at"), F.slice("all", 1, 0).alias("kept")), step, lambda acc: acc["kept"])
-    return runs.select("chrom", F.explode(kept).alias("v")).select("chrom", "v.*")
+    return runs.select(*by, F.explode(kept).alias("v")).select(*by, "v.*")
 
 
-def consensus(cohort: Cohort, reference: DataFrame, sample: str | None = None, copy: int = 1) -> DataFrame:
-    """(chrom, start, seq): the chunks with the variants of a sample's chromosome copy (or, without one, the first ALTs)
-    applied.  A variant that starts within an applied one is left out; one that crosses a chunk's end goes into the chunk
-    in which it starts, and the next ones lose the bases that it replaces."""
+def _edited(reference: DataFrame, variants: DataFrame, by: list[str]) -> DataFrame:
+    """reference: (*by, start, seq); variants: (*by, pos, ref, new).  The chunks with the variants applied.  A variant that
+    starts within an applied one is left out; one that crosses a chunk's end goes into the chunk in which it starts, and
+    the next ones lose the bases that it replaces."""
     size = _sized(reference)
-    if sample is None:
-        chosen = cohort.sites.filter(F.size("alt") > 0).withColumn("new", F.get("alt", F.lit(0)))
-    else:
-        a = F.col("a1") if copy == 1 else F.coalesce("a2", F.when(F.col("ploidy") == 1, F.col("a1")))
-        mine = cohort.calls.filter((F.col("sample_id") == sample) & F.col("included")).select("site_id", a.alias("a")).filter("a > 0")
-        chosen = cohort.sites.join(mine, "site_id").withColumn("new", allele(F.col("a")))
-    chosen = _applied(chosen.filter(F.col("new").rlike("^[ACGTNacgtn]+$")).select("chrom", "pos", "ref", "new"))
+    chosen = _applied(variants.filter(F.col("new").rlike("^[ACGTNacgtn]+$")).select(*by, "pos", "ref", "new"), by)
     number = lambda x: F.floor((x - 1) / size)
     laid = chosen.select("*", F.explode(F.sequence(number(F.col("pos")), number(F.col("end") - 1))).alias("_c"))
     # places within the chunk, from 0
     first = F.greatest(F.col("pos") - 1 - F.col("_c") * size, F.lit(0)).cast("int")
-    laid = laid.select("chrom", "_c", first.alias("first"), (F.col("end") - 1 - F.col("_c") * size).cast("int").alias("past"), F.when(number(F.col("pos")) == F.col("_c"), F.col("new")).otherwise("").alias("new"))
-    per = laid.groupBy("chrom", "_c").agg(F.array_sort(F.collect_list(F.struct("first", "past", "new"))).alias("edits"))
-    chunk = reference.withColumn("_c", number(F.col("start"))).select("chrom", "_c", "start", "seq").join(per, ["chrom", "_c"], "left")
+    laid = laid.select(*by, "_c", first.alias("first"), (F.col("end") - 1 - F.col("_c") * size).cast("int").alias("past"), F.when(number(F.col("pos")) == F.col("_c"), F.col("new")).otherwise("").alias("new"))
+    per = laid.groupBy(*by, "_c").agg(F.array_sort(F.collect_list(F.struct("first", "past", "new"))).alias("edits"))
+    chunk = reference.withColumn("_c", number(F.col("start"))).select(*by, "_c", "start", "seq").join(per, [*by, "_c"], "left")
     # an edit past the end of the last chunk has no bases to replace
     edits = F.filter("edits", lambda e: e["first"] < F.length("seq"))
     piece = lambda acc, e: F.struct(F.concat(acc["out"], F.substr("seq", acc["at"] + 1, e["first"] - acc["at"]), e["new"]).alias("out"), e["past"].alias("at"))
     edited = F.aggregate(edits, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), piece, lambda acc: F.concat(acc["out"], F.substr("seq", acc["at"] + 1)))
-    return chunk.select("chrom", "start", F.coalesce(edited, "seq").alias("seq"))
+    return chunk.select(*by, "start", F.coalesce(edited, "seq").alias("seq"))
+
+
+def consensus(cohort: Cohort, reference: DataFrame, sample: str | None = None, copy: int = 1) -> DataFrame:
+    """(chrom, start, seq): the chunks with the variants of a sample's chromosome copy (or, without one, the first ALTs)
+    applied."""
+    if sample is None:
+        chosen = cohort.sites.filter(F.size("alt") > 0).withColumn("new", F.get("alt", F.lit(0)))
+    else:
+        a = F.col("a1") if copy == 1 else F.coalesce("a2", F.when(F.col("ploidy") == 1, F.col("a1")))
+        mine = cohort.calls.filter((F.col("sample_id") == sample) & F.col("included")).select("site_id", a.alias("a")).filter("a > 0")
+        chosen = cohort.sites.join(mine, "site_id").withColumn("new", allele(F.col("a")))
+    return _edited(reference, chosen, ["chrom"])
+
+
+def haplotypes(cohort: Cohort, reference: DataFrame) -> DataFrame:
+    """(sample_id, copy, chrom, start, seq): both sequences of every sample from its phased calls, all chunks of each."""
+    copies = F.explode(F.array(F.struct(F.lit(1).alias("copy"), F.col("a1").alias("a")), F.struct(F.lit(2).alias("copy"), F.coalesce("a2", F.when(F.col("ploidy") == 1, F.col("a1"))).alias("a")))).alias("c")
+    calls = cohort.calls.filter("included and phased").select("site_id", "sample_id", copies).select("site_id", "sample_id", "c.*").filter("a > 0")
+    chosen = cohort.sites.join(calls, "site_id").withColumn("new", allele(F.col("a")))
+    every = F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")
+    return _edited(reference.crossJoin(cohort.samples.select("sample_id", every)), chosen, ["sample_id", "copy", "chrom"])

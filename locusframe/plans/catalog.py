@@ -357,6 +357,10 @@ query("annotate", lambda s, d: records.annotate(mapping.cohort(s, d), mapping.in
   SELECT chrom, pos, CASE WHEN aa IS NULL AND NOT db AND v IS NULL THEN '.' ELSE concat_ws(';', 'AA=' || aa, CASE WHEN db THEN 'DB=1' END, 'GENE=' || v) END AS info FROM site LEFT JOIN v USING (site_id)""")
 on_cohort("fill_an_ac", records.fill_counts, "SELECT chrom, pos, any_value(n_called) AS an, coalesce(string_agg(CAST(count AS VARCHAR), ',' ORDER BY allele_idx) FILTER (allele_idx > 0), '') AS ac FROM allele GROUP BY site_id, chrom, pos")
 on_cohort("fill_hwe_icf", lambda c: records.fill_statistics(c).select("chrom", "pos", "icf"), "SELECT chrom, pos, round(1 - h / nullif(2 * p * (1 - p) * n, 0), 6) + 0.0 AS icf FROM (SELECT *, r + h + a AS n, (2 * r + h) / (2.0::DOUBLE * (r + h + a)) AS p FROM bi WHERE r + h + a > 0)")
+on_cohort("fill_hwe", lambda c: records.fill_statistics(c).select("chrom", "pos", "hwe"), """, g AS (SELECT *, r + h + a AS n, 2 * least(r, a) + h AS rare FROM bi WHERE r + h + a > 0), k AS (SELECT g.*, unnest(range((rare % 2)::BIGINT, (rare + 1)::BIGINT, 2)) AS k FROM g),
+  w AS (SELECT *, k * ln(2.0) - lgamma(k + 1) - lgamma((rare - k) // 2 + 1) - lgamma(n - k - (rare - k) // 2 + 1) AS lw FROM k), w2 AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY site_id)) AS x FROM w),
+  w3 AS (SELECT *, max(CASE WHEN k = h THEN x END) OVER (PARTITION BY site_id) AS seen FROM w2), p AS (SELECT site_id, sum(x) FILTER (x <= seen * (1 + 1e-9)) / sum(x) AS p FROM w3 GROUP BY site_id)
+  SELECT chrom, pos, round(p, 6) + 0.0 AS hwe FROM p JOIN site USING (site_id)""")
 TYPE = "CASE WHEN b = ref THEN 'r' WHEN length(b) = length(ref) THEN 's' WHEN starts_with(b, ref) OR starts_with(ref, b) OR ends_with(b, ref) OR ends_with(ref, b) THEN 'i' ELSE 'o' END"
 on_cohort("fill_type", records.fill_type, f"SELECT chrom, pos, ref, b AS alt, {TYPE} AS type FROM (SELECT *, unnest(alt) AS b FROM site)")
 on_cohort("named_filters", lambda c: records.named_filters(c.sites, {"LowQual": F.col("qual") < 40, "RefN": F.contains("ref", F.lit("N")), "Even": F.col("pos") % 2 == 0}).select("chrom", "pos", F.array_join("filter", ";").alias("filter")), """, x AS (SELECT chrom, pos, list_sort(list_distinct(list_concat(list_filter(filter, lambda f: f <> 'PASS'), CASE WHEN qual < 40 THEN ['LowQual'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN pos % 2 = 0 THEN ['Even'] ELSE CAST([] AS VARCHAR[]) END))) AS f FROM site)
@@ -485,3 +489,4 @@ query("fill_fs", lambda s, d: sequence.flanks(mapping.cohort(s, d), _reference(s
 query("fill_ref_md5", lambda s, d: sequence.digests(_reference(s, d)), f""", n AS (SELECT ((max(pos) + 10) // 60 + 2) * 60 AS n FROM site)
   SELECT 'chr' || c AS chrom, md5(array_to_string(list_transform(range(1, n + 1), lambda i: {AT.format('i')}), '')) AS md5, CAST(n AS BIGINT) AS length FROM n CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS c)""")
 query("consensus", lambda s, d: sequence.consensus(mapping.cohort(s, d), _reference(s, d), "S01"))
+query("haplotypes", lambda s, d: sequence.haplotypes(mapping.cohort(s, d), _reference(s, d)))

@@ -386,3 +386,15 @@ def test_pieces_are_joined_by_the_likelier_phase(spark):
     right = spark.createDataFrame([("s", "1", p, 1, 0) for p in range(6, 16)] + [("t", "1", 12, 1, 0), ("u", "1", 12, 1, 0)], "sample_id string, chrom string, pos int, a1 int, a2 int")
     got = {(r.sample_id, r.pos): (r.a1, r.a2, r.ps) for r in records.joined_calls(left, right).collect()}
     assert all(got["s", p] == (0, 1, 1) for p in range(1, 16)) and got["t", 12] == (1, 0, 12) and got["t", 3] == (0, 1, 3) and got["u", 12] == (1, 0, 12) and len(got) == 18
+
+
+def test_haplotypes_are_the_consensus_of_each_copy(spark, cohort):
+    ref = spark.createDataFrame([("1", 1, "ACGTACGTAA"), ("1", 11, "GGGGCGGGGG"), ("1", 21, "ACGTACGTAC"), ("1", 31, "ATCC"), ("X", 31, "ACGTACGTAT")], "chrom string, start int, seq string")
+    phased = cohort.with_(calls=cohort.calls.withColumn("phased", __import__("pyspark").sql.functions.lit(True)))
+    got = {}
+    for r in sequence.haplotypes(phased, ref).collect():
+        got.setdefault((r.sample_id, r.copy), set()).add((r.chrom, r.start, r.seq))
+    assert len(got) == 8
+    for (name, copy), rows in got.items():
+        assert rows == {(r.chrom, r.start, r.seq) for r in sequence.consensus(phased, ref, name, copy).collect()}
+    assert ("1", 1, "ACGTACGTAG") in got["C", 2] and ("1", 11, "GGGGGGGGGG") in got["B", 2] and ("1", 31, "ACC") in got["D", 1]
