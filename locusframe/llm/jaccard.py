@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import bloom_filters, forget, keeps_columns, table, written
+from locusframe.llm.common import bloom_filters, forget, keeps_columns, small_batches, table, written
 from locusframe.llm.words import shingle_hashes
 
 WIDTH = 5
@@ -299,7 +299,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class_id names the class of linked documents (the smallest set_id in it; null without a word).  component_id, its
     smallest doc_id, doesn't: unrelated documents can share a doc_id or have none.
     """
-    docs = docs.select(row_name().alias("row"), "doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs.select(row_name().alias("row"), "doc_id", "text"))
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     listed = written(outline(docs), "outline")
     sets = written(listed.filter("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("smallest"), F.min("row").alias("row")), "sets")
     some = written(with_partners(docs, sets), "with-partners")

@@ -71,8 +71,9 @@ class WordTokenizer:
         return [self._whole([t])[0] if ws is None else b"".join([cache[w] for w in ws]) for t, ws in zip(texts, words)]
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """docs: (doc_id, text).  A row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit) and doc_tokens."""
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep_words: bool = True) -> DataFrame:
+    """docs: (doc_id, text).  A row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit) and doc_tokens.
+    ``keep_words``: Python workers keep their words for the next task; else they give that memory back after each."""
     path = vocabulary or default_vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +91,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
                     rows += [(doc_id, s, min(capacity, n - s), ids[4 * s : 4 * (s + capacity)], n) for s in range(0, n, capacity)]
                 a = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.int64()), pa.array(a[3], pa.binary()), pa.array(a[4], pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens"])
+        if not keep_words:
+            tokenizer.cache.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -231,11 +234,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
-    pieces = token_pieces(docs.select("doc_id", "text")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+def packed_documents(docs: DataFrame, keep_words: bool = True) -> DataFrame:
+    pieces = token_pieces(docs.select("doc_id", "text"), keep_words=keep_words).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack(written(pieces, "pieces"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: where each piece of the documents goes."""
-    return packed_documents(docs)
+    """Pipeline stage: where each piece of the documents goes.  The other stages' tasks run in the same Python workers, so
+    these keep no words."""
+    return packed_documents(docs, keep_words=False)

@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at once; a longer text is hashed alone.
-AT_ONCE = 2_000_000
+AT_ONCE = 400_000
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
