@@ -15,6 +15,7 @@ are scored whole; an empty table gives an empty result; further input columns ar
 
 from __future__ import annotations
 
+import bz2
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -31,8 +32,6 @@ from locusframe.llm.common import bloom_filters, table, written
 ORDER = 4
 #: Characters of a block, unless a single text is longer.
 BLOCK = 13_000_000
-#: Level at which blocks are compressed.
-PACKED = 9
 #: Share of a language's trusted documents that its threshold lets pass.
 QUANTILE = 0.995
 #: Steps of log10 perplexity in which quantiles are taken.
@@ -174,13 +173,13 @@ def perplexities(docs: DataFrame, known: Model) -> DataFrame:
         for i, block in enumerate(_blocks(batches, 1)):
             found = Coded(_texts(block, 1)).keys()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PACKED))) as out:
+            with pa.ipc.new_stream(sink, block.schema) as out:
                 out.write_table(block)
             name = (TaskContext.get().partitionId() << 32) + i
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)], ["block", "packed", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bz2.compress(sink.getvalue())], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)], ["block", "packed", "grams"])
 
     def score(packed: pa.Table, found: pa.Table) -> pa.Table:
-        block = pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all()
+        block = pa.ipc.open_stream(bz2.decompress(packed.column("packed")[0].as_py())).read_all()
         coded = Coded(_texts(block, 1))
         log_p = np.zeros(len(coded.points))
         log_p[found.column("at").to_numpy()] = found.column("log_p").to_numpy()
