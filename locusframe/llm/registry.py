@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from locusframe.llm import hashing, jaccard, katz, kneser, langid, media, mixing, packing, pii, secrets, sharding
+from locusframe.llm import hashing, jaccard, katz, kneser, langid, media, mixing, packing, pii, runs, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_quality": kneser.op9_quality,
     "op10_language_id": langid.op10_language_id,
+    "op11_runs": runs.op11_runs,
     "op13_sharding": sharding.op13_sharding,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op7_secrets": secrets.ORACLE}
