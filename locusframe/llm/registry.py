@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from locusframe.llm import hashing, jaccard, katz, kneser, langid, media, mixing, packing, pii, runs, secrets, sharding
+from locusframe.llm import hashing, jaccard, katz, kneser, langid, media, mixing, packing, pii, runs, secrets, sharding, trie
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": kneser.op9_quality,
     "op10_language_id": langid.op10_language_id,
     "op11_runs": runs.op11_runs,
+    "op12_trie": trie.op12_trie,
     "op13_sharding": sharding.op13_sharding,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op7_secrets": secrets.ORACLE}
