@@ -22,13 +22,24 @@ def parse_header(lines: list[str]) -> tuple[list[Field], list[str]]:
     return fields, samples
 
 
+def header_lines(text: DataFrame) -> list[str]:
+    """The lines at the start of ``text`` that start with #: no more of it is read than they need, and one row."""
+    n = 1000
+    while True:
+        head = [r["value"] for r in text.take(n)]
+        own = next((i for i, line in enumerate(head) if not line.startswith("#")), len(head))
+        if own < len(head) or len(head) < n:
+            return head[:own]
+        n *= 10
+
+
 def read(spark: SparkSession, path: str) -> Cohort:
-    """A file or folder of text (plain or .gz).  The header comes from the lines that start with # of the first file that
-    has any; files of one folder must share it."""
-    text = spark.read.text(path)
-    heads = text.filter(F.col("value").startswith("#")).select("value", F.input_file_name().alias("file"))
-    first = heads.agg(F.min("file")).first()[0]
-    header = [r["value"] for r in heads.filter(F.col("file") == first).collect()]  # one file's declarations
+    """A file or folder of text (plain or .gz), folders within it too.  The header stands at the start of the first file,
+    by name, that has any; files of one folder must share it."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    header = next((h for f in sorted(text.inputFiles()) if (h := header_lines(spark.read.text(f)))), [])
+    if not any(line.startswith("#CHROM") for line in header):
+        raise ValueError(f"no #CHROM line at the start of {path}")
     fields, samples = parse_header(header)
     lines = text.filter(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0))
     return parse(spark, lines, header, fields, samples)
@@ -51,7 +62,8 @@ def parse(spark: SparkSession, lines: DataFrame, header: list[str], fields: list
     names = F.array(*[F.lit(s) for s in samples]) if samples else empty
     each = numbered.select(F.col("line_no").alias("site_id"), F.split(at(8), ":").alias("format"), F.posexplode(F.slice("c", 10, F.greatest(F.size("c") - 9, F.lit(0)))).alias("i", "text"))
     values = F.split("text", ":")
-    each = each.select("site_id", F.get(names, F.col("i")).alias("sample_id"), F.map_from_entries(F.transform("format", lambda k, i: F.struct(k, F.get(values, i)))).alias("fmt"))
+    entries = F.filter(F.transform("format", lambda k, i: F.struct(k.alias("k"), F.get(values, i).alias("v"))), lambda e, i: F.array_position("format", e["k"]) == i + 1)  # the first of a repeated key
+    each = each.select("site_id", F.get(names, F.col("i")).alias("sample_id"), F.map_from_entries(entries).alias("fmt"))
     gt = F.coalesce(F.col("fmt")["GT"], F.lit("./."))
     parts = F.split(gt, r"[/|]")
     haploid, gq = F.size(parts) == 1, F.col("fmt")["GQ"].try_cast("double")
