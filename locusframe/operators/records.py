@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.alleles import event_type, hwe_exact, is_indel, is_snp, is_transition, normalize_alleles, ratio
+from locusframe.functions.fields import as_diploid, likeliest, reploided
 from locusframe.operators.counts import allele_counts, biallelic, called, site_totals
 from locusframe.operators.intervals import containing
 from locusframe.schema import Cohort
@@ -165,16 +166,64 @@ def subset(cohort: Cohort, samples: DataFrame, private: bool = False, exclude_re
 
 
 def contrast(cohort: Cohort, cases: list[str], controls: list[str], min_depth: int = 0) -> DataFrame:
-    """Genotypes of ``cases`` with an allele that no control has: novel alleles and the cases that carry them."""
-    ok = (F.coalesce("dp", F.lit(0)) >= min_depth) & F.col("included")
-    rows = cohort.calls.filter(ok & F.col("sample_id").isin(*cases, *controls)).select("site_id", "sample_id", F.explode(F.array_compact(F.array("a1", "a2"))).alias("allele"))
-    case = F.col("sample_id").isin(*cases)
-    per = rows.groupBy("site_id", "allele").agg(F.count_if(~case).alias("n_controls"), F.array_sort(F.collect_set(F.when(case, F.col("sample_id")))).alias("carriers"))
-    per = per.filter((F.col("n_controls") == 0) & (F.size("carriers") > 0))
+    """Genotypes of ``cases`` with an allele that no control has: novel alleles and the cases that carry them.  A site with a
+    control below ``min_depth`` (no depth counts as 0) is left out, uncalled controls are ignored, and a site without a called
+    control has nothing to report."""
+    rows = cohort.calls.filter(F.col("sample_id").isin(*cases, *controls)).withColumn("case", F.col("sample_id").isin(*cases))
+    known = F.col("included") & (F.col("a1").isNotNull() | F.col("a2").isNotNull())
+    told = rows.groupBy("site_id").agg(F.min(F.when(~F.col("case"), F.coalesce("dp", F.lit(0)))).alias("least"), F.count_if(~F.col("case") & known).alias("n_known"))
+    told = told.filter((F.col("n_known") > 0) & (F.col("least") >= min_depth)).select("site_id")
+    each = rows.filter("included").select("site_id", "sample_id", "case", F.explode(F.array_compact(F.array("a1", "a2"))).alias("allele"))
+    per = each.groupBy("site_id", "allele").agg(F.count_if(~F.col("case")).alias("n_controls"), F.array_sort(F.collect_set(F.when(F.col("case"), F.col("sample_id")))).alias("carriers"))
+    per = per.filter((F.col("n_controls") == 0) & (F.size("carriers") > 0)).join(told, "site_id")
     named = cohort.sites.join(per, "site_id").withColumn("novel", F.coalesce(F.get(F.concat(F.array("ref"), F.col("alt")), F.col("allele")), F.lit(".")))
     return named.select("chrom", "pos", "novel", F.array_join("carriers", ",").alias("carriers"))
 
 
+def novelty(cohort: Cohort, cases: list[str], controls: list[str], min_depth: int = 0, passed_only: bool = False) -> DataFrame:
+    """(site_id, chrom, pos, novelty, novel_alleles, novel_genotypes): how surely ``cases`` differ from ``controls``.
+
+    Where the site's FORMAT has PL, a genotype is the likeliest one by PL (of a haploid list that allele twice), and a case
+    and a control are as unlike as the least sum of their PL for one genotype; else they are 255 unlike, or 0 with equal
+    genotypes.  A case counts as unlike its likest control; novelty is the least of that over the cases that are unlike all
+    controls.  novel_alleles: such cases with an allele that no known control has; if there are none, novel_genotypes:
+    cases whose genotype is not that of every known control.  A site without ALT, with a control below ``min_depth`` (none
+    counts as 0), or where no case differs, is left out; unknown cases and controls are ignored."""
+    sites = cohort.sites.filter(F.size("alt") > 0)
+    if passed_only:
+        sites = hard_filter(sites)
+    sites = sites.select("site_id", "chrom", "pos", (F.size("alt") + 1).alias("_n"), F.array_contains("format", "PL").alias("_pl"))
+    rows = cohort.calls.filter(F.col("sample_id").isin(*cases, *controls)).join(sites, "site_id")
+    text = F.when(F.col("_pl"), F.element_at("fmt", "PL"))
+    likely = likeliest(text, F.col("_n"))
+    second = F.coalesce("a2", F.when(F.col("ploidy") == 1, F.col("a1")))
+    called_ = F.col("included") & F.col("a1").isNotNull() & second.isNotNull()
+    gt = F.when(F.col("_pl"), F.when(likely.isNotNull(), F.array(likely["j"], likely["i"]))).otherwise(F.when(called_, F.array_sort(F.array(F.col("a1"), F.when(F.col("ploidy") == 1, F.col("a1")).otherwise(F.col("a2"))))))
+    one = F.struct(F.col("sample_id").alias("name"), F.col("sample_id").isin(*cases).alias("case"), gt.alias("gt"), as_diploid(text, F.col("_n")).alias("pl"), F.coalesce("dp", F.lit(0)).alias("dp"), F.col("_pl").alias("by_pl"))
+    per = rows.groupBy("site_id", "chrom", "pos").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    per = per.withColumns({"shallow": F.exists("all", lambda c: ~c["case"] & (c["dp"] < min_depth)), "known": F.filter("all", lambda c: ~c["case"] & c["gt"].isNotNull())})
+    unlike = lambda a, b: F.when(a["by_pl"], F.array_min(F.zip_with(a["pl"], b["pl"], lambda x, y: x + y))).otherwise(F.when(a["gt"] == b["gt"], 0.0).otherwise(255.0))
+    each = F.transform(F.filter("all", lambda c: c["case"] & c["gt"].isNotNull()), lambda c: F.struct(
+        c["name"].alias("name"), F.array_min(F.transform("known", lambda k: unlike(c, k))).alias("score"), F.exists("known", lambda k: k["gt"] != c["gt"]).alias("genotype"),
+        (F.size(F.array_except(c["gt"], F.flatten(F.transform("known", lambda k: k["gt"])))) > 0).alias("allele")))
+    per = per.filter(~F.col("shallow") & (F.size("known") > 0)).withColumn("each", each)
+    names = lambda ok: F.array_join(F.transform(F.filter("each", ok), lambda e: e["name"]), ",")
+    alleles_ = names(lambda e: e["allele"] & (e["score"] > 0))
+    out = per.select(
+        "site_id", "chrom", "pos", F.array_min(F.transform(F.filter("each", lambda e: e["score"] > 0), lambda e: e["score"])).cast("int").alias("novelty"), alleles_.alias("novel_alleles"),
+        F.when(alleles_ == "", names(lambda e: e["genotype"])).otherwise("").alias("novel_genotypes"),
+    )
+    return out.filter(F.col("novelty").isNotNull() & ((F.col("novel_alleles") != "") | (F.col("novel_genotypes") != "")))
+
+
+def mark_novel(cohort: Cohort, found: DataFrame) -> DataFrame:
+    """Sites with what ``novelty`` found as INFO NOVELTY and NOVELAL or NOVELGT."""
+    out = cohort.sites.join(found.drop("chrom", "pos"), "site_id", "left")
+    own = F.create_map(F.lit("NOVELTY"), F.col("novelty").cast("string"), F.lit("NOVELAL"), F.nullif("novel_alleles", F.lit("")), F.lit("NOVELGT"), F.nullif("novel_genotypes", F.lit("")))
+    rest = F.map_filter("info", lambda k, v: ~k.isin("NOVELTY", "NOVELAL", "NOVELGT"))
+    return out.withColumn("info", F.when(F.col("novelty").isNotNull(), F.map_concat(rest, F.map_filter(own, lambda k, v: v.isNotNull()))).otherwise(F.col("info"))).drop("novelty", "novel_alleles", "novel_genotypes")
+
+
 def summary(cohort: Cohort) -> DataFrame:
     """Counts by FILTER value and over all (a null filter_text): sites, SNPs, indels, multi-allelic, transitions."""
     s = cohort.sites.withColumn("filter_text", F.when(F.size("filter") == 0, ".").otherwise(F.array_join("filter", ";")))
@@ -227,13 +276,33 @@ def indel_frames(cohort: Cohort, exons: DataFrame) -> DataFrame:
     return s.groupBy("exonic").agg(F.count("*").alias("n_indels"), F.count_if(F.col("len") % 3 == 0).alias("n_inframe"), F.count_if(F.col("len") % 3 != 0).alias("n_frameshift"))
 
 
-def fix_ploidy(cohort: Cohort, regions: DataFrame, sexes: DataFrame) -> DataFrame:
-    """regions: (chrom, start, end, sex, ploidy); sexes: (sample_id, sex).  Calls cut to one allele or doubled where the
-    ploidy of their region and sex asks for it."""
-    hit = containing(cohort.sites.select("site_id", "chrom", "pos"), regions).select("site_id", "sex", F.col("ploidy").alias("wanted")).distinct()
+def fix_ploidy(cohort: Cohort, regions: DataFrame, sexes: DataFrame, likelihoods: bool = False) -> DataFrame:
+    """regions: (chrom, start, end, sex, ploidy), start exclusive; sexes: (sample_id, sex).  Calls with the ploidy that their
+    region and sex ask for: the first allele alone, or twice; ploidy 0 makes a known call missing and haploid.
+
+    ``likelihoods``: PL and GL follow (from diploid to haploid the homozygous values, back '.' for heterozygous genotypes),
+    and a changed call is the likeliest one by PL, or else GL, of what is left; adds fmt."""
+    hit = containing(cohort.sites.select("site_id", "chrom", "pos", (F.size("alt") + 1).alias("_n")), regions).select("site_id", "sex", "_n", F.col("ploidy").cast("int").alias("wanted")).distinct()
     calls = cohort.calls.join(sexes, "sample_id", "left").join(hit, ["site_id", "sex"], "left")
-    a2 = F.when(F.col("wanted") == 1, F.lit(None)).when((F.col("wanted") == 2) & (F.col("ploidy") == 1), F.col("a1")).otherwise(F.col("a2"))
-    return calls.select("site_id", "sample_id", "a1", a2.alias("a2"), F.coalesce("wanted", F.col("ploidy").cast("int")).alias("ploidy"))
+    known = F.col("a1").isNotNull() | F.col("a2").isNotNull()
+    removed = (F.col("wanted") == 0) & known
+    changed = F.col("wanted").isNotNull() & (F.col("wanted") > 0) & (F.col("wanted") != F.col("ploidy"))
+    ploidy = F.when(removed, 1).when(changed, F.col("wanted")).otherwise(F.col("ploidy").cast("int"))
+    first, second = F.col("a1"), F.when(F.col("wanted") == 1, F.lit(None)).when((F.col("wanted") == 2) & (F.col("ploidy") == 1), F.col("a1")).otherwise(F.col("a2"))
+    out = calls.withColumns({"_removed": removed, "_changed": changed, "_new": ploidy, "_was": F.col("ploidy"), "_first": first, "_second": second})
+    if likelihoods:
+        lists = lambda k: reploided(F.element_at("fmt", k), F.col("_n"), F.col("_was"), F.when(F.col("_removed"), 1).otherwise(F.col("wanted")))
+        moved = F.coalesce((F.col("_removed") & (F.col("_was") == 2)) | F.col("_changed"), F.lit(False))
+        # of a haploid list its best allele; lists of '.' for heterozygous genotypes are read by their homozygous values
+        best = lambda k, sign: likeliest(F.when(F.col("_new") == 2, reploided(lists(k), F.col("_n"), F.lit(2), F.lit(1))).otherwise(lists(k)), F.col("_n"), sign)["i"]
+        chosen = F.coalesce(best("PL", 1), best("GL", -1), F.col("_first"))
+        out = out.withColumn("_first", F.when(F.col("_changed"), chosen).otherwise(F.col("_first")))
+        out = out.withColumn("_second", F.when(F.col("_changed"), F.when(F.col("_new") == 2, chosen)).otherwise(F.col("_second")))
+        value = lambda k, v: F.when(k == "PL", lists("PL")).when(k == "GL", lists("GL")).otherwise(v)
+        out = out.withColumn("fmt", F.when(moved, F.transform_values("fmt", value)).otherwise(F.col("fmt")))
+    a1 = F.when(~F.coalesce("_removed", F.lit(False)), F.col("_first"))
+    a2 = F.when(~F.coalesce("_removed", F.lit(False)), F.col("_second"))
+    return out.select("site_id", "sample_id", a1.alias("a1"), a2.alias("a2"), F.col("_new").alias("ploidy"), *(["fmt"] if likelihoods else []))
 
 
 def validate(cohort: Cohort, info: set[str] = frozenset(), flags: set[str] = frozenset()) -> DataFrame:
