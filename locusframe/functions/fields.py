@@ -33,9 +33,9 @@ def genotypes(n: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
-def reindexed(text: Column, number: str, back: Column, n_old: Column) -> Column:
+def reindexed(text: Column, number: str, back: Column, n_old: Column, haploid: Column | None = None) -> Column:
     """The list ``text`` under new allele numbers, '.' where the old one says nothing.  A list by genotype of another length
-    than the alleles ask for becomes '.'."""
+    than the alleles ask for becomes '.'; of a single allele's, only the call (``haploid``) tells whether it is by allele."""
 
     def listed(v: Column) -> Column:
         take = lambda i: F.coalesce(F.get(v["x"], i), F.lit("."))
@@ -51,21 +51,21 @@ def reindexed(text: Column, number: str, back: Column, n_old: Column) -> Column:
         elif number == "R":
             out = alleles
         else:
-            diploid = F.size(v["x"]) == v["n"] * (v["n"] + 1) / 2
+            diploid = (F.size(v["x"]) == v["n"] * (v["n"] + 1) / 2) & ~((v["n"] == 1) & v["haploid"])
             out = F.when(diploid, F.transform(genotypes(F.size(v["back"])), pair)).when(F.size(v["x"]) == v["n"], alleles).otherwise(F.array(F.lit(".")))
         return F.when(F.size(out) == 0, ".").otherwise(F.array_join(out, ","))
 
-    return F.when(text == ".", text).when(text.isNotNull(), once(F.struct(F.split(text, ",").alias("x"), back.alias("back"), n_old.alias("n")), listed))
+    return F.when(text == ".", text).when(text.isNotNull(), once(F.struct(F.split(text, ",").alias("x"), back.alias("back"), n_old.alias("n"), (F.lit(False) if haploid is None else haploid).alias("haploid")), listed))
 
 
-def reindexed_map(entries: Column, kinds: dict[str, str], back: Column, n_old: Column) -> Column:
+def reindexed_map(entries: Column, kinds: dict[str, str], back: Column, n_old: Column, haploid: Column | None = None) -> Column:
     """A map of fields with those of ``kinds`` renumbered."""
 
     def value(key: Column, text: Column) -> Column:
         out = text
         for number in ("A", "R", "G"):
             if own := [k for k, n in kinds.items() if n == number]:
-                out = F.when(key.isin(*own), reindexed(text, number, back, n_old)).otherwise(out)
+                out = F.when(key.isin(*own), reindexed(text, number, back, n_old, haploid)).otherwise(out)
         return out
 
     return F.transform_values(entries, value)

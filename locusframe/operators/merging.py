@@ -24,7 +24,7 @@ def renumbered(cohort: Cohort, table: DataFrame) -> Cohort:
     new = sites.withColumn("info", F.when(changed, reindexed_map(F.col("info"), info, F.col("back"), F.col("_n"))).otherwise(F.col("info"))).withColumn("alt", F.when(changed, kept).otherwise(F.col("alt")))
     calls = cohort.calls.join(sites.filter(changed).select("site_id", "back", "_n"), "site_id", "left")
     number = lambda a: F.when(F.col("back").isNull(), F.col(a)).otherwise(F.nullif((F.array_position("back", F.col(a)) - 1).cast("int"), F.lit(-1)))
-    calls = calls.withColumns({"a1": number("a1"), "a2": number("a2"), "fmt": F.when(F.col("back").isNotNull(), reindexed_map(F.col("fmt"), fmt, F.col("back"), F.col("_n"))).otherwise(F.col("fmt"))})
+    calls = calls.withColumns({"a1": number("a1"), "a2": number("a2"), "fmt": F.when(F.col("back").isNotNull(), reindexed_map(F.col("fmt"), fmt, F.col("back"), F.col("_n"), F.col("ploidy") == 1)).otherwise(F.col("fmt"))})
     return cohort.with_(sites=new.drop("back", "_n"), calls=calls.drop("back", "_n"))
 
 
@@ -115,7 +115,7 @@ def merged_cohort(cohorts: list[Cohort], collapse: str = "any") -> Cohort:
     number = lambda a: F.nullif((F.array_position("back", F.col(a)) - 1).cast("int"), F.lit(-1)).alias(a)
     own = F.map_filter("fmt", lambda k, v: k != "GT")
     calls = calls.select(
-        F.col("new_id").alias("site_id"), F.col("name").alias("sample_id"), number("a1"), number("a2"), "ploidy", "phased", "gq", "dp", "ft", reindexed_map(own, fmt, F.col("back"), F.col("n_old")).alias("fmt"), "included",
+        F.col("new_id").alias("site_id"), F.col("name").alias("sample_id"), number("a1"), number("a2"), "ploidy", "phased", "gq", "dp", "ft", reindexed_map(own, fmt, F.col("back"), F.col("n_old"), F.col("ploidy") == 1).alias("fmt"), "included",
     )
     absent = per.select("new_id", F.explode(F.array_except(F.array(*[F.lit(i) for i in range(1, n + 1)]), F.transform("x", lambda v: v["src"]))).alias("src")).join(names.select("src", "name"), "src")
     absent = absent.select(

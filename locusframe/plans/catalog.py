@@ -377,7 +377,8 @@ CARRY = ", car AS (SELECT site_id, a, count_if(sample_idx < 4) AS own, count_if(
 on_cohort("subset", lambda c: records.subset(c, c.samples.filter("sample_idx < 4"), exclude_reference=True, trim=True), CARRY + "SELECT s.chrom, s.pos, s.ref, array_to_string(list_transform(k, lambda i: s.alt[i]), ',') AS alt FROM site s JOIN (SELECT site_id, list_sort(list(a)) AS k FROM car WHERE own > 0 GROUP BY site_id) USING (site_id)")
 on_cohort("subset_private", lambda c: records.subset(c, c.samples.filter("sample_idx < 4"), private=True), CARRY + "SELECT chrom, pos, ref, array_to_string(alt, ',') AS alt FROM site WHERE site_id IN (SELECT site_id FROM car WHERE own > 0 AND other = 0)")
 on_cohort("subset_types", lambda c: records.subset(c, c.samples.filter("sample_idx < 4"), types=("i",)), f"SELECT chrom, pos, ref, array_to_string(alt, ',') AS alt FROM site WHERE site_id IN (SELECT site_id FROM (SELECT *, unnest(alt) AS b FROM site) WHERE {TYPE} = 'i')")
-on_cohort("contrast", lambda c: records.contrast(c, ["S00", "S01"], ["S02", "S03", "S04"], 10), """, x AS (SELECT c.site_id, c.a, c.sample_id, c.sample_idx FROM copies c JOIN call k USING (site_id, sample_id) WHERE k.dp >= 10 AND c.sample_idx < 5),
+on_cohort("contrast", lambda c: records.contrast(c, ["S00", "S01"], ["S02", "S03", "S04"], 10), """, t AS (SELECT site_id FROM call WHERE sample_idx BETWEEN 2 AND 4 GROUP BY site_id HAVING min(coalesce(dp, 0)) >= 10 AND count(coalesce(a1, a2)) > 0),
+  x AS (SELECT c.site_id, c.a, c.sample_id, c.sample_idx FROM copies c JOIN t USING (site_id) WHERE c.sample_idx < 5),
   g AS (SELECT site_id, a, count_if(sample_idx > 1) AS n, array_to_string(list_sort(list(DISTINCT sample_id) FILTER (sample_idx <= 1)), ',') AS carriers FROM x GROUP BY ALL)
   SELECT chrom, pos, coalesce(list_concat([ref], alt)[a + 1], '.') AS novel, carriers FROM g JOIN site USING (site_id) WHERE n = 0 AND carriers IS NOT NULL""")
 on_cohort("stats", records.summary, f""", x AS (SELECT *, CASE WHEN len(filter) = 0 THEN '.' ELSE array_to_string(filter, ';') END AS filter_text FROM site)
@@ -490,3 +491,5 @@ query("fill_ref_md5", lambda s, d: sequence.digests(_reference(s, d)), f""", n A
   SELECT 'chr' || c AS chrom, md5(array_to_string(list_transform(range(1, n + 1), lambda i: {AT.format('i')}), '')) AS md5, CAST(n AS BIGINT) AS length FROM n CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS c)""")
 query("consensus", lambda s, d: sequence.consensus(mapping.cohort(s, d), _reference(s, d), "S01"))
 query("haplotypes", lambda s, d: sequence.haplotypes(mapping.cohort(s, d), _reference(s, d)))
+
+from locusframe.plans import fielded  # noqa: E402, F401  its queries are registered too

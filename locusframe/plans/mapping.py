@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.schema import Cohort
+from locusframe.functions.fields import genotypes
+from locusframe.schema import Cohort, Field
 
 SAMPLES = [f"S{i:02d}" for i in range(20)]
 
@@ -72,6 +73,32 @@ def second(spark: SparkSession, sf_dir: str) -> Cohort:
     return c.with_(sites=sites, calls=c.calls.filter("site_id % 6 <> 0").withColumn("a1", a1))
 
 
+def fielded(c: Cohort) -> Cohort:
+    """With INFO AF and FORMAT PL and AD, values of the alleles' first letters and lengths (FIELDS says the same in SQL)."""
+    key = lambda x: F.ascii(x) + 5 * F.length(x)
+    af = F.array_join(F.transform("alt", lambda a: F.concat(F.lit("0."), (key(a) % 10).cast("string"))), ",")
+    sites = c.sites.withColumns({"info": F.when(F.size("alt") > 0, F.map_concat("info", F.create_map(F.lit("AF"), af))).otherwise(F.col("info")), "format": F.array(*[F.lit(x) for x in ("GT", "PL", "AD")])})
+    keys = F.transform(F.concat(F.array("ref"), F.col("alt")), key)
+    calls = c.calls.join(c.sites.select("site_id", keys.alias("_k")), "site_id")
+    value = lambda p: ((3 * (F.get("_k", p["i"]) + F.get("_k", p["j"])) + F.col("gq")).cast("int") % 97).cast("string")
+    alone = F.transform(F.sequence(F.lit(0), F.size("_k") - 1), lambda i: F.struct(i.alias("i"), i.alias("j")))
+    pl = F.array_join(F.transform(F.when(F.col("ploidy") == 1, alone).otherwise(genotypes(F.size("_k"))), value), ",")
+    ad = F.array_join(F.transform("_k", lambda k: ((k + F.col("gq").cast("int")) % 31).cast("string")), ",")
+    fmt = F.when(F.col("gq").isNotNull(), F.create_map(F.lit("PL"), pl, F.lit("AD"), ad))
+    fields = [Field("INFO", "AF", "A", "Float"), Field("FORMAT", "PL", "G", "Integer"), Field("FORMAT", "AD", "R", "Integer")]
+    return c.with_(sites=sites, calls=calls.withColumn("fmt", fmt).drop("_k"), fields=fields)
+
+
+def recut(c: Cohort) -> Cohort:
+    """Every fourth site with one ALT of one base has another ALT before it, which nobody carries."""
+    cut = (F.col("site_id") % 4 == 1) & (F.length("ref") == 1) & (F.size("alt") == 1) & F.forall("alt", lambda a: F.length(a) == 1)
+    sites = c.sites.withColumn("_cut", cut)
+    calls = c.calls.join(sites.filter("_cut").select("site_id", "_cut"), "site_id", "left")
+    number = lambda a: F.when(F.col("_cut") & (F.col(a) == 1), 2).otherwise(F.col(a))
+    sites = sites.withColumn("alt", F.when(F.col("_cut"), F.concat(F.array(F.concat("ref", F.lit("G"))), F.col("alt"))).otherwise(F.col("alt")))
+    return c.with_(sites=sites.drop("_cut"), calls=calls.withColumns({"a1": number("a1"), "a2": number("a2")}).drop("_cut"))
+
+
 def intervals(spark: SparkSession, sf_dir: str, every: int = 49) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(f"o_orderkey % {every} = 0")
     return orders.selectExpr("concat('chr', o_orderkey % 5 + 1) AS chrom", "cast(floor(o_orderkey * 2.5) AS int) AS start", "cast(floor(o_orderkey * 2.5) AS int) + cast(o_custkey % 200 + 1 AS int) AS end")
