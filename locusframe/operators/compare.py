@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.alleles import allele, ratio
+from locusframe.operators.stretches import runs
 from locusframe.schema import Cohort
 
 
@@ -17,6 +18,36 @@ def sites(one: Cohort, two: Cohort) -> DataFrame:
     return a.join(b, ["chrom", "pos"], "full").select("chrom", "pos", kind.alias("files"), "ref_1", "ref_2", "alt_1", "alt_2")
 
 
+def overlapping_sites(one: Cohort, two: Cohort) -> DataFrame:
+    """As ``sites``, with spans: of two records at different positions, one of each cohort, that share bases of their REFs, files is
+    O as well.  Records are paired greedily, from the left: the next ones of both cohorts, or the one that lies before and
+    does not reach the other.  A REF of N or '.' agrees with any.
+
+    Records whose spans touch no other's are by themselves; the others are walked run by run."""
+    rows = [c.sites.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), F.lit(k).alias("src"), "line_no") for k, c in ((1, one), (2, two))]
+    grouped = runs(rows[0].unionByName(rows[1]), ["chrom"], F.col("pos") + F.greatest(F.length("ref"), F.lit(1)), ["src", "line_no"])
+    each = F.array_sort(F.collect_list(F.struct("pos", "line_no", "ref", "alt", "src")))
+    run = grouped.groupBy("chrom", "run").agg(each.alias("all"))
+    run = run.withColumns({f"r{k}": F.filter("all", lambda x: x["src"] == k) for k in (1, 2)})  # noqa: B023
+    none = F.lit(None).cast(run.schema["all"].dataType.elementType)
+    unknown = lambda r: r.isin("N", ".", "")
+
+    def step(acc: Column, _: Column) -> Column:
+        a, b = F.get("r1", acc["i"]), F.get("r2", acc["j"])
+        over = lambda x, y: y["pos"] < x["pos"] + F.length(x["ref"])
+        both = F.when(a.isNull() | b.isNull(), False).when(a["pos"] == b["pos"], True).when(a["pos"] < b["pos"], over(a, b)).otherwise(over(b, a))
+        left = a.isNotNull() & (both | b.isNull() | (a["pos"] < b["pos"]))
+        right = b.isNotNull() & (both | a.isNull() | (b["pos"] < a["pos"]))
+        same = (a["pos"] == b["pos"]) & ((a["ref"] == b["ref"]) | unknown(a["ref"]) | unknown(b["ref"]))
+        kind = F.when(both, F.when(same, "B").otherwise("O")).when(left, "1").otherwise("2")
+        made = F.struct(kind.alias("files"), F.when(left, a).otherwise(none).alias("a"), F.when(right, b).otherwise(none).alias("b"))
+        return F.struct((acc["i"] + left.cast("int")).alias("i"), (acc["j"] + right.cast("int")).alias("j"), F.when(left | right, F.array_append(acc["out"], made)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.slice(F.array(F.struct(F.lit("").alias("files"), none.alias("a"), none.alias("b"))), 1, 0).alias("out"))
+    made = run.select("chrom", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("o"))
+    return made.select("chrom", F.col("o.a.pos").alias("pos_1"), F.col("o.b.pos").alias("pos_2"), "o.files", F.col("o.a.ref").alias("ref_1"), F.col("o.b.ref").alias("ref_2"), F.col("o.a.alt").alias("alt_1"), F.col("o.b.alt").alias("alt_2"))
+
+
 def samples(one: Cohort, two: Cohort, names: DataFrame | None = None) -> DataFrame:
     """names: (id_1, id_2), the second cohort's names in terms of the first."""
     b = two.samples.select(F.col("sample_id").alias("id_2"))

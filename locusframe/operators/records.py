@@ -9,6 +9,7 @@ from locusframe.functions.alleles import event_type, hwe_exact, is_indel, is_snp
 from locusframe.functions.fields import as_diploid, likeliest, reploided
 from locusframe.operators.counts import allele_counts, biallelic, called, site_totals
 from locusframe.operators.intervals import containing
+from locusframe.operators.stretches import runs
 from locusframe.schema import Cohort
 
 
@@ -137,8 +138,7 @@ def gap_window(cohort: Cohort, width: int) -> DataFrame:
     """Indels that share a run (gaps of at most ``width`` bases) with one of higher ALT frequency."""
     counts = allele_counts(cohort).filter("allele_idx > 0").groupBy("site_id").agg(F.max(F.col("count") / F.greatest("n_called", F.lit(1))).alias("af"))
     s = cohort.sites.filter(is_indel() & (F.size("alt") > 0)).join(counts, "site_id")
-    order = Window.partitionBy("chrom").orderBy("pos", "site_id")
-    s = s.withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(order) > width).cast("int"), F.lit(1))).withColumn("run", F.sum("_new").over(order))
+    s = runs(s, ["chrom"], F.col("pos") + width + 1, ["site_id"])
     best = F.row_number().over(Window.partitionBy("chrom", "run").orderBy(F.desc("af"), "pos", "site_id"))
     return s.withColumn("rank", best).filter("rank > 1").select("chrom", "pos")
 

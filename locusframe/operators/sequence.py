@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.alleles import allele
+from locusframe.operators.stretches import running, runs
 from locusframe.schema import Cohort
 
 
@@ -13,20 +14,21 @@ def _sized(reference: DataFrame) -> int:
     return reference.select(F.max(F.length("seq"))).first()[0] or 1
 
 
-def bases_at(sites: DataFrame, reference: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+def bases_at(sites: DataFrame, reference: DataFrame, before: int = 0, after: int | Column = 0) -> DataFrame:
     """Adds ``bases``: the reference from pos - before to pos + after, N outside it.  Chunks start at 1 + k * size, so a
     stretch is put together from the chunks it meets by an equality join."""
     size = _sized(reference)
+    after = after if isinstance(after, Column) else F.lit(after)
     chunk = reference.withColumn("_c", F.floor((F.col("start") - 1) / size)).select("chrom", "_c", "start", "seq")
-    laid = sites.select("site_id", "chrom", "pos", F.explode(F.sequence(F.floor((F.greatest(F.col("pos") - before, F.lit(1)) - 1) / size), F.floor((F.col("pos") + after - 1) / size))).alias("_c"))
+    laid = sites.select("site_id", "chrom", "pos", F.explode(F.sequence(F.floor((F.greatest(F.col("pos") - before, F.lit(1)) - 1) / size), F.floor((F.greatest(F.col("pos") + after, F.lit(1)) - 1) / size))).alias("_c"))
     got = laid.join(chunk, ["chrom", "_c"])
     parts = F.array_sort(F.collect_list(F.struct("start", "seq")))
     per = got.groupBy("site_id").agg(parts.alias("p"))
     text, first = F.array_join(F.col("p.seq"), ""), F.get("p.start", F.lit(0))
     out = sites.join(per, "site_id", "left")
     left = F.greatest(F.lit(0), first - (F.col("pos") - before))
-    cut = F.concat(F.repeat(F.lit("N"), left), F.substr(text, F.greatest(F.lit(1), F.col("pos") - before - first + 1), F.lit(before + after + 1) - left))
-    return out.withColumn("bases", F.rpad(F.coalesce(cut, F.lit("")), before + after + 1, "N")).drop("p")
+    cut = F.concat(F.repeat(F.lit("N"), left), F.substr(text, F.greatest(F.lit(1), F.col("pos") - before - first + 1), after + (before + 1) - left))
+    return out.withColumn("bases", F.rpad(F.coalesce(cut, F.lit("")), after + (before + 1), F.lit("N"))).drop("p")
 
 
 def ancestral(cohort: Cohort, reference: DataFrame) -> DataFrame:
@@ -56,19 +58,16 @@ def digests(reference: DataFrame) -> DataFrame:
 def _applied(variants: DataFrame, by: list[str]) -> DataFrame:
     """variants: (*by, pos, ref, new).  Those that don't start within an applied one before.  Overlapping ones are runs,
     found in order of position; each run is walked by itself."""
-    order = Window.partitionBy(*by).orderBy("pos", "ref", "new")
-    variants = variants.withColumn("end", F.col("pos") + F.length("ref"))
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    variants = variants.withColumn("run", F.sum((F.coalesce(reach, F.lit(0)) <= F.col("pos")).cast("long")).over(order))
+    variants = runs(variants.withColumn("end", F.col("pos") + F.length("ref")), by, F.col("end"), ["ref", "new"])
     one = F.struct("pos", "ref", "new", "end")
 
     def step(acc: Column, v: Column) -> Column:
         fits = v["pos"] >= acc["at"]
         return F.struct(F.when(fits, v["end"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.array_append(acc["kept"], v)).otherwise(acc["kept"]).alias("kept"))
 
-    runs = variants.groupBy(*by, "run").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    grouped = variants.groupBy(*by, "run").agg(F.array_sort(F.collect_list(one)).alias("all"))
     kept = F.aggregate("all", F.struct(F.lit(0).alias("at"), F.slice("all", 1, 0).alias("kept")), step, lambda acc: acc["kept"])
-    return runs.select(*by, F.explode(kept).alias("v")).select(*by, "v.*")
+    return grouped.select(*by, F.explode(kept).alias("v")).select(*by, "v.*")
 
 
 def _edited(reference: DataFrame, variants: DataFrame, by: list[str]) -> DataFrame:
@@ -110,3 +109,34 @@ def haplotypes(cohort: Cohort, reference: DataFrame) -> DataFrame:
     chosen = cohort.sites.join(calls, "site_id").withColumn("new", allele(F.col("a")))
     every = F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")
     return _edited(reference.crossJoin(cohort.samples.select("sample_id", every)), chosen, ["sample_id", "copy", "chrom"])
+
+
+def lifted(cohort: Cohort, features: DataFrame) -> DataFrame:
+    """features: (chrom, start, end, ...), both inclusive.  (sample_id, copy, ...): where each feature lies on both sequences of
+    every sample, as ``haplotypes`` makes them.
+
+    A place moves by the sum of the length changes of the variants that end before it.  A deletion takes its bases behind
+    those that ALT has: a feature that starts within starts behind it, one that ends within ends before it, and one that lies
+    within is gone."""
+    copies = F.explode(F.array(F.struct(F.lit(1).alias("copy"), F.col("a1").alias("a")), F.struct(F.lit(2).alias("copy"), F.coalesce("a2", F.when(F.col("ploidy") == 1, F.col("a1"))).alias("a")))).alias("c")
+    calls = cohort.calls.filter("included and phased").select("site_id", "sample_id", copies).select("site_id", "sample_id", "c.*").filter("a > 0")
+    by = ["sample_id", "copy", "chrom"]
+    chosen = cohort.sites.join(calls, "site_id").withColumn("new", allele(F.col("a"))).filter(F.col("new").rlike("^[ACGTNacgtn]+$"))
+    used = _applied(chosen.select(*by, "pos", "ref", "new"), by).withColumn("change", (F.length("new") - F.length("ref")).cast("long")).filter("change <> 0")
+    hole = F.struct((F.col("pos") + F.length("new")).alias("from"), F.col("end").alias("until"))
+    none = F.lit(None).cast(used.select(hole.alias("h")).schema["h"].dataType)
+    numbered = features.withColumn("_id", F.monotonically_increasing_id())
+    every = numbered.crossJoin(cohort.samples.select("sample_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")))  # the result's own rows
+    marks = used.select(*by, F.explode(F.array(
+        F.struct(F.col("end").cast("long").alias("pos"), F.col("change").alias("change"), none.alias("hole")), F.struct((F.col("pos") + F.length("new")).cast("long").alias("pos"), F.lit(0).cast("long").alias("change"), F.when(F.col("change") < 0, hole).alias("hole")),
+    )).alias("m")).select(*by, "m.*", F.lit(None).cast("long").alias("_id"), F.lit(0).alias("_ask"))
+    asked = every.select(*by, F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(1).alias("_ask")), F.struct(F.col("end").cast("long").alias("pos"), F.lit(2).alias("_ask")))).alias("m"), "_id")
+    asked = asked.select(*by, "m.pos", F.lit(0).cast("long").alias("change"), none.alias("hole"), "_id", "m._ask")
+    told = running(marks.unionByName(asked), by, ["_ask"], {"shift": (F.col("change"), "sum"), "last": (F.col("hole"), "max")}).filter("_ask > 0")
+    within = F.coalesce(F.col("pos") < F.col("last.until"), F.lit(False))
+    place = F.coalesce("shift", F.lit(0)) + F.when(within, F.col("last.from") - F.when(F.col("_ask") == 2, 1).otherwise(0)).otherwise(F.col("pos"))
+    ends = told.groupBy(*by, "_id").agg(*[F.max(F.when(F.col("_ask") == k, v)).alias(n) for k, side in ((1, "start"), (2, "end")) for n, v in ((f"_{side}", place), (f"_hole_{side}", F.when(within, F.col("last.from"))))])
+    gone = F.coalesce(F.col("_hole_start") == F.col("_hole_end"), F.lit(False))
+    out = numbered.drop("start", "end", "chrom").join(ends.filter(~gone), "_id")
+    rest = [c for c in features.columns if c not in ("chrom", "start", "end")]
+    return out.select("sample_id", "copy", "chrom", F.col("_start").alias("start"), F.col("_end").alias("end"), *rest)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.alleles import is_indel, is_snp
+from locusframe.operators.stretches import runs
 from locusframe.schema import Cohort
 
 
@@ -17,10 +18,9 @@ def tagged(cohorts: list[Cohort]) -> DataFrame:
 
 
 def clusters(rows: DataFrame, gap: int) -> DataFrame:
-    """Numbers positions of a chromosome that lie at most ``gap`` bases behind the one before alike (``cluster``)."""
-    order = Window.partitionBy("chrom").orderBy("pos", "src")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(order) > gap).cast("int"), F.lit(1))
-    return rows.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order)).drop("_new")
+    """Numbers positions of a chromosome that lie at most ``gap`` bases behind the one before alike (``cluster``: the first
+    of them)."""
+    return runs(rows, ["chrom"], F.col("pos") + gap + 1, ["src"]).withColumnRenamed("run", "cluster")
 
 
 def intersect(cohorts: list[Cohort], least: int | None = None, exactly: int | None = None, most: int | None = None, gap: int = 0, passed_only: bool = False, first_only: bool = False) -> DataFrame:
