@@ -72,13 +72,14 @@ def normalise(sites: DataFrame) -> DataFrame:
 
 def local_rules(**limits: float) -> dict[str, Column]:
     """Rules for ``named_filters`` by their usual names, with limits: MinDP, MaxDP, MinMQ, MinAB, Qual, VDB, HWE, and
-    StrandBias, BaseQualBias, MapQualBias and EndDistBias (least p values).  RefN takes any.  A site without the INFO key
-    passes."""
+    StrandBias, BaseQualBias, MapQualBias and EndDistBias (least p values), and HWE_G3 (least HWE with more heterozygotes
+    than expected by the genotype frequencies G3).  RefN takes any.  A site without the INFO key passes."""
     info = lambda k: F.element_at("info", k).try_cast("double")
     item = lambda k, i: F.get(F.split(F.element_at("info", k), ","), F.lit(i)).try_cast("double")
+    p = item("G3", 0) + item("G3", 1) / 2
     rules = {
         "MinDP": lambda x: info("DP") < x, "MaxDP": lambda x: info("DP") > x, "MinMQ": lambda x: info("MQ") < x, "MinAB": lambda x: item("DP4", 2) + item("DP4", 3) < x, "Qual": lambda x: F.col("qual") < x,
-        "VDB": lambda x: info("VDB") < x, "HWE": lambda x: info("HWE") < x, "RefN": lambda x: F.upper("ref").contains("N"),
+        "VDB": lambda x: info("VDB") < x, "HWE": lambda x: info("HWE") < x, "HWE_G3": lambda x: (info("HWE") < x) & (p > 0) & (p < 1) & (item("G3", 1) > 2 * p * (1 - p)), "RefN": lambda x: F.upper("ref").contains("N"),
         **{name: (lambda x, i=i: item("PV4", i) < x) for i, name in enumerate(("StrandBias", "BaseQualBias", "MapQualBias", "EndDistBias"))},
     }
     return {name: rules[name](x) for name, x in limits.items()}

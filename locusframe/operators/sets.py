@@ -51,6 +51,30 @@ def venn(cohorts: list[Cohort]) -> DataFrame:
     return rows.groupBy("files").agg(F.count("*").alias("n_sites"))
 
 
+def combinations(cohorts: list[Cohort], gap: int = 0) -> DataFrame:
+    """(files, src, site_id): the records of the first input of each position (or cluster) by the inputs that have it, such as
+    0_2; every position is in one combination."""
+    rows = tagged(cohorts)
+    rows = clusters(rows, gap) if gap else rows.withColumn("cluster", F.col("pos"))
+    per = rows.groupBy("chrom", "cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_set("src")), lambda x: (x - 1).cast("string")), "_").alias("files"), F.min("src").alias("first"))
+    return rows.join(per, ["chrom", "cluster"]).filter(F.col("src") == F.col("first")).select("files", "src", "site_id")
+
+
+def write_combinations(cohorts: list[Cohort], path: str, gap: int = 0) -> None:
+    """A folder of records for each combination of inputs, ``files=0_2``, which ``vcf.read`` reads: the lines of the combination's
+    first input under that input's header."""
+    from locusframe.sources import vcf
+
+    found = combinations(cohorts, gap)
+    spark = found.sparkSession
+    lines = reduce(DataFrame.unionByName, [vcf.lines(c, numbered=True).join(found.filter(F.col("src") == i).select("files", "site_id"), "site_id") for i, c in enumerate(cohorts, 1)])
+    heads = spark.createDataFrame([(i, k, h) for i, c in enumerate(cohorts, 1) for k, h in enumerate(vcf.head(c))], "src int, k int, value string")
+    head = found.select("files", "src").distinct().join(heads, "src")
+    head.repartition("files").sortWithinPartitions("files", "k").select("files", F.lit("header").alias("part"), "value").write.mode("append").partitionBy("files", "part").text(path)
+    rows = lines.repartitionByRange("files", *natural_order("chrom"), "pos", "line_no").sortWithinPartitions("files", *natural_order("chrom"), "pos", "line_no")
+    rows.select("files", F.lit("records").alias("part"), "value").write.mode("append").partitionBy("files", "part").text(path)
+
+
 def concat(cohorts: list[Cohort]) -> DataFrame:
     """Rows of all inputs in the order of chromosome and position; columns that one lacks are null."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [c.sites.withColumn("src", F.lit(i)) for i, c in enumerate(cohorts, 1)])

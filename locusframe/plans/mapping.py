@@ -89,6 +89,31 @@ def fielded(c: Cohort) -> Cohort:
     return c.with_(sites=sites, calls=calls.withColumn("fmt", fmt).drop("_k"), fields=fields)
 
 
+def measured(c: Cohort) -> Cohort:
+    """``fielded`` with INFO of a caller (AF1, DP, DP4, PV4, MQ, VDB, HWE, G3, XY, INDEL) that follows from site_id, and FORMAT DP."""
+    c = fielded(c)
+    text = lambda sql: F.expr(f"cast({sql} AS string)")
+    more = {
+        "AF1": F.concat(F.lit("0."), F.lpad(text("site_id % 97"), 3, "0")), "DP": text("site_id % 40"), "DP4": F.concat_ws(",", *[text(f"site_id % {n}") for n in (50, 37, 11, 7)]),
+        "PV4": F.when(F.col("site_id") % 3 == 0, F.concat_ws(",", *[F.concat(F.lit("0."), text(f"site_id % {n}")) for n in (9, 8, 7, 5)])), "MQ": text("site_id % 60"), "VDB": F.concat(F.lit("0."), F.lpad(text("site_id % 31"), 3, "0")),
+        "HWE": F.concat(F.lit("0."), F.lpad(text("site_id % 83"), 3, "0")), "G3": F.concat(F.lit("0."), text("site_id % 5"), F.lit(",0."), text("site_id % 6"), F.lit(",0.1")), "XY": F.when(F.col("site_id") % 2 == 0, text("40 + site_id % 4")),
+        "INDEL": F.when(F.exists("alt", lambda a: F.length(a) != F.length("ref")), "1"),
+    }
+    own = F.map_filter(F.create_map(*[x for k, v in more.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    calls = c.calls.withColumn("fmt", F.when(F.col("fmt").isNotNull(), F.map_concat("fmt", F.create_map(F.lit("DP"), F.col("dp").cast("string")))))
+    return c.with_(sites=c.sites.withColumns({"info": F.map_concat("info", own), "format": F.concat("format", F.array(F.lit("DP")))}), calls=calls)
+
+
+def respelled(c: Cohort) -> Cohort:
+    """Insertions and deletions with the made-up reference's next base at the end of REF and ALT; every third changed by a C."""
+    base = F.expr("substr('ACGT', cast((pos + length(ref)) * 7 % 11 % 4 + 1 AS int), 1)")
+    cut = (F.size("alt") == 1) & F.exists("alt", lambda a: F.length(a) != F.length("ref"))
+    sites = c.sites.withColumns({"_base": base, "_cut": cut})
+    alt = F.transform("alt", lambda a: F.concat(a, F.col("_base"), F.when(F.col("site_id") % 3 == 0, "C").otherwise("")))
+    sites = sites.withColumns({"_alt": F.when(F.col("_cut"), alt).otherwise(F.col("alt")), "_ref": F.when(F.col("_cut"), F.concat("ref", "_base")).otherwise(F.col("ref"))})
+    return c.with_(sites=sites.withColumns({"alt": F.col("_alt"), "ref": F.col("_ref")}).drop("_alt", "_ref", "_base", "_cut"))
+
+
 def recut(c: Cohort) -> Cohort:
     """Every fourth site with one ALT of one base has another ALT before it, which nobody carries."""
     cut = (F.col("site_id") % 4 == 1) & (F.length("ref") == 1) & (F.size("alt") == 1) & F.forall("alt", lambda a: F.length(a) == 1)

@@ -96,19 +96,25 @@ def from_tab(rows: DataFrame, samples: list[str]) -> DataFrame:
     return rows.filter(F.size(each) == len(samples)).select("chrom", "pos", "ref", F.when(F.size("alts") == 0, ".").otherwise(F.array_join("alts", ",")).alias("alt"), F.lit("GT").alias("format"), F.array_join(gt, "\t").alias("calls"))
 
 
-def lines(cohort: Cohort, all_info: bool = True) -> DataFrame:
-    """(value): the records as text lines, in the order of chromosome and line."""
+def lines(cohort: Cohort, all_info: bool = True, numbered: bool = False) -> DataFrame:
+    """(value): the records as text lines, in the order of chromosome and line.  ``numbered``: unordered, with site_id, chrom,
+    pos and line_no."""
     from locusframe.operators.export import recoded
 
     rows = recoded(cohort, all_info=all_info).join(cohort.sites.select("site_id", "line_no"), "site_id")
-    return rows.orderBy("line_no").select(F.concat_ws("\t", "chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "calls").alias("value"))
+    value = F.concat_ws("\t", "chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "calls").alias("value")
+    return rows.select("site_id", "chrom", "pos", "line_no", value) if numbered else rows.orderBy("line_no").select(value)
+
+
+def head(cohort: Cohort) -> list[str]:
+    """The header's lines, the columns' line last."""
+    lines_ = [h for h in cohort.header if h.startswith("##")] or ["##fileformat=VCFv4.2"]
+    names = [r["sample_id"] for r in cohort.samples.orderBy("sample_idx").collect()]
+    return [*lines_, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *names] if names else [])])]
 
 
 def write(cohort: Cohort, path: str, all_info: bool = True) -> None:
     """A folder of text parts; the header is a part of its own that sorts first."""
     spark = cohort.sites.sparkSession
-    head = [h for h in cohort.header if h.startswith("##")] or ["##fileformat=VCFv4.2"]
-    names = [r["sample_id"] for r in cohort.samples.orderBy("sample_idx").collect()]
-    head.append("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *names] if names else [])]))
-    spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.mode("append").text(f"{path}/header")
+    spark.createDataFrame([(h,) for h in head(cohort)], "value string").coalesce(1).write.mode("append").text(f"{path}/header")
     lines(cohort, all_info).write.mode("append").text(f"{path}/records")
