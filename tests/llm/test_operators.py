@@ -340,10 +340,21 @@ def test_classifier_separates_noise(spark):
     docs = [(i, prose(i, 80), "en") for i in range(60)] + [(100 + i, " ".join(f"{w}###" for w in prose(i, 80).split()), "en") for i in range(20)] + [(200, None, "en"), (201, "", None), (None, prose(4, 50), None)]
     labels = [(i, 1) for i in range(40)] + [(100, 0)]
     got = {r.doc_id: r for r in kneser.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
-    assert all(got[i].keep for i in range(40)) and sum(got[i].keep for i in range(40, 60)) >= 10 and not any(got[100 + i].keep for i in range(20))
+    assert all(got[i].keep for i in range(40)) and sum(got[i].keep for i in range(40, 60)) >= 19 and not any(got[100 + i].keep for i in range(20))
     assert got[200].perplexity is None and not got[200].keep and not got[201].keep and got[None].perplexity > 0
 
 
+def test_classifier_keeps_good_documents_that_it_has_not_seen(spark):
+    """Trained on half of the good labels of the small tables; the others, and the bad ones that are not prose, tell."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "quality")
+    half = F.pmod(F.xxhash64(F.col("doc_id") + 12345), F.lit(2)) == 0
+    got = kneser.classify(docs, labels.filter("quality = 1").filter(half)).join(labels, "doc_id").select("doc_id", "quality", "keep", half.alias("seen"), "perplexity").collect()
+    good = [r.keep for r in got if r.quality == 1 and not r.seen]
+    noise = [r.keep for r in got if r.quality == 0 and r.perplexity is not None and r.perplexity > 20]
+    assert len(good) > 100 and sum(good) >= 0.95 * len(good) and len(noise) > 20 and not any(noise)
+
+
 def test_classifier_on_odd_rows(odd, odd_rows, spark):
     df = odd.withColumns({c: F.lit(1) for c in ("perplexity", "threshold", "keep", "gram", "block")})
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (10, 1), (None, 1)], "doc_id long, quality int")
@@ -357,7 +368,7 @@ def test_classifier_tells_scripts_apart(spark):
     prose = [" ".join(rng.choice(stems, 60)) for _ in range(60)]
     docs = [(i, t, "ru") for i, t in enumerate(prose)] + [(100 + i, " ".join("".join(rng.permutation(list(w))) for w in t.split()), "ru") for i, t in enumerate(prose[:20])]
     got = {r.doc_id: r for r in kneser.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()}
-    assert sum(got[i].keep for i in range(60)) >= 50 and not any(got[100 + i].keep for i in range(20))
+    assert sum(got[i].keep for i in range(40, 60)) >= 19 and not any(got[100 + i].keep for i in range(20))
 
 
 def test_perplexity_equals_brute_force(spark, monkeypatch):
