@@ -31,8 +31,8 @@ RATE = 8000
 #: Bytes of the shortest chunk, bits of the gear hash that are zero at a cut, bytes of the longest chunk.
 SHORTEST, BITS, LONGEST = 1024, 10, 16384
 #: Documents, and bytes of each, from which the compression dictionary is built, and its bytes.
-SAMPLE, SAMPLE_BYTES, DICTIONARY = 2000, 4096, 112_640
-LEVEL = 11
+SAMPLE, SAMPLE_BYTES, DICTIONARY = 2000, 4096, 225_280
+LEVEL = 16
 GEAR = np.random.default_rng(576).integers(0, 2**64, 256, dtype=np.uint64)
 
 
