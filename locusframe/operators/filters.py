@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,27 +166,57 @@ def mask_calls(calls: DataFrame, f: Filters) -> DataFrame:
     return calls.withColumn("included", ok)
 
 
-def thin(sites: DataFrame, distance: int) -> DataFrame:
+def thin(sites: DataFrame, distance: int, width: int = 100_000) -> DataFrame:
     """Greedy along each chromosome: a site stays if it lies ``distance`` or more behind the last one that stayed.
 
-    A gap of ``distance`` or more between neighbours always keeps the later one, so chromosomes are cut there into
-    stretches, and a task walks through stretches, not chromosomes."""
-    from pyspark.sql import Window
+    What the walk does within a block of positions depends only on where it starts there.  So first each block tells, for
+    every place at which a walk that comes from the block before can start (the sites within the first ``distance`` bases, and
+    the first one behind them), the last site that it keeps; few places lead to different ones.  A walk over the blocks of
+    a chromosome, a few rows each, says where each block is really entered, and then the blocks are walked by themselves."""
+    if distance <= 0:
+        return sites
+    width = max(width, 2 * distance)
+    rows = sites.select("site_id", "chrom", "pos", "line_no").withColumn("_block", F.floor(F.col("pos") / width).cast("long"))
 
-    order = Window.partitionBy("chrom").orderBy("pos", "line_no")
-    marked = sites.select("site_id", "chrom", "pos", "line_no").withColumn("_new", (F.col("pos") - F.coalesce(F.lag("pos").over(order), F.col("pos") - distance) >= distance).cast("int"))
-    marked = marked.withColumn("_stretch", F.sum("_new").over(order))
+    def last_kept(pos: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """For walks that keep pos[start], the positions that they keep last."""
+        nxt = np.searchsorted(pos, pos + distance)
+        end = np.arange(len(pos))
+        for i in range(len(pos) - 1, -1, -1):
+            if nxt[i] < len(pos):
+                end[i] = end[nxt[i]]
+        return pos[end[start]]
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
+    def told(g: pd.DataFrame) -> pd.DataFrame:
+        pos = np.unique(g["pos"].to_numpy())
+        block = int(g["_block"].iloc[0])
+        n = int(np.searchsorted(pos, block * width + distance))
+        ends = last_kept(pos, np.arange(min(n + 1, len(pos))))
+        final = np.append(ends[1:] != ends[:-1], True)  # the last place of those that lead to one end
+        return pd.DataFrame({"chrom": g["chrom"].iloc[0], "_block": block, "place": pos[: len(ends)][final], "end": ends[final]})
+
+    def entered(g: pd.DataFrame) -> pd.DataFrame:
+        out, reach = [], None
+        for block, part in g.sort_values(["_block", "place"]).groupby("_block", sort=True):
+            out.append((block, -(2**62) if reach is None else reach))
+            k = 0 if reach is None else int(np.searchsorted(part["place"].to_numpy(), reach))
+            if k < len(part):  # else the block's sites all lie before the reach
+                reach = int(part["end"].iloc[k]) + distance
+        return pd.DataFrame(out, columns=["_block", "reach"]).assign(chrom=g["chrom"].iloc[0])
+
+    def walked(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["pos", "line_no"])
-        kept, last = [], None
+        kept, reach = [], int(g["reach"].iloc[0])
         for site, pos in zip(g["site_id"], g["pos"]):
-            if last is None or pos - last >= distance:
+            if pos >= reach:
                 kept.append(site)
-                last = pos
+                reach = pos + distance
         return pd.DataFrame({"site_id": kept})
 
-    return sites.join(marked.groupBy("chrom", "_stretch").applyInPandas(walk, "site_id long"), "site_id", "left_semi")
+    ends = rows.groupBy("chrom", "_block").applyInPandas(told, "chrom string, _block long, place long, end long")
+    starts = ends.groupBy("chrom").applyInPandas(entered, "_block long, reach long, chrom string")  # a few rows a block
+    kept = rows.join(starts, ["chrom", "_block"]).groupBy("chrom", "_block").applyInPandas(walked, "site_id long")
+    return sites.join(kept, "site_id", "left_semi")
 
 
 def apply(cohort: Cohort, f: Filters) -> Cohort:

@@ -179,6 +179,48 @@ def test_homozygous_runs_find_a_long_run(spark):
     assert {r.sample_id for r in runs} == {"hom"} and max(r.n_variants for r in runs) > 250
 
 
+def test_thinning_by_blocks_is_the_greedy_walk(spark):
+    import random
+
+    rng = random.Random(8)
+    for n, far, distance in ((400, 3000, 1), (400, 3000, 7), (400, 900, 60), (60, 40000, 900), (300, 300, 5000)):
+        rows = [(i, c, rng.randint(1, far), i) for i, c in enumerate("12" * n)]
+        sites = spark.createDataFrame(rows, "site_id long, chrom string, pos int, line_no long")
+        want = set()
+        for chrom in "12":
+            last = None
+            for p, i in sorted((p, i) for i, c, p, _ in rows if c == chrom):
+                if last is None or p - last >= distance:
+                    want.add(i)
+                    last = p
+        for width in (1, 500):
+            assert {r.site_id for r in filters.thin(sites, distance, width).collect()} == want
+
+
+def test_leading_components_equal_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from locusframe.schema import CALLS, SAMPLES, SITES, Cohort
+
+    rng = np.random.default_rng(3)
+    freq = np.stack([rng.uniform(0.1, 0.9, 80), rng.uniform(0.1, 0.9, 80), rng.uniform(0.1, 0.9, 80)])
+    g = np.stack([(rng.random((80, 2)) < freq[k % 3][:, None]).astype(int) for k in range(30)], axis=1)
+    sites = spark.createDataFrame([(i, "1", i + 1, None, "A", ["C"], None, [], {}, ".", ["GT"], i) for i in range(80)], SITES)
+    calls = spark.createDataFrame([(i, f"s{k:02d}", int(g[i, k, 0]), int(g[i, k, 1]), 2, False, None, None, [], None, True) for i in range(80) for k in range(30)], CALLS)
+    c = Cohort(sites, calls, spark.createDataFrame([(f"s{k:02d}", k) for k in range(30)], SAMPLES))
+    x = g.sum(axis=2).astype(float)
+    x = x[(x.sum(axis=1) > 0) & (x.sum(axis=1) < 60)]
+    p = x.sum(axis=1, keepdims=True) / 60
+    m = (x - 2 * p) / np.sqrt(p * (1 - p))
+    values, vectors = np.linalg.eigh(m.T @ m / len(m))
+    monkeypatch.setattr(individual, "MAX_SAMPLES", 10)
+    got = individual.principal_components(c, k=2).collect()
+    assert len(got) == 60
+    for k in (1, 2):
+        mine = np.array([r.value for r in sorted((r for r in got if r.component == k), key=lambda r: r.sample_id)])
+        assert abs(next(r.eigenvalue for r in got if r.component == k) - values[-k]) < 1e-6 and abs(abs(mine @ vectors[:, -k]) - 1) < 1e-5 and mine[np.abs(mine).argmax()] > 0
+
+
 def test_streaming_counts(spark, tmp_path):
     from locusframe.streaming.incremental import allele_counts
 
@@ -352,7 +394,9 @@ def test_runs_of_homozygosity_equal_a_plain_forward_backward(spark):
     pos = [1000 * (i + 1) for i in range(n)]
     sites = spark.createDataFrame([(i, "1", pos[i], None, "A", ["C"], None, [], {}, ".", ["GT"], i) for i in range(n)], SITES)
     calls = spark.createDataFrame([(i, f"s{k}", *own[i, k], 2, False, None, None, [], None, True) for i in range(n) for k in range(6)], CALLS)
-    got = individual.homozygous_runs(Cohort(sites, calls, spark.createDataFrame([(f"s{k}", k) for k in range(6)], SAMPLES))).collect()
+    cohort = Cohort(sites, calls, spark.createDataFrame([(f"s{k}", k) for k in range(6)], SAMPLES))
+    got, cut = individual.homozygous_runs(cohort).collect(), individual.homozygous_runs(cohort, width=7000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, cut))  # stretches of seven sites
     want = []
     for k in range(6):
         used = [i for i in range(n) if any(1 in own[i, j] for j in range(6))]
