@@ -1,16 +1,20 @@
 """Surrogates for personal data, in built-in functions only.
 
-Entities are found by rules: addresses, numbers, and the names behind a title.  A name's parts are then looked for in the
-whole document, with or without title, so that every mention is replaced.  An entity is keyed in its plain form (phone, card and
-bank numbers without separators, e-mail addresses and names in lower case, a Russian family name in its masculine form), gets
-one surrogate of the same type wherever it stands (coreference), and the surrogate takes the format of each mention:
-separators, capitals, the feminine ending.  Digits become digits and letters letters; the country code of a phone number
-and of a bank account is kept, the latter gets right check digits; a valid card number becomes a valid one; an e-mail
-address gets a reserved example domain; a given name becomes one of the same gender and script.  Rounds over the table of
-distinct entities give those whose surrogate is already in use, or is itself an entity of the text, another one, until
-all are distinct.
-
-A name without any title in its document is not found.  The key is the caller's secret: without one ``replace`` raises.
+Entities are found by rules: addresses, numbers, and the names behind a title, of any number of parts, with initials, small
+words as in "von Braun", or a line end behind the title.  A name's parts are then looked for in the whole document, with or
+without title, so that every mention is replaced; initials and small words stay.  An entity is keyed in its plain form
+(phone, card and bank numbers without separators, an American number without its +1, e-mail addresses and names in lower
+case, a Russian family name in its masculine nominative), gets one surrogate of the same type wherever it stands
+(coreference), and the surrogate takes the format of each mention: separators, capitals, the ending by gender and case.
+Digits become digits and letters letters; the country code of a phone number and of a bank account is kept, the latter
+gets right check digits; a valid card number becomes a valid one; an e-mail address gets a reserved example domain; an
+address of version 6 one of the documentation's; a given name becomes one of the same gender and script, the gender by the
+title or, behind one that tells none, by its ending.  Rounds over the table of distinct entities give those whose surrogate is
+already in use, or is itself an entity of the text, another one, until all are distinct.
+
+A name without any title in its document is not found, nor is a Russian given name in another case than the one behind the
+title; a given name has a surrogate for each gender that titles give it.  The key is the caller's secret: without one
+``replace`` raises.
 
 Nulls and odd cases: a null or empty text has no entities and stays as it is; a null doc_id is kept; repeated rows get
 equal results; texts are searched whole; an empty table gives an empty result; further input columns are kept by
@@ -30,30 +34,39 @@ from locusframe.llm.secrets import Rule, matches, pattern_spans, told
 #: Key of the registered query alone; who publishes its result must take a secret of their own.
 QUERY_KEY = "opened-by-design"
 ROUNDS = 25
-# Titles, and the gender that they tell of the name behind them.
+# Titles, and the gender that they tell of the name behind them; those in small letters need their point.
 TITLES = {
-    "m": "Mr MR Mister Herr Monsieur Señor Signor господин Господин".split(),
-    "f": "Mrs MRS Ms MS Miss Frau Madame Señora Signora госпожа Госпожа".split(),
-    "x": "Dr DR Prof PROF Doctor Professor".split(),
+    "m": r"(?:Mr|MR|Mister|Herrn?|Monsieur|Señor|Signor|[Гг]осподин(?:а|у|ом|е)?)\.?|mr\.",
+    "f": r"(?:Mrs|MRS|Ms|MS|Miss|Frau|Madame|Señora|Signora|[Гг]оспож(?:а|и|е|у|ой))\.?|(?:mrs|ms)\.",
+    "x": r"(?:Dr|DR|Prof|PROF|Doctor|Professor)\.?|(?:dr|prof)\.",
 }
-ANY_TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
-NAME = r"\p{Lu}[\p{L}\p{M}'’-]*[\p{L}\p{M}]"
+ANY_TITLE = "(?:" + "|".join(TITLES.values()) + r")(?!\p{L})"
+# Small words within names.
+PARTICLE = r"(?:von|van|vom|zu|zum|zur|de|der|den|del|della|di|da|do|dos|das|du|la|le|ter|ten|af|av|bin|ibn|al|el)(?!\p{L})"
+#: A part of a name: letters, with apostrophes and hyphens between them, but no possessive ending.
+NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’-](?=\p{L})(?![sS](?![\p{L}\p{M}'’-])))+"
 GAP = "[ \u00a0]"
+#: Between a title and its name a line may end; between the parts of a name it may not.
+TITLE_GAP = "(?:[ \u00a0]|\r?\n)"
+SMALL = rf"(?:\p{{Lu}}\.{GAP}?|\p{{Lu}}{GAP}|{PARTICLE}{GAP})*"
+WHOLE_NAME = rf"{SMALL}(?!{ANY_TITLE}){NAME}(?:{GAP}{SMALL}(?!{ANY_TITLE}){NAME})*"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 RULES = (
     Rule("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
     Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     Rule("phone", r"(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"),
     Rule("phone", r"(?<![A-Za-z0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
+    Rule("phone", r"(?<![A-Za-z0-9+])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! ?[0-9])"),
     Rule("card", r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![A-Za-z0-9])"),
     Rule("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     Rule("ip", rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
-    *[Rule(f"person_{g}", rf"(?=\p{{Lu}})(?<=\b(?:{'|'.join(ts)})\.?{GAP})(?!{ANY_TITLE}\b){NAME}(?:{GAP}(?!{ANY_TITLE}\b){NAME}){{0,3}}") for g, ts in TITLES.items()],
+    Rule("ip6", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])"),
+    *[Rule(f"person_{g}", rf"(?=\p{{Lu}}|{PARTICLE})(?<=\b(?:{titles}){TITLE_GAP}){WHOLE_NAME}") for g, titles in TITLES.items()],
 )
 #: What a text must hold for a rule of the kind to match: a plain search before the dear one.
 GUARDS = {
-    "email": "@", "iban": "[A-Z]{2}[0-9]{2}", "phone": "[+][0-9]|[0-9][.-][0-9]{4}", "card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}", "ssn": "[0-9]-[0-9]{2}-[0-9]",
-    "ip": r"[0-9]\.[0-9]{1,3}\.[0-9]", **{f"person_{g}": rf"\b(?:{'|'.join(ts)})\.?{GAP}\p{{Lu}}" for g, ts in TITLES.items()},
+    "email": "@", "iban": "[A-Z]{2}[0-9]{2}", "phone": "[+][0-9]|[0-9][.-][0-9]{4}|[0-9] [0-9]{3} [0-9]{4}", "card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}", "ssn": "[0-9]-[0-9]{2}-[0-9]",
+    "ip": r"[0-9]\.[0-9]{1,3}\.[0-9]", "ip6": ":[0-9A-Fa-f]{1,4}:|::[0-9A-Fa-f]", **{f"person_{g}": rf"\b(?:{titles}){TITLE_GAP}(?:\p{{Lu}}|{PARTICLE})" for g, titles in TITLES.items()},
 }
 # Calling codes of one and two digits; all others have three.
 CALLING = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
@@ -69,6 +82,12 @@ ENDINGS = {
 SPANS = "cast(array() as array<struct<start:int, no:int, end:int, kind:string>>)"
 
 
+# The endings of Russian family names by case, and those of a name in -ов for one in -ый.
+CASES = "(?:а|у|ым|ом|е|ой|ы|ых|ыми)"
+ADJECTIVES = {"ая": "а", "ую": "у", "ого": "а", "ому": "у", "ым": "ым", "им": "ым", "ом": "е", "ой": ""}
+ADJECTIVE = "(?:ая|ую|ого|ому|ым|им|ом|ой|ый|ий)"
+
+
 def _cut(text: Column, span: Column) -> Column:
     return F.substr(text, span["start"] + 1, span["end"] - span["start"])
 
@@ -78,8 +97,11 @@ def name_parts(text: Column, spans: Column) -> Column:
     people = F.filter(spans, lambda s: s["kind"].startswith("person_"))
 
     def parts(s: Column) -> Column:
-        split = F.split(_cut(text, s), GAP)
-        return F.transform(split, lambda x, i: F.struct(F.lower(x).alias("plain"), F.when(i == F.size(split) - 1, F.lit("family")).otherwise(F.concat(F.lit("given_"), F.right(s["kind"], F.lit(1)))).alias("kind"), x.alias("part")))
+        words = F.filter(F.split(_cut(text, s), rf"{GAP}|(?<=\p{{Lu}}\.)"), lambda w: w.rlike(f"^{NAME}$"))  # no initials, no particles
+        title = F.right(s["kind"], F.lit(1))
+        # a title that tells no gender leaves it to the given name's ending
+        told_ = lambda x: F.when((title == "x") & F.lower(x).rlike("(?:[aа]|ия|elle|ette|ine)$"), "f").otherwise(title)
+        return F.transform(words, lambda x, i: F.struct(F.when(i == F.size(words) - 1, plain(F.lit("family"), x)).otherwise(F.lower(x)).alias("plain"), F.when(i == F.size(words) - 1, F.lit("family")).otherwise(F.concat(F.lit("given_"), told_(x))).alias("kind"), x.alias("part")))
 
     return F.array_distinct(F.flatten(F.transform(people, parts)))
 
@@ -94,12 +116,22 @@ def _in_order(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.expr(SPANS).alias("kept")), step, lambda acc: acc["kept"])
 
 
+def _spelled(p: Column, capitals: bool) -> Column:
+    """An expression for a part as it may stand elsewhere: a Russian family name in any case and gender."""
+    part = F.upper(p["part"]) if capitals else p["part"]
+    up = (lambda t: t.upper()) if capitals else (lambda t: t)
+    possessive, adjective = f"(?<={up('ов|ев|ёв|ин|ын')}){up(CASES)}?$", rf"(?<=\p{{IsCyrillic}}{{3}}){up(ADJECTIVE)}$"
+    family = p["kind"] == "family"
+    named = F.when(family & part.rlike(possessive), F.concat(F.regexp_replace(part, f"(?<={up('ов|ев|ёв|ин|ын')}){up(CASES)}$", ""), F.lit(f"{up(CASES)}?")))
+    return named.when(family & part.rlike(adjective), F.concat(F.regexp_replace(part, adjective, ""), F.lit(up(ADJECTIVE)))).otherwise(part)
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs: text and more.  Adds names, the parts of names, and pii_spans, an array of (start, no, end, kind)."""
     text = F.col("text")
     rules = F.concat(*[F.coalesce(F.when(text.rlike(GUARDS[r.kind]), matches(text, r, i)), F.expr(SPANS)) for i, r in enumerate(RULES)])
     docs = docs.withColumn("pii_spans", rules).withColumn("names", name_parts(text, F.col("pii_spans")))
-    words = F.array_distinct(F.concat(F.transform("names", lambda p: p["part"]), F.transform("names", lambda p: F.upper(p["part"]))))
+    words = F.array_distinct(F.concat(F.transform("names", lambda p: _spelled(p, False)), F.transform("names", lambda p: _spelled(p, True))))
     mention = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     mentions = F.coalesce(F.when(F.size("names") > 0, pattern_spans(text, mention, len(RULES), "name")), F.expr(SPANS))
     return docs.withColumn("pii_spans", _in_order(F.concat(F.filter("pii_spans", lambda s: ~s["kind"].startswith("person_")), mentions)))
@@ -107,24 +139,32 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 def plain(kind: Column, entity: Column) -> Column:
     """What equal entities have in common."""
-    numbers = F.when(kind == "phone", F.regexp_replace(entity, "[^0-9+]", "")).when(kind.isin("iban", "card", "ssn"), F.regexp_replace(entity, "[^A-Z0-9]", ""))
-    family = F.regexp_replace(F.regexp_replace(F.lower(entity), "(?<=ов|ев|ёв|ин|ын)а$", ""), "(?<=ск|цк)ая$", "ий")
-    return F.coalesce(numbers, F.when(kind == "email", F.lower(entity)).when(kind == "family", family).when(kind.startswith("given"), F.lower(entity)), entity)
+    digits = F.regexp_replace(F.regexp_replace(entity, "[^0-9+]", ""), r"^\+1(?=[0-9]{10}$)", "")  # one number with and without its country
+    numbers = F.when(kind == "phone", digits).when(kind.isin("iban", "card", "ssn"), F.regexp_replace(entity, "[^A-Z0-9]", ""))
+    family = F.regexp_replace(F.lower(entity), f"(?<=ов|ев|ёв|ин|ын){CASES}$", "")
+    family = F.regexp_replace(family, "(?<=ск|цк)(?:ая|ую|ого|ому|им|ом|ой)$", "ий")
+    family = F.regexp_replace(family, r"(?<=\p{IsCyrillic}{3})(?:ая|ую|ого|ому|ой)$", "ый")
+    return F.coalesce(numbers, F.when(kind.isin("email", "ip6"), F.lower(entity)).when(kind == "family", family).when(kind.startswith("given"), F.lower(entity)), entity)
 
 
 def shaped(kind: Column, entity: Column, made: Column) -> Column:
     """The surrogate in the format of one mention."""
     signs = F.regexp_replace(made, "[^A-Z0-9]", "")
+    signs = F.when((kind == "phone") & entity.startswith("+1") & (F.length(signs) == 10), F.concat(F.lit("1"), signs)).otherwise(signs)
 
     def one(i: Column) -> Column:
         c = F.substr(entity, i, F.lit(1))
         return F.when(c.rlike("[A-Z0-9]"), F.substr(signs, F.length(F.regexp_replace(F.substr(entity, F.lit(1), i), "[^A-Z0-9]", "")), F.lit(1))).otherwise(c)
 
     number = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(entity), F.lit(1))), one), "")
-    feminine = (kind == "family") & F.lower(entity).rlike(r"\p{IsCyrillic}(?:а|ая)$") & F.lower(entity).rlike("(?:[оеё]в|[иы]н)а$|[сц]кая$")
-    word = F.concat(made, F.when(feminine, F.lit("а")).otherwise(F.lit("")))
+    low = F.lower(entity)
+    ending = F.when(low.rlike(f"(?:ов|ев|ёв|ин|ын){CASES}$"), F.regexp_extract(low, f"(?:ов|ев|ёв|ин|ын)({CASES})$", 1))
+    ending = ending.when(low.rlike("(?:ск|цк)ой$"), "ой")
+    for of, to in ADJECTIVES.items():
+        ending = ending.when(low.rlike(rf"\p{{IsCyrillic}}{{3}}{of}$"), to)
+    word = F.concat(made, F.when((kind == "family") & made.rlike(r"\p{IsCyrillic}"), F.coalesce(ending, F.lit(""))).otherwise(""))
     word = F.when((entity == F.upper(entity)) & entity.rlike(r"\p{Lu}"), F.upper(word)).otherwise(word)
-    return F.when(kind.isin("phone", "iban", "card", "ssn"), number).when(kind == "ip", made).otherwise(word)
+    return F.when(kind.isin("phone", "iban", "card", "ssn"), number).when(kind.isin("ip", "ip6"), made).otherwise(word)
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -174,7 +214,8 @@ def surrogate(kind: Column, entity: Column, tries: Column, key: str) -> Column:
     valid = F.filter(digits, lambda d: _luhn(F.concat(body, d.cast("string"))))
     card = F.when(_luhn(entity), F.concat(body, valid[0].cast("string"))).otherwise(swapped)
     ip = F.concat_ws(".", *[(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
-    out = F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", swapped)
+    ip6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *[F.substr(stream, F.lit(4 * i + 1), F.lit(4)) for i in range(6)])
+    out = F.when(kind == "ip6", ip6).when(kind == "email", email).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", swapped)
     for (which, script), endings in ENDINGS.items():
         extra = _middle(stream, tries, STEMS[script])
         name = F.concat(_pick(STEMS[script], _byte(stream, F.lit(1))), F.lower(_pick(STEMS[script], _byte(stream, F.lit(2)))) if which == "family" else F.lit(""), extra, _pick(endings, _byte(stream, F.lit(3))))
@@ -223,7 +264,8 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     entity = hit.select("_key", F.posexplode("pii_spans").alias("at", "span"), "text", "names")
     entity = entity.select("_key", "at", F.col("span.kind").alias("kind"), _cut(F.col("text"), F.col("span")).alias("entity"), "names")
     # a part that is a family name somewhere in the document is one everywhere in it
-    role = F.array_min(F.transform(F.filter("names", lambda p: p["plain"] == F.lower("entity")), lambda p: p["kind"]))
+    own = lambda p: F.when(p["kind"] == "family", plain(F.lit("family"), F.col("entity"))).otherwise(F.lower("entity"))
+    role = F.array_min(F.transform(F.filter("names", lambda p: p["plain"] == own(p)), lambda p: p["kind"]))
     entity = entity.withColumn("kind", F.when(F.col("kind") == "name", role).otherwise(F.col("kind"))).drop("names").withColumn("plain", plain(F.col("kind"), F.col("entity")))
     table_ = surrogates(written(entity.select("kind", F.col("plain").alias("entity")).distinct(), "entities"), key)
     chosen = entity.join(table_.withColumnRenamed("entity", "plain"), ["kind", "plain"])

@@ -173,6 +173,46 @@ def test_every_mention_and_spelling_of_an_entity(spark):
         pii.replace(df, "")
 
 
+SENTENCES = {
+    "Mr. Smith's car. Later Smith left.": ["Smith"], "Mr. J. Smith paid. Smith left.": ["Smith"], "Mr. J.R. Smith paid. Smith left.": ["Smith"], "Herr von Braun kam. Dann ging Braun.": ["Braun"],
+    "Mr.\nSmith came": ["Smith"], "mr. Smith came": ["Smith"], "Mr. Anna Bell Carter Dunn Evans Foster left": ["Anna", "Bell", "Carter", "Dunn", "Evans", "Foster"], "Frau Mustermann-Schmidt’s Haus": ["Mustermann", "Schmidt"],
+    "Señora de la Cruz llegó": ["Cruz"], "встреча с господином Ивановым, Иванову звонили": ["Иванов"], "госпожа Толстая и господин Толстой, письмо Толстого": ["Толст"], "Prof. Dr. Ann Lee spoke": ["Ann", "Lee"],
+    "Mr. Smith\nThe next day": ["Smith"], "call 499 555 6503 now": ["555"], "host 2001:db9:0:1::17 and fe80:0:0:0:1:2:3:4 up": ["db9", "fe80"],
+}
+
+
+def test_no_name_stays(spark):
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id long, text string"), "k").collect()}
+    for i, (text, gone) in enumerate(SENTENCES.items()):
+        assert not any(g in got[i] for g in gone), (text, got[i])
+    at = {t: got[i] for i, t in enumerate(SENTENCES)}
+    m = re.fullmatch(r"Mr\. (\w+)'s car\. Later (\w+) left\.", at["Mr. Smith's car. Later Smith left."])
+    assert m and m[1] == m[2]
+    m = re.fullmatch(r"Mr\. J\. (\w+) paid\. (\w+) left\.", at["Mr. J. Smith paid. Smith left."])
+    assert m and m[1] == m[2]
+    m = re.fullmatch(r"Herr von (\w+) kam\. Dann ging (\w+)\.", at["Herr von Braun kam. Dann ging Braun."])
+    assert m and m[1] == m[2] and at["Señora de la Cruz llegó"].startswith("Señora de la ") and at["Mr. Smith\nThe next day"].endswith("\nThe next day")
+    m = re.fullmatch(r"встреча с господином (\w+)ым, (\w+)у звонили", at["встреча с господином Ивановым, Иванову звонили"])
+    assert m and m[1] == m[2]
+    m = re.fullmatch(r"госпожа (\w+)а и господин (\w+), письмо (\w+)а", at["госпожа Толстая и господин Толстой, письмо Толстого"])
+    assert m and m[1] == m[2] == m[3]
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4} now", at["call 499 555 6503 now"]) and len(set(re.findall(r"2001:db8:[0-9a-f:]+", at["host 2001:db9:0:1::17 and fe80:0:0:0:1:2:3:4 up"]))) == 2
+
+
+def test_spellings_of_a_number_and_gender_by_name(spark):
+    rows = [(1, "(499)555-6503 or +1 499 555 6503 or 499-555-6503"), (2, "Dr. Maria Lopez, Dr. Mark Lopez")]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    numbers = [re.sub(r"\D", "", x) for x in got[1].split(" or ")]
+    assert numbers[0] == numbers[2] and numbers[1] == "1" + numbers[0] and got[1].split(" or ")[1].startswith("+1 ")
+    assert re.match(r"Dr\. \w+(?:" + "|".join(pii.ENDINGS["given_f", "latin"]) + r") \w+, Dr\. \w+(?:" + "|".join(pii.ENDINGS["given_x", "latin"]) + r") \w+$", got[2])
+
+
+def test_clean_texts_stay(spark):
+    texts = ["I miss Paris. The doctor Who? At 12:30:45 std::vector and a::b; 100 200 3000 4", "Version 1.2.3, 1999-2004, drive slowly, mr Nobody", "Кириллица без имён. Госпожа."]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert [got[i] for i in range(len(texts))] == texts
+
+
 def test_surrogates_never_collide(spark):
     rows = spark.createDataFrame([("given_m", f"name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)], "kind string, entity string")
     got = pii.surrogates(rows, "k").collect()
