@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.alleles import allele, ratio
-from locusframe.operators.stretches import runs
+from locusframe.operators.stretches import running, runs
 from locusframe.schema import Cohort
 
 
@@ -98,10 +98,24 @@ def discordance_matrix(one: Cohort, two: Cohort) -> DataFrame:
     return rows.select(genotype(1), genotype(2)).filter("gt_1 is not null and gt_2 is not null").groupBy("gt_1", "gt_2").agg(F.count("*").alias("n"))
 
 
+def _phased_hets(one: Cohort, two: Cohort) -> DataFrame:
+    """Heterozygous calls of shared samples that both cohorts phase and agree in: same, whether the phase does too, and last,
+    the call of the sample's chromosome before it (pos, same)."""
+    rows = _shared_calls(one, two).filter(_both_called() & _same() & F.col("phased_1") & F.col("phased_2") & (F.col("x1") != F.col("y1")))
+    rows = rows.withColumn("same", F.col("x1") == F.col("x2"))
+    return running(rows, ["sample_id", "chrom"], ["ref"], {"last": (F.struct("pos", "same"), "max")}, before_only=True)
+
+
 def switch_errors(one: Cohort, two: Cohort) -> DataFrame:
     """Where the phase of a sample's heterozygous calls changes relative to the other cohort, on one chromosome: the
-    interval from the last matching call.  A task has one sample's chromosome."""
-    rows = _shared_calls(one, two).filter(_both_called() & _same() & F.col("phased_1") & F.col("phased_2") & (F.col("x1") != F.col("y1")))
-    order = Window.partitionBy("sample_id", "chrom").orderBy("pos")
-    rows = rows.withColumn("same", F.col("x1") == F.col("x2")).withColumns({"was": F.lag("same").over(order), "start": F.lag("pos").over(order)})
-    return rows.filter(F.col("was") != F.col("same")).select("chrom", "start", F.col("pos").alias("end"), "sample_id")
+    interval from the last matching call."""
+    rows = _phased_hets(one, two).filter(F.col("last.same") != F.col("same"))
+    return rows.select("chrom", F.col("last.pos").alias("start"), F.col("pos").alias("end"), "sample_id")
+
+
+def switch_summary(one: Cohort, two: Cohort) -> DataFrame:
+    """A row a shared sample: heterozygous calls that both phase, switches between them, and their ratio (0 without any)."""
+    per = _phased_hets(one, two).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_het"), F.count_if(F.col("last.same") != F.col("same")).alias("n_switch"))
+    shared = one.samples.select("sample_id").join(two.samples.select("sample_id"), "sample_id")
+    out = shared.join(per, "sample_id", "left").select("sample_id", F.coalesce("n_het", F.lit(0)).alias("n_het"), F.coalesce("n_switch", F.lit(0)).alias("n_switch"))
+    return out.withColumn("rate", F.coalesce(ratio(F.col("n_switch"), F.col("n_het")), F.lit(0.0)))

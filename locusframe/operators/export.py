@@ -148,27 +148,43 @@ def to_tab(cohort: Cohort, iupac: bool = False) -> DataFrame:
 
 
 def template(cohort: Cohort, text: str) -> DataFrame:
-    """Lines from a template: %CHROM %POS %ID %REF %ALT %QUAL %FILTER %INFO/KEY, and in brackets, for every sample,
-    %SAMPLE, %GT (bases), %GTR (numbers), %GQ and %DP; \\t and \\n stand for tab and line end."""
+    """Lines from a template: %CHROM %POS %ID %REF %ALT %QUAL %FILTER %INFO (all of it), %INFO/KEY, %INFO/KEY[i] (item i of a
+    list, from 0) and %LINE (the record as text); and in brackets, for every sample, %SAMPLE, %GT (bases), %GTR (numbers), and
+    any FORMAT key, %KEY[i] for an item of it; \\t and \\n stand for tab and line end.  What is missing is '.'."""
     import re
 
-    of_site = {"CHROM": F.col("chrom"), "POS": F.col("pos").cast("string"), "ID": F.coalesce("id", F.lit(".")), "REF": F.col("ref"), "ALT": F.when(F.size("alt") == 0, ".").otherwise(F.array_join("alt", ",")), "QUAL": F.coalesce(F.col("qual").cast("string"), F.lit(".")), "FILTER": F.when(F.size("filter") == 0, ".").otherwise(F.array_join("filter", ";"))}
-    of_call = {"SAMPLE": F.col("sample_id"), "GT": decode_genotype(), "GTR": gt_text(), "GQ": F.coalesce(F.col("gq").cast("int").cast("string"), F.lit(".")), "DP": F.coalesce(F.col("dp").cast("string"), F.lit("."))}
+    of_site = {"CHROM": F.col("chrom"), "POS": F.col("pos").cast("string"), "ID": F.coalesce("id", F.lit(".")), "REF": F.col("ref"), "ALT": F.when(F.size("alt") == 0, ".").otherwise(F.array_join("alt", ",")), "QUAL": F.coalesce(F.col("qual").cast("string"), F.lit(".")), "FILTER": F.when(F.size("filter") == 0, ".").otherwise(F.array_join("filter", ";")), "INFO": info_text(F.col("info")), "LINE": F.col("_line")}
+    of_call = {"SAMPLE": F.col("sample_id"), "GT": decode_genotype(), "GTR": gt_text()}
+    known = {"GQ": F.col("gq").cast("int").cast("string"), "DP": F.col("dp").cast("string")}
+    item = lambda value, i: F.coalesce(value if i == "" else F.get(F.split(value, ","), F.lit(int(i))), F.lit("."))
 
-    def parts(t: str, names: dict[str, Column]) -> list[Column]:
+    def field(name: str) -> Column:
+        own = F.element_at("fmt", name)
+        return F.coalesce(own, known[name]) if name in known else own
+
+    def parts(t: str, names: dict[str, Column], call: bool) -> list[Column]:
         out = []
-        for literal, key, name in re.findall(r"([^%]+)|%INFO/(\w+)|%(\w+)", t):
-            out.append(F.lit(literal.replace("\\t", "\t").replace("\\n", "\n")) if literal else F.coalesce(F.col("info")[key], F.lit(".")) if key else names[name])
+        for literal, key, i, name, j in re.findall(r"([^%]+?(?=%|$))|%INFO/(\w+)(?:\{(\d+)\})?|%(\w+)(?:\{(\d+)\})?", t):
+            if literal:
+                out.append(F.lit(literal.replace("\\t", "\t").replace("\\n", "\n")))
+            elif key:
+                out.append(item(F.element_at("info", key), i))
+            else:
+                out.append(names[name] if name in names and not j else item(field(name) if call else names[name], j))
         return out
 
-    pieces = re.split(r"\[(.*?)\]", text)
+    # items are marked by braces within, as brackets mark what is repeated
+    pieces = re.split(r"\[(.*?)\]", re.sub(r"(%(?:INFO/)?\w+)\[(\d+)\]", r"\1{\2}", text))
     rows, loops = cohort.sites, []
+    if "%LINE" in text:
+        whole = recoded(cohort, all_info=True)
+        rows = rows.join(whole.select("site_id", F.concat_ws("\t", *[c for c in whole.columns if c != "site_id"]).alias("_line")), "site_id")
     calls = _named(cohort).join(cohort.sites.select("site_id", "ref", "alt", "info"), "site_id")
     for i, loop in enumerate(pieces[1::2]):
-        loops.append(calls.groupBy("site_id").agg(in_order(F.concat(*parts(loop, of_call)), "sample_idx", by="").alias(f"_loop{i}")))
+        loops.append(calls.groupBy("site_id").agg(in_order(F.concat(*parts(loop, of_call, True)), "sample_idx", by="").alias(f"_loop{i}")))
     for x in loops:
         rows = rows.join(x, "site_id")
     line = []
     for i, piece in enumerate(pieces):
-        line += parts(piece, of_site) if i % 2 == 0 else [F.col(f"_loop{i // 2}")]
+        line += parts(piece, of_site, False) if i % 2 == 0 else [F.col(f"_loop{i // 2}")]
     return rows.select("chrom", "pos", F.concat(*line).alias("line"))

@@ -29,7 +29,7 @@ def remove_samples(cohort: Cohort, samples: DataFrame) -> Cohort:
 
 def draw_samples(cohort: Cohort, n: int, seed: int = 0) -> Cohort:
     """``n`` samples by a seeded hash, so that reruns agree."""
-    return keep_samples(cohort, cohort.samples.orderBy(F.xxhash64("sample_id", F.lit(seed))).limit(n))
+    return keep_samples(cohort, cohort.samples.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "sample_id").cast("binary")), "sample_id").limit(n))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.functions.alleles import n_alleles
 from locusframe.functions.fields import numbers, reindexed, reindexed_map
 from locusframe.operators.counts import called
-from locusframe.operators.sets import ITEMS, SUMMED, _merged
+from locusframe.operators.sets import ITEMS, SUMMED, _merged, numbered
 from locusframe.schema import Cohort, Field
 
 
@@ -155,3 +155,23 @@ def _summed(key: str, by_allele: bool) -> Column:
     number = lambda x: F.coalesce(x.try_cast("long"), F.lit(0))
     sums = F.aggregate(every, F.array().cast("array<bigint>"), lambda acc, v: F.zip_with(acc, F.split(v, ","), lambda a, b: F.coalesce(a, F.lit(0)) + number(b)))
     return F.when(F.size(every) > 0, F.array_join(F.transform(sums, lambda n: n.cast("string")), ","))
+
+
+def concatenated(cohorts: list[Cohort]) -> Cohort:
+    """The records of inputs with the same samples, in the order of chromosome and position, with their calls.  Samples stand in
+    the first input's order, whatever theirs; another set of samples is an error.  Header lines are united."""
+    names = [[r["sample_id"] for r in c.samples.orderBy("sample_idx").collect()] for c in cohorts]
+    for i, own in enumerate(names[1:], 2):
+        if sorted(own) != sorted(names[0]):
+            raise ValueError(f"input {i} has other samples than the first: {sorted(set(own) ^ set(names[0]))[:5]}")
+    n = len(cohorts)
+    new_id = lambda i: (F.col("site_id") * n + i).alias("site_id")
+    sites = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [c.sites.withColumn("site_id", new_id(i)) for i, c in enumerate(cohorts)])
+    calls = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [c.calls.withColumn("site_id", new_id(i)) for i, c in enumerate(cohorts)])
+    placed = numbered(sites).withColumn("line_no", F.col("line").cast("long")).drop("line")
+    fields: dict[tuple[str, str], Field] = {}
+    for c in cohorts:
+        for f in c.fields:
+            fields.setdefault((f.kind, f.id), f)
+    lines = list(dict.fromkeys(h for c in cohorts for h in c.header if h.startswith("##")))
+    return Cohort(placed, calls, cohorts[0].samples, lines, list(fields.values()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -344,6 +346,64 @@ def validate(cohort: Cohort, info: set[str] = frozenset(), flags: set[str] = fro
     return out
 
 
+def validate_header(cohort: Cohort) -> DataFrame:
+    """(line_no, rule, detail) of the header's own lines, from 1: no fileformat line, or one that is not the first; declarations
+    without ID, Number, Type or Description, of a Type or Number that there is not, or repeated; columns that are missing or
+    in another order, and sample names given twice."""
+    found, seen = [], set()
+    lines = cohort.header
+    formats = [i for i, h in enumerate(lines, 1) if h.startswith("##fileformat=")]
+    if not formats:
+        found.append((1, "no_fileformat", ""))
+    elif formats[0] != 1:
+        found.append((formats[0], "fileformat_not_first", lines[formats[0] - 1]))
+    for i, h in enumerate(lines, 1):
+        if m := re.match(r"##(INFO|FORMAT|FILTER)=(.*)", h):
+            own = dict(re.findall(r'(\w+)=("(?:[^"\\]|\\.)*"|[^,]*)', m[2][1:-1])) if m[2].startswith("<") and m[2].endswith(">") else {}
+            wanted = ["ID", "Description"] if m[1] == "FILTER" else ["ID", "Number", "Type", "Description"]
+            found += [(i, "missing_key", f"{m[1]}:{k}") for k in wanted if k not in own]
+            if m[1] != "FILTER" and own.get("Type", "String") not in (["Integer", "Float", "Character", "String"] + ["Flag"] * (m[1] == "INFO")):
+                found.append((i, "bad_declared_type", own["Type"]))
+            if m[1] != "FILTER" and not re.fullmatch(r"\d+|-1|[.ARG]", own.get("Number", "1")):
+                found.append((i, "bad_declared_number", own["Number"]))
+            if "ID" in own and (m[1], own["ID"]) in seen:
+                found.append((i, "declared_twice", own["ID"]))
+            seen.add((m[1], own.get("ID")))
+    columns = [(i, h.split("\t")) for i, h in enumerate(lines, 1) if h.startswith("#CHROM")]
+    fixed = "#CHROM POS ID REF ALT QUAL FILTER INFO".split()
+    if not columns:
+        found.append((len(lines) + 1, "no_columns", ""))
+    else:
+        i, names = columns[0]
+        if names[:8] != fixed or len(names) > 8 and names[8] != "FORMAT":
+            found.append((i, "bad_columns", " ".join(names[:9])))
+        found += [(i, "sample_twice", s) for s in sorted({s for s in names[9:] if names[9:].count(s) > 1})]
+    return cohort.sites.sparkSession.createDataFrame(found, "line_no long, rule string, detail string")
+
+
+def validate_calls(cohort: Cohort) -> DataFrame:
+    """(line_no, rule, detail) of FORMAT columns: keys that no header line declares, GT not in the first place, values that are
+    not of their declared type, and lists of another length than their Number asks for (by genotype as the call's ploidy
+    has it); detail is sample:key=value."""
+    declared = {f.id: f for f in cohort.fields if f.kind == "FORMAT"}
+    s = cohort.sites.select("site_id", "line_no", "format", F.size("alt").alias("n_alt"))
+    keys = s.select("line_no", F.explode("format").alias("k"))
+    out = keys.filter(~F.col("k").isin(*declared) if declared else F.lit(True)).select("line_no", F.lit("undeclared_format").alias("rule"), F.col("k").alias("detail"))
+    out = out.union(s.filter(F.array_position("format", "GT") > 1).select("line_no", F.lit("gt_not_first"), F.array_join("format", ":")))
+    values = cohort.calls.join(s.drop("format"), "site_id").select("line_no", "sample_id", "n_alt", "ploidy", F.explode("fmt").alias("k", "v")).filter("v is not null and v <> '.'")
+    said = F.concat(F.col("sample_id"), F.lit(":"), F.col("k"), F.lit("="), F.col("v"))
+    items = F.split("v", ",")
+    n = F.col("n_alt") + 1
+    wrong, long = F.lit(False), F.lit(False)
+    for k, f in declared.items():
+        if f.type in ("Integer", "Float"):
+            wrong = wrong | ((F.col("k") == k) & F.exists(items, lambda x: (x != ".") & x.try_cast("int" if f.type == "Integer" else "double").isNull()))  # noqa: B023
+        count = {"A": n - 1, "R": n, "G": F.when(F.col("ploidy") == 1, n).otherwise(n * (n + 1) / 2)}.get(f.number) if not f.number.isdigit() else F.lit(int(f.number))
+        if count is not None and k != "GT":
+            long = long | ((F.col("k") == k) & (F.size(items) != count))
+    return out.union(values.filter(wrong).select("line_no", F.lit("bad_format_type"), said)).union(values.filter(long).select("line_no", F.lit("bad_format_number"), said))
+
+
 def phased_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """left, right: (sample_id, chrom, pos, a1, a2), phased calls of two overlapping pieces.  By sample and chromosome:
     shared heterozygous calls that match and that are swapped, and whether the right piece has to be swapped."""

@@ -238,6 +238,9 @@ both("diff_discordance_matrix", compare.discordance_matrix, """, g AS (SELECT CA
   SELECT gt_1, gt_2, count(*) AS n FROM g WHERE gt_1 IS NOT NULL AND gt_2 IS NOT NULL GROUP BY ALL""")
 both("diff_switch_error", compare.switch_errors, """, h AS (SELECT *, x1 = x2 AS eq FROM same WHERE both_called AND equal AND phased_1 AND phased_2 AND x1 <> y1),
   l AS (SELECT *, lag(eq) OVER w AS was, lag(pos) OVER w AS start FROM h WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos)) SELECT chrom, start, pos AS "end", sample_id FROM l WHERE was <> eq""")
+both("diff_switch_summary", compare.switch_summary, """, h AS (SELECT *, x1 = x2 AS eq FROM same WHERE both_called AND equal AND phased_1 AND phased_2 AND x1 <> y1),
+  l AS (SELECT *, lag(eq) OVER (PARTITION BY sample_id, chrom ORDER BY pos) AS was FROM h), n AS (SELECT sample_id, count(*) AS n_het, count_if(was <> eq) AS n_switch FROM l GROUP BY ALL)
+  SELECT sample_id, coalesce(n_het, 0) AS n_het, coalesce(n_switch, 0) AS n_switch, round(coalesce(n_switch::DOUBLE / nullif(n_het, 0)::DOUBLE, 0), 6) + 0.0 AS rate FROM sample LEFT JOIN n USING (sample_id)""")
 
 # filters: each one alone, as the sites it keeps
 def kept(name: str, make: Callable, sql: str) -> None:
@@ -304,7 +307,7 @@ kept("invert_mask", lambda c, s, d: Filters(mask=_digits(s, d), mask_min=1, inve
 on_cohort("kept_sites", lambda c: filters.apply(c, Filters(min_alleles=2, max_alleles=2, maf=0.2)).sites.select("chrom", "pos"), f"SELECT chrom, pos FROM site WHERE len(alt) = 1 AND site_id IN ({FRQ} min(least(f, 1 - f)) >= 0.2)")
 on_cohort("removed_sites", lambda c: site.removed(c, filters.apply(c, Filters(min_alleles=2, max_alleles=2, maf=0.2))), f"SELECT chrom, pos FROM site WHERE NOT (len(alt) = 1 AND site_id IN ({FRQ} min(least(f, 1 - f)) >= 0.2))")
 on_cohort("keep_samples", lambda c: individual.depth(filters.remove_samples(filters.keep_samples(c, c.samples.filter("sample_idx < 12")), c.samples.filter("sample_idx % 5 = 0"))), "SELECT sample_id, count(dp) AS n_sites, round(sum(dp) / count(dp)::DOUBLE, 6) + 0.0 AS mean_depth FROM call WHERE sample_idx < 12 AND sample_idx % 5 <> 0 GROUP BY sample_id")
-on_cohort("max_samples", lambda c: filters.draw_samples(c, 5).samples)
+on_cohort("max_samples", lambda c: filters.draw_samples(c, 5).samples, "SELECT sample_id, sample_idx FROM sample ORDER BY md5('0:' || sample_id), sample_id LIMIT 5")
 
 
 
@@ -426,14 +429,19 @@ def _halves(s: SparkSession, d: str) -> tuple:
     return tuple(out)
 
 
-query("phased_join", lambda s, d: records.phased_join(*_halves(s, d)), """, mx AS (SELECT max(pos) AS m FROM site),
+PHASES = """, mx AS (SELECT max(pos) AS m FROM site),
   l AS (SELECT sample_id, chrom, pos, a1, a2 FROM call1 CROSS JOIN mx WHERE phased AND a1 IS NOT NULL AND a2 IS NOT NULL AND pos <= 0.6 * m), r AS (SELECT sample_id, chrom, pos, a1, a2 FROM call2 CROSS JOIN mx WHERE phased AND a1 IS NOT NULL AND a2 IS NOT NULL AND pos >= 0.4 * m),
   b AS (SELECT l.sample_id, l.chrom, l.pos, l.a1 = r.a1 AND l.a2 = r.a2 AS same, l.a1 = r.a2 AND l.a2 = r.a1 AS crossed FROM l JOIN r ON l.sample_id = r.sample_id AND l.chrom = r.chrom AND l.pos = r.pos WHERE l.a1 <> l.a2 AND r.a1 <> r.a2),
   k AS (SELECT *, (count(*) OVER (PARTITION BY chrom, pos))::DOUBLE AS n, (sum(CASE WHEN crossed THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, pos))::DOUBLE AS c FROM b WHERE same OR crossed),
   p AS (SELECT *, CASE WHEN n = 1 THEN 0.25::DOUBLE ELSE least(greatest(c / n, 1 / n), 1 - 1 / n) END AS p FROM k), g AS (SELECT *, ln(p * p + (1 - p) * (1 - p)) AS agree, ln(2 * p * (1 - p)) AS differ FROM p),
   t AS (SELECT sample_id, chrom, count_if(same) AS n_match, count_if(crossed) AS n_swapped, sum(CASE WHEN same THEN agree ELSE differ END) AS keep, sum(CASE WHEN same THEN differ ELSE agree END) AS swapped FROM g GROUP BY ALL)
-  SELECT sample_id, chrom, n_match, n_swapped, round(keep, 6) + 0.0 AS keep_likelihood, round(swapped, 6) + 0.0 AS swap_likelihood, swapped > keep AS swap, round(abs(swapped - keep) / 2.302585092994046, 6) + 0.0 AS quality FROM t""")
-query("phased_join_calls", lambda s, d: records.joined_calls(*_halves(s, d)))
+"""
+query("phased_join", lambda s, d: records.phased_join(*_halves(s, d)), PHASES + """  SELECT sample_id, chrom, n_match, n_swapped, round(keep, 6) + 0.0 AS keep_likelihood, round(swapped, 6) + 0.0 AS swap_likelihood, swapped > keep AS swap, round(abs(swapped - keep) / 2.302585092994046, 6) + 0.0 AS quality FROM t""")
+query("phased_join_calls", lambda s, d: records.joined_calls(*_halves(s, d)), PHASES + """,
+  starts AS (SELECT *, a.p AS lp, b.p AS rp FROM (SELECT sample_id, chrom, min(pos) AS p FROM l GROUP BY ALL) a FULL JOIN (SELECT sample_id, chrom, min(pos) AS p FROM r GROUP BY ALL) b USING (sample_id, chrom)),
+  every AS (SELECT *, true AS mine FROM l UNION ALL SELECT *, false FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.sample_id = r.sample_id AND l.chrom = r.chrom AND l.pos = r.pos)),
+  j AS (SELECT e.*, lp, rp, t.swapped > t.keep AS swap FROM every e JOIN starts s ON e.sample_id = s.sample_id AND e.chrom = s.chrom LEFT JOIN t ON e.sample_id = t.sample_id AND e.chrom = t.chrom)
+  SELECT sample_id, chrom, pos, CASE WHEN NOT mine AND coalesce(swap, false) THEN a2 ELSE a1 END AS a1, CASE WHEN NOT mine AND coalesce(swap, false) THEN a1 ELSE a2 END AS a2, CASE WHEN mine OR swap IS NOT NULL THEN lp ELSE rp END AS ps FROM j""")
 on_cohort("sort", lambda c: sets.numbered(c.sites).orderBy("line").select("line", "chrom", "pos", "ref"), "SELECT row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), pos, site_id) AS line, chrom, pos, ref FROM site")
 
 # conversions

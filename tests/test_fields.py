@@ -191,3 +191,14 @@ def test_registered(name):
     from locusframe.plans import catalog
 
     assert name in catalog.QUERIES and name in catalog.ORACLES
+
+
+def test_concatenation_with_calls(spark, tmp_path):
+    a = make(spark, tmp_path / "a", ["P", "Q"], [["2", "5", ".", "A", "C", ".", ".", ".", "GT", "0/1", "1/1"], ["10", "1", ".", "A", "C", ".", ".", ".", "GT", "0/0", "./."]])
+    b = make(spark, tmp_path / "b", ["Q", "P"], [["2", "4", ".", "A", "G", ".", ".", "DP=3", "GT", "0|1", "1|1"], ["3", "1", ".", "A", "T", ".", ".", ".", "GT", "1/1", "0/0"]])
+    got = merging.concatenated([a, b])
+    vcf.write(got, str(tmp_path / "out"))
+    text = [line for f in sorted((tmp_path / "out" / "records").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [t.split("\t")[0:2] + t.split("\t")[9:] for t in text] == [["2", "4", "1|1", "0|1"], ["2", "5", "0/1", "1/1"], ["3", "1", "0/0", "1/1"], ["10", "1", "0/0", "./."]]
+    with pytest.raises(ValueError, match="other samples"):
+        merging.concatenated([a, make(spark, tmp_path / "c", ["P", "Z"], [])])
