@@ -33,6 +33,8 @@ SHORTEST, BITS, LONGEST = 1024, 10, 16384
 #: Documents, and bytes of each, from which the compression dictionary is built, and its bytes.
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 2000, 4096, 225_280
 LEVEL = 16
+#: Bytes of the digests that name payloads (the start of their SHA-256) and chunks.
+NAME = 16
 GEAR = np.random.default_rng(576).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -76,7 +78,7 @@ def chunks(data: bytes) -> list[bytes]:
 
 
 def digest(chunk: bytes) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=20).digest()
+    return hashlib.blake2b(chunk, digest_size=NAME).digest()
 
 
 def feature(payload: bytes) -> str:
@@ -91,13 +93,13 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch, rows = whole.slice(at, 1000), []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n, payload = payload_of(text)
-                rows.append((doc_id, n, hashlib.sha256(payload).digest(), [digest(c) for c in chunks(encode(payload))]))
+                rows.append((doc_id, n, hashlib.sha256(payload).digest()[:NAME], [digest(c) for c in chunks(encode(payload))]))
             a = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.binary()), pa.array(a[3], pa.list_(pa.binary()))], ["doc_id", "n_bytes", "sha", "digests"])
 
 
 def outline(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text).  doc_id, n_bytes, the payload's SHA-256 and its ordered chunk digests."""
+    """docs: (doc_id, text).  doc_id, n_bytes, the start of the payload's SHA-256 and its ordered chunk digests."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_outline, "doc_id long, n_bytes long, sha binary, digests array<binary>")
 
 
@@ -149,9 +151,10 @@ def rebuild(lists: DataFrame, shared: bytes) -> DataFrame:
                 for sha, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     media = b"".join([unpacker.decompress(p) for p in parts])
                     payload = decode(media)
-                    if hashlib.sha256(payload).digest() != sha:
+                    found = hashlib.sha256(payload)
+                    if found.digest()[:NAME] != sha:
                         raise ValueError(f"the media read back for payload {sha.hex()} differ from what was stored")
-                    rows.append((sha, len(payload), sha.hex(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
+                    rows.append((sha, len(payload), found.hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
                 a = list(zip(*rows)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(a, (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names)
 
