@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.operators.stretches import running
+
 
 def _columns(spark: SparkSession, path: str, names: list[str], skip_first: bool, comment: str | None = "#") -> DataFrame:
     rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
@@ -35,15 +37,15 @@ def trios(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, path: str, value: str = "seq") -> DataFrame:
-    """(chrom, start, seq) from a FASTA text file whose sequence lines have one length: a line is a chunk.  The running
-    counts are over the file's lines, in their order."""
+    """(chrom, start, seq) from a FASTA text file whose sequence lines have one length: a line is a chunk.  A line's sequence is
+    the last heading before it, and its start the lengths of the sequence's lines before it, both by stretches of lines."""
     rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
     head = F.col("value").startswith(">")
-    marks = rows.filter(head).select(F.col("n").alias("from"), F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom"))
-    marks = marks.withColumn("until", F.coalesce(F.lead("from").over(Window.orderBy("from")), F.lit(2**62)))  # a row a sequence
-    body = rows.filter(~head & (F.length("value") > 0)).join(F.broadcast(marks), (F.col("n") > F.col("from")) & (F.col("n") < F.col("until")))
-    before = F.sum(F.length("value")).over(Window.partitionBy("chrom").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    return body.select("chrom", (F.coalesce(before, F.lit(0)) + 1).cast("int").alias("start"), F.col("value").alias(value))
+    name = F.struct("n", F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom"))
+    under = running(rows, [], [], {"_head": (F.when(head, name), "max")}, at="n")
+    body = under.filter(~head & (F.length("value") > 0) & F.col("_head").isNotNull()).select("n", "value", F.col("_head.chrom").alias("chrom"))
+    body = running(body, ["chrom"], [], {"_before": (F.length("value").cast("long"), "sum")}, at="n", before_only=True)
+    return body.select("chrom", (F.coalesce("_before", F.lit(0)) + 1).cast("int").alias("start"), F.col("value").alias(value))
 
 
 def mask(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from locusframe.operators import compare, export, records
 from locusframe.schema import CALLS, SAMPLES, SITES, Cohort
-from locusframe.sources import vcf
+from locusframe.sources import side, vcf
 
 
 def make(spark, path, head, rows=()):
@@ -49,6 +49,18 @@ def test_templates(spark, tmp_path):
     assert line("%LINE") == "1\t7\t.\tA\tC,G\t.\tPASS\tAC=3,4;DB=1\tGT:PL:DP\t0/1:9,8,7:5\t2|2:.:."
 
 
+def test_ambiguity_codes(spark, tmp_path):
+    c = make(spark, tmp_path / "a", ["##fileformat=VCFv4.2", COLUMNS], [["1", str(i), ".", r, a, ".", ".", ".", "GT", g, "./."] for i, (r, a, g) in enumerate([("A", "C", "0/1"), ("A", "G", "1|0"), ("T", "A,C", "0/1"), ("C", "G", "0/1"), ("C", "T", "0/1"), ("G", "T", "0/1"), ("G", "T", "1/1"), ("G", "GT", "0/1")])])
+    assert [r.calls.split("\t")[0] for r in export.to_tab(c, iupac=True).orderBy("pos").collect()] == ["M", "R", "W", "S", "Y", "K", "T", "G/GT"]
+
+
+def test_sequences_and_masks(spark, tmp_path):
+    lines = [">a first", *["ACGT" * 5] * 30, "AC", ">b", "GG", ">c", ">d", "TTTT", "T"]
+    (tmp_path / "f.fa").write_text("junk\n" + "\n".join(lines) + "\n\n")
+    got = sorted(tuple(r) for r in side.sequences(spark, str(tmp_path / "f.fa")).collect())
+    assert got == sorted([("a", 1 + 20 * i, "ACGT" * 5) for i in range(30)] + [("a", 601, "AC"), ("b", 1, "GG"), ("d", 1, "TTTT"), ("d", 5, "T")])
+
+
 def test_switches_by_sample(spark):
     rng = random.Random(4)
     n, samples = 200, ["a", "b", "c"]
