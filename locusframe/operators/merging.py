@@ -91,7 +91,7 @@ def merged_cohort(cohorts: list[Cohort], collapse: str = "any") -> Cohort:
     or genotype renumbered, calls of inputs without the record missing.
 
     INFO AN and AC are counted from the calls (summed over the inputs where none has samples), SF lists the inputs, with f
-    where the record did not pass.  ID is the first that is known, FORMAT the union with GT first.  Names that inputs share
+    where the record did not pass.  Of several records of one input that are alike, each goes into a record of its own.  ID is the first that is known, FORMAT the union with GT first.  Names that inputs share
     get the input's number as a prefix."""
     fields: dict[tuple[str, str], Field] = {}
     for c in cohorts:
@@ -101,7 +101,7 @@ def merged_cohort(cohorts: list[Cohort], collapse: str = "any") -> Cohort:
     info, fmt = numbers(declared, "INFO"), numbers(declared, "FORMAT")
     n = len(cohorts)
     back = lambda v: F.concat(F.array(F.lit(0)), F.transform("alts", lambda a: F.nullif(F.array_position(v["alts"], a).cast("int"), F.lit(0))))
-    per = _merged(cohorts, collapse).withColumn("y", F.transform("x", lambda v: v.withField("back", back(v))))
+    per = _merged(cohorts, collapse, apart=True).withColumn("y", F.transform("x", lambda v: v.withField("back", back(v))))
     per = per.withColumn("new_id", F.get("x", F.lit(0))["site_id"] * n + F.get("x", F.lit(0))["src"] - 1)
 
     names = reduce(DataFrame.unionByName, [c.samples.select("sample_id", "sample_idx").withColumn("src", F.lit(i)) for i, c in enumerate(cohorts, 1)])

@@ -100,15 +100,16 @@ def numbered(sites: DataFrame, width: int = 100_000) -> DataFrame:
 SUMMED, ITEMS = ("DP", "MQ0"), ("DP4", "I16")
 
 
-def _merged(cohorts: list[Cohort], collapse: str = "any") -> DataFrame:
+def _merged(cohorts: list[Cohort], collapse: str = "any", apart: bool = False) -> DataFrame:
     """A row a position and group of records that ``collapse`` takes as one: merged_ref, x (the inputs' rows in order: src,
-    site_id, alts, filter, info, qual, weight, id, format) and the united ALTs.  Of several records of one input that
-    are alike, the first go together, the second and so on."""
+    site_id, alts, filter, info, qual, weight, id, format) and the united ALTs.  ``apart``: of several records of one input
+    that are alike, the first go together, the second and so on."""
     rows = reduce(DataFrame.unionByName, [c.sites.withColumns({"src": F.lit(i), "weight": F.lit(max(1, c.samples.count()))}) for i, c in enumerate(cohorts, 1)])
     same, alike = F.concat_ws(":", "ref", F.array_join("alt", ",")), {"snps": is_snp(), "indels": is_indel(), "both": is_snp() | is_indel(), "any": F.lit(True), "none": F.lit(False)}[collapse]
     rows = rows.withColumn("kind", F.when(alike, F.lit("") if collapse == "any" else F.when(is_snp(), "snp").otherwise("indel")).otherwise(same))
-    again = F.row_number().over(Window.partitionBy("chrom", "pos", "kind", "src").orderBy("site_id"))
-    rows = rows.withColumn("_again", again).withColumn("kind", F.when(F.col("_again") > 1, F.concat_ws("#", "kind", "_again")).otherwise(F.col("kind"))).drop("_again")
+    if apart:
+        again = F.row_number().over(Window.partitionBy("chrom", "pos", "kind", "src").orderBy("site_id"))
+        rows = rows.withColumn("_again", again).withColumn("kind", F.when(F.col("_again") > 1, F.concat_ws("#", "kind", "_again")).otherwise(F.col("kind"))).drop("_again")
     longest = rows.groupBy("chrom", "pos", "kind").agg(F.max_by("ref", F.struct(F.length("ref"), -F.col("src"))).alias("merged_ref"))
     rows = rows.join(longest, ["chrom", "pos", "kind"])
     rows = rows.withColumn("alts", F.transform("alt", lambda a: F.concat(a, F.substr("merged_ref", F.length("ref") + 1))))
