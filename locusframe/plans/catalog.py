@@ -121,7 +121,7 @@ def _with_runs(spark: SparkSession, sf_dir: str):
 
 query("lroh", lambda s, d: individual.homozygous_runs(_with_runs(s, d)))
 query("pca", lambda s, d: individual.principal_components(_complete(s, d)))
-query("pca_leading", lambda s, d: individual.leading_components(_complete(s, d), 2, tolerance=1e-6))
+query("pca_leading", lambda s, d: individual.leading_components(_complete(s, d), 2, more=30))
 query("pca_loadings", lambda s, d: individual.loadings(_complete(s, d), 2))
 
 # windows
