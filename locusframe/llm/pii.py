@@ -61,7 +61,8 @@ RULES = (
     Rule("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     Rule("ip", rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
     Rule("ip6", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])"),
-    *[Rule(f"person_{g}", rf"(?=\p{{Lu}}|{PARTICLE})(?<=\b(?:{titles}){TITLE_GAP}){WHOLE_NAME}") for g, titles in TITLES.items()],
+    # the title is matched too and cut off afterwards: to look behind at every word for it costs several times as much
+    *[Rule(f"person_{g}", rf"\b(?:{titles}){TITLE_GAP}{WHOLE_NAME}") for g, titles in TITLES.items()],
 )
 #: What a text must hold for a rule of the kind to match: a plain search before the dear one.
 GUARDS = {
@@ -129,7 +130,15 @@ def _spelled(p: Column, capitals: bool) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs: text and more.  Adds names, the parts of names, and pii_spans, an array of (start, no, end, kind)."""
     text = F.col("text")
-    rules = F.concat(*[F.coalesce(F.when(text.rlike(GUARDS[r.kind]), matches(text, r, i)), F.expr(SPANS)) for i, r in enumerate(RULES)])
+
+    def found(r: Rule, i: int) -> Column:
+        spans = matches(text, r, i)
+        if not r.kind.startswith("person_"):
+            return spans
+        title = rf"^(?:{TITLES[r.kind[-1]]}){TITLE_GAP}"
+        return F.transform(spans, lambda s: s.withField("start", s["start"] + F.length(F.regexp_extract(_cut(text, s), title, 0))))
+
+    rules = F.concat(*[F.coalesce(F.when(text.rlike(GUARDS[r.kind]), found(r, i)), F.expr(SPANS)) for i, r in enumerate(RULES)])
     docs = docs.withColumn("pii_spans", rules).withColumn("names", name_parts(text, F.col("pii_spans")))
     words = F.array_distinct(F.concat(F.transform("names", lambda p: _spelled(p, False)), F.transform("names", lambda p: _spelled(p, True))))
     mention = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
