@@ -132,6 +132,24 @@ def test_katz_equals_brute_force_and_is_normalised(spark, odd_rows):
     assert {r.train_tokens for r in got} == {uni.tokens}
 
 
+def test_katz_keeps_each_word_as_a_history_of_its_own(spark):
+    """Two words whose hashes share their first 16 bits: what followed one says nothing about the other."""
+    first, pair = {}, None
+    for i in range(5000):
+        w = f"w{i}"
+        k = int(katz.mix(word_hashes([w.encode()])[0])[0] >> np.uint64(48))
+        if k in first:
+            pair = first[k], w
+            break
+        first[k] = w
+    a, b = pair
+    # x and y are equally frequent; x follows a alone, y follows b alone
+    train = [(i, f"{a} x") for i in range(7)] + [(10 + i, f"{b} y") for i in range(7)] + [(20 + i, f"rare{i}") for i in range(3)]
+    rows = [(i, t, False) for i, t in train] + [(100, f"{a} x", True), (101, f"{a} y", True), (102, f"{b} x", True), (103, f"{b} y", True)]
+    got = {r.doc_id: r.score for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert got[100] > got[101] + 0.5 and got[103] > got[102] + 0.5
+
+
 # 4
 def test_surrogates_are_consistent_and_distinct(spark):
     text = "Write to ann.lee@corp.example or +1 (499) 555-6503, card 4111 1111 1111 1111, host 10.20.30.40. Mrs. Ann Lee met Herr Smith and Mr. John Smith. Version 4.0. IBAN DE89 3704 0044 0532 0130 00."
