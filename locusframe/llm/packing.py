@@ -13,8 +13,11 @@ are ignored.
 
 from __future__ import annotations
 
+import operator
+import re
 import struct
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,25 @@ CAPACITY = 2048
 END_ID = 1
 #: Tokens a length class spans.
 GRAIN = 8
-#: Words a Python worker keeps with their ids.
+#: Words a Python worker keeps with their ids, and parts of words.
 CACHED_WORDS = 1_000_000
 #: Hexadecimal digits of the rank key that name a block of a class's order.
 BLOCK_DIGITS = 2
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
-_CACHE: dict[str, dict[str, bytes]] = {}
+_CACHE: dict[str, tuple] = {}
+#: Code points below U+0180 but for one whose lower case is two: no normalisation changes these, and their classes are known.
+#: The four separators that Python takes for white space, but the vocabulary doesn't, are not among them.
+PLAIN = re.compile("[^\x1c-\x1f\u0130\u0180-\U0010ffff]*")
+#: The vocabulary's own pattern for lower-case text of these, and a separator of texts.
+_LETTERS, _DIGITS, BETWEEN = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾", "\x1c"
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+|{BETWEEN}")
+#: What stands for the separator: no id is that high.
+NO_ID = b"\xff" * 4
+#: Special tokens begin with this.
+SPECIAL = "<|"
+#: Characters of texts that are parted at once.
+PARTED = 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -43,23 +58,57 @@ def default_vocabulary() -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts, with the ids of each distinct word kept.  No token of the vocabulary spans white space and no
-    normalisation step looks across it, so a text's ids are those of its words in a row.  Python also splits at the four
-    separators U+001C to U+001F, which the vocabulary doesn't: texts with one of them are encoded as a whole."""
+    """Ids of whole texts.  A text of PLAIN characters is lower-cased and parted here as the vocabulary would do it, and the
+    ids of each distinct part are kept.
+
+    Of other texts, and of those that may hold a special token, the ids of each distinct word are kept.  No token of the
+    vocabulary spans white space and no normalisation step looks across it, so a text's ids are those of its words in a
+    row.  Python also splits at the four separators U+001C to U+001F, which the vocabulary doesn't: texts with one of them
+    are encoded as a whole."""
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        if path not in _CACHE:
+            whole, parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
+            parts.normalizer, parts.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            _CACHE[path] = whole, parts, {}, {}
+        self.path = path
+        self.tokenizer, self.part_tokenizer, self.cache, self.parts = _CACHE[path]
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache = _CACHE.setdefault(path, {})
+    def forget(self) -> None:
+        """Give back what the worker keeps."""
+        self.cache.clear()
+        self.parts.clear()
+        _CACHE.pop(self.path, None)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        found = self.part_tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
+        ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(parts)))).tolist()
+        raw = np.array(found.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        kept = self.parts
+        kept[BETWEEN] = NO_ID
+        parts = PARTS.findall(BETWEEN.join(texts).lower())
+        ids = list(map(kept.get, parts))
+        unknown = list(compress(range(len(ids)), map(operator.is_, ids, repeat(None))))
+        new = list({parts[i] for i in unknown})
+        for i in range(0, len(new), 20_000):
+            kept.update(zip(new[i : i + 20_000], self._of_parts(new[i : i + 20_000])))
+        for i in unknown:
+            ids[i] = kept[parts[i]]
+        return b"".join(ids).split(NO_ID)
+
+    def _other(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         cache = self.cache
@@ -70,6 +119,25 @@ class WordTokenizer:
             cache.update(zip(part, self._whole(part)))
         return [self._whole([t])[0] if ws is None else b"".join(map(cache.__getitem__, ws)) for t, ws in zip(texts, words)]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        plain, other = [], []
+        for i, t in enumerate(texts):
+            (plain if PLAIN.fullmatch(t) and SPECIAL not in t else other).append(i)
+        out = [b""] * len(texts)
+        at = 0
+        while at < len(plain):
+            end, size = at + 1, len(texts[plain[at]])
+            while end < len(plain) and size + len(texts[plain[end]]) <= PARTED:
+                size += len(texts[plain[end]])
+                end += 1
+            for i, ids in zip(plain[at:end], self._plain([texts[i] for i in plain[at:end]])):
+                out[i] = ids
+            at = end
+        for i, ids in zip(other, self._other([texts[i] for i in other])):
+            out[i] = ids
+        return out
+
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep_words: bool = True) -> DataFrame:
     """docs: (doc_id, text).  A row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit) and doc_tokens.
@@ -92,7 +160,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
                 a = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.int64()), pa.array(a[3], pa.binary()), pa.array(a[4], pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens"])
         if not keep_words:
-            tokenizer.cache.clear()
+            tokenizer.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

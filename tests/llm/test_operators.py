@@ -260,6 +260,27 @@ def test_packing_places_every_token_once(odd, odd_rows):
         assert at <= 2048
 
 
+def test_texts_are_parted_as_the_vocabulary_parts_them():
+    """Ids of parts are those of the whole text, and words that differ in case or punctuation share parts."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_vocabulary())
+    rng = np.random.default_rng(5)
+    letters = [chr(i) for i in range(0x180)] + list("\u0130\u01f0\u030c\u0301\u0391\u03a3\u1e9e\u6f22\u0416\u212a\U0001f600\u00a0\u0085\u2028\u200b")
+    texts = ["".join(rng.choice(letters, 60)) for _ in range(3000)] + ["".join(rng.choice(list("aeisStTrRvVmMlLdD'’ .1"), 60)) for _ in range(1000)]
+    texts += ["".join(rng.choice(letters[33:384], 60)) for _ in range(3000)] + ["".join(rng.choice(list("aé'sS.1 \t\n\u00a0\u0085½²ªſŉ«"), 40)) for _ in range(2000)]
+    texts += letters + ["<|endoftext|>", "a<|startoftext|>b <|EndOfText|> <| |>", "ΟΔΟΣ ΣΑΣ", "J\u030c E\u0301", "İstanbul ŉ ſ ǰ", "", " "]
+    tokenizer = packing.WordTokenizer(packing.default_vocabulary())
+    tokenizer.forget()
+    tokenizer = packing.WordTokenizer(packing.default_vocabulary())
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokenizer.encode(texts) == want
+    tokenizer.forget()
+    tokenizer = packing.WordTokenizer(packing.default_vocabulary())
+    tokenizer.encode(["Word word, WORD. (word)", "wörd"])
+    assert tokenizer.parts.keys() - {packing.BETWEEN} == {"word", ",", ".", "(", ")", "wörd"} and not tokenizer.cache
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(4)
     sizes = np.arange(1, 65)
