@@ -215,16 +215,20 @@ def count_shards(packed: DataFrame, unigrams: Unigrams, hot: dict[int, int]) ->
             blocks.append(block)
         if not blocks:
             return pa.Table.from_batches(rows, none)
-        w, h, d = np.concatenate(ws), np.concatenate(hs), np.concatenate(ds)
-        ws = hs = ds = None
+        # arrays as long as the shard's tokens are dropped as soon as they are used
+        w, ws = np.concatenate(ws), None
+        h, hs = np.concatenate(hs), None
+        d, ds = np.concatenate(ds), None
         order = np.lexsort((h, w))
-        w, h, d = w[order], h[order], d[order]
+        w = w[order]
+        h = h[order]
+        d = d[order]
         order = None
         out, d = (d >> 15) & 1 == 1, (d >> 16 << 15) | (d & 0x7FFF)
-        new_w = _runs(w)
-        new = _runs(w, h)
+        new_w, new = _runs(w), _runs(w, h)
         word, pair = np.cumsum(new_w, dtype=np.int32) - 1, np.cumsum(new, dtype=np.int32) - 1
         kinds = w[new_w]
+        w = new_w = None
         c_word = np.bincount(word, ~out).astype(np.int64)
         for i, x in enumerate(kinds.tolist() if hot else ()):
             if (c := hot.get(x)) is not None:
@@ -238,16 +242,19 @@ def count_shards(packed: DataFrame, unigrams: Unigrams, hot: dict[int, int]) ->
         histories, index = np.unique(h[at_pair][kept], return_inverse=True)
         by = {f"a{r}": np.bincount(index[c_kept == r], minlength=len(histories)).astype(np.int32) for r in range(1, 6)}
         rows += _counted("history", len(histories), key=histories.view(np.int64), p=np.bincount(index, p1[word[at_pair]][kept], len(histories)), **by)
-        w = new_w = new = histories = index = by = at_pair = kept = None
-        c, cw = c_pair.astype(np.int32)[pair], c_word[word]
-        value = np.where(c > DISCOUNTED, np.log10(np.maximum(c, 1)), np.where(c > 0, 0.0, np.log10(p1)[word]))
-        value -= np.where(kinds == END, 0.0, np.log10(c_word + 1.0))[word]
-        base = unigrams.base(c_word)[word]
-        docs, index = np.unique(d, return_inverse=True)
-        n = len(docs)
-        sums = [np.bincount(index, value, n), np.bincount(index, base, n), np.bincount(index, cw > 0, n).astype(np.int32), *[np.bincount(index, c == r, n).astype(np.uint32) for r in range(1, 6)]]
+        new = histories = index = by = at_pair = kept = c_kept = out = None
+        c, pair = c_pair.astype(np.int32)[pair], None
         lost = np.flatnonzero(c == 0)
         rows += _counted("lost", len(lost), key=h[lost].view(np.int64), block=np.array(blocks)[d[lost] >> 15], doc=(d[lost] & 0x7FFF).astype(np.int32))
+        h = lost = None
+        docs, index = np.unique(d, return_inverse=True)
+        d, n = None, len(docs)
+        value = np.log10(np.maximum(c, 1), where=c > DISCOUNTED, out=np.zeros(len(c)))
+        np.copyto(value, np.log10(p1)[word], where=c == 0)
+        value -= np.where(kinds == END, 0.0, np.log10(c_word + 1.0))[word]
+        sums = [np.bincount(index, value, n)]
+        value = None
+        sums += [np.bincount(index, unigrams.base(c_word)[word], n), np.bincount(index, (c_word > 0)[word], n).astype(np.int32), *[np.bincount(index, c == r, n).astype(np.uint32) for r in range(1, 6)]]
         bounds = np.searchsorted(docs, np.arange(len(blocks) + 1) << 15)
         for i, block in enumerate(blocks):
             a, b = bounds[i], bounds[i + 1]
