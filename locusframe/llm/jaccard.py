@@ -12,6 +12,10 @@ them apart.  So the join starts from cells of documents that share a shingle, an
 - What is linked already needs no comparison: a guest of the same component as all homes leaves, and a cell with one
   component is done.  Cells of few members are joined directly, where the distances to their pivot differ by no more than
   the limit; larger ones are split again.
+- Pivots don't tell the members of a dense group apart, such as the copies of one text with edits of their own: all of them
+  are within the window of all its pivots.  A cell that would not become smaller stays one, and is joined directly once
+  its largest component has met what is outside it.  Those outside then look for partners by size, of which the place of
+  the shared element leaves few, so that no two members of the largest component are set against each other.
 
 Documents that have no partner by counting leave first.  Of two sets with 100 * intersection >= 75 * union, each finds
 at least T of the other's elements among its first by hash (``prefix``), so a set of whose prefix fewer than T elements
@@ -199,11 +203,11 @@ def _fit(other_n: str, other_place: str) -> Column:
     return sizes & (rest * (100 + PERCENT) >= PERCENT * (n + F.col(other_n)))
 
 
-def _chosen(cells: DataFrame, level: int) -> DataFrame:
-    """(cell, part, pivot, ...): of each part of a cell, the member of the lowest priority.  It depends on the set alone, so
-    that the cells of one group share pivots."""
+def _chosen(cells: DataFrame, level: int, *before: Column) -> DataFrame:
+    """(cell, part, pivot, ...): of each part of a cell, the member of the lowest priority, after what comes before it.  It
+    depends on the set alone, so that the cells of one group share pivots."""
     part = F.pmod(F.xxhash64("set_id"), F.col("n_pivots")).alias("part")
-    chosen = cells.groupBy("cell", part).agg(F.min(F.struct(F.xxhash64("set_id", F.lit(level)).alias("p"), "set_id", "n_shingles", "place", "label", "home")).alias("f"))
+    chosen = cells.groupBy("cell", part).agg(F.min(F.struct(*before, F.xxhash64("set_id", F.lit(level)).alias("p"), "set_id", "n_shingles", "place", "label", "home")).alias("f"))
     return chosen.select("cell", "part", F.col("f.set_id").alias("pivot"), F.col("f.n_shingles").alias("pivot_n"), F.col("f.place").alias("pivot_place"), F.col("f.label").alias("pivot_label"), F.col("f.home").alias("pivot_home"))
 
 
@@ -218,8 +222,9 @@ def _split(active: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _touched(active: DataFrame, level: int) -> DataFrame:
-    """(low, high): some of a cell's largest component with each member outside it, which links most of those that have a link."""
-    pivots = _chosen(active.filter(F.col("label") == F.col("main")), level)
+    """(low, high): some of a cell's largest component with each member outside it, which links most of those that have a link.
+    The first by place have the fewest elements of their own, so they are near most others, and most sizes fit theirs."""
+    pivots = _chosen(active.filter(F.col("label") == F.col("main")), level, F.col("place").alias("first"))
     outside = active.filter((F.col("label") != F.col("main"))).join(pivots, "cell").filter((F.col("home") | F.col("pivot_home")) & _fit("pivot_n", "pivot_place"))
     return outside.select(*_pair("set_id", "pivot"))
 
@@ -229,21 +234,48 @@ def _joined(few: DataFrame) -> DataFrame:
     sizes, nor the distances to the cell's pivot, nor the places of the shared element rule out."""
     other = few.select("cell", *[F.col(c).alias(f"{c}_") for c in ("set_id", "n_shingles", "place", "home", "label", "away")])
     once = F.col("home") & (~F.col("home_") | (F.col("set_id") < F.col("set_id_")))
-    near = F.coalesce(F.abs(F.col("away") - F.col("away_")) <= LIMIT + SLACK, F.lit(True))
-    on = (F.col("label") != F.col("label_")) & once & near & _fit("n_shingles_", "place_")
+    on = (F.col("label") != F.col("label_")) & once & _near() & _fit("n_shingles_", "place_")
     return few.join(other, "cell").filter(on).select(*_pair("set_id", "set_id_"))
 
 
+def _near() -> Column:
+    return F.coalesce(F.abs(F.col("away") - F.col("away_")) <= LIMIT + SLACK, F.lit(True))
+
+
+def _asked_by_size(some: DataFrame) -> DataFrame:
+    """The same pairs as ``_joined``, for cells of any size: members outside the largest component, with the members of
+    those sizes in the cell that ``_fit`` allows them."""
+    rest = (1 + F.col("n_shingles") - F.col("place")) * (100 + PERCENT)
+    allowed = (F.col("n_shingles_") + F.col("n_shingles")) * PERCENT <= rest
+    asking = some.filter(F.col("label") != F.col("main")).select("cell", "set_id", "n_shingles", "place", "home", "label", "main", "away")
+    asking = asking.join(some.select("cell", F.col("n_shingles").alias("n_shingles_")).distinct(), "cell").filter(allowed)
+    other = some.select("cell", *[F.col(c).alias(f"{c}_") for c in ("set_id", "n_shingles", "place", "home", "label", "away")])
+    once = (F.col("home") | F.col("home_")) & ((F.col("label_") == F.col("main")) | (F.col("set_id") < F.col("set_id_")))
+    on = (F.col("label") != F.col("label_")) & once & _near() & _fit("n_shingles_", "place_")
+    return asking.join(other, ["cell", "n_shingles_"]).filter(on).select(*_pair("set_id", "set_id_"))
+
+
 def _cells(met: DataFrame, pivots: DataFrame, known: DataFrame) -> DataFrame:
-    """The members of the next cells: homes of the nearest pivot, guests of those within the window."""
+    """The members of the next cells: homes of the nearest pivot, guests of those within the window.  A cell of which one
+    would hold more than half, or all together more than twice its members, stays as it is and is not apart."""
     far = met.withColumns(dict(zip(("low", "high"), _pair("set_id", "pivot")))).join(known.select("low", "high", "d"), ["low", "high"], "left")
     far = far.join(pivots.select("cell", F.col("pivot").alias("set_id")), ["cell", "set_id"], "left_anti")  # they have met all members
     each = far.groupBy("cell", "set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("place").alias("place"), F.first("home").alias("home"), F.collect_list(F.struct("d", "part")).alias("all"))  # at most PIVOTS
-    each = each.withColumn("nearest", F.array_min("all")).select("*", F.explode("all").alias("to"))
-    own = F.col("to.part") == F.col("nearest.part")
-    guest = (~F.col("home") | (F.col("to.part") < F.col("nearest.part"))) & F.coalesce(F.col("to.d") <= F.col("nearest.d") + 2 * LIMIT + SLACK, F.lit(True))
-    path = F.concat("cell", F.unhex(F.lpad(F.hex("to.part"), 2, "0")))
-    return each.filter((F.col("home") & own) | guest).select(path.alias("cell"), "set_id", "n_shingles", "place", (F.col("home") & own).alias("home"), F.col("to.d").alias("away"))
+    to, nearest = F.col("to"), F.array_min("all")
+    own = F.col("home") & (to["part"] == nearest["part"])
+    guest = (~F.col("home") | (to["part"] < nearest["part"])) & F.coalesce(to["d"] <= nearest["d"] + 2 * LIMIT + SLACK, F.lit(True))
+    each = written(each, "to-pivots")
+    path = F.concat("cell", F.unhex(F.lpad(F.hex(to["part"]), 2, "0")))
+    parts = each.select("*", F.explode("all").alias("to")).select("cell", "set_id", "n_shingles", "place", "home", "all", "to", own.alias("own")).filter(F.col("own") | guest)
+    sizes = parts.groupBy("cell", "to.part").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("in_all"), F.max("n").alias("largest"))
+    sizes = sizes.join(each.groupBy("cell").agg(F.count("*").alias("size")), "cell")
+    sizes = written(sizes.select("cell", ((F.col("in_all") <= 2 * F.col("size")) & (F.col("largest") <= F.col("size") / 2)).alias("apart")), "sizes")
+    split = parts.join(sizes.filter("apart"), "cell").select(path.alias("cell"), "set_id", "n_shingles", "place", F.col("own").alias("home"), to["d"].alias("away"), "apart")
+    first = F.array_min(F.transform("all", lambda x: F.struct(x["part"], x["d"])))  # all of a cell have met its first pivot
+    kept = each.join(sizes.filter("not apart"), "cell").select("cell", "set_id", "n_shingles", "place", "home", first["d"].alias("away"), "apart")
+    out = written(split.unionByName(kept), "cells")
+    forget(each, sizes)
+    return out
 
 
 def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -251,19 +283,22 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
     are connected.
 
     Cells are split at even levels.  At odd ones small cells are joined directly, and each of the others is touched: some
-    of its largest component meet those outside it.  Then all but the largest cells are joined, and these are split again.
+    of its largest component meet those outside it.  Then all but the largest cells are joined, and these are split again,
+    unless a split has left them as they were.
     """
     spark = members.sparkSession
-    cells = members.select(F.unhex(F.lpad(F.hex("element"), 16, "0")).alias("cell"), "set_id", "n_shingles", "place", F.lit(True).alias("home"), F.lit(None).cast("double").alias("away"))
+    cells = members.select(F.unhex(F.lpad(F.hex("element"), 16, "0")).alias("cell"), "set_id", "n_shingles", "place", F.lit(True).alias("home"), F.lit(None).cast("double").alias("away"), F.lit(True).alias("apart"))
     labels, level = spark.createDataFrame([], "node binary, label binary"), 0
     known = spark.createDataFrame([], "low binary, high binary, linked boolean, d double")
     while True:
         named = cells.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        by = named.groupBy("cell", "label").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"), F.max(F.when(F.col("home"), F.coalesce("away", F.lit(1.0)))).alias("radius"))
+        by = named.groupBy("cell", "label").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"), F.max(F.when(F.col("home"), F.coalesce("away", F.lit(1.0)))).alias("radius"), F.first("apart").alias("apart"))
         by = by.groupBy("cell").agg(
-            F.sum("all").alias("size"), F.count_if(F.col("homes") > 0).alias("kinds"), F.count("*").alias("all_kinds"), F.max(F.struct("all", "label")).alias("m"), F.max(F.struct("homes", "label"))["label"].alias("own"), F.max("radius").alias("radius")
+            F.sum("all").alias("size"), F.count_if(F.col("homes") > 0).alias("kinds"), F.count("*").alias("all_kinds"), F.max(F.struct("all", "label")).alias("m"), F.max(F.struct("homes", "label"))["label"].alias("own"), F.max("radius").alias("radius"), F.first("apart").alias("apart")
         )
         direct = F.col("size") <= (0 if level == 0 else DIRECT if level == 1 else TOUCHED)
+        if level % 2 == 0:
+            direct |= ~F.col("apart")
         by = by.filter("kinds > 0 and all_kinds > 1").select("cell", "kinds", "own", F.col("m.label").alias("main"), "radius", F.least(F.lit(PIVOTS), 1 + F.floor(F.col("size") / MEMBERS)).alias("n_pivots"), direct.alias("direct"))
         useful = F.col("home") | (((F.col("kinds") > 1) | (F.col("label") != F.col("own"))) & F.coalesce(F.col("away") <= F.col("radius") + LIMIT + SLACK, F.lit(True)))
         active = written(named.join(by, "cell").filter(useful), "cells")
@@ -275,7 +310,9 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
         else:
             pivots, met = _split(large, level)
             pairs = met.filter("needed").select(*_pair("set_id", "pivot"))
-        pairs = (pairs.union(_joined(active.filter("direct"))) if level else pairs).distinct()
+        if level:
+            pairs = pairs.union((_joined if level == 1 else _asked_by_size)(active.filter("direct")))
+        pairs = pairs.distinct()
         found = written(distances(pairs.join(known, ["low", "high"], "left_anti") if level else pairs, texts), "distances")
         known = known.union(found) if level else found
         new = found.filter("linked").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -287,7 +324,7 @@ def linked_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
         if level % 2:
             cells = written(large.select(*before.columns), "cells")
         else:
-            cells = written(_cells(met, pivots, known), "cells")
+            cells = _cells(met, pivots, known)
             forget(pivots, met)
         forget(active, before)
         level += 1

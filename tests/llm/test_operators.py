@@ -397,6 +397,38 @@ def test_join_equals_brute_force(spark):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_dense_group_is_not_split_again_and_again(spark, monkeypatch):
+    rng, rows, cells = np.random.default_rng(4), [], []
+    base = [f"w{i}" for i in range(150)]
+    for k in range(260):
+        w = list(base)
+        for at in rng.integers(0, len(w), int(rng.integers(0, 8)) if k % 5 else int(rng.integers(3, 7))):
+            w[at] = f"x{rng.integers(40)}"
+        rows.append((k, " ".join(w[: len(w) - int(rng.integers(0, 3))])))
+    kept = jaccard.written
+
+    def watched(df, name):
+        out = kept(df, name)
+        if name == "cells":
+            cells.append(out.count())
+            assert len(cells) < 12 and cells[-1] <= cells[0]  # members of all cells: what pivots don't part is not copied to their cells
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    monkeypatch.setattr(jaccard, "TOUCHED", 40)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = components({i: shingles(t) for i, t in rows})
+    assert got == want and len(set(want.values())) > 5 and max(list(want.values()).count(i) for i in set(want.values())) > 100
+
+
+def test_pairs_by_size_are_those_of_the_direct_join(spark):
+    rng = np.random.default_rng(6)
+    rows = [(b"c%d" % (i % 3), b"%04d" % i, int(n), int(rng.integers(1, n // 4 + 2)), bool(rng.random() < 0.6), bytes([97 + min(4, int(rng.integers(0, 9)))]), b"e", None if rng.random() < 0.2 else float(rng.random())) for i in range(240) for n in rng.integers(20, 34, 1)]
+    some = spark.createDataFrame(rows, "cell binary, set_id binary, n_shingles long, place long, home boolean, label binary, main binary, away double")
+    want = {(bytes(r.low), bytes(r.high)) for r in jaccard._joined(some).collect()}
+    assert {(bytes(r.low), bytes(r.high)) for r in jaccard._asked_by_size(some).collect()} == want and len(want) > 100
+
+
 def test_stage_keeps_unrelated_documents_without_or_with_one_id(spark):
     from tests.llm.conftest import DOCS, prose
 
