@@ -421,6 +421,30 @@ def test_dense_group_is_not_split_again_and_again(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 5 and max(list(want.values()).count(i) for i in set(want.values())) > 100
 
 
+def test_stage_of_a_dense_group_ends(spark, monkeypatch):
+    from tests.llm.conftest import DOCS
+
+    rng, rows, cells = np.random.default_rng(12), [], []
+    for k in range(160):
+        w = [f"w{i}" for i in range(150)]
+        for at in rng.integers(0, len(w), int(rng.integers(2, 8))):
+            w[at] = f"x{rng.integers(30)}"
+        rows.append((k, " ".join(w[: len(w) - k % 3]), "en", "a", 1))
+    kept = jaccard.written
+
+    def watched(df, name):
+        out = kept(df, name)
+        if name == "cells":
+            cells.append(out.count())
+            assert cells[-1] <= cells[0]
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    monkeypatch.setattr(jaccard, "TOUCHED", 40)
+    of = components({r[0]: shingles(r[1]) for r in rows})
+    assert {r.doc_id for r in jaccard.stage(spark, spark.createDataFrame(rows, DOCS), None).collect()} == {i for i in of if of[i] == i}
+
+
 def test_pairs_by_size_are_those_of_the_direct_join(spark):
     rng = np.random.default_rng(6)
     rows = [(b"c%d" % (i % 3), b"%04d" % i, int(n), int(rng.integers(1, n // 4 + 2)), bool(rng.random() < 0.6), bytes([97 + min(4, int(rng.integers(0, 9)))]), b"e", None if rng.random() < 0.2 else float(rng.random())) for i in range(240) for n in rng.integers(20, 34, 1)]
