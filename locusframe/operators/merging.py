@@ -31,7 +31,7 @@ def renumbered(cohort: Cohort, table: DataFrame) -> Cohort:
 def filled_counts(sites: DataFrame, calls: DataFrame) -> DataFrame:
     """``sites`` with INFO AN and AC as the calls say."""
     per = called(calls).groupBy("site_id", "allele").agg(F.count(F.lit(1)).alias("n")).groupBy("site_id").agg(F.sum("n").alias("_an"), F.map_from_entries(F.collect_list(F.struct("allele", "n"))).alias("_counts"))
-    out = sites.join(per, "site_id", "left")
+    out = sites.join(per.hint("merge"), "site_id", "left")
     ac = F.transform("alt", lambda a, i: F.coalesce(F.element_at("_counts", i + 1), F.lit(0)).cast("string"))
     rest = F.map_filter("info", lambda k, v: ~k.isin("AN", "AC"))
     own = F.when(F.size("alt") > 0, F.create_map(F.lit("AN"), F.coalesce("_an", F.lit(0)).cast("string"), F.lit("AC"), F.array_join(ac, ","))).otherwise(F.create_map(F.lit("AN"), F.coalesce("_an", F.lit(0)).cast("string")))
@@ -111,19 +111,18 @@ def merged_cohort(cohorts: list[Cohort], collapse: str = "any") -> Cohort:
 
     where = per.select("new_id", F.explode("y").alias("v")).select("new_id", "v.src", "v.site_id", "v.back", (F.size("v.alts") + 1).alias("n_old"))
     calls = reduce(DataFrame.unionByName, [c.calls.withColumn("src", F.lit(i)) for i, c in enumerate(cohorts, 1)])
-    calls = calls.join(where, ["src", "site_id"]).join(names.select("src", "sample_id", "name"), ["src", "sample_id"])
+    # sites grow with the input, whatever their table's size in files makes Spark expect: the driver never gets them to broadcast
+    calls = calls.join(where.hint("merge"), ["src", "site_id"]).join(F.broadcast(names.select("src", "sample_id", "name")), ["src", "sample_id"])
     number = lambda a: F.nullif((F.array_position("back", F.col(a)) - 1).cast("int"), F.lit(-1)).alias(a)
     own = F.map_filter("fmt", lambda k, v: k != "GT")
     calls = calls.select(
         F.col("new_id").alias("site_id"), F.col("name").alias("sample_id"), number("a1"), number("a2"), "ploidy", "phased", "gq", "dp", "ft", reindexed_map(own, fmt, F.col("back"), F.col("n_old"), F.col("ploidy") == 1).alias("fmt"), "included",
     )
-    absent = per.select("new_id", F.explode(F.array_except(F.array(*[F.lit(i) for i in range(1, n + 1)]), F.transform("x", lambda v: v["src"]))).alias("src")).join(names.select("src", "name"), "src")
+    absent = per.select("new_id", F.explode(F.array_except(F.array(*[F.lit(i) for i in range(1, n + 1)]), F.transform("x", lambda v: v["src"]))).alias("src")).join(F.broadcast(names.select("src", "name")), "src")
     absent = absent.select(
         F.col("new_id").alias("site_id"), F.col("name").alias("sample_id"), F.lit(None).cast("int").alias("a1"), F.lit(None).cast("int").alias("a2"), F.lit(2).cast("tinyint").alias("ploidy"), F.lit(False).alias("phased"),
         F.lit(None).cast("double").alias("gq"), F.lit(None).cast("int").alias("dp"), F.array().cast("array<string>").alias("ft"), F.create_map().cast("map<string,string>").alias("fmt"), F.lit(True).alias("included"),
     )
-    calls = calls.unionByName(absent)
-
     flags = F.sort_array(F.array_distinct(F.flatten(F.transform("x", lambda v: v["filter"]))))
     flags = F.when(F.size(flags) > 1, F.filter(flags, lambda f: f != "PASS")).otherwise(flags)
     total = lambda what: F.aggregate(F.filter("x", lambda v: v["qual"] > 0), F.lit(0.0), lambda acc, v: acc + what(v))
@@ -141,7 +140,8 @@ def merged_cohort(cohorts: list[Cohort], collapse: str = "any") -> Cohort:
         kept = F.map_filter(F.create_map(F.lit("AN"), F.col("_sum_an"), F.lit("AC"), F.col("_sum_ac")), lambda k, v: v.isNotNull())
         sites = sites.withColumn("info", F.map_concat("info", kept))
     else:
-        sites = filled_counts(sites, calls)
+        sites = filled_counts(sites, calls)  # absent calls have no alleles
+    calls = calls.unionByName(absent)
     sites = sites.drop("_sum_an", "_sum_ac").withColumn("info_raw", F.array_join(F.transform(F.map_entries("info"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"))
     lines = list(dict.fromkeys(h for c in cohorts for h in c.header if h.startswith("##") and not h.startswith("##fileformat")))
     return Cohort(sites, calls, samples, ["##fileformat=VCFv4.2", *lines], declared)
